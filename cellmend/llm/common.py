@@ -10,12 +10,13 @@ Conventions of every operator in this subpackage:
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,13 +38,23 @@ def crc_fold(id_col: str = "doc_id", folds: int = 5) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % F.lit(folds), F.lit(0))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage into the cluster's shared checkpoint folder (a local one only where none is configured)."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cellmend-checkpoint-"))
-    return df.checkpoint(eager=True)
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder under the one that the cluster names in ``spark.checkpoint.dir`` (a local one where none is named)."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="cellmend-")
+    return f"{top.rstrip('/')}/cellmend-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write a Parquet table into the shared folder and read it back: cuts lineage, survives lost executors, has a known size.
+
+    Shuffle files of the stages that the table replaces go as soon as the driver's garbage collector has seen them.
+    """
+    spark, path = df.sparkSession, shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -78,33 +89,88 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class WordHashes(dict):
-    """Word (bytes) to a 64-bit hash as a signed integer; emptied when it grows over ``limit`` words."""
-
-    def __init__(self, limit: int = 250_000):
-        super().__init__()
-        self.limit = limit
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word)
-        h = h - (1 << 64) if h >> 63 else h
-        if len(self) >= self.limit:
-            self.clear()
-        self[word] = h
-        return h
-
-    def array(self, words: list[bytes]) -> np.ndarray:
-        return np.array(list(map(self.__getitem__, words)), dtype=np.int64).view(np.uint64)
-
-
-def sequence_hashes(words: np.ndarray, width: int, seed: int) -> np.ndarray:
-    """Hash of each run of ``width`` consecutive word hashes; empty if there are fewer."""
-    n = len(words) - width + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    rng = np.random.default_rng(seed)
-    odd = rng.integers(0, 1 << 63, width, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    total = words[:n] * odd[0]
-    for j in range(1, width):
-        total += words[j : j + n] * odd[j]
-    return mix64(total)
+def _random(seed: int, n: int) -> np.ndarray:
+    return np.random.default_rng(seed).integers(0, 1 << 64, n, dtype=np.uint64, endpoint=False)
+
+
+class Powers:
+    """Powers of an odd number and of its inverse, modulo 2^64, as tables that grow when needed."""
+
+    def __init__(self, seed: int):
+        self.base = int(_random(seed, 1)[0]) | 1
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def upto(self, n: int) -> Powers:
+        if len(self.up) < n:
+            n = 1 << int(n - 1).bit_length()
+            table = [np.full(n, b, np.uint64) for b in (self.base, pow(self.base, -1, 1 << 64))]
+            for t in table:
+                t[0] = 1
+            self.up, self.down = (np.multiply.accumulate(t) for t in table)
+        return self
+
+
+class Rolling:
+    """Hashes of any spans of a sequence of 64-bit values, from prefix sums."""
+
+    _powers: dict[int, Powers] = {}
+
+    def __init__(self, values: np.ndarray, seed: int):
+        p = self._powers.setdefault(seed, Powers(seed)).upto(len(values) + 1)
+        self.down = p.down
+        self.sums = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * p.up[: len(values)], out=self.sums[1:])
+
+    def spans(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Hash of values[start:stop] for each pair."""
+        return mix64((self.sums[stop] - self.sums[start]) * self.down[start] + (stop - start).astype(np.uint64) * _GOLD)
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_LETTER = _random(101, 256)
+_LOWER = _LETTER.copy()
+_LOWER[0x41:0x5B] = _LETTER[0x61:0x7B]
+
+
+class Words:
+    """The words (runs of characters other than ASCII white space) of a column of texts, as hashes.
+
+    ``hashes``, ``begins``, ``ends`` (bytes in ``data``) and ``doc`` (row) by word; row i has words ``first[i]`` to ``first[i + 1]``.
+    ``lower``: A-Z count as a-z.
+    """
+
+    def __init__(self, column: pa.Array, lower: bool = False):
+        _, offsets, data = column.buffers()
+        wide = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32
+        at = np.frombuffer(offsets, wide)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        self.data = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.empty(0, np.uint8)
+        at = at - at[0]
+        n = len(self.data)
+        inside = np.zeros(n + 1, bool)
+        np.logical_not(_SPACE[self.data], out=inside[:n])
+        change = np.zeros(n + 1, bool)
+        change[1:] = inside[1:] != inside[:-1]
+        change[0] = inside[0]
+        change[at] |= inside[at] | np.where(at > 0, inside[at - 1], False)
+        edge = np.flatnonzero(change)
+        self.begins = edge[inside[edge]]
+        stops = np.append(edge, n)
+        self.ends = stops[np.searchsorted(edge, self.begins) + 1]
+        self.first = np.searchsorted(self.begins, at)
+        self.doc = np.repeat(np.arange(len(column)), np.diff(self.first))
+        letters = Rolling((_LOWER if lower else _LETTER)[self.data], 102)
+        self.hashes = letters.spans(self.begins, self.ends)
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+
+def signed(x: np.ndarray) -> pa.Array:
+    """Unsigned 64-bit values as Spark's longs."""
+    return pa.array(np.ascontiguousarray(x).view(np.int64))
+
+
+def exploded(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Flat values of a list column and the row of each."""
+    return values.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(values)), np.diff(values.offsets.to_numpy()))

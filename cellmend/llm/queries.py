@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellmend.llm import pii, quality, sentencepiece_codec, token_counts
+from cellmend.llm import fingerprints, lm_scoring, minhash_dedup, mixing, pii, quality, sentencepiece_codec, substring_dedup, token_counts, topk_search
 from cellmend.llm.common import crc_fold
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -25,6 +25,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "n_tokens", F.round("probability", 9).alias("probability"), "kept")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), PIECE_MODEL)
 
@@ -36,6 +40,29 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_fold("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = substring_dedup.remove_repeats(documents(spark, sf_dir))
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprints.fingerprint_documents(documents(spark, sf_dir))
+    return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(documents(spark, sf_dir))
+
+
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return lm_scoring.score_lm(docs, lm_scoring.train_lm(docs))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.detect_pii(documents(spark, sf_dir))
     counts = [pii.count_kind(F.col("spans"), k).alias(f"n_{k}") for k in pii.BASE_KINDS]
@@ -43,5 +70,14 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, base, pii.span_text(F.col("spans")).alias("spans"))
 
 
-QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op3_token_counts": op3_token_counts, "op4_quality": op4_quality, "op10_pii": op10_pii}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_mixing, op3_token_counts, op4_quality, op5_substring_dedup, op6_topk_search, op7_fingerprints, op8_minhash_dedup, op9_lm_scoring, op10_pii)}
+SQL: dict[str, str] = {
+    "op2_mixing": mixing.mixing_sql(),
+    "op6_topk_search": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x FROM embeddings
+                   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.x, c.x) AS BIGINT) AS score
+              FROM v AS q JOIN v AS c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.x) = len(c.x)),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+}

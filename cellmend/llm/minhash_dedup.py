@@ -176,7 +176,7 @@ def confirmed(docs: DataFrame, pairs: DataFrame, count: bool) -> DataFrame:
     sets = stored(docs.join(hubs.unionByName(alone), "doc").select("doc", "text", "hubs").mapInArrow(_sets, "doc long, items binary, hubs array<long>"))
     left = sets.select(F.explode("hubs").alias("a"), F.col("doc").alias("b"), F.col("items").alias("items_b"))
     right = sets.join(pairs.select(F.col("a").alias("doc")).distinct(), "doc", "left_semi").select(F.col("doc").alias("a"), F.col("items").alias("items_a"))
-    return left.join(right, "a").select("a", "b", "items_a", "items_b").mapInArrow(_compare(count), "a long, b long, shared long, linked boolean").dropDuplicates(["a", "b"])
+    return left.join(right, "a").select("a", "b", "items_a", "items_b").mapInArrow(_compare(count), "a long, b long, shared long, linked boolean")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -197,7 +197,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     texts = base.where("doc is not null")
     first = members.select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()
-    tried = stored(confirmed(texts, first, True))
+    tried = stored(confirmed(texts, first, True)).dropDuplicates(["a", "b"])  # an id may have rows of several texts
     members = stored(members.join(tried.select(F.col("a").alias("hub"), F.col("b").alias("doc"), "shared"), ["hub", "doc"]))
     links = tried.where("linked").select("a", "b")
     maps = digest.where(F.size("bands") > 0).select("doc", "bits").dropDuplicates(["doc"])
@@ -206,7 +206,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pairs = stored(_open_pairs(members, parts, tried, maps))
         if not pairs.take(1):
             break
-        new = stored(confirmed(texts, pairs, False))
+        new = stored(confirmed(texts, pairs, False)).dropDuplicates(["a", "b"])
         tried = stored(tried.unionByName(new))
         if not new.where("linked").take(1):
             break

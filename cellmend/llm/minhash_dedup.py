@@ -139,7 +139,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, first = shingle_sets(Words(batch.column(1), lower=True), WIDTH)
         raw = hashes.tobytes()
         sets = pa.array([raw[8 * a : 8 * b] for a, b in zip(first[:-1].tolist(), first[1:].tolist())], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0), sets, batch.column(2)], names=["doc", "items", "hubs"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), sets, batch.column(2), batch.column(3)], names=["doc", "items", "hubs", "is_hub"])
 
 
 def _compare(count: bool):
@@ -171,11 +171,11 @@ def _compare(count: bool):
 
 def confirmed(docs: DataFrame, pairs: DataFrame, count: bool) -> DataFrame:
     """``pairs(a, b)`` of ids with ``shared`` and ``linked``, by their full sets; ``count``: count what unlinked pairs share, too."""
-    hubs = pairs.groupBy(F.col("b").alias("doc")).agg(F.collect_set("a").alias("hubs"))
-    alone = pairs.select(F.col("a").alias("doc")).distinct().join(hubs, "doc", "left_anti").withColumn("hubs", F.array().cast("array<long>"))
-    sets = stored(docs.join(hubs.unionByName(alone), "doc").select("doc", "text", "hubs").mapInArrow(_sets, "doc long, items binary, hubs array<long>"))
+    wanted = pairs.select(F.col("b").alias("doc"), F.col("a").alias("hub")).unionByName(pairs.select(F.col("a").alias("doc"), F.lit(None).cast("long").alias("hub")))
+    wanted = wanted.groupBy("doc").agg(F.collect_set("hub").alias("hubs"), F.max(F.col("hub").isNull()).alias("is_hub"))
+    sets = stored(docs.join(wanted, "doc").select("doc", "text", "hubs", "is_hub").mapInArrow(_sets, "doc long, items binary, hubs array<long>, is_hub boolean"))
     left = sets.select(F.explode("hubs").alias("a"), F.col("doc").alias("b"), F.col("items").alias("items_b"))
-    right = sets.join(pairs.select(F.col("a").alias("doc")).distinct(), "doc", "left_semi").select(F.col("doc").alias("a"), F.col("items").alias("items_a"))
+    right = sets.where("is_hub").select(F.col("doc").alias("a"), F.col("items").alias("items_a"))
     return left.join(right, "a").select("a", "b", "items_a", "items_b").mapInArrow(_compare(count), "a long, b long, shared long, linked boolean")
 
 

@@ -103,7 +103,7 @@ def context_score(text: str, kind: str, start: int, end: int) -> float:
 
 
 def find_spans(text: str) -> list[tuple[str, int, int, float]]:
-    """All spans with their scores by start, then kind in the order of ``KINDS``. Added spans overlap no other span."""
+    """All spans with their scores by start, then kind in the order of ``KINDS``. An added span may overlap base spans of other kinds, but no other added span."""
     base = base_spans(text)
     found = list(base)
     added = [("iban", *m.span()) for m in _IBAN.finditer(text) if mod97(m.group().replace(" ", ""))]

@@ -19,10 +19,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = sentencepiece_codec.encode_documents(documents(spark, sf_dir), PIECE_MODEL)
-    digest = encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), "ids")
-    decoded = sentencepiece_codec.decode_documents(digest, PIECE_MODEL, keep=("n_tokens", "ids_sha256"))
-    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+    encoded = sentencepiece_codec.encode_documents(documents(spark, sf_dir), PIECE_MODEL, with_spans=True)
+    widest = F.array_max(F.zip_with("ends", "begins", lambda end, begin: end - begin)).alias("widest_span")
+    digest = encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), widest, "ids")
+    decoded = sentencepiece_codec.decode_documents(digest, PIECE_MODEL, keep=("n_tokens", "ids_sha256", "widest_span"))
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"), "widest_span")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ the byte span of the source that it came from, so each piece is projected to a s
 byte-pair merging by piece score with byte fallback.
 
 Merges never cross a boundary whose two characters stand side by side in no piece, so a text is cut there and the parts are
-looked up in a bounded memo; this changes no id.
+looked up in a bounded memo; this changes no id. A slice's parts that the memo lacks are merged together, one merge of every part
+at a time, in numpy; very long ones and those with characters outside the vocabulary go one by one.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ SPACE = "▁"
 #: Piece types in the model file.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 _MEMO = 250_000
+#: Longest part, in characters, that is merged together with others; parts merged at once; the rank of no merge.
+_TOGETHER, _ROWS, _NEVER = 32, 8192, np.int32(2**31 - 1)
 
 
 class CharacterMap:
@@ -98,8 +101,28 @@ class PieceCodec:
             elif kind == BYTE:
                 self.surface[i] = bytes([int(model.pieces[i].piece[3:5], 16)])
         self.plain = np.array([k != BYTE for k in kinds])
+        self.pool = pa.array(self.surface, pa.binary())
+        # characters that an id stands for; a byte id stands for its character if it is the first byte
+        self.steps = np.array([(s & 0xC0 != 0x80) if k == BYTE else 1 if k == UNKNOWN else 0 if k == CONTROL else len(p.piece) for p, k, s in zip(model.pieces, kinds, (b[0] if b else 0 for b in self.surface))], np.int64)
+        self._number_symbols()
         self.memo: dict[str, bytes] = {}
 
+    def _number_symbols(self) -> None:
+        """Numbers for all symbols that merging can meet (0: a character of no piece) and the table of merges, sorted by pair."""
+        names = sorted({c for s in self.scores for c in s} | set(self.scores))
+        number = {s: i + 1 for i, s in enumerate(names)}
+        self.count = len(names) + 1
+        self.id_of = np.array([-1, *(self.ids.get(s, -1) for s in names)], np.int32)
+        self.symbol_of = np.zeros(0x110000, np.int32)
+        for s in names:
+            if len(s) == 1:
+                self.symbol_of[ord(s)] = number[s]
+        # pieces of one score have one rank
+        rank = {score: i for i, score in enumerate(sorted(set(self.scores.values()), reverse=True))}
+        found = [(number[s[:i]] * self.count + number[s[i:]], rank[self.scores[s]], number[s]) for s in self.scores for i in range(1, len(s)) if s[:i] in number and s[i:] in number]
+        found.sort()
+        self.pairs, self.ranks, self.made = (np.array(x, kind) for x, kind in zip(zip(*found or [(0, _NEVER, 0)]), (np.int64, np.int32, np.int32)))
+
     # normalisation ------------------------------------------------------------------------------------------------
 
     def normalise(self, text: str) -> tuple[str, list[tuple[int, int]]]:
@@ -197,13 +220,53 @@ class PieceCodec:
         return [self.unk]
 
     def _segment_ids(self, segment: str) -> bytes:
-        ids = [i for piece in self._pieces(segment) for i in self._ids(piece)]
-        if len(self.memo) >= _MEMO:
-            self.memo.clear()
-        packed = np.array(ids, np.int32).tobytes()
-        if len(segment) <= 64:
-            self.memo[segment] = packed
-        return packed
+        return np.array([i for piece in self._pieces(segment) for i in self._ids(piece)], np.int32).tobytes()
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks of the merges of two symbols, and what they make."""
+        pair = left.astype(np.int64) * self.count + right
+        at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == pair, self.ranks[at], _NEVER), self.made[at]
+
+    def _merge_together(self, segments: list[str], size: int) -> None:
+        """Merge segments of at most ``size`` characters and put their ids into the memo."""
+        n, wide = len(segments), size + 2
+        lengths = np.fromiter(map(len, segments), np.int64, n)
+        real = np.zeros((n, wide), bool)
+        real[:, 1:-1] = np.arange(size) < lengths[:, None]
+        symbols = np.zeros((n, wide), np.int32)
+        symbols[real] = self.symbol_of[np.frombuffer("".join(segments).encode("utf-32-le"), np.uint32)]
+        rank, made = np.full((n, wide), _NEVER), np.zeros((n, wide), np.int32)
+        rank[:, 1:-1], made[:, 1:-1] = self._rank(symbols[:, 1:-1], symbols[:, 2:])
+        flat, order, alive, whole = symbols.reshape(-1), rank.reshape(-1), real.reshape(-1), made.reshape(-1)
+        after, before = np.arange(1, n * wide + 1), np.arange(-1, n * wide - 1)
+        rows = np.arange(n)
+        while len(rows):
+            at = rows * wide + rank[rows].argmin(axis=1)
+            more = order[at] != _NEVER
+            rows, at = rows[more], at[more]
+            gone = after[at]
+            flat[at], alive[gone], order[gone] = whole[at], False, _NEVER
+            right, left = after[gone], before[at]
+            after[at], before[right] = right, at
+            changed = np.concatenate([at, left])
+            order[changed], whole[changed] = self._rank(flat[changed], flat[np.concatenate([right, at])])
+        ids = self.id_of[flat[alive]]
+        ends = np.cumsum(real.sum(axis=1))
+        odd = np.zeros(n, bool)
+        odd[np.searchsorted(ends, np.flatnonzero(ids < 0), side="right")] = True
+        packed, stop = ids.tobytes(), (4 * ends).tolist()
+        for segment, a, b, slow in zip(segments, [0, *stop], stop, odd.tolist()):
+            self.memo[segment] = self._segment_ids(segment) if slow else packed[a:b]
+
+    def _learn(self, wanted: set[str]) -> None:
+        """Put all wanted segments of moderate length into the memo."""
+        if len(self.memo) + len(wanted) > _MEMO:
+            self.memo = {s: p for s, p in self.memo.items() if s in wanted}
+        new = sorted(wanted - self.memo.keys(), key=len)
+        for start in range(0, len(new), _ROWS):
+            part = new[start : start + _ROWS]
+            self._merge_together(part, len(part[-1]))
 
     def _segments(self, normal: str) -> list[str]:
         if not self.no_cross:
@@ -212,41 +275,62 @@ class PieceCodec:
             return [SPACE + w for w in normal[1:].split(SPACE)]
         return re.findall(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", normal)
 
-    def encode_packed(self, text: str) -> bytes:
-        """Ids as packed 32-bit integers, without an end id."""
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """By text, ids as packed 32-bit integers, without an end id."""
+        cut = [self._segments(self._normal_text(t)) for t in texts]
+        self._learn({s for segments in cut for s in segments if len(s) <= _TOGETHER})
         memo = self.memo
-        return b"".join([memo.get(s) or self._segment_ids(s) for s in self._segments(self._normal_text(text))])
+        return [b"".join([memo.get(s) or self._segment_ids(s) for s in segments]) for segments in cut]
 
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(self.encode_packed(text), np.int32).tolist()
+        return np.frombuffer(self.encode_many([text])[0], np.int32).tolist()
+
+    def source(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """First byte and end of the source of each normalised character."""
+        if self.map or self.squeeze:
+            spans = np.array(self.normalise(text)[1], np.int32).reshape(-1, 2)
+            return spans[:, 0], spans[:, 1]
+        data = np.frombuffer(text.encode(), np.uint8)
+        edge = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data)).astype(np.int32)
+        if self.dummy and text:
+            return np.append(edge[:1], edge[:-1]), edge
+        return edge[:-1], edge[1:]
+
+    def spans(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Byte spans of the source for the text's ids; all byte ids of one character share its span."""
+        begins, ends = self.source(text)
+        step = self.steps[ids]
+        stop = np.cumsum(step)
+        return begins[stop - np.maximum(step, 1)], ends[stop - 1]
 
     def encode_with_spans(self, text: str) -> tuple[list[int], list[tuple[int, int]]]:
-        """Ids and, for each, the byte span of the source; all byte ids of one character share its span."""
-        normal, source = self.normalise(text)
-        ids, spans, at = [], [], 0
-        for segment in self._segments(normal):
-            for piece in self._pieces(segment):
-                span = (source[at][0], source[at + len(piece) - 1][1])
-                own = self._ids(piece)
-                ids += own
-                spans += [span] * len(own)
-                at += len(piece)
-        return ids, spans
+        """Ids and, for each, the byte span of the source."""
+        ids = np.frombuffer(self.encode_many([text])[0], np.int32)
+        begins, ends = self.spans(text, ids)
+        return ids.tolist(), list(zip(begins.tolist(), ends.tolist()))
 
     # decoding -----------------------------------------------------------------------------------------------------
 
     def decode(self, ids: list[int]) -> str:
-        surface = self.surface
-        first = next((i for i in ids if surface[i]), None)
-        data = b"".join([surface[i] for i in ids])
-        try:
-            text = data.decode()
-        except UnicodeDecodeError:
-            text = self._decode_broken(ids)
-        strip = (self.dummy or self.squeeze) and first is not None and self.kinds[first] not in (BYTE, UNKNOWN)
-        if strip and self.squeeze:
-            return text.lstrip(" ")
-        return text[1:] if strip and text[:1] == " " else text
+        return self.decode_many(np.array(ids, np.int32), np.array([0, len(ids)]))[0]
+
+    def decode_many(self, ids: np.ndarray, first: np.ndarray) -> list[str]:
+        """Texts of several rows' ids; row i has ids ``first[i]`` to ``first[i + 1]``."""
+        whole = self.pool.take(pa.array(ids))
+        edge = np.frombuffer(whole.buffers()[1], np.int32)[: len(ids) + 1] if len(ids) else np.zeros(1, np.int32)
+        data = memoryview(whole.buffers()[2] or b"")
+        filled = np.append(np.flatnonzero(np.diff(edge)), len(ids))
+        leads = filled[np.searchsorted(filled, first[:-1])]
+        out = []
+        for a, b, lead in zip(first[:-1].tolist(), first[1:].tolist(), leads.tolist()):
+            try:
+                text = str(data[edge[a] : edge[b]], "utf-8")
+            except UnicodeDecodeError:
+                text = self._decode_broken(ids[a:b].tolist())
+            if (self.dummy or self.squeeze) and lead < b and self.kinds[ids[lead]] not in (BYTE, UNKNOWN):
+                text = text.lstrip(" ") if self.squeeze else text[text[:1] == " " :]
+            out.append(text)
+        return out
 
     def _decode_broken(self, ids: list[int]) -> str:
         """Bytes that form no character become one replacement character each."""
@@ -296,19 +380,17 @@ def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_file)
-        end = [c.eos] if add_eos else []
-        tail = np.array(end, np.int32).tobytes()
+        tail = np.array([c.eos] if add_eos else [], np.int32)
         for batch in slices(batches):
             texts = batch.column(1).to_pylist()
+            packed = c.encode_many(texts)
+            offsets = pa.array(np.concatenate([[0], np.cumsum([len(p) // 4 + len(tail) for p in packed])]).astype(np.int32))
+            values = [b"".join([p + tail.tobytes() for p in packed])]
             if with_spans:
-                rows = [c.encode_with_spans(t) for t in texts]
-                ids = [r[0] + end for r in rows]
-                at = [r[1] + [(len(t.encode()),) * 2] * len(end) for r, t in zip(rows, texts)]
-                columns = [pa.array(ids, pa.list_(pa.int32())), pa.array([[a for a, _ in s] for s in at], pa.list_(pa.int32())), pa.array([[b for _, b in s] for s in at], pa.list_(pa.int32()))]
-            else:
-                packed = [c.encode_packed(t) + tail for t in texts]
-                offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype(np.int32)
-                columns = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), np.int32)))]
+                rows = [c.spans(t, np.frombuffer(p, np.int32)) for t, p in zip(texts, packed)]
+                last = [np.full(len(tail), len(t.encode()), np.int32) for t in texts]
+                values += [b"".join([r[side].tobytes() + x.tobytes() for r, x in zip(rows, last)]) for side in (0, 1)]
+            columns = [pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(v, np.int32))) for v in values]
             names = ["id", "ids", "begins", "ends"][: 1 + len(columns)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=names)
 
@@ -325,8 +407,9 @@ def decode_documents(encoded: DataFrame, model_file: str, id_col: str = "doc_id"
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                column = part.column(part.num_columns - 1)
-                texts = [c.decode(ids or []) for ids in column.to_pylist()]
+                lists = part.column(part.num_columns - 1)
+                first = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+                texts = c.decode_many(lists.flatten().to_numpy(zero_copy_only=False), first)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string())], names=[*part.schema.names[:-1], "text"])
 
     kinds = {f.name: f.dataType.simpleString() for f in encoded.schema.fields}

@@ -204,6 +204,37 @@ def test_lm_on_odd_rows(spark):
     assert {r["log_prob"] for r in lm_scoring.score_lm(df.where("doc_id < 4"), lm_scoring.train_lm(none)).collect()} == {0.0}
 
 
+def test_lm_counts_tell_words_outside_the_vocabulary_apart(spark):
+    texts = ["often " * 8, "often " * 8, "rare", *["top"] * 40]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = lm_scoring.train_lm(df, lm_scoring.LmParams(vocabulary=1))
+    asked = spark.createDataFrame([(1, "x often y"), (2, "x rare y"), (3, "x unseen y"), (3, "x unseen y")], "doc_id long, text string")
+    got = {r["doc_id"]: r["log_prob"] for r in lm_scoring.score_lm(asked, model).collect()}
+    assert abs(got[1] - got[2] - np.log(16)) < 1e-6 and got[2] == got[3] and lm_scoring.score_lm(asked, model).count() == 4
+
+
+def test_lm_predicts_words_of_one_class_from_both_sides(spark):
+    texts = ["a b c " * 30 if i % 2 else "a d e " * 30 for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = lm_scoring.train_lm(df, lm_scoring.LmParams(classes=2, epochs=6))
+    assert len(model.bias) == 2
+    good, bad = (np.exp(model.log_probabilities(Words(pa.array([t])))[4]) for t in ("a b c a b c a b c", "a b c a d c a b c"))
+    assert good > 0.9 and bad < 0.05
+    middle = [np.exp(model.log_probabilities(Words(pa.array([f"a b c a {w} c a b c"])))[4]) for w in ("a", "b", "c", "d", "e", "unseen")]
+    assert abs(sum(middle) - 1) < 1e-5
+
+
+def test_lm_trains_on_every_document(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "PART", 4000)
+    texts = ["a b c " * 5] * 1500 + ["d e f " * 5] * 20
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    seen = []
+    for p in (lm_scoring.LmParams(epochs=1), lm_scoring.LmParams(epochs=1, documents=1)):
+        before = np.random.default_rng(p.seed).standard_normal((len(p.places), 8, p.dim)).astype(np.float32) * np.float32(0.1)
+        seen.append((np.abs(lm_scoring.train_lm(df, p).tables - before).max(axis=2) > 1e-6)[:, :6].all())
+    assert seen == [True, False]
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
     clash = docs.withColumn("score", F.lit(1)).withColumn("kept", F.lit(False))

@@ -264,7 +264,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     each has its result; rows that share an id only are ordered by a hash of their texts. Ids are integers; ``window`` is 2 to 40.
     """
     base = keyed(docs, id_col, text_col)
-    marks = repeated_windows(base, window).groupBy("doc", "sub").agg(F.collect_list(F.shiftleft("a", 8) + F.col("more")).alias("packed"))
+    again = base.groupBy("doc", "sub").count().where("count > 1")
+    once = base.dropDuplicates(["doc", "sub"]) if again.take(1) else base  # texts travel only where rows repeat
+    marks = repeated_windows(once, window).groupBy("doc", "sub").agg(F.collect_list(F.shiftleft("a", 8) + F.col("more")).alias("packed"))
     kind = docs.schema[id_col].dataType
     out = base.join(marks, ["doc", "sub"], "left").select("doc", "sub", "text", "packed").mapInArrow(_remove(window), "doc long, n_words long, n_removed long, kept string")
     return out.select(F.when(F.col("doc") != _NULL_ID, F.col("doc")).cast(kind).alias(id_col), "n_words", "n_removed", "kept")

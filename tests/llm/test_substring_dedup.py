@@ -92,3 +92,13 @@ def test_odd_rows(spark):
     assert got == sorted([*plain, next(r for r in plain if r[0] == 3)], key=str)
     assert substring_dedup.remove_repeats(df).schema["doc_id"].dataType.simpleString() == "int"
     assert substring_dedup.remove_repeats(df.where("doc_id > 99")).count() == 0
+
+
+def test_repeated_rows_keep_their_words(spark):
+    long, other = (" ".join(f"{c}{i}" for i in range(60)) for c in "vu")
+    rows = [(3, long), (3, long), (3, long), (None, other), (None, other), (5, "y " + long)]
+    for parts in (1, 4):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        assert collected(substring_dedup.remove_repeats(df)) == sorted([(3, 60, 0, long)] * 3 + [(None, 60, 0, other)] * 2 + [(5, 61, 60, "y")], key=str)
+    clash = spark.createDataFrame([*rows, (3, other), (3, other)], "doc_id long, text string")
+    assert collected(substring_dedup.remove_repeats(clash)) == sorted([(3, 60, 0, long)] * 3 + [(3, 60, 60, "")] * 2 + [(None, 60, 0, other)] * 2 + [(5, 61, 60, "y")], key=str)

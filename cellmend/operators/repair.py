@@ -11,6 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellmend.operators.confidence import best_two, log_margin
 from cellmend.operators.network import CPD_SIZE, Local, cardinalities
 from cellmend.operators.stats import MARKER, domain
 
@@ -69,13 +70,18 @@ def best_candidates(scored: DataFrame, keys: list[str], marker: str = MARKER) ->
     return scored.where(F.col("val") != marker).withColumn("place", F.row_number().over(place)).where("place = 1").drop("place", "pos")
 
 
-def repair_column(rows: DataFrame, train: DataFrame, local: Local, columns: list[str], compensate: bool = True, size: float = CPD_SIZE, marker: str = MARKER) -> DataFrame:
-    """``rows`` with ``val``: what the column is to hold (null where there is no candidate)."""
+def repair_column(rows: DataFrame, train: DataFrame, local: Local, columns: list[str], compensate: bool = True, size: float = CPD_SIZE, marker: str = MARKER, margins: bool = False) -> DataFrame:
+    """``rows`` with ``val``: what the column is to hold (null where there is no candidate); and with ``margin``, if asked for: the log
+    of the highest probability of all candidates over the second."""
     evidence = _evidence(local, columns, compensate)
-    best = best_candidates(score_candidates(rows, train, local, columns, compensate, size, marker), evidence or ["_"], marker).select(*(evidence or ["_"]), "val")
+    keys, more = evidence or ["_"], ["margin"] if margins else []
+    scored = score_candidates(rows, train, local, columns, compensate, size, marker)
+    best = best_candidates(scored, keys, marker).select(*keys, "val")
+    if margins:
+        best = log_margin(best_two(scored, keys)).select(*keys, "margin").join(best, keys, "left")
     if not evidence:
         return rows.withColumn("_", F.lit("")).join(best, "_", "left").drop("_")
-    return rows.join(best, evidence, "left").select(*rows.columns, "val")
+    return rows.join(best, evidence, "left").select(*rows.columns, "val", *more)
 
 
 def repair(rows: DataFrame, networks: dict[str, Local], columns: list[str], targets: list[str] | None = None, train: DataFrame | None = None, compensate: bool = True, size: float = CPD_SIZE, marker: str = MARKER) -> tuple[DataFrame, DataFrame]:
@@ -83,14 +89,27 @@ def repair(rows: DataFrame, networks: dict[str, Local], columns: list[str], targ
 
     Columns without a network or without neighbours are skipped; an empty string is never written.
     """
+    return _repair(rows, networks, columns, targets, train, compensate, size, marker, False)[:2]
+
+
+def repair_with_margins(rows: DataFrame, networks: dict[str, Local], columns: list[str], targets: list[str] | None = None, train: DataFrame | None = None, compensate: bool = True, size: float = CPD_SIZE, marker: str = MARKER) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As ``repair``, and ``(row_id, attr, margin)`` of every cell that was evaluated."""
+    return _repair(rows, networks, columns, targets, train, compensate, size, marker, True)
+
+
+def _repair(rows: DataFrame, networks: dict[str, Local], columns: list[str], targets: list[str] | None, train: DataFrame | None, compensate: bool, size: float, marker: str, keep: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     train = rows if train is None else train
     out = rows
+    margins = rows.sparkSession.createDataFrame([], "row_id long, attr string, margin double")
     for c in targets or columns:
         local = networks.get(c)
         if local and (local.parents or local.children):
-            fixed = repair_column(out, train, local, columns, compensate, size, marker)
+            fixed = repair_column(out, train, local, columns, compensate, size, marker, keep)
+            if keep:
+                fixed = fixed.persist()
+                margins = margins.unionByName(fixed.where("margin is not null").select("row_id", F.lit(c).alias("attr"), "margin"))
             out = fixed.withColumn(c, F.when(F.col("val").isNotNull() & (F.col("val") != ""), F.col("val")).otherwise(F.col(c))).select(*rows.columns)
-    return out, changed_cells(rows, out, columns)
+    return out, changed_cells(rows, out, columns), margins
 
 
 def changed_cells(before: DataFrame, after: DataFrame, columns: list[str]) -> DataFrame:

@@ -116,11 +116,11 @@ def clean(dirty: DataFrame, columns: list[str], supplied: DataFrame | None = Non
     skip = set(consistency.repaired_by_groups(found.groups))
     targets = [c for c in columns if c in networks and c not in skip]
     rows = voted.where(F.col("row_id") < s.first_rows) if s.first_rows > 0 else voted
-    repaired, changed = repair.repair(rows, networks, columns, targets, voted, s.use_compensation, s.cpd_size, s.marker)
+    how = (rows, networks, columns, targets, voted, s.use_compensation, s.cpd_size, s.marker)
+    repaired, changed, *margins = repair.repair(*how) if provider is None else repair.repair_with_margins(*how)
     out = Result(found, edges, repaired)
     if provider is not None:
-        margins = dirty.sparkSession.createDataFrame([], "row_id long, attr string, margin double")
-        scores = confidence.confidence_scores(repaired, stats.cooccurrence(repaired, columns), found.edges, columns, margins).join(changed.select("row_id", "attr"), ["row_id", "attr"], "left_semi")
+        scores = confidence.confidence_scores(repaired, stats.cooccurrence(repaired, columns), found.edges, columns, margins[0]).join(changed.select("row_id", "attr"), ["row_id", "attr"], "left_semi")
         k = confidence.budget(rows.count() * len(columns), s.check_ratio, s.check_most, changed.count())
         out.repaired, out.checked = check_cells(repaired, confidence.least_confident(scores, columns, k), found.edges, columns, provider)
     if truth is not None:

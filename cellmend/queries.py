@@ -162,7 +162,7 @@ QUERIES = {
     "head_n": lambda s, d: geo(s, d).where("row_id < 100"),
     "error_ratio_sweep": _sweep,
     "llm_stub_clean": lambda s, d: cleaning.check_cells(dirty(s, d).select("row_id", *SMALL), dirty(s, d).where("row_id % 20 = 3").select("row_id", F.lit("r_name").alias("attr")), EDGES, SMALL)[1].drop("error"),
-    "pipeline_clean": lambda s, d: cleaning.clean(dirty(s, d), GEO, supplied(s), geo(s, d)).metrics,
+    "pipeline_clean": lambda s, d: cleaning.clean(dirty(s, d), GEO, supplied(s), geo(s, d), provider=cleaning.keep_all).metrics,
 }
 
 # SQL --------------------------------------------------------------------------------------------------------------------

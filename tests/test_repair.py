@@ -2,6 +2,7 @@
 
 import json
 import math
+from collections import Counter
 import random
 
 import pytest
@@ -233,6 +234,28 @@ def test_checked_cells(spark, worked):
     assert {r["error"] for r in log.collect()} == {"down"} and fixed.exceptAll(worked).count() == 0
 
 
+def test_cleaning_hands_every_margin_to_the_confidence(spark, monkeypatch):
+    rows = [(i, f"k{i % 4}", f"v{i % 4}" if i % 17 != 3 else "v9") for i in range(40)]
+    dirty = spark.createDataFrame(rows, "row_id long, K string, V string")
+    given, plain = [], confidence.confidence_scores
+
+    def spy(*args):
+        given.append(args[-1])
+        return plain(*args)
+
+    monkeypatch.setattr(confidence, "confidence_scores", spy)
+    settings = cleaning.Settings(method="edges", edges=(("K", "V"),), use_search=False, use_weak_filter=False, check_ratio=0.05)
+    result = cleaning.clean(dirty, ["K", "V"], settings=settings, provider=cleaning.keep_all)
+    asked = {(r["row_id"], r["attr"]) for r in result.checked.collect()}
+    got = {(r["row_id"], r["attr"]): r["margin"] for r in given[0].collect()}
+    assert len(got) == 80 and asked
+    n = Counter((k, v) for _, k, v in rows)
+    for i, k, _ in rows:
+        both = sorted((n[k, v] for v in {v for _, _, v in rows}), reverse=True)[:2]
+        share = network.CPD_SIZE / 20  # four keys and five values
+        assert abs(got[i, "V"] - math.log((both[0] + share) / (both[1] + share))) < 1e-9
+
+
 def test_cleaning_and_stream(spark, tmp_path):
     rows = [(i, f"k{i % 4}", f"v{i % 4}" if i % 17 != 3 else "v9", "s" if i % 4 < 2 else "t") for i in range(80)]
     dirty = spark.createDataFrame(rows, "row_id long, K string, V string, S string")

@@ -11,6 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellmend.llm.common import stored
 from cellmend.operators.confidence import best_two, log_margin
 from cellmend.operators.network import CPD_SIZE, Local, cardinalities
 from cellmend.operators.stats import MARKER, domain
@@ -106,7 +107,7 @@ def _repair(rows: DataFrame, networks: dict[str, Local], columns: list[str], tar
         if local and (local.parents or local.children):
             fixed = repair_column(out, train, local, columns, compensate, size, marker, keep)
             if keep:
-                fixed = fixed.persist()
+                fixed = stored(fixed)  # read for the next column, the margins and the checks
                 margins = margins.unionByName(fixed.where("margin is not null").select("row_id", F.lit(c).alias("attr"), "margin"))
             out = fixed.withColumn(c, F.when(F.col("val").isNotNull() & (F.col("val") != ""), F.col("val")).otherwise(F.col(c))).select(*rows.columns)
     return out, changed_cells(rows, out, columns), margins

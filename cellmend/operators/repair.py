@@ -11,10 +11,10 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellmend.llm.common import stored
 from cellmend.operators.confidence import best_two, log_margin
 from cellmend.operators.network import CPD_SIZE, Local, cardinalities
 from cellmend.operators.stats import MARKER, domain
+from cellmend.sources.scratch import stored
 
 
 def _evidence(local: Local, columns: list[str], compensate: bool) -> list[str]:

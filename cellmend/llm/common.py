@@ -10,15 +10,13 @@ Conventions of every operator in this subpackage:
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one slice of a batch may hold, unless a single text is longer.
@@ -39,25 +37,6 @@ def crc_fold(id_col: str = "doc_id", folds: int = 5) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % F.lit(folds), F.lit(0))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder under the one that the cluster names in ``spark.checkpoint.dir`` (a local one where none is named)."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="cellmend-")
-    return f"{top.rstrip('/')}/cellmend-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Write a Parquet table into the shared folder and read it back: cuts lineage, survives lost executors, has a known size.
-
-    Shuffle files of the stages that the table replaces go as soon as the driver's garbage collector has seen them.
-    """
-    spark, path = df.sparkSession, shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return out
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -90,48 +69,43 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _random(seed: int, n: int) -> np.ndarray:
-    return np.random.default_rng(seed).integers(0, 1 << 64, n, dtype=np.uint64, endpoint=False)
-
-
-class Powers:
-    """Powers of an odd number and of its inverse, modulo 2^64, as tables that grow when needed."""
-
-    def __init__(self, seed: int):
-        self.base = int(_random(seed, 1)[0]) | 1
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def upto(self, n: int) -> Powers:
-        if len(self.up) < n:
-            n = 1 << int(n - 1).bit_length()
-            table = [np.full(n, b, np.uint64) for b in (self.base, pow(self.base, -1, 1 << 64))]
-            for t in table:
-                t[0] = 1
-            self.up, self.down = (np.multiply.accumulate(t) for t in table)
-        return self
-
-
-class Rolling:
-    """Hashes of any spans of a sequence of 64-bit values, from prefix sums."""
-
-    _powers: dict[int, Powers] = {}
-
-    def __init__(self, values: np.ndarray, seed: int):
-        p = self._powers.setdefault(seed, Powers(seed)).upto(len(values) + 1)
-        self.down = p.down
-        self.sums = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values * p.up[: len(values)], out=self.sums[1:])
-
-    def spans(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        """Hash of values[start:stop] for each pair."""
-        return mix64((self.sums[stop] - self.sums[start]) * self.down[start] + (stop - start).astype(np.uint64) * _GOLD)
-
-
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LETTER = _random(101, 256)
-_LOWER = _LETTER.copy()
-_LOWER[0x41:0x5B] = _LETTER[0x61:0x7B]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 0x20
+#: The bytes of an eight-byte block that belong to a span of which so many are left.
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Spans of more bytes are hashed one at a time.
+_LONG = 64
+
+
+def span_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of data[begin:end] (bytes): blocks of eight bytes, each mixed with the hash so far; of long spans BLAKE2b."""
+    size = ends - begins
+    out = mix64(size.astype(np.uint64))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    blocks = np.ndarray((len(data) + 1,), np.uint64, buffer=padded, strides=(1,))  # the block that starts at each byte
+    todo, at = np.flatnonzero(size <= _LONG), 0
+    while len(todo):
+        left = size[todo] - at
+        out[todo] = mix64(out[todo] ^ (blocks[begins[todo] + at] & _MASK[np.minimum(left, 8)]))
+        todo, at = todo[left > 8], at + 8
+    for i in np.flatnonzero(size > _LONG):
+        out[i] = int.from_bytes(hashlib.blake2b(data[begins[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def runs(values: np.ndarray, width: int, key: int) -> np.ndarray:
+    """The hash of values[i : i + width] for each i from which so many values follow, from those of runs of 1, 2, 4, ... values."""
+    odd = np.uint64((2 * key + 1) * int(_GOLD) % (1 << 64))
+    power, size, out, done = mix64(values ^ odd), 1, None, 0
+    while True:
+        if width & size:
+            out = power if out is None else mix64(out[: max(0, len(power) - done)] * odd + power[done:])
+            done += size
+        if 2 * size > width:
+            return out[: max(0, len(values) - width + 1)]
+        power, size = mix64(power[: max(0, len(power) - size)] * odd + power[size:]), 2 * size
 
 
 class Words:
@@ -160,8 +134,7 @@ class Words:
         self.ends = stops[np.searchsorted(edge, self.begins) + 1]
         self.first = np.searchsorted(self.begins, at)
         self.doc = np.repeat(np.arange(len(column)), np.diff(self.first))
-        letters = Rolling((_LOWER if lower else _LETTER)[self.data], 102)
-        self.hashes = letters.spans(self.begins, self.ends)
+        self.hashes = span_hashes(_LOWER[self.data] if lower else self.data, self.begins, self.ends)
 
     def __len__(self) -> int:
         return len(self.hashes)

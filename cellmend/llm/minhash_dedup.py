@@ -10,12 +10,13 @@ whose component is not their hub's are then compared with the band's other membe
 change nothing. How much of either set lies inside the hub's, and a bit map of each set, bound what both can share, which rules out
 most of those pairs exactly. So a band of n copies costs n comparisons, and no pair of different components is left out.
 
-A comparison estimates the similarity from the registers, corrected for registers that agree by chance, drops what is far below
-the threshold, and confirms the rest on the full sets.
+A comparison estimates the similarity from the registers, corrected for registers that agree by chance, rules out what is far below
+the threshold, and confirms the rest on the full sets. Texts are read twice: for the registers, and (members and hubs only) for the sets.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellmend.llm.common import Rolling, Words, mix64, signed, slices, stored, text_of
+from cellmend.llm.common import Words, mix64, runs, signed, slices, text_of
 from cellmend.llm.components import connected_components
+from cellmend.sources.scratch import Scratch
 
 WIDTH = 5
 #: A link needs PERCENT * union <= 100 * intersection.
@@ -40,6 +42,8 @@ LONGS = 16
 #: Standard errors that an estimate may lie below the threshold before the pair is dropped.
 MARGIN = 6.0
 SLICE = 1_500_000
+#: Key of the shingle hashes; shorter sequences have the keys that follow.
+_KEY = 800
 _SEEDS = np.random.default_rng(801).integers(0, 1 << 63, 3, dtype=np.uint64)
 _TIMES = np.random.default_rng(802).integers(0, 1 << 63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _RANK = np.argsort(np.random.default_rng(803).random((BUCKETS, BUCKETS)), axis=1).astype(np.uint16)  # by empty bucket
@@ -55,7 +59,13 @@ def shingle_sets(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     n = np.where(counts >= width, counts - width + 1, (counts > 0).astype(np.int64))
     first = np.concatenate([[0], np.cumsum(n)])
     start = np.repeat(words.first[:-1], n) + np.arange(first[-1]) - np.repeat(first[:-1], n)
-    hashes = Rolling(words.hashes, 804).spans(start, start + np.repeat(np.minimum(counts, width), n))
+    hashes = np.empty(len(start), np.uint64)
+    full = np.repeat(counts >= width, n)
+    hashes[full] = runs(words.hashes, width, _KEY)[start[full]]
+    for k in range(1, width):
+        rows = np.flatnonzero(counts == k)
+        if len(rows):
+            hashes[first[rows]] = runs(words.hashes[words.first[rows][:, None] + np.arange(k)].ravel(), k, _KEY + k)[::k]
     for i in np.flatnonzero(n > 1):
         hashes[first[i] : first[i + 1]].sort()
     new = np.ones(len(hashes), bool)
@@ -99,30 +109,30 @@ def bit_maps(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.packbits(flags, axis=1).view(np.int64)
 
 
-def estimate(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> float:
-    """Similarity from two rows of registers, less the agreements expected by chance."""
+def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """Similarity, by row, from two tables of registers, less the agreements expected by chance; 1 for two empty rows."""
     used = (a > 0) | (b > 0)
-    total = int(used.sum())
-    if not total:
-        return 1.0
-    agree = int(((a == b) & used).sum())
+    total = np.maximum(used.sum(axis=1), 1)
+    agree = np.where(used.any(axis=1), ((a == b) & used).sum(axis=1), 1)
     # two different least values of a bucket agree if they have the same exponent (one in three) and mantissa
-    chance = total / 3 / (1 << MANTISSA) * min(n_a, n_b) / max(n_a, n_b, 1)
-    return max(0.0, (agree - chance) / (total - chance))
+    chance = total / 3 / (1 << MANTISSA) * np.minimum(n_a, n_b) / np.maximum(np.maximum(n_a, n_b), 1)
+    return np.maximum(0.0, (agree - chance) / (total - chance))
+
+
+def _marks(hashes: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """Two hashes of each row's whole set."""
+    sums = (np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(hashes ^ seed))]) for seed in _SEEDS[:2])
+    return [mix64(s[first[1:]] - s[first[:-1]]) for s in sums]
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, limit=SLICE):
-        hashes, first = shingle_sets(Words(batch.column(1), lower=True), WIDTH)
-        n = np.diff(first)
-        marks = []
-        for seed in _SEEDS[:2]:
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(hashes ^ seed))])
-            marks.append(mix64(sums[first[1:]] - sums[first[:-1]]))
+        hashes, first = shingle_sets(Words(batch.column(2), lower=True), WIDTH)
+        n, marks = np.diff(first), _marks(hashes, first)
         # only the slice's smallest id of each class needs bands
-        ids = batch.column(0)
+        ids, copy = batch.column(0), batch.column(1)
         known = ids.is_valid().to_numpy(zero_copy_only=False)
-        order = np.lexsort((ids.fill_null(0).to_numpy(), ~known, marks[1], marks[0]))
+        order = np.lexsort((copy.to_numpy(), ids.fill_null(0).to_numpy(), ~known, marks[1], marks[0]))
         leads = np.ones(len(order), bool)
         leads[1:] = (marks[0][order][1:] != marks[0][order][:-1]) | (marks[1][order][1:] != marks[1][order][:-1])
         need = np.zeros(len(order), bool)
@@ -131,7 +141,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = band_keys(registers(hashes, first)[need]).ravel()
         bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(need * BANDS)]).astype(np.int32)), signed(keys))
         bits = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(need * LONGS)]).astype(np.int32)), pa.array(bit_maps(hashes, first)[need].ravel()))
-        yield pa.RecordBatch.from_arrays([ids, pa.array(n), *map(signed, marks), bands, bits], names=["doc", "n", "c1", "c2", "bands", "bits"])
+        yield pa.RecordBatch.from_arrays([ids, copy, pa.array(n), *map(signed, marks), bands, bits], names=["doc", "copy", "n", "c1", "c2", "bands", "bits"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,97 +149,112 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, first = shingle_sets(Words(batch.column(1), lower=True), WIDTH)
         raw = hashes.tobytes()
         sets = pa.array([raw[8 * a : 8 * b] for a, b in zip(first[:-1].tolist(), first[1:].tolist())], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0), sets, batch.column(2), batch.column(3)], names=["doc", "items", "hubs", "is_hub"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), sets, batch.column(2), batch.column(3)], names=["node", "items", "hubs", "is_hub"])
 
 
-def _compare(count: bool):
-    """``shared``: common shingles; -1 where the registers rule a link out and no count is asked for."""
+def _flat(sets: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a column of sets, and each row's first position."""
+    raw = sets.to_pylist()
+    return np.frombuffer(b"".join(raw), np.uint64), np.concatenate([[0], np.cumsum([len(x) // 8 for x in raw])]).astype(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        error = MARGIN * (PERCENT / 100 * (1 - PERCENT / 100) / BUCKETS) ** 0.5
-        for whole in batches:
-            for batch in slices(iter([whole]), column="items_b", limit=8_000_000):
-                shared, union = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
-                last, a, reg_a = None, None, None
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``shared``: common shingles; ``linked``: neither the estimate nor the full sets rule a link out."""
+    error = MARGIN * (PERCENT / 100 * (1 - PERCENT / 100) / BUCKETS) ** 0.5
+    for whole in batches:
+        for half in slices(iter([whole]), column="items_a", limit=8_000_000):
+            for batch in slices(iter([half]), column="items_b", limit=8_000_000):
+                (a, at_a), (b, at_b) = _flat(batch.column(2)), _flat(batch.column(3))
+                n_a, n_b = np.diff(at_a), np.diff(at_b)
+                likely = estimate(registers(a, at_a), registers(b, at_b), n_a, n_b) >= PERCENT / 100 - error * np.sqrt(np.maximum(1, BUCKETS / np.maximum(np.minimum(n_a, n_b), 1)))
+                shared = np.zeros(batch.num_rows, np.int64)
                 for i in range(batch.num_rows):
-                    raw = batch.column(2)[i].as_py()
-                    if raw != last:
-                        last, a = raw, np.frombuffer(raw, np.uint64)
-                        reg_a = registers(a, np.array([0, len(a)]))[0]
-                    b = np.frombuffer(batch.column(3)[i].as_py(), np.uint64)
-                    union[i] = len(a) + len(b)
-                    if not count and estimate(reg_a, registers(b, np.array([0, len(b)]))[0], len(a), len(b)) < PERCENT / 100 - error * max(1.0, BUCKETS / len(a)) ** 0.5:
-                        shared[i] = -1
-                        continue
-                    both = np.concatenate([a, b])
+                    both = np.concatenate([a[at_a[i] : at_a[i + 1]], b[at_b[i] : at_b[i + 1]]])
                     both.sort(kind="stable")
                     shared[i] = int((both[1:] == both[:-1]).sum())
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared), pa.array(100 * shared >= PERCENT * (union - shared))], names=["a", "b", "shared", "linked"])
-
-    return run
+                linked = likely & (100 * shared >= PERCENT * (n_a + n_b - shared))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared), pa.array(linked)], names=["a", "b", "shared", "linked"])
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, count: bool) -> DataFrame:
-    """``pairs(a, b)`` of ids with ``shared`` and ``linked``, by their full sets; ``count``: count what unlinked pairs share, too."""
-    wanted = pairs.select(F.col("b").alias("doc"), F.col("a").alias("hub")).unionByName(pairs.select(F.col("a").alias("doc"), F.lit(None).cast("long").alias("hub")))
-    wanted = wanted.groupBy("doc").agg(F.collect_set("hub").alias("hubs"), F.max(F.col("hub").isNull()).alias("is_hub"))
-    sets = stored(docs.join(wanted, "doc").select("doc", "text", "hubs", "is_hub").mapInArrow(_sets, "doc long, items binary, hubs array<long>, is_hub boolean"))
-    left = sets.select(F.explode("hubs").alias("a"), F.col("doc").alias("b"), F.col("items").alias("items_b"))
-    right = sets.where("is_hub").select(F.col("doc").alias("a"), F.col("items").alias("items_a"))
-    return left.join(right, "a").select("a", "b", "items_a", "items_b").mapInArrow(_compare(count), "a long, b long, shared long, linked boolean")
+def _compared(pairs: DataFrame, kind: str) -> DataFrame:
+    return pairs.select("a", "b", "items_a", "items_b").mapInArrow(_compare, f"a {kind}, b {kind}, shared long, linked boolean")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, n_shingles, component_id, kept)`` for every row.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_keys: bool = False) -> DataFrame:
+    """``(id, n_shingles, component_id, kept[, copy, c1])`` for every row.
 
     A-Z count as a-z; words are runs of characters other than ASCII white space. Linked rows have similarity 0.75 or more; a row
-    without words is linked with nothing and is its own component, as is a row without id (its component is null if no row with an id
-    has the same set). Repeated rows have equal results and all stay. Ids are integers.
+    without words (a null, empty or blank text) is linked with nothing and is its own component, as is a row without id (its component is
+    null if no row with an id has the same set). Repeated rows have equal results and all stay; rows that share an id but not a set are
+    compared each on its own. An empty table gives an empty result; columns other than the two named take no part. Ids are integers.
+
+    ``row_keys``: also a hash of the text (``copy``, xxhash64) and one of the set (``c1``), by which rows of one id can be told apart.
     """
-    kind = docs.schema[id_col].dataType
-    base = docs.select(F.col(id_col).cast("long").alias("doc"), text_of(text_col).alias("text"))
-    digest = stored(base.mapInArrow(_digest, "doc long, n long, c1 long, c2 long, bands array<long>, bits array<long>"))
-    classes = stored(digest.where("n > 0").groupBy("c1", "c2").agg(F.min("doc").alias("rep")).where("rep is not null"))
-    leads = digest.where(F.size("bands") > 0).join(classes, ["c1", "c2"]).where("doc = rep").drop("rep")
-    keys = leads.select(F.explode("bands").alias("band"), "doc", "n")
-    hubs = stored(keys.groupBy("band").agg(F.min("doc").alias("hub"), F.max("doc").alias("top")).where("hub < top").drop("top"))
-    members = stored(keys.join(hubs, "band").where("doc <> hub"))
-
-    texts = base.where("doc is not null")
-    first = members.select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()
-    tried = stored(confirmed(texts, first, True)).dropDuplicates(["a", "b"])  # an id may have rows of several texts
-    members = stored(members.join(tried.select(F.col("a").alias("hub"), F.col("b").alias("doc"), "shared"), ["hub", "doc"]))
+    spark, kind = docs.sparkSession, docs.schema[id_col].dataType
+    scratch = Scratch(spark)
+    base = docs.select(F.col(id_col).cast("long").alias("doc"), text_of(text_col).alias("text")).select("doc", F.xxhash64("text").alias("copy"), "text")
+    digest = scratch.put("digest", base.mapInArrow(_digest, "doc long, copy long, n long, c1 long, c2 long, bands array<long>, bits array<long>"))
+    filled = digest.where("n > 0")
+    by_id = filled.where("doc is not null").groupBy("doc").agg(F.count("*").alias("rows"), (F.min("c1") < F.max("c1")).alias("clash"))
+    odd = by_id.agg(F.max(F.col("rows") > 1).alias("repeats"), F.max("clash").alias("clash")).first()
+    # a document is known by its id, or by its id and text where an id has several sets
+    node = F.struct("doc", "copy") if odd["clash"] else F.col("doc")
+    node_kind = "struct<doc:bigint,copy:bigint>" if odd["clash"] else "bigint"
+    classes = scratch.put("classes", filled.where("doc is not null").groupBy("c1", "c2").agg(F.min(node).alias("rep")))
+    leads = digest.where(F.size("bands") > 0).withColumn("node", node).join(classes, ["c1", "c2"]).where(F.col("node") == F.col("rep"))
+    leads = scratch.put("leads", leads.select("node", "n", "bands", "bits"))
+    keys = leads.select(F.explode("bands").alias("band"), "node")
+    hubs = scratch.put("hubs", keys.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").drop("top"))
+    members = scratch.put("members", keys.join(hubs, "band").where(F.col("node") != F.col("hub")))
+
+    # the sets of all members and hubs, made once; what grows with the documents is never broadcast
+    wanted = members.select("node", "hub").unionByName(members.select(F.col("hub").alias("node"), F.lit(None).cast(node_kind).alias("hub")))
+    wanted = wanted.groupBy("node").agg(F.collect_set("hub").alias("hubs"), F.max(F.col("hub").isNull()).alias("is_hub"))  # at most a hub for each band
+    texts = base.where("doc is not null").select(node.alias("node"), "text")
+    texts = texts.dropDuplicates(["node"]) if odd["repeats"] else texts
+    sets = scratch.put("sets", texts.join(wanted.hint("merge"), "node").select("node", "text", "hubs", "is_hub").mapInArrow(_sets, f"node {node_kind}, items binary, hubs array<{node_kind}>, is_hub boolean"))
+    right = sets.where("is_hub").select(F.col("node").alias("a"), F.col("items").alias("items_a"))
+    tried = scratch.put("tried", _compared(sets.select(F.explode("hubs").alias("a"), F.col("node").alias("b"), F.col("items").alias("items_b")).join(right, "a"), node_kind))
     links = tried.where("linked").select("a", "b")
-    maps = digest.where(F.size("bands") > 0).select("doc", "bits").dropDuplicates(["doc"])
+    parts = connected_components(links, scratch)
+    facts = leads.select("node", "n", "bits")
     while True:
-        parts = stored(connected_components(links))
-        pairs = stored(_open_pairs(members, parts, tried, maps))
+        pairs = scratch.put("pairs", _open_pairs(members, parts, tried, facts, scratch))
         if not pairs.take(1):
             break
-        new = stored(confirmed(texts, pairs, False)).dropDuplicates(["a", "b"])
-        tried = stored(tried.unionByName(new))
+        both = pairs.join(sets.select(F.col("node").alias("b"), F.col("items").alias("items_b")), "b").join(sets.select(F.col("node").alias("a"), F.col("items").alias("items_a")), "a")
+        new = scratch.put("tried", _compared(both, node_kind))
+        tried = tried.unionByName(new)
         if not new.where("linked").take(1):
             break
-        links = tried.where("linked").select("a", "b")
+        links = links.unionByName(new.where("linked").select("a", "b"))
+        parts = connected_components(links, scratch)
+    scratch.drop("leads", "hubs", "members", "sets", "tried", "pairs", "open")
 
     named = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("c1", "c2", F.coalesce("component", "rep").alias("component"))
-    out = digest.select("doc", "n", "c1", "c2").join(named, ["c1", "c2"], "left").withColumn("component", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc")))
-    return out.select(F.col("doc").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.col("component").cast(kind).alias("component_id"), F.col("doc").eqNullSafe(F.col("component")).alias("kept"))
+    named = named.withColumn("component", F.col("component.doc")) if odd["clash"] else named
+    columns = ["doc", "copy", "n", "c1", "c2"]
+    out = filled.select(columns).join(named, ["c1", "c2"], "left").unionByName(digest.where("n = 0").select(*columns, F.col("doc").alias("component")))
+    kept = F.col("doc").eqNullSafe(F.col("component"))
+    return out.select(F.col("doc").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.col("component").cast(kind).alias("component_id"), kept.alias("kept"), *["copy", "c1"] * row_keys)
 
 
-def _open_pairs(members: DataFrame, parts: DataFrame, tried: DataFrame, maps: DataFrame) -> DataFrame:
+def _open_pairs(members: DataFrame, parts: DataFrame, tried: DataFrame, facts: DataFrame, scratch: Scratch) -> DataFrame:
     """Untried pairs of a band's members that lie in different components, one of them not in its hub's, and may share enough."""
-    of = members.join(parts.select(F.col("node").alias("doc"), F.col("component").alias("part")), "doc", "left")
+    of = members.join(parts.select("node", F.col("component").alias("part")), "node", "left")
     of = of.join(parts.select(F.col("node").alias("hub"), F.col("component").alias("hub_part")), "hub", "left")
-    of = of.select("band", "doc", "n", "shared", F.coalesce("part", "doc").alias("part"), F.coalesce("hub_part", "hub").alias("hub_part"))
+    of = of.select("band", "node", "hub", F.coalesce("part", "node").alias("part"), F.coalesce("hub_part", "hub").alias("hub_part"))
     open_ = of.where("part <> hub_part").select("band").distinct()
+    of = of.join(open_, "band", "left_semi").join(tried.select(F.col("a").alias("hub"), F.col("b").alias("node"), "shared"), ["hub", "node"]).join(facts.dropDuplicates(["node"]), "node")
     bits = [F.get("bits", F.lit(i)).alias(f"bits_{i}") for i in range(LONGS)]
-    of = stored(of.join(open_, "band", "left_semi").join(maps, "doc").select("*", *bits).drop("bits").withColumn("more", F.col("n") - sum(F.bit_count(f"bits_{i}") for i in range(LONGS))))
-    strays = of.where("part <> hub_part")
-    others = of.drop("hub_part").withColumnsRenamed({c: f"other_{c}" for c in of.columns if c != "band"})
+    # linked sets differ in size by a factor of 4/3 at most, so in their step on a scale of such factors by one at most
+    step = F.floor(F.log("n") / F.lit(math.log(100 / PERCENT) * (1 + 1e-9))).alias("step")
+    of = scratch.put("open", of.select("band", "node", "n", "shared", "part", "hub_part", step, *bits).withColumn("more", F.col("n") - sum(F.bit_count(f"bits_{i}") for i in range(LONGS))))
+    strays = of.where("part <> hub_part").withColumn("step", F.explode(F.array(*[F.col("step") + i for i in (-1, 0, 1)])))
+    others = of.drop("hub_part").withColumnsRenamed({c: f"other_{c}" for c in of.columns if c not in ("band", "step")})
     near = F.least("shared", "other_shared") + F.least(F.col("n") - F.col("shared"), F.col("other_n") - F.col("other_shared"))
     mapped = sum(F.bit_count(F.col(f"bits_{i}").bitwiseAND(F.col(f"other_bits_{i}"))) for i in range(LONGS)) + F.least("more", "other_more")
     enough = (100 + PERCENT) * F.least(near, mapped) >= PERCENT * (F.col("n") + F.col("other_n"))
-    met = strays.join(others, "band").where((F.col("part") != F.col("other_part")) & enough)
-    pairs = met.select(F.least("doc", "other_doc").alias("a"), F.greatest("doc", "other_doc").alias("b")).distinct()
+    met = strays.join(others, ["band", "step"]).where((F.col("part") != F.col("other_part")) & enough)
+    pairs = met.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).distinct()
     return pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")

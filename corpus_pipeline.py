@@ -6,12 +6,13 @@ and works on all of it. A null text is empty; rows without an id pass the near-d
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellmend.llm import minhash_dedup, mixing, pii, quality, sentencepiece_codec
-from cellmend.llm.common import stored
+from cellmend.llm.common import text_of
 from cellmend.llm.queries import PIECE_MODEL, QUALITY_THRESHOLD
+from cellmend.sources.scratch import stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -23,9 +24,36 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the smallest id."""
-    dropped = minhash_dedup.near_duplicates(docs).where("not kept").select("doc_id")
-    return docs.select(*COLUMNS).join(dropped, "doc_id", "left_anti")
+    """One row of each group of near-duplicates: that of the smallest id, of its rows the one whose text has the smallest hash.
+
+    Repeated rows are a group; rows without words belong to none and stay. Rows without an id stay where no row has the same set, one each.
+    """
+    keyed = docs.select(*COLUMNS, F.xxhash64(text_of()).alias("copy"))
+    found = stored(minhash_dedup.near_duplicates(docs, row_keys=True))
+    worded = found.where("n_shingles > 0")
+    # of kept rows, those of one component (or set, without an id) have the same set
+    first = Window.partitionBy("component_id", "c1").orderBy("copy")
+    later = worded.where("kept").groupBy("doc_id", "component_id", "c1", "copy").count().withColumn("place", F.row_number().over(first))
+    dropped = worded.where("not kept").select("doc_id", "copy").unionByName(later.where("place > 1").select("doc_id", "copy")).distinct()
+    repeated = later.where("place = 1 and count > 1").select("doc_id", "copy")
+    rows = _without(keyed, dropped)
+    if repeated.take(1):
+        once = _only(keyed, repeated).dropDuplicates(["doc_id", "copy"])
+        rows = _without(rows, repeated).unionByName(once)
+    return rows.select(*COLUMNS)
+
+
+def _without(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    return _met(rows, keys, "left_anti")
+
+
+def _only(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    return _met(rows, keys, "left_semi")
+
+
+def _met(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    other = keys.select(F.col("doc_id").alias("k"), F.col("copy").alias("c")).hint("merge")  # grows with the documents: never broadcast
+    return rows.join(other, F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("copy") == F.col("c")), how)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cellmend.llm import components, fingerprints, lm_scoring, minhash_dedup, mixing, quality, sentencepiece_codec, topk_search
+from cellmend.llm import components, fingerprints, lm_scoring, minhash_dedup, mixing, quality, sentencepiece_codec, substring_dedup, topk_search
 from cellmend.llm.common import Words
 from cellmend.llm.queries import PIECE_MODEL
 
@@ -75,6 +75,49 @@ def test_near_duplicates_on_odd_rows(spark):
     assert minhash_dedup.near_duplicates(df.where("doc_id > 99")).count() == 0
 
 
+def patterned(n, flip):
+    """A word of two letters in the order that defeats polynomial hashes modulo a power of two."""
+    return "".join("ab"[(i.bit_count() + flip) % 2] for i in range(n))
+
+
+def test_long_patterned_words_are_told_apart(spark):
+    tail = " ".join(f"v{i}" for i in range(19))
+    for words in ([patterned(2048, f) for f in (0, 1)], [patterned(4096, f) for f in (0, 1)]):
+        df = spark.createDataFrame([(1, words[0]), (2, words[1]), (3, f"{words[0]} {tail}"), (4, f"{words[1]} {tail}")], "doc_id long, text string")
+        assert all(r["kept"] for r in minhash_dedup.near_duplicates(df.where("doc_id < 3")).collect())
+        assert {r["n_removed"] for r in substring_dedup.remove_repeats(df).collect()} == {0}
+        prints = {r["fingerprint"] for r in fingerprints.fingerprint_documents(df).collect()}
+        assert len(prints) == 4
+    sequences = [" ".join(f"w{c}" for c in patterned(20, f)) for f in (0, 1)]
+    df = spark.createDataFrame(list(enumerate(sequences)), "doc_id long, text string")
+    assert {r["n_removed"] for r in substring_dedup.remove_repeats(df).collect()} == {0}
+
+
+def test_ids_with_several_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(5, a), (5, b), (5, b), (7, b + " more"), (8, a + " more"), (9, c), (9, c), (None, c), (None, "solo text here"), (None, "solo text here"), (3, ""), (3, ""), (9, c.upper())]
+    for parts in (1, 5):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        got = Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash_dedup.near_duplicates(df).collect())
+        assert got == Counter({(5, 36, 5, True): 3, (7, 37, 5, False): 1, (8, 37, 5, False): 1, (9, 36, 9, True): 3, (None, 36, 9, False): 1, (None, 1, None, True): 2, (3, 0, 3, True): 2})
+        full = df.withColumn("lang", F.lit("en")).withColumn("source", F.lit("s")).withColumn("n_chars", F.length("text").cast("long"))
+        kept = Counter((r["doc_id"], r["text"].lower()) for r in corpus_pipeline.one_of_each(spark, full, DIR).collect())
+        assert kept == Counter({(5, a): 1, (5, b): 1, (9, c): 1, (None, "solo text here"): 1, (3, ""): 2})
+
+
+@pytest.mark.parametrize("n", [5, 7, 12, 60, 3000])
+def test_near_duplicates_find_pairs_at_the_threshold(spark, n):
+    """Pairs whose similarity is just 0.75 or more, of short and long texts, are all found."""
+    rng, rows, want = random.Random(n), [], 0
+    for k in range(60 if n < 1000 else 12):
+        words = [f"k{k}w{rng.randrange(10**6)}" for _ in range(n + 4)]
+        cut = n // 4  # the shorter text has n - cut of n shingles
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[: n + 4 - cut]))]
+        want += 4 * (n - cut) >= 3 * n
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert got.where("not kept").count() == want > 0
+
+
 def test_registers_estimate_similarity():
     rng = np.random.default_rng(3)
     for shared in (300, 900):
@@ -82,7 +125,7 @@ def test_registers_estimate_similarity():
         rng.shuffle(pool)
         a, b = np.sort(pool[:1000]), np.sort(pool[1000 - shared : 2000 - shared])
         regs = minhash_dedup.registers(np.concatenate([a, b]), np.array([0, 1000, 2000]))
-        assert abs(minhash_dedup.estimate(regs[0], regs[1], 1000, 1000) - shared / (2000 - shared)) < 0.1
+        assert abs(minhash_dedup.estimate(regs[:1], regs[1:], 1000, 1000)[0] - shared / (2000 - shared)) < 0.1
 
 
 def test_components(spark):

@@ -3,20 +3,31 @@
 from __future__ import annotations
 
 import os
-import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The fields that a checked cell's answer has.
 ANSWER = "corrected string, confidence string, reasoning string"
+#: The mark of a fenced block, the name its opening may carry, and what counts as blank.
+FENCE, LANGUAGE, BLANK = "```", "json", " \t\n\r\f\x0b"
+#: Fixed value: how a reference to the environment begins.
+REFERENCE = "${env:"
 
 
 def fix_json(text: Column) -> Column:
-    """The inside of the first fenced block (or the whole text), trimmed, without commas before a closing bracket."""
-    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)
-    body = F.when(text.contains("```") & (fenced != ""), fenced).otherwise(text)
-    return F.regexp_replace(F.regexp_replace(body, r",\s*([}\]])", "$1"), r"^\s+|\s+$", "")
+    """The inside of the first closed fence, without blanks around it, or else the whole text as it is; and without each comma that is
+    followed by nothing but blanks before a closing bracket. The blanks themselves stay. Null stays null."""
+    parts = F.split(text, FENCE)
+    inside = F.get(parts, F.lit(1))
+    inside = F.when(F.startswith(inside, F.lit(LANGUAGE)), F.substr(inside, F.lit(len(LANGUAGE) + 1))).otherwise(inside)
+    pieces = F.split(F.when(F.size(parts) > 2, F.btrim(inside, F.lit(BLANK))).otherwise(text), ",")
+
+    def rejoined(piece: Column, place: Column) -> Column:
+        closes = F.left(F.ltrim(piece, F.lit(BLANK)), F.lit(1)).isin("}", "]")
+        return F.when((place == 0) | closes, piece).otherwise(F.concat(F.lit(","), piece))
+
+    return F.when(text.isNotNull(), F.array_join(F.transform(pieces, rejoined), ""))
 
 
 def parse_answer(text: Column) -> Column:
@@ -29,12 +40,16 @@ def short_name(model: Column) -> Column:
     return F.substring_index(model, "/", -1)
 
 
-def from_environment(value: object) -> object:
-    """``${env:NAME}`` or ``${env:NAME:default}`` at the start of a string stands for the whole value; lists and dicts throughout."""
-    if isinstance(value, dict):
-        return {k: from_environment(v) for k, v in value.items()}
-    if isinstance(value, list):
-        return [from_environment(v) for v in value]
-    if isinstance(value, str) and (m := re.match(r"\$\{env:([^}:]+)(?::([^}]*))?\}", value)):
-        return os.environ.get(m[1], m[2] or "")
-    return value
+def from_environment(setting: object) -> object:
+    """The setting with each string that begins with a reference, ``${env:NAME}`` or ``${env:NAME:default}``, replaced by the variable's
+    value, the default, or None. What follows the reference is dropped; strings without a name or a closing brace stay."""
+    match setting:
+        case dict():
+            return dict(zip(setting, map(from_environment, setting.values())))
+        case list():
+            return [*map(from_environment, setting)]
+        case str() if setting.startswith(REFERENCE):
+            body, closed, _ = setting.removeprefix(REFERENCE).partition("}")
+            name, given, default = body.partition(":")
+            return os.environ.get(name, default if given else None) if closed and name else setting
+    return setting

@@ -222,10 +222,28 @@ def test_mixing_on_odd_rows(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def plain_log_probabilities(m, text):
+    """The model's formula, a word at a time."""
+    hashes = Words(pa.array([text])).hashes.tolist()
+    known = {w: i for i, w in enumerate(m.words.tolist())}
+    ids = [int(m.id_of[known[h]]) if h in known else m.other for h in hashes]
+    out = []
+    for t, i in enumerate(ids):
+        h = sum(m.tables[k][ids[t + place] if 0 <= t + place < len(ids) else m.other + 1].astype(float) for k, place in enumerate(m.places))
+        scores = h @ m.out.astype(float) + m.bias
+        value = scores[m.class_of[i]] - np.log(np.exp(scores).sum())
+        for at in range(m.path_first[i], m.path_first[i + 1]):
+            node = m.path[at]
+            value -= np.log(1 + np.exp(-m.side[at] * (h @ m.nodes[node] + m.turn[node])))
+        if i == m.other:
+            value += m.log_share[-1] + (m.log_n[known[hashes[t]]] if hashes[t] in known else 0)
+        out.append(value)
+    return out
+
+
 def test_lm_is_a_distribution_and_learns(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'en'")
-    p = lm_scoring.LmParams(vocabulary=300, classes=12, documents=300)
-    model = lm_scoring.train_lm(docs, p)
+    model = lm_scoring.train_lm(docs, lm_scoring.LmParams(vocabulary=300, counted=2000, classes=12, share=1))
     for c in range(len(model.bias)):
         assert c == len(model.bias) - 1 or abs(np.exp(model.log_share[:-1])[model.class_of[:-1] == c].sum() - 1) < 1e-9
     rng = random.Random(8)
@@ -233,9 +251,27 @@ def test_lm_is_a_distribution_and_learns(spark):
     shuffled = [" ".join(rng.sample(t.split(), len(t.split()))) for t in texts]
     a, b = (model.log_probabilities(Words(pa.array(x))).mean() for x in (texts, shuffled))
     assert a > b
-    base = np.concatenate([model.bias * 0 + np.log(np.bincount(model.class_of[model.ids(Words(pa.array(texts)).hashes)], minlength=len(model.bias)).clip(1))])
     ids = model.ids(Words(pa.array(texts)).hashes)
-    assert a > (base - np.log(np.exp(base).sum()))[model.class_of[ids]].mean() + model.log_share[ids].mean() - 0.05
+    found = model.find(Words(pa.array(texts)).hashes)
+    base = np.log(np.bincount(model.class_of[ids], minlength=len(model.bias)).clip(1) / len(ids))
+    own = np.where(ids == model.other, np.append(model.log_n, 0.0)[found], 0.0)
+    unigram = (base[model.class_of[ids]] + model.log_share[ids] + own).mean()
+    assert a > unigram + 0.1  # even against the texts' own class shares
+    for text in texts[:8]:
+        assert np.allclose(model.log_probabilities(Words(pa.array([text]))), plain_log_probabilities(model, text), atol=1e-3)
+
+
+def test_lm_scores_equal_the_plain_formula(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) < 600").limit(200).cache()
+    model = lm_scoring.train_lm(docs, lm_scoring.LmParams(vocabulary=100, counted=150, classes=8))
+    counts = Counter(h for r in docs.collect() for h in Words(pa.array([r["text"] or ""])).hashes.tolist())
+    known = set(model.words.tolist())
+    assert len(known) == 150 and min(counts[w] for w in known) >= max(n for w, n in counts.items() if w not in known)
+    got = {r["doc_id"]: r for r in lm_scoring.score_lm(docs, model).collect()}
+    for r in docs.collect():
+        hashes = Words(pa.array([r["text"]])).hashes.tolist()
+        want = sum(plain_log_probabilities(model, r["text"])) + sum(np.log(counts[h]) for h in hashes if h not in known)
+        assert abs(got[r["doc_id"]]["log_prob"] - want) < 1e-3 * (1 + len(hashes)) and got[r["doc_id"]]["n_tokens"] == len(hashes)
 
 
 def test_lm_on_odd_rows(spark):
@@ -247,10 +283,11 @@ def test_lm_on_odd_rows(spark):
     assert {r["log_prob"] for r in lm_scoring.score_lm(df.where("doc_id < 4"), lm_scoring.train_lm(none)).collect()} == {0.0}
 
 
-def test_lm_counts_tell_words_outside_the_vocabulary_apart(spark):
+@pytest.mark.parametrize("counted", [1, 2, 3, 100])
+def test_lm_counts_tell_words_outside_the_vocabulary_apart(spark, counted):
     texts = ["often " * 8, "often " * 8, "rare", *["top"] * 40]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    model = lm_scoring.train_lm(df, lm_scoring.LmParams(vocabulary=1))
+    model = lm_scoring.train_lm(df, lm_scoring.LmParams(vocabulary=1, counted=counted))
     asked = spark.createDataFrame([(1, "x often y"), (2, "x rare y"), (3, "x unseen y"), (3, "x unseen y")], "doc_id long, text string")
     got = {r["doc_id"]: r["log_prob"] for r in lm_scoring.score_lm(asked, model).collect()}
     assert abs(got[1] - got[2] - np.log(16)) < 1e-6 and got[2] == got[3] and lm_scoring.score_lm(asked, model).count() == 4
@@ -258,8 +295,8 @@ def test_lm_counts_tell_words_outside_the_vocabulary_apart(spark):
 
 def test_lm_predicts_words_of_one_class_from_both_sides(spark):
     texts = ["a b c " * 30 if i % 2 else "a d e " * 30 for i in range(60)]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    model = lm_scoring.train_lm(df, lm_scoring.LmParams(classes=2, epochs=6))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    model = lm_scoring.train_lm(df, lm_scoring.LmParams(classes=2, epochs=10, share=1))
     assert len(model.bias) == 2
     good, bad = (np.exp(model.log_probabilities(Words(pa.array([t])))[4]) for t in ("a b c a b c a b c", "a b c a d c a b c"))
     assert good > 0.9 and bad < 0.05
@@ -267,15 +304,16 @@ def test_lm_predicts_words_of_one_class_from_both_sides(spark):
     assert abs(sum(middle) - 1) < 1e-5
 
 
-def test_lm_trains_on_every_document(spark, monkeypatch):
-    monkeypatch.setattr(lm_scoring, "PART", 4000)
+def test_lm_trains_on_every_document(spark):
     texts = ["a b c " * 5] * 1500 + ["d e f " * 5] * 20
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
-    seen = []
-    for p in (lm_scoring.LmParams(epochs=1), lm_scoring.LmParams(epochs=1, documents=1)):
-        before = np.random.default_rng(p.seed).standard_normal((len(p.places), 8, p.dim)).astype(np.float32) * np.float32(0.1)
-        seen.append((np.abs(lm_scoring.train_lm(df, p).tables - before).max(axis=2) > 1e-6)[:, :6].all())
-    assert seen == [True, False]
+    p = lm_scoring.LmParams(epochs=1, share=2)
+    before = np.random.default_rng(p.seed).standard_normal((len(p.places), 8, p.dim)).astype(np.float32) * np.float32(0.1)
+    moved = np.abs(lm_scoring.train_lm(df, p).tables - before).max(axis=2) > 1e-6
+    assert moved[:, :6].all()
+    # a part's positions are drawn from all of its slices, one in ``share``
+    seen = lm_scoring.fit_part(lm_scoring.train_lm(df, p), [pa.RecordBatch.from_pydict({"text": [t]}) for t in texts], p, (0, 0))[1]
+    assert seen[: 8].sum() == sum(-(-15 // 2) for _ in texts)
 
 
 def test_pipeline_stages(spark):

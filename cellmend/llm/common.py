@@ -3,7 +3,8 @@
 Conventions of every operator in this subpackage:
 
 * it selects the columns it needs first, so extra columns of any name in the input neither clash nor travel;
-* a null text counts as an empty text, a null id is carried through as null;
+* a null text counts as an empty text, a null id is carried through as null, an empty table gives an empty result;
+* equal rows have equal results, and ties are broken by ids, so results do not depend on how rows are dealt (but see operator 9's parts);
 * Python code works on Arrow batches cut into slices of bounded text size, so a task's memory does not depend on the
   number of rows in its partition.
 """
@@ -37,6 +38,13 @@ def crc_fold(id_col: str = "doc_id", folds: int = 5) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % F.lit(folds), F.lit(0))
 
 
+def carried(columns: tuple[str, ...], own: tuple[str, ...]) -> list[str]:
+    """The columns that a result is to carry through, none of them called like the result's own."""
+    if clash := sorted({*columns} & {*own}):
+        raise ValueError(f"the result has columns of its own called {', '.join(clash)}")
+    return list(dict.fromkeys(columns))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

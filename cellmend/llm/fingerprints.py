@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellmend.llm.common import Words, text_of
@@ -93,14 +93,27 @@ def merge_fingerprints(parts: DataFrame, by: list[str], fingerprint: str = "fing
     return every.join(merged, by, "left").withColumn(fingerprint, F.coalesce(fingerprint, F.lit("")))
 
 
+def place_among(cuts: list[int], value: Column) -> Column:
+    """How many of the ascending cuts are not above the value, found by halving."""
+    if not cuts:
+        return F.lit(0)
+    table, steps = F.lit(cuts), F.lit([1 << i for i in reversed(range(len(cuts).bit_length()))])
+
+    def ahead(at: Column, step: Column) -> Column:
+        there = at + step
+        return F.when((there <= len(cuts)) & (F.get(table, there - 1) <= value), there).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), ahead)
+
+
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(bucket, guard, doc, text)`` dealt by ranges of ids and sorted: after each bucket's rows comes, as a guard, the row that follows
     them in the next bucket (the first row of all after the last). One shuffle of the texts; the driver sees one id for each bucket."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("doc"), text_of(text_col).alias("text"))
-    cuts = sorted({int(x) for x in base.approxQuantile("doc", [i / parts for i in range(1, parts)], 0.2 / parts)} - {_NULL_ID}) if parts > 1 else []
-    bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("doc"))) if cuts else F.lit(0)
+    cuts = sorted({int(x) for x in base.approxQuantile("doc", [i / parts for i in range(1, parts)], max(0.2 / parts, 1e-4))} - {_NULL_ID}) if parts > 1 else []
+    bucket = place_among(cuts, F.col("doc"))
     base = base.withColumn("bucket", bucket)
     heads = sorted((r["bucket"], r["head"]) for r in base.groupBy("bucket").agg(F.min("doc").alias("head")).collect())
     guards = [(head, heads[i - 1][0]) for i, (_, head) in enumerate(heads)]  # each head also goes to the bucket before its own
@@ -161,7 +174,8 @@ def fingerprint_documents(docs: DataFrame, k: int = K, id_col: str = "doc_id", t
 
     ``edited`` is the text with its last half replaced by the start of the next text in ascending order of ids (after the last, the first;
     rows of equal ids by text, null ids first; a single row is its own next). Texts of fewer than five words have one shingle, null and
-    empty texts none: their fingerprint is empty, and like another empty one. Ids are integers.
+    empty texts none: their fingerprint is empty, and like another empty one. Repeated rows follow each other. An empty table gives an
+    empty result; columns other than the two named take no part. Ids are integers.
     """
     kind = docs.schema[id_col].dataType
     out = with_next(docs, id_col, text_col).mapInArrow(_fingerprint(k), "doc long, n_chars long, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

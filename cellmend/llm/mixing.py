@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellmend.llm.common import carried
 from cellmend.sources.scratch import stored
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,6 +23,8 @@ OTHER, NONE = "prose", "(none)"
 #: Sweeps end when no margin is off by more than this, in relation.
 TOLERANCE = 1e-10
 SWEEPS = 60
+#: Sweeps in one job.
+TOGETHER = 4
 #: Cells up to which their table is broadcast to the documents; beyond, they meet in a shuffle.
 BROADCAST_CELLS = 50_000
 
@@ -39,13 +42,14 @@ def uniform(id_col: Column) -> Column:
 
 
 def fit_rates(cells: DataFrame, targets: dict[str, float] | dict[str, dict[str, float]]) -> DataFrame:
-    """``cells(source, lang, topic, tokens)`` with tokens over 0 and their ``rate`` and ``probability``.
+    """``cells(source, lang, topic, tokens)`` with tokens over 0 and their ``rate`` and ``probability``, and ``margin_error``: by how much, in
+    relation, the worst margin was off before the last sweep (about 0 unless the targets contradict each other or have no room).
 
     A dimension's target is an exponent for its own token shares, or a share for each value (values without one keep nothing).
     """
     total = cells.agg(F.sum("tokens")).first()[0]
     if not total:
-        return cells.where("tokens > 0").withColumn("rate", F.lit(1.0)).withColumn("probability", F.lit(1.0))
+        return cells.where("tokens > 0").withColumns({"rate": F.lit(1.0), "probability": F.lit(1.0), "margin_error": F.lit(0.0)})
     fitted = cells.where("tokens > 0").withColumn("mass", F.col("tokens") / F.lit(float(total)))
     for d in DIMENSIONS:
         goal = targets[d]
@@ -57,9 +61,9 @@ def fit_rates(cells: DataFrame, targets: dict[str, float] | dict[str, dict[str,
         scale = sized.agg(F.sum("goal").alias("all"))  # one row
         fitted = fitted.join(sized.join(F.broadcast(scale)).select(d, F.try_divide("goal", "all").alias(f"goal_{d}")), d)
     fitted = stored(fitted)
-    for _ in range(SWEEPS // 2):
-        for _ in range(2):  # sweeps in one job
-            off = F.lit(0.0)
+    for i in range(SWEEPS // TOGETHER):
+        for _ in range(TOGETHER):
+            off = F.lit(0.0)  # that of the job's last sweep remains
             for d in DIMENSIONS:
                 margin = F.sum("mass").over(Window.partitionBy(d))  # cells are few: one for each source, language and topic
                 fitted = fitted.withColumn("margin", margin)
@@ -67,28 +71,35 @@ def fit_rates(cells: DataFrame, targets: dict[str, float] | dict[str, dict[str,
                 fitted = fitted.withColumn("off", off).withColumn("mass", F.coalesce(F.try_divide(F.col("mass") * F.col(f"goal_{d}"), F.col("margin")), F.lit(0.0)))
                 off = F.col("off")
         fitted = stored(fitted.drop("margin"))
-        if (fitted.agg(F.max("off")).first()[0] or 0.0) <= TOLERANCE:
-            break
+        error = fitted.agg(F.max("off")).first()[0] or 0.0
         fitted = fitted.drop("off")
+        if error <= TOLERANCE:
+            break
     rates = fitted.withColumn("rate", F.col("mass") * F.lit(float(total)) / F.col("tokens"))
     largest = rates.agg(F.max("rate")).first()[0]
-    return rates.select(*DIMENSIONS, "tokens", "rate", F.coalesce(F.try_divide("rate", F.lit(float(largest))), F.lit(0.0)).alias("probability"))
+    return rates.select(*DIMENSIONS, "tokens", "rate", F.coalesce(F.try_divide("rate", F.lit(float(largest))), F.lit(0.0)).alias("probability"), F.lit(error).alias("margin_error"))
 
 
-def mix(docs: DataFrame, targets: dict = FLATTEN, topics: dict[str, str] = TOPICS, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``(id, keep..., mix_source, mix_lang, mix_topic, n_tokens, rate, probability, kept)`` for every row.
+def mix(docs: DataFrame, targets: dict = FLATTEN, topics: dict[str, str] | str = TOPICS, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(id, keep..., mix_source, mix_lang, mix_topic, n_tokens, rate, probability, kept, margin_error)`` for every row.
 
+    ``topics``: patterns by name, or the column that holds the topic. The texts are read once: what is kept of them is stored with its cell.
     Tokens are runs of characters other than ASCII white space. Null sources and languages are one more value, "(none)". Texts without
     tokens weigh nothing: rate and probability 0, not kept. Repeated rows share one draw. If the targets contradict each other the
-    rates of the last sweep hold.
+    rates of the last sweep hold, and ``margin_error`` says how far they are off. An empty table gives an empty result. Columns other than
+    those named take no part; ``keep`` may not name the result's own.
     """
-    base = docs.select(F.col(id_col).alias("id"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.coalesce(F.col("source").cast("string"), F.lit(NONE)).alias("source"), F.coalesce(F.col("lang").cast("string"), F.lit(NONE)).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    base = base.withColumn("topic", topic_of(F.col("text"), topics)).withColumn("n_tokens", F.regexp_count("text", F.lit(WORD)).cast("long")).drop("text")
+    keep = carried(keep, ("mix_source", "mix_lang", "mix_topic", "n_tokens", "rate", "probability", "kept", "margin_error"))
+    topic = F.coalesce(F.col(topics).cast("string"), F.lit(NONE)) if isinstance(topics, str) else topic_of(F.coalesce(F.col(text_col).cast("string"), F.lit("")), topics)
+    base = docs.select(F.col(id_col).alias("id"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.coalesce(F.col("source").cast("string"), F.lit(NONE)).alias("source"), F.coalesce(F.col("lang").cast("string"), F.lit(NONE)).alias("lang"), topic.alias("topic"), F.regexp_count(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(WORD)).cast("long").alias("n_tokens"))
+    base = stored(base)
     cells = stored(base.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")))
     rates = stored(fit_rates(cells, targets).drop("tokens"))
+    error = rates.agg(F.max("margin_error")).first()[0] or 0.0
+    rates = rates.drop("margin_error")
     rates = F.broadcast(rates) if rates.count() <= BROADCAST_CELLS else rates
     out = base.join(rates, list(DIMENSIONS), "left").withColumn("probability", F.when(F.col("n_tokens") > 0, F.col("probability")).otherwise(F.lit(0.0))).withColumn("rate", F.when(F.col("n_tokens") > 0, F.col("rate")).otherwise(F.lit(0.0)))
-    return out.select(F.col("id").alias(id_col), *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *[F.col(d).alias(f"mix_{d}") for d in DIMENSIONS], "n_tokens", "rate", "probability", (uniform(F.col("id")) < F.col("probability")).alias("kept"))
+    return out.select(F.col("id").alias(id_col), *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *[F.col(d).alias(f"mix_{d}") for d in DIMENSIONS], "n_tokens", "rate", "probability", (uniform(F.col("id")) < F.col("probability")).alias("kept"), F.lit(error).alias("margin_error"))
 
 
 def mixing_sql(table: str = "documents", targets: dict[str, float] = FLATTEN, topics: dict[str, str] = TOPICS, sweeps: int = 40) -> str:

@@ -4,7 +4,8 @@ Regular expressions propose spans, checksum validators confirm them (Luhn for ca
 words nearby raise or lower the score of a span. Spans are in code points, end exclusive.
 
 Base kinds, always kept when they pass their validator:
-email, ip, card, phone. Added by the method: iban (mod 97) and local phone numbers and national ids that context supports.
+email, ip, card, phone. Added by the method: iban (mod 97), and local phone numbers, national ids and secrets (long runs of letters and
+digits) that context supports.
 """
 
 from __future__ import annotations
@@ -16,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellmend.llm.common import slices, text_of
+from cellmend.llm.common import carried, slices, text_of
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-ADDED_KINDS = ("iban", "ssn", "local_phone")
+ADDED_KINDS = ("iban", "ssn", "local_phone", "secret")
 KINDS = BASE_KINDS + ADDED_KINDS
 
 # The patterns start where a run of their first class starts, so that a long run costs one attempt, not one for each character.
@@ -28,13 +29,14 @@ _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD_RUN = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
+_SECRET = re.compile(r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{20,}")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}(?![0-9-])")
 
 #: Score that a span needs, the score a proposal starts with, and what each word nearby adds.
 THRESHOLD, WINDOW = 0.5, 40
-START = {"email": 0.9, "ip": 0.7, "card": 0.9, "phone": 0.8, "iban": 0.9, "ssn": 0.4, "local_phone": 0.4}
+START = {"email": 0.9, "ip": 0.7, "card": 0.9, "phone": 0.8, "iban": 0.9, "ssn": 0.4, "local_phone": 0.4, "secret": 0.3}
 CONTEXT = {
     "email": {"mail": 0.1, "contact": 0.1},
     "ip": {"ip": 0.2, "host": 0.1, "server": 0.1, "version": -0.2},
@@ -43,6 +45,7 @@ CONTEXT = {
     "iban": {"iban": 0.1, "account": 0.1, "bank": 0.1},
     "ssn": {"ssn": 0.5, "social": 0.4, "security": 0.2},
     "local_phone": {"phone": 0.4, "call": 0.3, "tel": 0.4, "fax": 0.3, "mobile": 0.4},
+    "secret": {"token": 0.4, "secret": 0.4, "password": 0.4, "passwd": 0.4, "key": 0.3, "api": 0.2, "bearer": 0.3, "credential": 0.3},
 }
 _WORD = re.compile(r"[a-z]+")
 
@@ -102,13 +105,32 @@ def context_score(text: str, kind: str, start: int, end: int) -> float:
     return min(1.0, max(0.0, START[kind] + sum(v for w, v in CONTEXT[kind].items() if w in words)))
 
 
+def _accounts(text: str) -> Iterator[tuple[int, int]]:
+    """Account numbers: the longest run of groups from each start that passes its check."""
+    at = 0
+    while m := _IBAN.search(text, at):
+        ends = [m.end(), *[i for i in range(m.end() - 1, m.start(), -1) if text[i] == " "]]
+        ends = [e for e in ends if not text[e : e + 1].isalnum() and mod97(text[m.start() : e].replace(" ", ""))]
+        at = ends[0] if ends else m.start() + 4
+        if ends:
+            yield m.start(), ends[0]
+
+
+def _secrets(text: str) -> Iterator[tuple[int, int]]:
+    for m in _SECRET.finditer(text):
+        run = m.group()
+        if any(c.isdigit() for c in run) and any(c.isalpha() for c in run):
+            yield m.span()
+
+
 def find_spans(text: str) -> list[tuple[str, int, int, float]]:
     """All spans with their scores by start, then kind in the order of ``KINDS``. An added span may overlap base spans of other kinds, but no other added span."""
     base = base_spans(text)
     found = list(base)
-    added = [("iban", *m.span()) for m in _IBAN.finditer(text) if mod97(m.group().replace(" ", ""))]
+    added = [("iban", a, b) for a, b in _accounts(text)]
     added += [("ssn", *m.span()) for m in _SSN.finditer(text)]
     added += [("local_phone", *m.span()) for m in _LOCAL_PHONE.finditer(text)]
+    added += [("secret", a, b) for a, b in _secrets(text)]
     for kind, a, b in added:
         if context_score(text, kind, a, b) >= THRESHOLD and all(b <= x or y <= a for k, x, y in found if k == kind or k not in BASE_KINDS):
             found.append((kind, a, b))
@@ -132,7 +154,8 @@ _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int6
 def detect_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), redacted: bool = False) -> DataFrame:
     """``(id, keep..., spans array<struct<kind, start, end, score>>[, redacted string])`` of every whole text.
 
-    Null and empty texts have no spans (and a null text stays null when redacted); repeated rows give repeated results.
+    Null and empty texts have no spans (and a null text stays null when redacted); repeated rows give repeated results; an empty table
+    gives an empty result. Columns other than those named take no part; ``keep`` may not name ``spans`` or ``redacted``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +167,7 @@ def detect_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 columns.append(pa.array([t if t is None else redact(t, s) for t, s in zip(texts, spans)], pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "spans", *["redacted"] * redacted])
 
-    rest = [c for c in (id_col, *keep)]
+    rest = carried((id_col, *keep), ("spans", "redacted"))
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = ", ".join(f"`c{i}` {kinds[c]}" for i, c in enumerate(rest)) + ", spans array<struct<kind:string,start:bigint,end:bigint,score:double>>" + ", redacted string" * redacted
     text = F.col(text_col).cast("string") if redacted else text_of(text_col)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellmend.llm.common import crc_fold, slices, text_of
+from cellmend.llm.common import carried, crc_fold, slices, text_of
 
 _MEMO = 250_000
 
@@ -49,8 +49,6 @@ class QualityModel:
 def features(word: bytes, p: QualityParams) -> list[int]:
     """Buckets of the word itself and of its character n-grams (over UTF-8 bytes, with marks at both ends)."""
     mask, padded = p.buckets - 1, b"<" + word + b">"
-    if len(padded) > 200:  # a run of characters without white space: its grams, without the rare whole
-        return [zlib.crc32(padded[i : i + n]) & mask for n in p.grams for i in range(len(padded) - n + 1)]
     return [zlib.crc32(padded) & mask] + [zlib.crc32(padded[i : i + n]) & mask for n in p.grams for i in range(len(padded) - n + 1)]
 
 
@@ -130,7 +128,8 @@ def fit(data: list[tuple[np.ndarray, np.ndarray, int]], shares: dict[int, int],
 def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``(id, keep..., score)``: the probability of label 1 for every whole text.
 
-    Null, empty and blank texts have the classes' shares alone as their score; repeated rows give repeated results.
+    Null, empty and blank texts have the classes' shares alone as their score; repeated rows give repeated results; an empty table gives
+    an empty result. Columns other than those named take no part; ``keep`` may not name ``score``.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets * 4 bytes, whatever the input
 
@@ -156,7 +155,7 @@ def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id",
                     logits[i] += total.real / total.imag
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(1 / (1 + np.exp(-np.clip(logits, -700, 700))))], names=[*batch.schema.names[:-1], "score"])
 
-    rest = (id_col, *keep)
+    rest = carried((id_col, *keep), ("score",))
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = ", ".join(f"c{i} {kinds[c]}" for i, c in enumerate(rest)) + ", score double"
     out = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(rest)], text_of(text_col).alias("text")).mapInArrow(run, schema)

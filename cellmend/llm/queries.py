@@ -68,7 +68,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.detect_pii(documents(spark, sf_dir))
     counts = [pii.count_kind(F.col("spans"), k).alias(f"n_{k}") for k in pii.BASE_KINDS]
     base = F.sha2(pii.span_text(F.col("spans"), pii.BASE_KINDS), 256).alias("base_sha256")
-    return found.select("doc_id", *counts, base, pii.span_text(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, base, pii.span_text(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_mixing, op3_token_counts, op4_quality, op5_substring_dedup, op6_topk_search, op7_fingerprints, op8_minhash_dedup, op9_lm_scoring, op10_pii)}

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellmend.llm.common import slices, text_of
+from cellmend.llm.common import carried, slices, text_of
 
 SPACE = "▁"
 #: Piece types in the model file.
@@ -371,11 +371,16 @@ def codec(model_file: str) -> PieceCodec:
     return _codecs[model_file]
 
 
+#: Ids that are decoded at once, unless one row has more.
+DECODE_IDS = 500_000
+
+
 def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", add_eos: bool = True, with_spans: bool = False) -> DataFrame:
     """``(id, ids array<int>[, begins array<int>, ends array<int>])`` of every whole text.
 
     Null and empty texts have the end id alone (or no id). Spans are byte offsets into the UTF-8 text; the end id's span is
-    empty and at the end. Repeated rows give repeated results. The model file's path must be readable by the executors.
+    empty and at the end. Repeated rows give repeated results, an empty table an empty result; columns other than the two named take no
+    part. The model file's path must be readable by the executors.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -400,13 +405,18 @@ def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", t
 
 
 def decode_documents(encoded: DataFrame, model_file: str, id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``(id, keep..., text)``: the text of every row's ``ids``; null ids give an empty text."""
+    """``(id, keep..., text)``: the text of every row's ``ids``; null ids give an empty text, an empty table an empty result. Repeated rows
+    give repeated results. Columns other than those named take no part; ``keep`` may not name ``text``."""
+    keep = carried(keep, ("text", "ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_file)
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
+            sizes = batch.column(batch.num_columns - 1).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            ends, start = np.cumsum(sizes, dtype=np.int64), 0
+            while start < batch.num_rows:
+                stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + DECODE_IDS, side="right")))
+                part, start = batch.slice(start, stop - start), stop
                 lists = part.column(part.num_columns - 1)
                 first = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
                 texts = c.decode_many(lists.flatten().to_numpy(zero_copy_only=False), first)

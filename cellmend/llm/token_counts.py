@@ -105,7 +105,8 @@ def automaton(model_file: str) -> LongestMatch:
 def token_counts(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, n_words, n_tokens, n_unknown)`` of every whole text; words are runs of characters other than ASCII white space.
 
-    An unknown word counts as one token. Null and empty texts have zeros; repeated rows give repeated results.
+    An unknown word counts as one token. Null and empty texts have zeros; repeated rows give repeated results, an empty table an empty
+    result; columns other than the two named take no part.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

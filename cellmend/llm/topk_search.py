@@ -17,13 +17,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellmend.sources.scratch import stored
+from cellmend.sources.scratch import shared_folder, stored
 
 #: Queries of a pass and bins of a histogram.
 BLOCK = 2048
 BINS = 256
 #: Vectors scored at once.
 ROWS = 2048
+#: Squared lengths up to which products of doubles are exact, and beyond which scores might not fit a long.
+PLAIN, LARGEST = 2.0**52, 2.0**62
+#: Beyond PLAIN a component is cut into a multiple of HALF and a rest.
+HALF = 65536.0
 
 
 def scaled(column: str = "embedding", by: int = 256) -> Column:
@@ -33,7 +37,17 @@ def scaled(column: str = "embedding", by: int = 256) -> Column:
     return F.when(F.col(column).isNotNull() & fine, F.transform(x, lambda v: F.floor(v * by).cast("double")))
 
 
-def _scores(block: dict[int, tuple[np.ndarray, np.ndarray]], batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def products(a: np.ndarray, b: np.ndarray, plain: bool) -> np.ndarray:
+    """Exact integer products of the rows of a and b (of whole numbers); ``plain``: no product reaches 2^53."""
+    if plain:
+        return (a @ b.T).astype(np.int64)
+    high_a, high_b = np.floor(a / HALF), np.floor(b / HALF)
+    low_a, low_b = a - high_a * HALF, b - high_b * HALF
+    whole = [(x @ y.T).astype(np.int64) for x, y in ((high_a, high_b), (high_a, low_b), (low_a, high_b), (low_a, low_b))]
+    return (whole[0] << 32) + ((whole[1] + whole[2]) << 16) + whole[3]
+
+
+def _scores(block: dict[int, tuple[np.ndarray, np.ndarray]], plain: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Dimension, ids and integer scores (one row for each query of that dimension) of pieces of the batches; a query's own is -2^63."""
     for batch in batches:
         for start in range(0, batch.num_rows, ROWS):
@@ -45,7 +59,7 @@ def _scores(block: dict[int, tuple[np.ndarray, np.ndarray]], batches: Iterator[p
                 if not len(at):
                     continue
                 vectors = lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), dim)
-                scores = (queries @ vectors.T).astype(np.int64)
+                scores = products(queries, vectors, plain)
                 scores[query_ids[:, None] == ids[at][None, :]] = np.iinfo(np.int64).min
                 yield dim, ids[at], scores
 
@@ -54,9 +68,9 @@ def _histogram(shared, k: int):
     """(query, bin, n) of the bins of each query's interval that the part's k best reach."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, low, span, width, need = shared.value
+        block, plain, low, span, width, need = shared.value
         counts = {dim: np.zeros((len(ids), BINS), np.int64) for dim, (ids, _) in block.items()}
-        for dim, _, scores in _scores(block, batches):
+        for dim, _, scores in _scores(block, plain, batches):
             above = scores - low[dim][:, None]
             row, col = np.nonzero((scores >= low[dim][:, None]) & (above < span))
             counts[dim] += np.bincount(row * BINS + above[row, col] // width, minlength=counts[dim].size).reshape(counts[dim].shape)
@@ -72,9 +86,9 @@ def _select(shared):
     """(query, id, score) above the k-th value, and the part's smallest ids at it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, low, need = shared.value
+        block, plain, low, need = shared.value
         ties: dict[tuple[int, int], np.ndarray] = {}
-        for dim, ids, scores in _scores(block, batches):
+        for dim, ids, scores in _scores(block, plain, batches):
             row, col = np.nonzero(scores > low[dim][:, None])
             yield pa.RecordBatch.from_arrays([pa.array(block[dim][0][row]), pa.array(ids[col]), pa.array(scores[row, col])], names=["query_id", "vec_id", "score"])
             row, col = np.nonzero((scores == low[dim][:, None]) & (need[dim][:, None] > 0))
@@ -93,15 +107,17 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     Ties go to the smaller id; a query with fewer candidates has all of them. Vectors that are null, or hold a null or non-finite
     component, and rows without id take no part; only vectors of the same length meet (empty ones score 0). Rows that share an id are
     never each other's candidates; a query repeated with the same vector is asked once, one repeated with another vector is asked with
-    the vector that sorts first. Scores are exact below 2^53.
+    the vector that sorts first. Scores are exact; vectors whose scaled components' squares sum to 2^62 or more, so that a score might not
+    fit a long, take no part. An empty table gives an empty result; columns other than the two named and the query's take no part.
     """
     spark = vectors.sparkSession
-    base = stored(vectors.select(F.col(id_col).cast("long").alias("vec_id"), scaled(vector_col).alias("x"), F.coalesce(is_query, F.lit(False)).alias("asks")).where("vec_id is not null and x is not null"))
+    base = stored(vectors.select(F.col(id_col).cast("long").alias("vec_id"), scaled(vector_col).alias("x"), F.coalesce(is_query, F.lit(False)).alias("asks")).where("vec_id is not null and x is not null").withColumn("norm", F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)).where(F.col("norm") < LARGEST))
     asked = stored(base.where("asks").groupBy("vec_id").agg(F.min("x").alias("x")))
     total = asked.count()
     blocks = -(-total // BLOCK)
-    norm = base.agg(F.max(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v))).first()[0] or 0.0
-    out = spark.createDataFrame([], "query_id long, vec_id long, score long")
+    norm = base.agg(F.max("norm")).first()[0] or 0.0
+    plain_products = norm < PLAIN
+    found, top = None, shared_folder(spark)
     plain = base.select("vec_id", "x")
     for i in range(blocks):
         part = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i).collect() if blocks > 1 else asked.collect()  # about BLOCK rows
@@ -114,7 +130,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
         span = 2 * int(norm) + 3  # of scores, from low on
         while True:
             width = -(-span // BINS)
-            shared = spark.sparkContext.broadcast((block, low, span, width, need))
+            shared = spark.sparkContext.broadcast((block, plain_products, low, span, width, need))
             counts = plain.mapInArrow(_histogram(shared, k), "query_id long, dim long, bin long, n long").groupBy("query_id", "dim", "bin").agg(F.sum("n").alias("n"))
             place = Window.partitionBy("query_id", "dim").orderBy(F.desc("bin"))
             counts = counts.withColumn("upto", F.sum("n").over(place)).withColumn("above", F.col("upto") - F.col("n"))
@@ -128,8 +144,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
             if width == 1:
                 break
             span = width
-        shared = spark.sparkContext.broadcast((block, low, need))
-        found = stored(plain.mapInArrow(_select(shared), "query_id long, vec_id long, score long"))
-        out = found if blocks == 1 else stored(out.unionByName(found))
+        shared = spark.sparkContext.broadcast((block, plain_products, low, need))
+        found = plain.mapInArrow(_select(shared), "query_id long, vec_id long, score long")
+        found.write.parquet(f"{top}/block={i}")
+        shared.destroy()
+    if found is None:
+        return spark.createDataFrame([], f"query_id long, rank int, {id_col} long, score long")
+    out = spark.read.schema(found.schema).parquet(*[f"{top}/block={i}" for i in range(blocks)])  # each block is stored once
     ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", F.col("vec_id").alias(id_col), "score")

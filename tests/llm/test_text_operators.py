@@ -2,7 +2,10 @@
 
 import random
 import re
+import zlib
+from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -112,6 +115,70 @@ def test_automaton_on_random_vocabularies():
             assert a.count(word) == greedy(word, pieces, 6), (pieces, word)
 
 
+def plain_features(text, p):
+    for word in text.encode().split():
+        padded = b"<" + word + b">"
+        yield zlib.crc32(padded) % p.buckets
+        for n in p.grams:
+            for i in range(len(padded) - n + 1):
+                yield zlib.crc32(padded[i : i + n]) % p.buckets
+
+
+def test_quality_equals_the_plain_average_and_softmax(spark):
+    rng, p = random.Random(6), quality.QualityParams(buckets=64, dim=3, epochs=2)
+    texts = [" ".join(rng.choices(["good", "bad", "fine", "x" * 300, "é"], k=rng.randrange(1, 9))) for _ in range(12)]
+    counts = [Counter(plain_features(t, p)) for t in texts]
+    data = [(np.array(sorted(c), np.int32), np.array([c[b] / sum(c.values()) for b in sorted(c)], np.float32), i % 2) for i, c in enumerate(counts)]
+    got = [(a.tolist(), b.tolist()) for a, b in quality._document_features((t.encode() for t in texts), p)]
+    assert got == [(a.tolist(), b.tolist()) for a, b, _ in data]
+    model = quality.fit(data, {0: 6, 1: 6}, p)
+    # the same steps on a table of lists
+    draw = np.random.default_rng(p.seed)
+    table, out = draw.uniform(-1 / p.dim, 1 / p.dim, (p.buckets, p.dim)).astype(float), np.zeros((p.dim, 2))
+    step = 0
+    for _ in range(p.epochs):
+        for i in draw.permutation(len(data)):
+            b, w, y = data[i]
+            rate = p.rate * (1 - step / 24)
+            step += 1
+            h = sum(x * table[k] for k, x in zip(b, w))
+            e = np.exp(h @ out - max(h @ out))
+            wrong = e / e.sum() - np.eye(2)[y]
+            back = out @ wrong
+            out = out - rate * np.outer(h, wrong)
+            for k, x in zip(b, w):
+                table[k] -= rate * x * min(len(b), 100) * back
+    assert np.allclose(model.margin, table @ (out[:, 1] - out[:, 0]), atol=1e-4)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in quality.score_quality(df, model).collect():
+        c = counts[r["doc_id"]]
+        logit = model.bias + sum(float(model.margin[b]) * n for b, n in c.items()) / sum(c.values())
+        assert abs(r["score"] - 1 / (1 + np.exp(-logit))) < 1e-9
+
+
+def test_kept_columns_may_not_clash(spark):
+    df = rows(spark, ["a"]).withColumn("spans", F.lit(1))
+    model = quality.train_quality(df, spark.createDataFrame([], "doc_id long, quality int"))
+    for run in (lambda: quality.score_quality(df, model, keep=("score",)), lambda: pii.detect_pii(df, keep=("spans",))):
+        with pytest.raises(ValueError, match="of its own"):
+            run()
+    assert quality.score_quality(df, model, keep=("id", "id")).columns == ["doc_id", "id", "score"]
+
+
+def test_empty_tables(spark):
+    df = rows(spark, ["a"]).limit(0)
+    assert token_counts.token_counts(df, MODEL).count() == 0 and pii.detect_pii(df, redacted=True).count() == 0
+    assert sentencepiece_codec.decode_documents(sentencepiece_codec.encode_documents(df, MODEL), MODEL).count() == 0
+
+
+def test_decoding_cuts_by_ids(spark, monkeypatch):
+    monkeypatch.setattr(sentencepiece_codec, "DECODE_IDS", 7)
+    texts = ["one two three four five six", "", None, "seven", "eight " * 40, "nine"]
+    back = sentencepiece_codec.decode_documents(sentencepiece_codec.encode_documents(rows(spark, texts), MODEL), MODEL)
+    lib = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    assert {r["doc_id"]: r["text"] for r in back.collect()} == {i: lib.decode(lib.encode(t or "")) for i, t in enumerate(texts)}
+
+
 def test_quality_on_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     model = quality.train_quality(docs, labels)
@@ -167,6 +234,12 @@ def test_validators_and_context():
     assert pii.mod97("GB82WEST12345698765432") and not pii.mod97("GB82WEST12345698765431")
     assert any(s[0] == "iban" for s in pii.find_spans("pay to GB82 WEST 1234 5698 7654 32 now"))
     assert not any(s[0] == "iban" for s in pii.find_spans("pay to GB82 WEST 1234 5698 7654 31 now"))
+    for text in ("GB82 WEST 1234 5698 7654 32 BIC DEUTDEFF", "GB82 WEST 1234 5698 7654 32 GB82 WEST 1234 5698 7654 32"):
+        found = [text[a:b] for k, a, b, _ in pii.find_spans(text) if k == "iban"]
+        assert found == ["GB82 WEST 1234 5698 7654 32"] * text.count("WEST")
+    secret = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    assert any(s[0] == "secret" for s in pii.find_spans(f'token = "{secret}"')) and not any(s[0] == "secret" for s in pii.find_spans(f"commit {secret} of"))
+    assert pii.redact(t := f"api key={secret}!", pii.find_spans(t)) == "api key=[SECRET]!"
     assert any(s[0] == "ssn" for s in pii.find_spans("her ssn 078-05-1120 was"))
     assert not any(s[0] == "ssn" for s in pii.find_spans("part 078-05-1120 was"))
 

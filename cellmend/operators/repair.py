@@ -2,6 +2,11 @@
 
 A cell's scores depend only on the row's evidence (parents, children and the columns that compensate), so they are computed once for
 each distinct evidence and joined back. Counts come from a frozen training table; later columns see what earlier ones repaired.
+
+A repair needs the best candidate only. Values that never occur with any of the evidence differ in nothing but how often they occur, so
+the best of them is one of a few that are known beforehand, whatever the evidence: the candidates of an evidence are the values that
+occur with it, found by a join on counts, and those few. The result of a column is stored before the next one reads it, so that plans
+stay as long as one column's.
 """
 
 from __future__ import annotations
@@ -11,9 +16,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellmend.operators.confidence import best_two, log_margin
-from cellmend.operators.network import CPD_SIZE, Local, cardinalities
-from cellmend.operators.stats import MARKER, domain
+from cellmend.operators.network import CPD_SIZE, Local
+from cellmend.operators.stats import MARKER, Counts
 from cellmend.sources.scratch import stored
 
 
@@ -22,95 +26,116 @@ def _evidence(local: Local, columns: list[str], compensate: bool) -> list[str]:
     return near + ([c for c in columns if c != local.node and c not in near] if compensate else [])
 
 
-def score_candidates(rows: DataFrame, train: DataFrame, local: Local, columns: list[str], compensate: bool = True, size: float = CPD_SIZE, marker: str = MARKER) -> DataFrame:
-    """``(evidence..., val, pos, probability, penalty, score)`` for each distinct evidence of the rows and value of the column.
+def _known(rows: DataFrame, evidence: list[str]) -> DataFrame:
+    """``(eid, evidence...)``: each distinct evidence of the rows once, with a number."""
+    known = rows.select(*evidence).distinct() if evidence else rows.sparkSession.range(1).select(F.lit("").alias("_"))
+    return stored(known.withColumn("eid", F.monotonically_increasing_id()))
 
-    The probability is P(value | parents) times P(child | value) of each child that is not the marker; a single parent that is the marker
-    gives no first factor. No column may be called like the result's own or start with "_". The penalty is the share of the value's co-occurrence with the other columns (0 for the marker).
-    """
+
+def rare_values(values: DataFrame) -> DataFrame:
+    """Of ``(val, pos, n)`` the three of lowest count, of highest count and of first appearance (nine at most): among values that
+    never occur with an evidence the best two scores or probabilities, with or without the marker, are theirs."""
+    ends = [values.orderBy(*by).limit(3) for by in (("n", "pos"), (F.desc("n"), "pos"), ("pos",))]
+    return ends[0].unionByName(ends[1]).unionByName(ends[2]).select("val").distinct()
+
+
+def _scored(known: DataFrame, counts: Counts, local: Local, columns: list[str], compensate: bool, size: float, marker: str, every: bool) -> DataFrame:
+    """``(eid, val, pos, probability, weight)`` of the candidates of each evidence: all values of the column, or those that matter. A
+    weight is not divided by the weights' sum; it is 0 for the marker and at least 1 for others."""
     t, evidence = local.node, _evidence(local, columns, compensate)
     others = [c for c in evidence if c not in local.parents and c not in local.children]
-    card = cardinalities(train, [t, *local.parents, *local.children])
-    values = domain(train, t).withColumnRenamed("n", "_n")
-    r, q, total = card[t], math.prod(card[p] for p in local.parents), train.count()
-    known = rows.select(*evidence).distinct() if evidence else rows.sparkSession.range(1).select(F.lit("").alias("_"))
-    keys = evidence or ["_"]
-    out = known.join(values)  # every value of the column is a candidate for each evidence
-
-    def count(by: list[str], name: str) -> DataFrame:
-        return train.groupBy(*[F.col(c).alias("val" if c == t else c) for c in by]).agg(F.count("*").alias(name))
-
-    if local.parents:
-        parents = list(local.parents)
-        out = out.join(count([*parents, t], "_n_xu"), [*parents, "val"], "left").join(count(parents, "_n_u"), parents, "left").na.fill(0, ["_n_xu", "_n_u"])
-        p: Column = (F.col("_n_xu") + size / (q * r)) / (F.col("_n_u") + size / q)
-        if len(parents) == 1:
-            p = F.when(F.col(parents[0]) == marker, F.lit(1.0)).otherwise(p)
+    card, values = counts.cardinality, counts.of(t)
+    r, q = card[t], math.prod(card[p] for p in local.parents)
+    n = {c: F.max(F.when(F.col("other") == c, F.col("together"))).alias(f"_n_{i}") for i, c in enumerate(evidence)}
+    if evidence:
+        long = known.select("eid", F.inline(F.array(*[F.struct(F.lit(c).alias("other"), F.col(c).alias("other_val")) for c in evidence])))
+        met = long.join(counts.pairs.where(F.col("attr") == t).withColumnRenamed("n", "together"), ["other", "other_val"]).select("eid", "val", "other", "together")
     else:
-        p = (F.col("_n") + size / r) / F.lit(total + size)
-    for i, c in enumerate(local.children):
-        out = out.join(count([t, c], f"_n_{i}"), ["val", c], "left").na.fill(0, [f"_n_{i}"])
-        p = p * F.when(F.col(c) == marker, F.lit(1.0)).otherwise((F.col(f"_n_{i}") + size / (r * card[c])) / (F.col("_n") + size / r))
-    weight = F.lit(0.0)
-    for i, c in enumerate(others):
-        out = out.join(count([t, c], f"_w_{i}"), ["val", c], "left").na.fill(0, [f"_w_{i}"])
-        weight = weight + F.pow(F.col(f"_w_{i}") * F.lit(float(len(columns) ** 2)), F.lit(2.0))
-    out = out.withColumn("probability", p)
-    if compensate:
-        out = out.withColumn("_c", F.when(F.col("val") == marker, F.lit(0.0)).otherwise(F.sqrt(weight) + 1))
-        out = out.withColumn("penalty", F.coalesce(F.try_divide("_c", F.sum("_c").over(Window.partitionBy(*keys))), F.lit(0.0)))
-        out = out.withColumn("score", F.col("penalty") * F.col("probability"))
+        met = None
+    few = values.select("val") if every else F.broadcast(rare_values(values))  # nine values, unless all are asked for
+    base = known.select("eid").join(few).select("eid", "val", F.lit(None).cast("string").alias("other"), F.lit(None).cast("long").alias("together"))
+    out = (base if met is None else met.unionByName(base)).groupBy("eid", "val").agg(*(n.values() or [F.count("*").alias("_")]))
+    out = out.join(values.withColumnRenamed("n", "_n"), "val").join(known, "eid")
+    together = {c: F.coalesce(F.col(f"_n_{i}"), F.lit(0)) for i, c in enumerate(evidence)}
+
+    parents = list(local.parents)
+    if len(parents) == 1:
+        u = counts.of(parents[0]).select(F.col("val").alias(parents[0]), F.col("n").alias("_n_u"))
+        out = out.join(u, parents, "left").na.fill(0, ["_n_u"])
+        p: Column = F.when(F.col(parents[0]) == marker, F.lit(1.0)).otherwise((together[parents[0]] + size / (q * r)) / (F.col("_n_u") + size / q))
+    elif parents:
+        both = counts.table.groupBy(*parents, F.col(t).alias("val")).agg(F.count("*").alias("_n_xu"))
+        out = out.join(both, [*parents, "val"], "left").join(both.groupBy(*parents).agg(F.sum("_n_xu").alias("_n_u")), parents, "left").na.fill(0, ["_n_xu", "_n_u"])
+        p = (F.col("_n_xu") + size / (q * r)) / (F.col("_n_u") + size / q)
     else:
-        out = out.withColumn("penalty", F.lit(1.0)).withColumn("score", F.col("probability"))
-    return out.select(*keys, "val", "pos", "probability", "penalty", "score")
+        p = (F.col("_n") + size / r) / F.lit(counts.rows + size)
+    for c in local.children:
+        p = p * F.when(F.col(c) == marker, F.lit(1.0)).otherwise((together[c] + size / (r * card[c])) / (F.col("_n") + size / r))
+    weight = F.lit(1.0)
+    if compensate:
+        squares = sum((F.pow(together[c] * F.lit(float(len(columns) ** 2)), F.lit(2.0)) for c in others), F.lit(0.0))
+        weight = F.when(F.col("val") == marker, F.lit(0.0)).otherwise(F.sqrt(squares) + 1)
+    return out.select("eid", "val", "pos", p.alias("probability"), weight.alias("weight"))
 
 
-def best_candidates(scored: DataFrame, keys: list[str], marker: str = MARKER) -> DataFrame:
-    """``(keys..., val, probability, penalty, score)``: the best value but the marker, the first in the column of equals."""
-    place = Window.partitionBy(*keys).orderBy(F.desc(F.round("score", 12)), "pos")
-    return scored.where(F.col("val") != marker).withColumn("place", F.row_number().over(place)).where("place = 1").drop("place", "pos")
+def score_candidates(rows: DataFrame, train: DataFrame, local: Local, columns: list[str], compensate: bool = True, size: float = CPD_SIZE, marker: str = MARKER, counts: Counts | None = None) -> DataFrame:
+    """``(evidence..., val, pos, probability, penalty, score)`` for each distinct evidence of the rows and every value of the column.
+
+    The probability is P(value | parents) times P(child | value) of each child that is not the marker; a single parent that is the marker
+    gives no first factor. The penalty is the share of the value's co-occurrence with the other columns (0 for the marker). No column may
+    be called like the result's own or start with "_". The result has as many rows as evidence times values; ``repair`` does not need it.
+    """
+    evidence = _evidence(local, columns, compensate)
+    known = _known(rows, evidence)
+    scored = _scored(known, counts or Counts(train, columns), local, columns, compensate, size, marker, True)
+    penalty = F.coalesce(F.try_divide("weight", F.sum("weight").over(Window.partitionBy("eid"))), F.lit(0.0)) if compensate else F.lit(1.0)
+    out = scored.withColumn("penalty", penalty).withColumn("score", F.col("penalty") * F.col("probability"))
+    return out.join(known, "eid").select(*(evidence or ["_"]), "val", "pos", "probability", "penalty", "score")
 
 
-def repair_column(rows: DataFrame, train: DataFrame, local: Local, columns: list[str], compensate: bool = True, size: float = CPD_SIZE, marker: str = MARKER, margins: bool = False) -> DataFrame:
-    """``rows`` with ``val``: what the column is to hold (null where there is no candidate); and with ``margin``, if asked for: the log
-    of the highest probability of all candidates over the second."""
+def repair_column(rows: DataFrame, train: DataFrame, local: Local, columns: list[str], compensate: bool = True, size: float = CPD_SIZE, marker: str = MARKER, counts: Counts | None = None) -> DataFrame:
+    """``rows`` with ``val``, ``probability`` and ``margin``: what the column is to hold (the best score but the marker's, the first in the
+    column of equals; null where there is no candidate), that value's probability, and the log of the highest probability of all
+    candidates over the second."""
     evidence = _evidence(local, columns, compensate)
-    keys, more = evidence or ["_"], ["margin"] if margins else []
-    scored = score_candidates(rows, train, local, columns, compensate, size, marker)
-    best = best_candidates(scored, keys, marker).select(*keys, "val")
-    if margins:
-        best = log_margin(best_two(scored, keys)).select(*keys, "margin").join(best, keys, "left")
+    known = _known(rows, evidence)
+    scored = _scored(known, counts or Counts(train, columns), local, columns, compensate, size, marker, False)
+    # weights of one evidence have one sum, so their order is the scores'; what differs by rounding only is equal
+    score = F.struct(F.round(F.log(F.col("weight") * F.col("probability")), 10), -F.col("pos"))
+    able = F.col("val") != marker
+    best = scored.groupBy("eid").agg(F.max_by(F.when(able, F.struct("val", "probability")), F.when(able, score)).alias("best"), F.collect_list("probability").alias("p"))
+    top = F.slice(F.sort_array("p", asc=False), 1, 2)
+    first, second = F.get(top, F.lit(0)), F.coalesce(F.get(top, F.lit(1)), F.get(top, F.lit(0)))
+    ratio = F.try_divide(first, F.when(second == 0, F.lit(1e-10)).otherwise(second))
+    found = known.join(best.select("eid", F.col("best.val").alias("val"), F.col("best.probability").alias("probability"), F.when(ratio > 0, F.log(ratio)).otherwise(F.lit(0.0)).alias("margin")), "eid").drop("eid")
     if not evidence:
-        return rows.withColumn("_", F.lit("")).join(best, "_", "left").drop("_")
-    return rows.join(best, evidence, "left").select(*rows.columns, "val", *more)
+        return rows.withColumn("_", F.lit("")).join(found, "_", "left").drop("_")
+    return rows.join(found, evidence, "left").select(*rows.columns, "val", "probability", "margin")
 
 
-def repair(rows: DataFrame, networks: dict[str, Local], columns: list[str], targets: list[str] | None = None, train: DataFrame | None = None, compensate: bool = True, size: float = CPD_SIZE, marker: str = MARKER) -> tuple[DataFrame, DataFrame]:
+def repair(rows: DataFrame, networks: dict[str, Local], columns: list[str], targets: list[str] | None = None, train: DataFrame | None = None, compensate: bool = True, size: float = CPD_SIZE, marker: str = MARKER, counts: Counts | None = None) -> tuple[DataFrame, DataFrame]:
     """The repaired table, and ``(row_id, attr, old, new)`` of the cells that changed.
 
     Columns without a network or without neighbours are skipped; an empty string is never written.
     """
-    return _repair(rows, networks, columns, targets, train, compensate, size, marker, False)[:2]
-
-
-def repair_with_margins(rows: DataFrame, networks: dict[str, Local], columns: list[str], targets: list[str] | None = None, train: DataFrame | None = None, compensate: bool = True, size: float = CPD_SIZE, marker: str = MARKER) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """As ``repair``, and ``(row_id, attr, margin)`` of every cell that was evaluated."""
-    return _repair(rows, networks, columns, targets, train, compensate, size, marker, True)
+    return repair_with_facts(rows, networks, columns, targets, train, compensate, size, marker, counts)[:2]
 
 
-def _repair(rows: DataFrame, networks: dict[str, Local], columns: list[str], targets: list[str] | None, train: DataFrame | None, compensate: bool, size: float, marker: str, keep: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
-    train = rows if train is None else train
-    out = rows
-    margins = rows.sparkSession.createDataFrame([], "row_id long, attr string, margin double")
+def repair_with_facts(rows: DataFrame, networks: dict[str, Local], columns: list[str], targets: list[str] | None = None, train: DataFrame | None = None, compensate: bool = True, size: float = CPD_SIZE, marker: str = MARKER, counts: Counts | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As ``repair``, and ``(row_id, attr, val, probability, margin, context)`` of every cell that was evaluated."""
+    counts = counts or Counts(rows if train is None else train, columns)
+    out, facts = rows, []
     for c in targets or columns:
         local = networks.get(c)
         if local and (local.parents or local.children):
-            fixed = repair_column(out, train, local, columns, compensate, size, marker, keep)
-            if keep:
-                fixed = stored(fixed)  # read for the next column, the margins and the checks
-                margins = margins.unionByName(fixed.where("margin is not null").select("row_id", F.lit(c).alias("attr"), "margin"))
+            fixed = repair_column(out, counts.table, local, columns, compensate, size, marker, counts)
+            fixed = stored(fixed.withColumn("_context", query_context(local, marker)))  # read for the next column, the facts and the log
+            facts.append(fixed.where("val is not null").select("row_id", F.lit(c).alias("attr"), "val", "probability", "margin", F.col("_context").alias("context")))
             out = fixed.withColumn(c, F.when(F.col("val").isNotNull() & (F.col("val") != ""), F.col("val")).otherwise(F.col(c))).select(*rows.columns)
-    return out, changed_cells(rows, out, columns), margins
+    every = rows.sparkSession.createDataFrame([], "row_id long, attr string, val string, probability double, margin double, context string")
+    for f in facts:
+        every = every.unionByName(f)
+    return out, changed_cells(rows, out, columns), every
 
 
 def changed_cells(before: DataFrame, after: DataFrame, columns: list[str]) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cellmend.sources.scratch import stored
+
 MARKER = "[NULL Cell]"
 
 
@@ -103,6 +105,27 @@ def value_totals(cooc: DataFrame) -> DataFrame:
 
 
 def table_hash(df: DataFrame) -> DataFrame:
-    """``(hash)``: of the table's rows, whatever their order."""
-    row = F.xxhash64(*[F.col(c) for c in df.columns])
-    return df.agg(F.substring(F.md5(F.concat_ws("-", F.bit_xor(row).cast("string"), F.sum(F.pmod(row, F.lit(1 << 31))).cast("string"), F.count("*").cast("string")).cast("binary")), 1, 12).alias("hash"))
+    """``(hash)``: of the table's rows, whatever their order; from the MD5 of each row's values as strings (nulls as a character of their own)."""
+    text = F.concat_ws(chr(1), *[F.coalesce(F.col(c).cast("string"), F.lit(chr(2))) for c in df.columns])
+    row = F.conv(F.left(F.md5(text.cast("binary")), F.lit(15)), 16, 10).cast("long")
+    whole = F.concat_ws("-", F.bit_xor("h").cast("string"), F.sum(F.pmod("h", F.lit(1 << 31))).cast("string"), F.count("*").cast("string"))
+    return df.select(row.alias("h")).agg(F.left(F.md5(whole.cast("binary")), F.lit(12)).alias("hash"))
+
+
+class Counts:
+    """What a table says about its columns' values, each counted once and stored: single values, pairs, and the number of rows."""
+
+    def __init__(self, table: DataFrame, columns: list[str]):
+        self.table, self.columns = table, columns
+        long = table.select("row_id", F.inline(F.array(*[F.struct(F.lit(c).alias("attr"), F.col(c).alias("val")) for c in columns])))
+        #: (attr, val, pos, n): each value with the first row that has it.
+        self.values = stored(long.groupBy("attr", "val").agg(F.min("row_id").alias("pos"), F.count("*").alias("n")))
+        #: (attr, val, other, other_val, n): see ``ordered_pairs``.
+        self.pairs = stored(ordered_pairs(pair_counts(table, columns)))
+        sizes = self.values.groupBy("attr").agg(F.count("*").alias("values"), F.sum("n").alias("rows")).collect()  # a row for each column
+        self.cardinality = {c: 0 for c in columns} | {r["attr"]: r["values"] for r in sizes}
+        self.rows = max((r["rows"] for r in sizes), default=0)
+
+    def of(self, column: str) -> DataFrame:
+        """``(val, pos, n)`` of one column."""
+        return self.values.where(F.col("attr") == column).select("val", "pos", "n")

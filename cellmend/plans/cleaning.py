@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from cellmend.functions.text import parse_answer
 from cellmend.operators import confidence, consistency, evaluation, network, repair, stats, structure
-from cellmend.operators.structure import Structure
+from cellmend.operators.structure import Matrix, Structure
+from cellmend.sources.scratch import stored
+from cellmend.sources.tables import TableCache
 
 METHODS = ("hybrid", "hybrid_no_groups", "search_only", "supplied_only", "edges")
 
@@ -38,6 +40,18 @@ class Settings:
     edges: tuple[tuple[str, str], ...] = ()
 
 
+@dataclass
+class Inferred:
+    """What the networks' repair knows: the table, the changed cells and the facts of all evaluated ones (see ``repair``)."""
+
+    structure: Structure
+    edges: list[tuple[str, str]]
+    relations: dict[str, list[str]]
+    repaired: DataFrame
+    changed: DataFrame
+    facts: DataFrame
+
+
 @dataclass
 class Result:
     structure: Structure
@@ -45,9 +59,10 @@ class Result:
     repaired: DataFrame
     checked: DataFrame | None = None
     metrics: DataFrame | None = None
+    counters: DataFrame | None = None
 
 
-#: Answers a batch of cells: (row_id, attr, value, context) to the provider's raw text.
+#: Answers a batch of cells: (row_id, attr, value, related, inference, question) to the provider's raw text.
 Provider = Callable[[pd.DataFrame], pd.Series]
 
 
@@ -56,16 +71,33 @@ def keep_all(cells: pd.DataFrame) -> pd.Series:
     return cells["value"].map(lambda v: '```json\n{"corrected": ' + json.dumps(v) + ', "confidence": "low", "reasoning": "offline",}\n```')
 
 
-def check_cells(repaired: DataFrame, chosen: DataFrame, edges: list[tuple[str, str]], columns: list[str], provider: Provider = keep_all, tries: int = 4) -> tuple[DataFrame, DataFrame]:
+def relations(edges: list[tuple[str, str]], networks: dict[str, network.Local]) -> dict[str, list[str]]:
+    """For each column those it is related to: the other ends of its edges in their order, then its parents and children in its network."""
+    out: dict[str, list[str]] = {}
+    pairs = [p for a, b in edges for p in ((a, b), (b, a))] + [(n, c) for n, x in networks.items() for c in x.parents + x.children]
+    for a, b in pairs:
+        out.setdefault(a, [])
+        if b not in out[a]:
+            out[a].append(b)
+    return out | {n: [] for n in networks if n not in out}
+
+
+def check_cells(repaired: DataFrame, chosen: DataFrame, related: dict[str, list[str]], columns: list[str], provider: Provider = keep_all, tries: int = 4, facts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Ask the provider about the chosen (row_id, attr) cells; answers of high or medium confidence are written.
 
-    All questions read the table as it came. Cells that the table lacks are left out; a batch that fails ``tries`` times keeps its values
-    with low confidence. The second table has a row for each question.
+    A question holds the cell's value, the row's values of related columns (of all columns where none are related) and, from ``facts``, how
+    likely the inference found it. All questions read the table as it came. Cells that the table lacks are left out; a batch that fails
+    ``tries`` times keeps its values with low confidence. The second table has a row for each question.
     """
     known = chosen.where(F.col("attr").isin(columns)).select("row_id", "attr").distinct()
-    context = F.concat_ws("; ", *[F.concat(F.lit(f"{c}="), F.col(c)) for c in columns])
+    listed = lambda names: F.concat_ws("; ", *[F.concat(F.lit(f"{c}="), F.col(c)) for c in names])
+    near = F.create_map(*[x for c in columns for x in (F.lit(c), listed([o for o in related.get(c, []) if o in columns] or columns))])
     value = F.create_map(*[x for c in columns for x in (F.lit(c), F.col(c))])
-    asked = repaired.join(known, "row_id").select("row_id", "attr", value[F.col("attr")].alias("value"), context.alias("context"))
+    asked = repaired.join(known, "row_id").select("row_id", "attr", value[F.col("attr")].alias("value"), near[F.col("attr")].alias("related"))
+    told = facts.select("row_id", "attr", "context") if facts is not None else known.limit(0).withColumn("context", F.lit(""))
+    asked = asked.join(told, ["row_id", "attr"], "left").withColumn("inference", F.coalesce("context", F.lit(""))).drop("context")
+    question = F.concat(F.lit("Column "), "attr", F.lit(" holds '"), "value", F.lit("' where "), "related", F.when(F.col("inference") != "", F.concat(F.lit(". Inferred: "), "inference")).otherwise(F.lit("")), F.lit(". Is it right? Answer in JSON with corrected, confidence (high, medium or low) and reasoning."))
+    asked = asked.withColumn("question", question)
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -100,15 +132,12 @@ def find_structure(dirty: DataFrame, supplied: DataFrame | None, columns: list[s
     return replace(found, groups=[]) if s.method == "hybrid_no_groups" else found
 
 
-def clean(dirty: DataFrame, columns: list[str], supplied: DataFrame | None = None, truth: DataFrame | None = None, settings: Settings = Settings(), provider: Provider | None = None) -> Result:
-    """Repair ``dirty`` (row_id and string columns without nulls, see ``stats.fill``).
-
-    Columns of a group are voted on and, but for each group's first, left alone by the network. ``first_rows`` limits the network's
-    repair to the rows below that id. With a ``provider`` the least confident repairs are checked; with ``truth`` the metrics are there.
-    """
+def infer(dirty: DataFrame, columns: list[str], supplied: DataFrame | None = None, settings: Settings = Settings(), found: Structure | None = None) -> Inferred:
+    """Votes and network repair. ``found``: a structure to use instead of finding one. Columns of a group are voted on and, but for each
+    group's first, left alone by the network. ``first_rows`` limits the network's repair to the rows below that id."""
     s = settings
-    found = find_structure(dirty, supplied, columns, s)
-    voted = consistency.repair_consistency(dirty, found.groups, s.marker).persist()
+    found = found or find_structure(dirty, supplied, columns, s)
+    voted = stored(consistency.repair_consistency(dirty, found.groups, s.marker))
     edges = network.hill_climb(voted, columns, found.edges, s.score_size) if s.use_search and s.method != "supplied_only" else list(found.edges)
     networks = network.local_networks(columns, edges)
     if s.use_weak_filter:
@@ -116,31 +145,92 @@ def clean(dirty: DataFrame, columns: list[str], supplied: DataFrame | None = Non
     skip = set(consistency.repaired_by_groups(found.groups))
     targets = [c for c in columns if c in networks and c not in skip]
     rows = voted.where(F.col("row_id") < s.first_rows) if s.first_rows > 0 else voted
-    how = (rows, networks, columns, targets, voted, s.use_compensation, s.cpd_size, s.marker)
-    repaired, changed, *margins = repair.repair(*how) if provider is None else repair.repair_with_margins(*how)
-    out = Result(found, edges, repaired)
+    repaired, changed, facts = repair.repair_with_facts(rows, networks, columns, targets, voted, s.use_compensation, s.cpd_size, s.marker)
+    return Inferred(found, edges, relations(found.edges, networks), repaired, stored(changed), facts)
+
+
+def check(state: Inferred, columns: list[str], settings: Settings, provider: Provider) -> tuple[DataFrame, DataFrame]:
+    """``check_cells`` on the least confident of the changed cells, as many as the budget allows."""
+    scores = confidence.confidence_scores(state.repaired, stats.cooccurrence(state.repaired, columns), state.structure.edges, columns, state.facts.select("row_id", "attr", "margin"))
+    scores = scores.join(state.changed.select("row_id", "attr"), ["row_id", "attr"], "left_semi")
+    k = confidence.budget(state.repaired.count() * len(columns), settings.check_ratio, settings.check_most, state.changed.count())
+    fixed, log = check_cells(state.repaired, confidence.least_confident(scores, columns, k), state.relations, columns, provider, facts=state.facts)
+    return fixed, stored(log)
+
+
+def repair_counters(changed: DataFrame, log: DataFrame | None = None) -> DataFrame:
+    """One row: cells that inference changed, and of the checked ones how many were asked, applied, and sure to a high or medium degree."""
+    counts = changed.agg(F.count("*").alias("changed"))
+    if log is None:
+        return counts.select("changed", *[F.lit(0).cast("long").alias(c) for c in ("asked", "applied", "high", "medium")])
+    sure = lambda level: F.count_if(F.col("confidence") == level).alias(level)
+    return counts.join(F.broadcast(log.agg(F.count("*").alias("asked"), F.count_if("applied").alias("applied"), sure("high"), sure("medium"))))  # one row each
+
+
+def clean(dirty: DataFrame, columns: list[str], supplied: DataFrame | None = None, truth: DataFrame | None = None, settings: Settings = Settings(), provider: Provider | None = None, found: Structure | None = None) -> Result:
+    """Repair ``dirty`` (row_id and string columns without nulls, see ``stats.fill``): ``infer``, with a ``provider`` ``check``, and with
+    ``truth`` the metrics."""
+    state = infer(dirty, columns, supplied, settings, found)
+    out = Result(state.structure, state.edges, state.repaired)
     if provider is not None:
-        scores = confidence.confidence_scores(repaired, stats.cooccurrence(repaired, columns), found.edges, columns, margins[0]).join(changed.select("row_id", "attr"), ["row_id", "attr"], "left_semi")
-        k = confidence.budget(rows.count() * len(columns), s.check_ratio, s.check_most, changed.count())
-        out.repaired, out.checked = check_cells(repaired, confidence.least_confident(scores, columns, k), found.edges, columns, provider)
+        out.repaired, out.checked = check(state, columns, settings, provider)
+    out.counters = repair_counters(state.changed, out.checked)
     if truth is not None:
         out.metrics = evaluation.evaluate(dirty, out.repaired, truth, columns)
     return out
 
 
+def save_state(cache: TableCache, key: str, state: Inferred) -> None:
+    """Keep an inference as tables, so that its cells can be checked later without it; the table that is saved last makes it count."""
+    known = json.dumps({"nodes": state.structure.nodes, "groups": state.structure.groups, "fixed": state.structure.edges, "edges": state.edges, "relations": state.relations})
+    for name, table in (("changed", state.changed), ("facts", state.facts), ("repaired", state.repaired), ("structure", cache.spark.createDataFrame([(known,)], "known string"))):
+        cache.save("inference", f"{key}-{name}", table)
+
+
+def load_state(cache: TableCache, key: str) -> Inferred | None:
+    """What ``save_state`` kept under the key, or None."""
+    structures = cache.load("inference", f"{key}-structure")
+    if structures is None:
+        return None
+    d = json.loads(structures.first()["known"])
+    pairs = lambda edges: [tuple(e) for e in edges]
+    tables = (cache.load("inference", f"{key}-{name}") for name in ("repaired", "changed", "facts"))
+    return Inferred(Structure(d["nodes"], d["groups"], pairs(d["fixed"])), pairs(d["edges"]), d["relations"], *tables)
+
+
+def _measured(dirty: DataFrame, columns: list[str], supplied: DataFrame) -> tuple[Matrix, Matrix]:
+    """The two matrices that all runs on one table share."""
+    return structure.as_matrix(stats.mu_plus_matrix(dirty, columns)), structure.as_matrix(supplied)
+
+
+def _structure_of(matrices: tuple[Matrix, Matrix], columns: list[str], s: Settings) -> Structure | None:
+    if s.method not in ("hybrid", "hybrid_no_groups"):
+        return None
+    found = structure.construct(*matrices, columns, s.alpha, s.beta)
+    return replace(found, groups=[]) if s.method == "hybrid_no_groups" else found
+
+
 def ablation(dirty: DataFrame, columns: list[str], supplied: DataFrame, truth: DataFrame, base: Settings = Settings()) -> DataFrame:
     """``(part, metric..., f1_loss)``: the metrics with everything, and without each part, against the former."""
     cases = {"all": base, "supplied": replace(base, method="search_only"), "groups": replace(base, method="hybrid_no_groups"), "compensation": replace(base, use_compensation=False), "weak filter": replace(base, use_weak_filter=False)}
-    rows = [{"part": k, **clean(dirty, columns, supplied, truth, s).metrics.first().asDict()} for k, s in cases.items()]
+    dirty = stored(dirty)
+    matrices = _measured(dirty, columns, supplied)
+    rows = [{"part": k, **clean(dirty, columns, supplied, truth, s, found=_structure_of(matrices, columns, s)).metrics.first().asDict()} for k, s in cases.items()]
     return dirty.sparkSession.createDataFrame([r | {"f1_loss": rows[0]["f1"] - r["f1"]} for r in rows])
 
 
 def search_parameters(dirty: DataFrame, columns: list[str], supplied: DataFrame, truth: DataFrame, alphas: list[float], betas: list[float], base: Settings = Settings()) -> DataFrame:
-    """``(place, alpha, beta, f1, error)`` of each pair; one that fails scores 0."""
-    rows = []
+    """``(place, alpha, beta, f1, error)`` of each pair; one that fails scores 0. Pairs that give one structure are run once."""
+    dirty, rows, seen = stored(dirty), [], {}
+    matrices = _measured(dirty, columns, supplied)
     for i, (a, b) in enumerate(product(alphas, betas)):
         try:
-            rows.append((i, a, b, float(clean(dirty, columns, supplied, truth, replace(base, alpha=a, beta=b)).metrics.first()["f1"]), None))
+            s = replace(base, alpha=a, beta=b)
+            found = _structure_of(matrices, columns, s)
+            key = repr(found)
+            if key not in seen:
+                seen[key] = float(clean(dirty, columns, supplied, truth, s, found=found).metrics.first()["f1"])
+            rows.append((i, a, b, seen[key], None))
         except Exception as e:  # noqa: BLE001 - one setting's failure is its result
             rows.append((i, a, b, 0.0, str(e)[:200]))
     return dirty.sparkSession.createDataFrame(rows, "place int, alpha double, beta double, f1 double, error string")
@@ -151,6 +241,6 @@ def best_of(results: DataFrame) -> DataFrame:
     return results.orderBy(F.desc("f1"), "place").limit(1)
 
 
-def sweep_error_ratios(spark: SparkSession, variants: dict[str, DataFrame], columns: list[str], supplied: DataFrame, truth: DataFrame, base: Settings = Settings()) -> DataFrame:
+def sweep_error_ratios(spark: SparkSession, variants: dict[str, DataFrame], columns: list[str], supplied: DataFrame | None, truth: DataFrame, base: Settings = Settings()) -> DataFrame:
     """``(variant, metrics...)`` of several dirty versions of one table."""
     return spark.createDataFrame([{"variant": k, **clean(d, columns, supplied, truth, base).metrics.first().asDict()} for k, d in variants.items()])

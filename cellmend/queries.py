@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +10,8 @@ from cellmend.operators import confidence, consistency, evaluation, network, rep
 from cellmend.operators.network import Local
 from cellmend.operators.stats import MARKER
 from cellmend.plans import cleaning
+from cellmend.sources.results import Results
+from cellmend.sources.scratch import shared_folder
 
 GEO = ["c_nationkey", "n_name", "n_regionkey", "r_name", "c_mktsegment"]
 SMALL = ["n_name", "r_name", "c_mktsegment"]
@@ -91,15 +91,72 @@ def _answers(spark: SparkSession, d: str) -> DataFrame:
     return o.select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("Here:\n```json\n"), body, F.lit("\n```\nDone."))).otherwise(body).alias("raw"))
 
 
+def _shifted(spark: SparkSession, d: str, every: int) -> DataFrame:
+    """``geo`` with one region in so many shifted to the next one."""
+    r = _t(spark, d, "region").select(F.col("r_regionkey").alias("next_key"), F.col("r_name").alias("next_name"))
+    rows = geo(spark, d).join(r, F.col("next_key") == (F.col("n_regionkey").cast("int") + 1) % 5)
+    return rows.withColumn("r_name", F.when(F.col("row_id") % every == 3, F.col("next_name")).otherwise(F.col("r_name"))).select("row_id", *SMALL)
+
+
 def _sweep(spark: SparkSession, d: str) -> DataFrame:
-    truth = geo(spark, d).select("row_id", *SMALL)
-    parts = []
+    variants = {str(every): _shifted(spark, d, every) for every in (10, 20, 40)}
+    settings = cleaning.Settings(method="edges", edges=tuple(EDGES), use_search=False, use_weak_filter=False)
+    swept = cleaning.sweep_error_ratios(spark, variants, SMALL, None, geo(spark, d).select("row_id", *SMALL), settings)
+    return swept.select(F.col("variant").cast("int").alias("every"), "errors", "correct", F.round("f1", 6).alias("f1"))
+
+
+def _kept(spark: SparkSession, d: str) -> Results:
+    """The votes' metrics on three tables of more and fewer errors, as experiments of two data sets."""
+    store = Results(spark, f"{shared_folder(spark)}/results")
     for every in (10, 20, 40):
-        r = _t(spark, d, "region").select(F.col("r_regionkey").alias("next_key"), F.col("r_name").alias("next_name"))
-        shifted = geo(spark, d).join(r, F.col("next_key") == (F.col("n_regionkey").cast("int") + 1) % 5).withColumn("r_name", F.when(F.col("row_id") % every == 3, F.col("next_name")).otherwise(F.col("r_name"))).select("row_id", *SMALL)
-        fixed = repair.repair(shifted, NETS, SMALL, ["r_name"])[0]
-        parts.append(evaluation.evaluate(shifted, fixed, truth, SMALL).select(F.lit(every).alias("every"), "errors", "correct", F.round("f1", 6).alias("f1")))
-    return reduce(DataFrame.unionByName, parts)
+        rows = _shifted(spark, d, every)
+        metrics = evaluation.evaluate(rows, consistency.repair_consistency(rows, [EDGES[0]]), geo(spark, d).select("row_id", *SMALL), SMALL)
+        store.save(f"ratio-{every}", "customers", metrics)
+        store.save(f"ratio-{every}", "nothing", metrics.withColumn("f1", F.lit(0.0)))
+    return store
+
+
+def _exported(spark: SparkSession, d: str) -> DataFrame:
+    """A result table written as CSV and read again."""
+    store = _kept(spark, d)
+    path = f"{shared_folder(spark)}/export"
+    store.export("ratio-20", path)
+    return spark.read.option("header", True).schema(store.load("ratio-20").schema).csv(path).select("dataset", "errors", "attempts", "correct", F.round("f1", 6).alias("f1"))
+
+
+WIDE = [*GEO, "n_first", "n_length", "r_first", "r_length", "s_first", "s_length", "balance", "sign", "third", "fifth"]
+WIDE_EDGES = [("n_name", "r_name"), ("n_name", "n_regionkey"), ("n_name", "n_first"), ("n_name", "n_length"), ("r_name", "r_first"), ("c_mktsegment", "s_first"), ("s_first", "s_length"), ("balance", "sign"), ("n_name", "c_nationkey")]
+WIDE_TARGETS = ["n_name", "r_name", "n_length", "s_first", "sign"]
+
+
+def wide(spark: SparkSession, d: str) -> DataFrame:
+    """``dirty`` with ten more columns made of its own and of the balance."""
+    balance = _t(spark, d, "customer").select(F.col("c_custkey").alias("row_id"), F.col("c_acctbal"))
+    made = {"n_first": F.left("n_name", F.lit(1)), "n_length": F.length("n_name"), "r_first": F.left("r_name", F.lit(1)), "r_length": F.length("r_name"), "s_first": F.left("c_mktsegment", F.lit(1)), "s_length": F.length("c_mktsegment"), "balance": F.floor(F.col("c_acctbal") / 1000), "sign": F.when((F.col("c_acctbal") < 0) != (F.col("row_id") % 30 == 4), "-").otherwise("+"), "third": F.col("row_id") % 3, "fifth": F.col("row_id") % 5}
+    return stats.fill(dirty(spark, d).join(balance, "row_id").withColumns(made), WIDE)
+
+
+def _repaired_wide(spark: SparkSession, d: str) -> DataFrame:
+    return repair.repair(wide(spark, d), network.local_networks(WIDE, WIDE_EDGES), WIDE, WIDE_TARGETS)[0].select("row_id", *WIDE_TARGETS)
+
+
+def _facts(spark: SparkSession, d: str) -> DataFrame:
+    return repair.repair_with_facts(dirty(spark, d).select("row_id", *SMALL), NETS, SMALL, ["r_name"])[2]
+
+
+def _weak(spark: SparkSession, d: str) -> DataFrame:
+    kept = network.filter_weak(NETS, structure.as_matrix(stats.mu_plus_matrix(dirty(spark, d), SMALL)))
+    return spark.createDataFrame([(c, c in kept) for c in SMALL], "node string, kept boolean")
+
+
+def _checked(spark: SparkSession, d: str) -> DataFrame:
+    """What the offline provider says to every cell that the repair changed."""
+    fixed, changed, facts = repair.repair_with_facts(dirty(spark, d).select("row_id", *SMALL), NETS, SMALL, ["r_name"])
+    return cleaning.check_cells(fixed, changed, cleaning.relations(EDGES, NETS), SMALL, facts=facts)[1].drop("error")
+
+
+def _counters(spark: SparkSession, d: str) -> DataFrame:
+    return cleaning.repair_counters(repair.repair(dirty(spark, d).select("row_id", *SMALL), NETS, SMALL, ["r_name"])[1], _checked(spark, d))
 
 
 def _structure(spark: SparkSession, d: str) -> DataFrame:
@@ -108,8 +165,10 @@ def _structure(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "kind string, place int, columns string")
 
 
-_RESULTS = [("a", 0.9, 0.5), ("b", 0.7, 0.9), ("c", 0.8, 0.4)]
-_TRIALS = [(0, 0.05, 0.1, 0.6), (1, 0.1, 0.1, 0.8), (2, 0.15, 0.1, 0.8), (3, 0.2, 0.1, 0.0)]
+def _trials(spark: SparkSession, d: str) -> DataFrame:
+    """Results of three tables as trials, the errors' ratio as their parameter."""
+    return _kept(spark, d).all().where("dataset = 'customers'").select(F.regexp_extract("experiment", "[0-9]+", 0).cast("int").alias("place"), F.col("f1"))
+
 
 QUERIES = {
     "mu_plus_matrix": lambda s, d: _rounded(stats.mu_plus_matrix(dirty(s, d), GEO), "score"),
@@ -140,7 +199,7 @@ QUERIES = {
     "llm_only_edges": lambda s, d: structure.supplied_edges(supplied(s)),
     "structure_construct": lambda s, d: _structure(s, d),
     "hill_climb_edges": lambda s, d: s.createDataFrame(network.hill_climb(dirty(s, d).select("row_id", *SMALL).cache(), SMALL, EDGES), "parent string, child string"),
-    "weak_partition_filter": lambda s, d: stats.mu_plus_matrix(dirty(s, d), SMALL).where(((F.col("lhs") == "r_name") & (F.col("rhs") == "n_name")) | ((F.col("lhs") == "n_name") & (F.col("rhs") == "r_name"))).select(F.col("rhs").alias("node"), (F.col("score") >= 0.25).alias("kept")),
+    "weak_partition_filter": _weak,
     "bdeu_family_score": lambda s, d: _rounded(network.family_score(dirty(s, d), "r_name", ["n_name"], network.cardinalities(dirty(s, d), ["n_name", "r_name"])), "score", places=4),
     "cpd_bdeu": lambda s, d: _rounded(network.conditional(dirty(s, d), "r_name", ["n_name"], network.cardinalities(dirty(s, d), ["n_name", "r_name"])), "p"),
     "compensation": lambda s, d: _rounded(_candidates(s, d), "penalty").select("row_id", "val", "penalty"),
@@ -148,20 +207,28 @@ QUERIES = {
     "repair_single_column": lambda s, d: _repaired(s, d, ["r_name"]).select("row_id", "r_name"),
     "repair_sequential": lambda s, d: _repaired(s, d, ["n_name", "r_name"]),
     "repair_log": lambda s, d: repair.repair(dirty(s, d).select("row_id", *SMALL), NETS, SMALL, ["r_name"])[1],
-    "query_context": lambda s, d: dirty(s, d).select("row_id", *SMALL).join(_candidates(s, d).where("val = 'ASIA'").select("row_id", "val", "probability"), "row_id").select("row_id", repair.query_context(Local("r_name", ("n_name",), ())).alias("context")),
+    "query_context": lambda s, d: _facts(s, d).select("row_id", "context"),
     "max_second_max": lambda s, d: _rounded(confidence.best_two(_candidates(s, d), ["row_id", "attr"]), "first", "second").select("row_id", "first", "second"),
     "pro_map": lambda s, d: _rounded(confidence.min_max(_margins(s, d), "margin", ["attr"], 0.0), "margin").select("row_id", "margin"),
     "confidence_scores": lambda s, d: _rounded(_scores(s, d), "score"),
     "low_confidence_bottom_k": lambda s, d: confidence.least_confident(_rounded(_scores(s, d), "score"), SMALL, 50),
     "cell_diff": lambda s, d: evaluation.cell_diff(dirty(s, d), consistency.repair_consistency(dirty(s, d), [["n_regionkey", "r_name"]]), geo(s, d), GEO),
     "evaluation_metrics": lambda s, d: _rounded(evaluation.evaluate(dirty(s, d), consistency.repair_consistency(dirty(s, d), [["n_regionkey", "r_name"]]), geo(s, d), GEO), "precision", "recall", "f1", "detection_rate", "repair_accuracy"),
-    "experiment_summary": lambda s, d: _rounded(evaluation.summarise(s.createDataFrame(_RESULTS, "dataset string, precision double, recall double"), ["precision", "recall"]), "mean", "std"),
-    "best_of_experiments": lambda s, d: cleaning.best_of(s.createDataFrame(_TRIALS, "place int, alpha double, beta double, f1 double")),
+    "experiment_summary": lambda s, d: _rounded(_kept(s, d).summary("ratio-20"), "mean", "std"),
+    "best_of_experiments": lambda s, d: _rounded(cleaning.best_of(_trials(s, d)), "f1"),
     "json_fix": lambda s, d: _answers(s, d).select("o_orderkey", fix_json(F.col("raw")).alias("fixed")),
     "model_short_name": lambda s, d: _t(s, d, "supplier").select("s_suppkey", short_name(F.concat(F.lit("host/group/"), F.col("s_name"))).alias("short")),
     "head_n": lambda s, d: geo(s, d).where("row_id < 100"),
     "error_ratio_sweep": _sweep,
-    "llm_stub_clean": lambda s, d: cleaning.check_cells(dirty(s, d).select("row_id", *SMALL), dirty(s, d).where("row_id % 20 = 3").select("row_id", F.lit("r_name").alias("attr")), EDGES, SMALL)[1].drop("error"),
+    "llm_stub_clean": _checked,
+    "repair_wide": _repaired_wide,
+    "repair_facts": lambda s, d: _rounded(_facts(s, d), "probability", "margin").drop("context"),
+    "repair_counters": _counters,
+    "table_hash": lambda s, d: stats.table_hash(dirty(s, d)),
+    "results_by_f1": lambda s, d: _rounded(_kept(s, d).by_f1().select("experiment", "dataset", "f1"), "f1"),
+    "results_recent": lambda s, d: _rounded(_kept(s, d).recent(2), "mean_f1"),
+    "results_latest": lambda s, d: s.createDataFrame([(_kept(s, d).latest(),)], "experiment string"),
+    "results_export": _exported,
     "pipeline_clean": lambda s, d: cleaning.clean(dirty(s, d), GEO, supplied(s), geo(s, d), provider=cleaning.keep_all).metrics,
 }
 
@@ -263,11 +330,38 @@ _DIFF = "(" + " UNION ALL ".join(f"SELECT d.row_id, '{c}' AS attr, d.{c} AS dirt
 _FLAGS = f"(SELECT *, dirty <> truth AS is_error, dirty <> repaired AS is_attempt, dirty <> truth AND dirty <> repaired AND repaired = truth AS is_correct FROM {_DIFF} WHERE dirty <> truth OR dirty <> repaired)"
 
 
+def _shifted_sql(every: int) -> str:
+    return f"SELECT geo.row_id, n_name, CASE WHEN geo.row_id % {every} = 3 THEN x.r_name ELSE geo.r_name END AS r_name, c_mktsegment FROM geo JOIN region AS x ON x.r_regionkey = (CAST(n_regionkey AS INT) + 1) % 5"
+
+
+def _metrics_sql(rows: str, fixed: str) -> str:
+    """errors, attempts, correct, f1 over the columns of SMALL."""
+    cells = " UNION ALL ".join(f"SELECT d.{c} AS d, r.{c} AS r, t.{c} AS t FROM ({rows}) AS d JOIN ({fixed}) AS r USING (row_id) JOIN geo AS t USING (row_id)" for c in SMALL)
+    inner = f"SELECT count(*) FILTER (WHERE d <> t) AS errors, count(*) FILTER (WHERE d <> r) AS attempts, count(*) FILTER (WHERE d <> t AND d <> r AND r = t) AS correct FROM ({cells})"
+    return f"SELECT *, CASE WHEN correct = 0 THEN 0 ELSE 2.0 * correct / (attempts + errors) END AS f1, coalesce(correct / nullif(attempts, 0), 0) AS precision, coalesce(correct / nullif(errors, 0), 0) AS recall, coalesce(attempts / nullif(errors, 0), 0) AS detection_rate FROM ({inner})"
+
+
 def _sweep_sql(every: int) -> str:
-    rows = f"(SELECT geo.row_id, n_name, CASE WHEN geo.row_id % {every} = 3 THEN x.r_name ELSE geo.r_name END AS r_name, c_mktsegment FROM geo JOIN region AS x ON x.r_regionkey = (CAST(n_regionkey AS INT) + 1) % 5)"
-    best = _best_sql(_repair_sql(rows, rows, "r_name", ["n_name"], [], SMALL))
-    inner = f"SELECT count(*) FILTER (WHERE d.r_name <> t.r_name) AS e, count(*) FILTER (WHERE d.r_name <> b.val) AS a, count(*) FILTER (WHERE d.r_name <> t.r_name AND d.r_name <> b.val AND b.val = t.r_name) AS c FROM {rows} AS d JOIN geo AS t USING (row_id) JOIN ({best}) AS b USING (row_id)"
-    return f"SELECT {every} AS every, e AS errors, c AS correct, round(CASE WHEN c = 0 THEN 0 ELSE 2.0 * c / (a + e) END, 6) AS f1 FROM ({inner})"
+    rows = f"({_shifted_sql(every)})"
+    step = f"(SELECT d.row_id, coalesce(b.val, n_name) AS n_name, r_name, c_mktsegment FROM {rows} AS d LEFT JOIN ({_best_sql(_repair_sql(rows, rows, 'n_name', [], ['r_name'], SMALL))}) AS b USING (row_id))"
+    fixed = f"SELECT d.row_id, n_name, coalesce(b.val, r_name) AS r_name, c_mktsegment FROM {step} AS d LEFT JOIN ({_best_sql(_repair_sql(step, rows, 'r_name', ['n_name'], [], SMALL))}) AS b USING (row_id)"
+    return f"SELECT {every} AS every, errors, correct, round(f1, 6) AS f1 FROM ({_metrics_sql(rows, fixed)})"
+
+
+_KEPT = ", " + ", ".join(f"sh{e} AS ({_shifted_sql(e)}), vo{e} AS ({_group_repair(list(EDGES[0]), SMALL, f'sh{e}')}), me{e} AS ({_metrics_sql(f'SELECT * FROM sh{e}', f'SELECT * FROM vo{e}')})" for e in (10, 20, 40)) + ", kept AS (" + " UNION ALL ".join(f"SELECT 'ratio-{e}' AS experiment, '{d}' AS dataset, errors, attempts, correct, {f} AS f1, precision, recall, detection_rate FROM me{e}" for e in (10, 20, 40) for d, f in (("customers", "f1"), ("nothing", "0.0"))) + ")"
+_CHECKED = f"SELECT dirty.row_id, 'r_name' AS attr, b.val AS original, b.val AS corrected, 'low' AS confidence, 'offline' AS reasoning, false AS applied, true AS success FROM dirty JOIN ({_best_sql(_REGION)}) AS b USING (row_id) WHERE r_name <> b.val"
+_FACTS = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY round(penalty * probability, 12) DESC, pos) AS p FROM ({_REGION}) WHERE val <> '{MARKER}') WHERE p = 1)"
+
+
+def _wide_sql() -> str:
+    made = "left(n_name, 1) AS n_first, CAST(length(n_name) AS VARCHAR) AS n_length, left(r_name, 1) AS r_first, CAST(length(r_name) AS VARCHAR) AS r_length, left(d.c_mktsegment, 1) AS s_first, CAST(length(d.c_mktsegment) AS VARCHAR) AS s_length, CAST(CAST(floor(c_acctbal / 1000) AS BIGINT) AS VARCHAR) AS balance, CASE WHEN (c_acctbal < 0) <> (row_id % 30 = 4) THEN '-' ELSE '+' END AS sign, CAST(row_id % 3 AS VARCHAR) AS third, CAST(row_id % 5 AS VARCHAR) AS fifth"
+    ctes, last = [f"w0 AS MATERIALIZED (SELECT d.*, {made} FROM dirty AS d JOIN customer ON c_custkey = row_id)"], "w0"
+    for i, t in enumerate(WIDE_TARGETS):
+        parents, children = ([a for a, b in WIDE_EDGES if b == t], [b for a, b in WIDE_EDGES if a == t])
+        best = _best_sql(_repair_sql(last, "w0", t, parents, children, WIDE))
+        ctes.append(f"w{i + 1} AS MATERIALIZED (SELECT d.* REPLACE (coalesce(b.val, d.{t}) AS {t}) FROM {last} AS d LEFT JOIN ({best}) AS b USING (row_id))")
+        last = f"w{i + 1}"
+    return f", {', '.join(ctes)} SELECT row_id, {', '.join(WIDE_TARGETS)} FROM {last}"
 
 
 def _r(*columns: str) -> str:
@@ -303,7 +397,7 @@ SQL = {
         "fd_best_parent": f"SELECT rhs, lhs AS parent, {_r('score')} FROM (SELECT *, row_number() OVER (PARTITION BY rhs ORDER BY score DESC, list_position({GEO}, lhs)) AS p FROM {_POSITIVE}) WHERE p = 1",
         "row_distance": f"SELECT x.lhs AS a, y.lhs AS b, round(sqrt(sum(pow(x.score - y.score, 2))), 6) AS distance FROM {_MATRIX} AS x JOIN {_MATRIX} AS y ON x.rhs = y.rhs AND x.lhs <> y.lhs GROUP BY ALL",
         "llm_only_edges": f"SELECT lhs AS parent, rhs AS child FROM ({_SURE}) WHERE score > 0.5",
-        "weak_partition_filter": f"SELECT 'n_name' AS node, greatest(0.0, mu) >= 0.25 AS kept FROM ({_mu(['r_name'], 'n_name', 'dirty')}) UNION ALL SELECT 'r_name', greatest(0.0, mu) >= 0.25 FROM ({_mu(['n_name'], 'r_name', 'dirty')})",
+        "weak_partition_filter": f"SELECT 'n_name' AS node, greatest(0.0, mu) >= 0.25 AS kept FROM ({_mu(['r_name'], 'n_name', 'dirty')}) UNION ALL SELECT 'r_name', greatest(0.0, mu) >= 0.25 FROM ({_mu(['n_name'], 'r_name', 'dirty')}) UNION ALL SELECT 'c_mktsegment', true",
         "bdeu_family_score": ", q AS (SELECT 50.0 / count(DISTINCT n_name) AS aj, 50.0 / (count(DISTINCT n_name) * count(DISTINCT r_name)) AS ak FROM dirty) SELECT round((SELECT sum(lgamma(n + ak) - lgamma(ak)) FROM (SELECT count(*) AS n FROM dirty GROUP BY n_name, r_name), q) - (SELECT sum(lgamma(n + aj) - lgamma(aj)) FROM (SELECT count(*) AS n FROM dirty GROUP BY n_name), q), 4) AS score",
         "cpd_bdeu": "SELECT n_name, r_name, round((n + 5.0 / ((SELECT count(DISTINCT n_name) FROM dirty) * (SELECT count(DISTINCT r_name) FROM dirty))) / (sum(n) OVER (PARTITION BY n_name) + 5.0 / (SELECT count(DISTINCT n_name) FROM dirty)), 6) AS p FROM (SELECT n_name, r_name, count(*) AS n FROM dirty GROUP BY ALL)",
         "compensation": f"SELECT row_id, val, {_r('penalty')} FROM ({_REGION})",
@@ -311,18 +405,27 @@ SQL = {
         "repair_single_column": f"SELECT row_id, val AS r_name FROM ({_best_sql(_REGION)})",
         "repair_sequential": f"{_STEP} SELECT step.row_id, n_name, coalesce(b.val, r_name) AS r_name, c_mktsegment FROM step LEFT JOIN ({_best_sql(_repair_sql('step', 'dirty', 'r_name', ['n_name'], [], SMALL))}) AS b USING (row_id)",
         "repair_log": f"SELECT dirty.row_id, 'r_name' AS attr, r_name AS old, b.val AS new FROM dirty JOIN ({_best_sql(_REGION)}) AS b USING (row_id) WHERE r_name <> b.val",
-        "query_context": f"SELECT dirty.row_id, 'r_name=ASIA' || CASE WHEN n_name = '{MARKER}' THEN ' on its own' ELSE ' given n_name=' || n_name END || ': ' || printf('%.1f%%', probability * 100) AS context FROM dirty JOIN ({_REGION}) AS c USING (row_id) WHERE val = 'ASIA'",
+        "query_context": f"SELECT dirty.row_id, 'r_name=' || val || CASE WHEN n_name = '{MARKER}' THEN ' on its own' ELSE ' given n_name=' || n_name END || ': ' || printf('%.1f%%', probability * 100) AS context FROM dirty JOIN {_FACTS} AS c USING (row_id)",
         "max_second_max": f"SELECT row_id, {_r('first', 'second')} FROM {_FIRST_SECOND}",
         "pro_map": f"SELECT row_id, {_r('margin')} FROM {_SCALED}",
         "confidence_scores": f"SELECT row_id, attr, {_r('score')} FROM {_SCORES}",
         "low_confidence_bottom_k": f"SELECT row_id, attr, {_r('score')} FROM {_SCORES} ORDER BY round(score, 6), row_id, list_position({SMALL}, attr) LIMIT 50",
         "cell_diff": f", fixed AS ({_FIXED}) SELECT * FROM {_FLAGS}",
         "evaluation_metrics": f", fixed AS ({_FIXED}), k AS (SELECT count(*) FILTER (WHERE is_error) AS errors, count(*) FILTER (WHERE is_attempt) AS attempts, count(*) FILTER (WHERE is_correct) AS correct, count(*) FILTER (WHERE is_error AND NOT is_attempt) AS missed, count(*) FILTER (WHERE is_attempt AND NOT is_correct) AS wrong FROM {_FLAGS}), m AS (SELECT *, coalesce(correct / nullif(attempts, 0), 0) AS precision, coalesce(correct / nullif(errors, 0), 0) AS recall, coalesce(attempts / nullif(errors, 0), 0) AS detection_rate FROM k) SELECT errors, attempts, correct, missed, wrong, {_r('precision', 'recall', 'detection_rate')}, round(precision, 6) AS repair_accuracy, round(coalesce(2 * precision * recall / nullif(precision + recall, 0), 0), 6) AS f1 FROM m",
-        "experiment_summary": f", e(d, p, r) AS (VALUES {', '.join(map(str, _RESULTS))}) SELECT 'precision' AS metric, round(avg(p), 6) AS mean, round(stddev_samp(p), 6) AS std FROM e UNION ALL SELECT 'recall', round(avg(r), 6), round(stddev_samp(r), 6) FROM e",
-        "best_of_experiments": f", e(place, alpha, beta, f1) AS (VALUES {', '.join(map(str, _TRIALS))}) SELECT CAST(place AS INTEGER) AS place, CAST(alpha AS DOUBLE) AS alpha, CAST(beta AS DOUBLE) AS beta, CAST(f1 AS DOUBLE) AS f1 FROM e ORDER BY f1 DESC, place LIMIT 1",
+        "experiment_summary": _KEPT + " " + " UNION ALL ".join(f"SELECT '{m}' AS metric, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std FROM kept WHERE experiment = 'ratio-20'" for m, c in (("precision", "precision"), ("recall", "recall"), ("f1", "f1"), ("detection_rate", "detection_rate"), ("repair_accuracy", "precision"))),
+        "best_of_experiments": _KEPT + " SELECT CAST(substr(experiment, 7) AS INTEGER) AS place, round(f1, 6) AS f1 FROM kept WHERE dataset = 'customers' ORDER BY kept.f1 DESC, place LIMIT 1",
         "json_fix": "SELECT o_orderkey, '{\"corrected\": \"' || o_orderkey || '\", \"confidence\": \"high\"}' AS fixed FROM orders",
         "model_short_name": "SELECT s_suppkey, s_name AS short FROM supplier",
         "head_n": "SELECT * FROM geo WHERE row_id < 100",
+        "llm_stub_clean": _CHECKED,
+        "repair_wide": _wide_sql(),
+        "repair_facts": f"SELECT row_id, 'r_name' AS attr, val, {_r('probability', 'margin')} FROM {_FACTS} JOIN {_MARGIN} USING (row_id)",
+        "repair_counters": f", c AS ({_CHECKED}) SELECT count(*) AS changed, count(*) AS asked, 0::BIGINT AS applied, 0::BIGINT AS high, 0::BIGINT AS medium FROM c",
+        "table_hash": f", h AS (SELECT CAST('0x' || substr(md5(concat_ws(chr(1), row_id, {', '.join(GEO)})), 1, 15) AS BIGINT) AS h FROM dirty) SELECT substr(md5(concat_ws('-', bit_xor(h), CAST(sum(h % 2147483648) AS BIGINT), count(*))), 1, 12) AS hash FROM h",
+        "results_by_f1": _KEPT + " SELECT experiment, dataset, round(f1, 6) AS f1 FROM kept",
+        "results_recent": _KEPT + " SELECT experiment, count(*) AS datasets, round(avg(f1), 6) AS mean_f1 FROM kept GROUP BY experiment ORDER BY experiment DESC LIMIT 2",
+        "results_latest": "SELECT 'ratio-40' AS experiment",
+        "results_export": _KEPT + " SELECT dataset, errors, attempts, correct, round(f1, 6) AS f1 FROM kept WHERE experiment = 'ratio-20'",
         "error_ratio_sweep": " UNION ALL ".join(_sweep_sql(k) for k in (10, 20, 40)),
     }.items()
 }

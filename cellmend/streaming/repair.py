@@ -7,13 +7,16 @@ from pyspark.sql.streaming import StreamingQuery
 
 from cellmend.operators.network import Local
 from cellmend.operators.repair import repair
+from cellmend.operators.stats import Counts
 
 
 def repair_stream(arriving: DataFrame, train: DataFrame, networks: dict[str, Local], columns: list[str], path: str, checkpoint: str, **options) -> StreamingQuery:
     """Append the repaired rows of a streaming table to Parquet at ``path``. ``train`` (a stored table) gives the counts."""
 
+    counts = Counts(train, columns)  # once for all batches
+
     def batch(rows: DataFrame, number: int) -> None:
-        repaired, _ = repair(rows, networks, columns, train=train, **options)
+        repaired, _ = repair(rows, networks, columns, train=train, counts=counts, **options)
         repaired.write.mode("overwrite").parquet(f"{path}/batch={number}")  # a batch that runs again replaces its own output
 
     return arriving.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

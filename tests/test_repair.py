@@ -4,6 +4,7 @@ import json
 import math
 from collections import Counter
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from cellmend.functions import text
 from cellmend.operators import confidence, consistency, evaluation, network, repair, stats, structure
 from cellmend.operators.stats import MARKER
 from cellmend.plans import cleaning
-from cellmend.sources import tables
+from cellmend.sources import results, tables
 from cellmend.streaming.repair import repair_stream
 
 COLUMNS = ["A", "B", "C"]
@@ -223,14 +224,14 @@ def test_checked_cells(spark, worked):
         return cells["value"].map(lambda v: json.dumps({"corrected": "b1", "confidence": "high"}) if v == "b2" else "broken")
 
     chosen = spark.createDataFrame([(2, "B"), (5, "B"), (99, "B"), (2, "none")], "row_id long, attr string")
-    fixed, log = cleaning.check_cells(worked, chosen, [], COLUMNS, sure)
+    fixed, log = cleaning.check_cells(worked, chosen, {}, COLUMNS, sure)
     assert {r["row_id"]: r["B"] for r in fixed.collect()}[2] == "b1" and fixed.count() == 6
     assert {(r["row_id"], r["applied"]) for r in log.collect()} == {(2, True), (5, False)}
 
     def failing(cells):
         raise RuntimeError("down")
 
-    fixed, log = cleaning.check_cells(worked, chosen, [], COLUMNS, failing, tries=2)
+    fixed, log = cleaning.check_cells(worked, chosen, {}, COLUMNS, failing, tries=2)
     assert {r["error"] for r in log.collect()} == {"down"} and fixed.exceptAll(worked).count() == 0
 
 
@@ -270,3 +271,112 @@ def test_cleaning_and_stream(spark, tmp_path):
     query = repair_stream(spark.readStream.schema(dirty.schema).parquet(train), spark.read.parquet(train), nets, ["K", "V", "S"], f"{tmp_path}/out", f"{tmp_path}/state")
     query.awaitTermination()
     assert {r["V"] for r in spark.read.parquet(f"{tmp_path}/out").where("K = 'k1'").collect()} == {"v1"}
+
+
+def test_state_results_and_sinks(spark, tmp_path):
+    rows = [(i, f"k{i % 4}", f"v{i % 4}" if i % 17 != 3 else "v9") for i in range(80)]
+    dirty = spark.createDataFrame(rows, "row_id long, K string, V string")
+    truth = dirty.withColumn("V", F.concat(F.lit("v"), (F.col("row_id") % 4).cast("string")))
+    settings = cleaning.Settings(method="edges", edges=(("K", "V"),), use_search=False, use_weak_filter=False, check_ratio=0.02)
+    cache = tables.TableCache(spark, f"{tmp_path}/cache")
+    assert cleaning.load_state(cache, "one") is None
+    state = cleaning.infer(dirty, ["K", "V"], settings=settings)
+    cleaning.save_state(cache, "one", state)
+    again = cleaning.load_state(cache, "one")
+    assert (again.structure, again.edges, again.relations) == (state.structure, state.edges, {"K": ["V"], "V": ["K"]})
+    seen = []
+
+    def sure(cells):
+        seen.extend(cells.to_dict("records"))
+        return cells["value"].map(lambda v: json.dumps({"corrected": v + "!", "confidence": "high"}))
+
+    monkey = cleaning.check(again, ["K", "V"], settings, sure)
+    log = monkey[1]
+    changed = {(r["row_id"], r["attr"]): r["new"] for r in state.changed.collect()}
+    assert log.count() == 3 and all(r["applied"] and r["original"] == changed[r["row_id"], r["attr"]] for r in log.collect())
+    counters = cleaning.repair_counters(again.changed, log).first()
+    assert (counters["changed"], counters["asked"], counters["applied"], counters["high"], counters["medium"]) == (len(changed), 3, 3, 3, 0)
+    assert cleaning.repair_counters(again.changed).first()["asked"] == 0
+    facts = {(r["row_id"], r["attr"]): r for r in again.facts.collect()}
+    fact = facts[3, "V"]
+    assert fact["val"] == "v3" and fact["context"] == f"V=v3 given K=k3: {100 * fact['probability']:.1f}%"
+
+    metrics = evaluation.evaluate(dirty, state.repaired, truth, ["K", "V"])
+    f1 = metrics.first()["f1"]
+    assert 0 < f1 < 1
+    store = results.Results(spark, f"{tmp_path}/results")
+    assert store.all() is None and store.latest() is None and store.recent() is None and store.load("x") is None
+    with pytest.raises(ValueError, match="no results"):
+        store.export("x", f"{tmp_path}/none")
+    for name, frame in (("20260102", metrics), ("20260101", metrics.withColumn("f1", F.lit(0.05)))):
+        store.save(name, "shop", frame, {"alpha": 0.1})
+    store.save("20260101", "farm", metrics.withColumn("f1", F.lit(0.15)))
+    assert store.latest() == "20260101" and [r["experiment"] for r in store.by_f1().collect()] == ["20260102", "20260101", "20260101"]
+    assert [(r["experiment"], r["datasets"], r["mean_f1"]) for r in store.recent().collect()] == [("20260102", 1, f1), ("20260101", 2, 0.1)]
+    assert store.recent(1).count() == 1 and json.loads(store.load("20260102", "shop").first()["settings"]) == {"alpha": 0.1}
+    spread = {r["metric"]: (r["mean"], round(r["std"], 6)) for r in store.summary("20260101").collect()}
+    assert spread["f1"] == (0.1, 0.070711) and store.summary("none") is None
+    store.export("20260101", f"{tmp_path}/csv")
+    store.export("20260101", f"{tmp_path}/json", "json")
+    assert spark.read.option("header", True).csv(f"{tmp_path}/csv").count() == spark.read.json(f"{tmp_path}/json").count() == 2
+    results.save_repaired(state.repaired, ["K", "V"], f"{tmp_path}/repaired")
+    assert spark.read.option("header", True).csv(f"{tmp_path}/repaired").columns == ["K", "V"]
+    results.save_evaluation(metrics, evaluation.cell_diff(dirty, state.repaired, truth, ["K", "V"]), f"{tmp_path}/evaluation")
+    assert spark.read.json(f"{tmp_path}/evaluation/cells").count() == len(changed) and spark.read.json(f"{tmp_path}/evaluation/metrics").first()["f1"] == f1
+
+
+def test_questions_hold_relations_and_inference(spark, worked):
+    asked = []
+
+    def provider(cells):
+        return cells.apply(lambda r: json.dumps({"corrected": "|".join((r["related"], r["inference"], r["question"][:8])), "confidence": "medium"}), axis=1)
+
+    chosen = spark.createDataFrame([(2, "B"), (3, "C")], "row_id long, attr string")
+    facts = spark.createDataFrame([(2, "B", "B=b1 given A=a1: 50.0%")], "row_id long, attr string, context string")
+    related = cleaning.relations([("A", "B")], network.local_networks(COLUMNS, [("A", "B"), ("C", "B")]))
+    assert related == {"A": ["B"], "B": ["A", "C"], "C": ["B"]}
+    fixed, log = cleaning.check_cells(worked, chosen, related | {"C": []}, COLUMNS, provider, facts=facts)
+    got = {(r["row_id"], r["attr"]): r["corrected"] for r in log.collect()}
+    assert got == {(2, "B"): "A=a1; C=c1|B=b1 given A=a1: 50.0%|Column B", (3, "C"): "A=a2; B=b2; C=c2||Column C"} and not asked
+    assert fixed.where("row_id = 3").first()["C"].startswith("A=a2")
+
+
+def test_experiments(spark):
+    rows = [(i, f"k{i % 4}", f"v{i % 4}" if i % 17 != 3 else "v9") for i in range(80)]
+    dirty = spark.createDataFrame(rows, "row_id long, K string, V string")
+    truth = dirty.withColumn("V", F.concat(F.lit("v"), (F.col("row_id") % 4).cast("string")))
+    given = spark.createDataFrame([("K", "V", 0.9), ("V", "K", -0.8)], "lhs string, rhs string, score double")
+    plain = cleaning.Settings(use_search=False)
+    parts = {r["part"]: r for r in cleaning.ablation(dirty, ["K", "V"], given, truth, plain).collect()}
+    best = parts["all"]["f1"]
+    assert best > 0.3 and parts["all"]["f1_loss"] == 0.0 and parts["supplied"]["f1_loss"] == best and parts["groups"]["f1_loss"] == 0.0
+    found = cleaning.search_parameters(dirty, ["K", "V"], given, truth, [0.05, 0.1], [0.1, None], plain).collect()
+    assert [(r["place"], r["f1"]) for r in found] == [(0, best), (1, 0.0), (2, best), (3, 0.0)] and found[1]["error"]
+    assert cleaning.best_of(spark.createDataFrame(found)).first()["place"] == 0
+    swept = {r["variant"]: r["f1"] for r in cleaning.sweep_error_ratios(spark, {"dirty": dirty, "clean": truth}, ["K", "V"], given, truth, plain).collect()}
+    assert swept == {"dirty": best, "clean": 0.0}
+
+
+def test_plans_of_wide_repairs_stay_short(spark):
+    columns = [f"c{i:02d}" for i in range(15)]
+    rng = random.Random(7)
+    df = spark.createDataFrame([(i, *[f"v{rng.randrange(3)}" for _ in columns]) for i in range(30)], "row_id long, " + ", ".join(f"{c} string" for c in columns))
+    nets = network.local_networks(columns, [(columns[i], columns[i + 1]) for i in range(14)])
+    began = time.time()
+    fixed = repair.repair(df, nets, columns, columns[:4])[0]
+    assert fixed.count() == 30
+    lines = fixed._jdf.queryExecution().optimizedPlan().toString().count("\n")
+    assert lines < 30 and time.time() - began < 120
+    voted = consistency.repair_consistency(df, [columns[:5], columns[5:8], columns[8:]])
+    assert voted._jdf.queryExecution().optimizedPlan().toString().count("\n") < 60
+
+
+def test_answers_and_environment(spark, monkeypatch):
+    cases = {'{"a": 1 , \n }': '{"a": 1  \n }', "[1,2,]": "[1,2]", "say ```json\n [1 , ] \n``` end": "[1  ]", "```\nx\n```": "x", "a ``` b": "a ``` b", " kept ": " kept ", "1,,}": "1,}", "": "", "``````": ""}
+    df = spark.createDataFrame([(k,) for k in cases], "raw string")
+    assert {r["raw"]: r["fixed"] for r in df.select("raw", text.fix_json(F.col("raw")).alias("fixed")).collect()} == cases
+    assert spark.createDataFrame([(None,)], "raw string").select(text.fix_json(F.col("raw"))).first()[0] is None
+    monkeypatch.setenv("SOME_KEY", "v")
+    monkeypatch.delenv("NO_SUCH", raising=False)
+    given = {"a": "${env:SOME_KEY} rest", "b": "${env:NO_SUCH}", "c": "${env:NO_SUCH:}", "d": "${env:}", "e": "x ${env:SOME_KEY}", "f": "${env:SOME_KEY", "g": [{"h": "${env:NO_SUCH:a:b}"}]}
+    assert text.from_environment(given) == {"a": "v", "b": None, "c": "", "d": "${env:}", "e": "x ${env:SOME_KEY}", "f": "${env:SOME_KEY", "g": [{"h": "a:b"}]}

@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +13,8 @@ from cellmend.operators.structure import reaches
 Edge = tuple[str, str]
 #: Equivalent sample sizes of the structure score and of the probabilities.
 SCORE_SIZE, CPD_SIZE = 50.0, 5.0
+#: Families that one job counts.
+TOGETHER = 64
 
 
 @dataclass(frozen=True)
@@ -41,13 +41,11 @@ def filter_weak(networks: dict[str, Local], mu_plus: dict[Edge, float], gamma: f
 
 
 def lgamma(x: Column) -> Column:
-    """The log of the gamma function, which Spark lacks; used on aggregated counts only."""
-
-    @F.pandas_udf("double")
-    def run(values: pd.Series) -> pd.Series:
-        return values.map(math.lgamma)
-
-    return run(x)
+    """The log of the gamma function of positive numbers, which Spark lacks: Stirling's series at x + 8, and eight steps back."""
+    z = x + 8
+    steps = x * (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5) * (x + 6) * (x + 7)
+    series = 1 / (12 * z) - 1 / (360 * F.pow(z, F.lit(3.0))) + 1 / (1260 * F.pow(z, F.lit(5.0))) - 1 / (1680 * F.pow(z, F.lit(7.0)))
+    return (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + series - F.log(steps)
 
 
 def family_counts(df: DataFrame, child: str, parents: list[str]) -> DataFrame:
@@ -62,14 +60,25 @@ def cardinalities(df: DataFrame, columns: list[str]) -> dict[str, int]:
     return {c: int(n) for c, n in df.agg(*[F.count_distinct(c).alias(c) for c in columns]).first().asDict().items()}
 
 
+def family_scores(df: DataFrame, families: list[tuple[str, list[str]]], card: dict[str, int], size: float = SCORE_SIZE) -> DataFrame:
+    """``(place, score)``: the BDeu score of each column given its parents, by place in the list; configurations that never occur add
+    nothing. All families are counted in one pass over the rows."""
+    q = [math.prod(card[p] for p in parents) for _, parents in families]
+    of_parents, of_states = ([size / n for n in q], [size / (n * card[c]) for n, (c, _) in zip(q, families)])
+    rows = [F.struct(F.lit(i).alias("place"), F.array(*[F.col(p) for p in parents], F.lit("")).alias("u"), F.col(c).alias("x")) for i, (c, parents) in enumerate(families)]
+    n = df.select(F.inline(F.array(*rows))).groupBy("place", "u", "x").agg(F.count("*").alias("n"))
+
+    def terms(counts: DataFrame, alphas: list[float], sign: int) -> DataFrame:
+        alpha = F.get(F.lit(alphas), F.col("place"))
+        return counts.groupBy("place").agg((sign * F.sum(lgamma(F.col("n") + alpha) - lgamma(alpha))).alias("score"))
+
+    both = terms(n, of_states, 1).unionByName(terms(n.groupBy("place", "u").agg(F.sum("n").alias("n")), of_parents, -1))
+    return both.groupBy("place").agg(F.sum("score").alias("score"))
+
+
 def family_score(df: DataFrame, child: str, parents: list[str], card: dict[str, int], size: float = SCORE_SIZE) -> DataFrame:
-    """``(score)``: the BDeu score of a column given its parents; configurations that never occur add nothing."""
-    q, r = math.prod(card[p] for p in parents), card[child]
-    n = df.groupBy(*parents, child).agg(F.count("*").alias("n"))
-    inner = n.agg(F.sum(lgamma(F.col("n") + F.lit(size / (q * r)))).alias("a"), F.count("*").alias("k"))
-    outer = (n.groupBy(*parents) if parents else n.groupBy()).agg(F.sum("n").alias("nu")).agg(F.sum(lgamma(F.col("nu") + F.lit(size / q))).alias("b"), F.count("*").alias("j"))
-    both = inner.join(F.broadcast(outer))  # one row each
-    return both.select((F.col("a") - F.col("k") * math.lgamma(size / (q * r)) - F.col("b") + F.col("j") * math.lgamma(size / q)).alias("score"))
+    """``(score)``: the BDeu score of one column given its parents."""
+    return family_scores(df, [(child, parents)], card, size).select("score")
 
 
 def hill_climb(df: DataFrame, columns: list[str], fixed: list[Edge] = (), size: float = SCORE_SIZE, epsilon: float = 1e-4, rounds: int = 1000) -> list[Edge]:
@@ -85,9 +94,10 @@ def hill_climb(df: DataFrame, columns: list[str], fixed: list[Edge] = (), size:
 
     def learn(families: set[tuple[str, frozenset[str]]]) -> None:
         new = sorted((c, sorted(ps)) for c, ps in families if (c, ps) not in memo)
-        parts = [family_score(df, c, ps, card, size).select(F.lit(i).alias("i"), "score") for i, (c, ps) in enumerate(new)]
-        if parts:  # one job scores all
-            memo.update({(new[r["i"]][0], frozenset(new[r["i"]][1])): r["score"] for r in reduce(DataFrame.unionByName, parts).collect()})
+        for start in range(0, len(new), TOGETHER):
+            part = new[start : start + TOGETHER]
+            for r in family_scores(df, part, card, size).collect():  # a row for each family
+                memo[part[r["place"]][0], frozenset(part[r["place"]][1])] = r["score"]
 
     def of(child: str) -> frozenset[str]:
         return frozenset(a for a, b in edges if b == child)

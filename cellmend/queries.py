@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,8 +12,9 @@ from cellmend.operators import confidence, consistency, evaluation, network, rep
 from cellmend.operators.network import Local
 from cellmend.operators.stats import MARKER
 from cellmend.plans import cleaning
+from cellmend.sources import tables
 from cellmend.sources.results import Results
-from cellmend.sources.scratch import shared_folder
+from cellmend.sources.scratch import shared_folder, stored
 
 GEO = ["c_nationkey", "n_name", "n_regionkey", "r_name", "c_mktsegment"]
 SMALL = ["n_name", "r_name", "c_mktsegment"]
@@ -57,6 +60,16 @@ def supplied(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "lhs string, rhs string, score double")
 
 
+def _paired(spark: SparkSession, d: str) -> DataFrame:
+    """The dirty and the clean table written as a data set of CSV files and read again as a pair."""
+    root = shared_folder(spark)
+    for kind, table in (("dirty", dirty(spark, d)), ("clean", geo(spark, d))):
+        table.orderBy("row_id").select(*GEO).write.option("header", True).csv(f"{root}/shop/{kind}.csv")
+    tables.write_text(spark, f"{root}/shop/discrete_cols.json", json.dumps(GEO))
+    wrong, right = tables.read_pair(spark, root, "shop")
+    return wrong.select("row_id", F.col("r_name").alias("dirty_value")).join(right.select("row_id", F.col("r_name").alias("clean_value")), "row_id")
+
+
 def _both(spark: SparkSession, d: str) -> DataFrame:
     return structure.aligned(stats.mu_plus_matrix(dirty(spark, d), GEO), supplied(spark))
 
@@ -174,7 +187,7 @@ QUERIES = {
     "mu_plus_matrix": lambda s, d: _rounded(stats.mu_plus_matrix(dirty(s, d), GEO), "score"),
     "mu_plus_matrix_orders": lambda s, d: _rounded(stats.mu_plus_matrix(orders(s, d), ["o_orderstatus", "o_orderpriority", *GEO]), "score"),
     "scan_project_fill": lambda s, d: stats.fill(dirty(s, d), ["n_name", "r_name"]),
-    "paired_scan": lambda s, d: dirty(s, d).select("row_id", F.col("r_name").alias("dirty_value")).join(geo(s, d).select("row_id", F.col("r_name").alias("clean_value")), "row_id"),
+    "paired_scan": _paired,
     "cells_unpivot": lambda s, d: stats.cells(dirty(s, d), SMALL),
     "value_histogram": lambda s, d: stats.value_histogram(dirty(s, d), GEO),
     "domain_first_appearance": lambda s, d: stats.domain(dirty(s, d), "n_name"),
@@ -198,7 +211,7 @@ QUERIES = {
     "row_distance": lambda s, d: _rounded(structure.row_distances(stats.mu_plus_matrix(dirty(s, d), GEO)), "distance"),
     "llm_only_edges": lambda s, d: structure.supplied_edges(supplied(s)),
     "structure_construct": lambda s, d: _structure(s, d),
-    "hill_climb_edges": lambda s, d: s.createDataFrame(network.hill_climb(dirty(s, d).select("row_id", *SMALL).cache(), SMALL, EDGES), "parent string, child string"),
+    "hill_climb_edges": lambda s, d: s.createDataFrame(network.hill_climb(stored(dirty(s, d).select("row_id", *SMALL)), SMALL, EDGES), "parent string, child string"),
     "weak_partition_filter": _weak,
     "bdeu_family_score": lambda s, d: _rounded(network.family_score(dirty(s, d), "r_name", ["n_name"], network.cardinalities(dirty(s, d), ["n_name", "r_name"])), "score", places=4),
     "cpd_bdeu": lambda s, d: _rounded(network.conditional(dirty(s, d), "r_name", ["n_name"], network.cardinalities(dirty(s, d), ["n_name", "r_name"])), "p"),
@@ -374,7 +387,7 @@ SQL = {
         "mu_plus_matrix": f"SELECT lhs, rhs, {_r('score')} FROM {_MATRIX}",
         "mu_plus_matrix_orders": f"SELECT lhs, rhs, {_r('score')} FROM ({_matrix(['o_orderstatus', 'o_orderpriority', *GEO], 'ord')})",
         "scan_project_fill": "SELECT row_id, n_name, r_name FROM dirty",
-        "paired_scan": "SELECT row_id, d.r_name AS dirty_value, g.r_name AS clean_value FROM dirty AS d JOIN geo AS g USING (row_id)",
+        "paired_scan": "SELECT row_number() OVER (ORDER BY row_id) - 1 AS row_id, d.r_name AS dirty_value, g.r_name AS clean_value FROM dirty AS d JOIN geo AS g USING (row_id)",
         "cells_unpivot": " UNION ALL ".join(f"SELECT row_id, '{c}' AS attr, {c} AS val FROM dirty" for c in SMALL),
         "value_histogram": " UNION ALL ".join(f"SELECT '{c}' AS attr, {c} AS val, count(*) AS n FROM dirty GROUP BY ALL" for c in GEO),
         "domain_first_appearance": "SELECT n_name AS val, min(row_id) AS pos, count(*) AS n FROM dirty GROUP BY 1",

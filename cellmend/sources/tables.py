@@ -9,7 +9,7 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellmend.operators.stats import MARKER, fill
@@ -69,19 +69,34 @@ def list_variants(spark: SparkSession, root: str, name: str) -> list[str]:
     return [v for v in folders(spark, top) if exists(spark, f"{top}/{v}/dirty.csv")]
 
 
-def read_csv(spark: SparkSession, path: str, columns: list[str], marker: str = MARKER) -> DataFrame:
-    """``row_id`` (place in the file, from 0) and the columns as strings, missing values as the marker."""
-    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("enforceSchema", False).csv(path)
-    picked = raw.select(*[missing_to_null(F.col(f"`{c}`")).alias(c) for c in columns])
-    numbered = picked.rdd.zipWithIndex().map(lambda x: (x[1], *x[0]))  # the place in the file is the only key that rows have
-    schema = "row_id long, " + ", ".join(f"`{c}` string" for c in columns)
-    return fill(spark.createDataFrame(numbered, schema), columns, marker=marker)
+def numbered(raw: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of a table read from files, with ``row_id``: the place from 0 on, file by file in the order of their names.
 
+    Rows of one block of a file lie together, so a row's place is the number of rows in the blocks before, which are counted (one row for
+    each block), and its place in its own.
+    """
+    placed = raw.select(*columns, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at"))
+    blocks = placed.groupBy("_file", "_start").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = blocks.withColumn("_before", F.coalesce(before, F.lit(0)))
+    return placed.join(blocks, ["_file", "_start"]).select((F.col("_before") + F.col("_at") - F.col("_first")).alias("row_id"), *columns)
 
-def read_pair(spark: SparkSession, root: str, name: str, variant: str | None = None, marker: str = MARKER) -> tuple[DataFrame, DataFrame]:
+
+def read_csv(spark: SparkSession, path: str, columns: list[str], marker: str = MARKER, multiline: bool = False) -> DataFrame:
+    """``row_id`` (place in the file, from 0) and the columns as strings, missing values as the marker.
+
+    Files are read in blocks; only with ``multiline`` (values that hold line ends) is each file one task's.
+    """
+    raw = spark.read.option("header", True).option("multiLine", multiline).option("escape", '"').option("enforceSchema", False).csv(path)
+    quoted = [f"`{c}`" for c in columns]
+    rows = numbered(raw, quoted)
+    return fill(rows.select("row_id", *[missing_to_null(F.col(q)).alias(c) for q, c in zip(quoted, columns)]), columns, marker=marker)
+
+
+def read_pair(spark: SparkSession, root: str, name: str, variant: str | None = None, marker: str = MARKER, multiline: bool = False) -> tuple[DataFrame, DataFrame]:
     """The dirty and the clean table; rows belong together by ``row_id``."""
     columns, top = load_columns(spark, root, name), data_path(root, name, variant)
-    return read_csv(spark, f"{top}/dirty.csv", columns, marker), read_csv(spark, f"{top}/clean.csv", columns, marker)
+    return read_csv(spark, f"{top}/dirty.csv", columns, marker, multiline), read_csv(spark, f"{top}/clean.csv", columns, marker, multiline)
 
 
 def verify_dataset(spark: SparkSession, root: str, name: str, variant: str | None = None) -> dict:
@@ -97,7 +112,7 @@ def verify_dataset(spark: SparkSession, root: str, name: str, variant: str | Non
         if not exists(spark, path):
             out["errors"].append(f"no {kind} file")
             continue
-        table = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+        table = spark.read.option("header", True).option("escape", '"').csv(path)
         if lacking := [c for c in columns if c not in table.columns]:
             out["errors"].append(f"{kind} lacks {', '.join(lacking)}")
         out[f"{kind}_rows"] = table.count()

@@ -147,6 +147,9 @@ def test_hill_climb_stops_where_no_move_gains(spark):
         return sum(family(c, [a for a, b in edges if b == c]) for c in COLUMNS)
 
     assert abs(network.family_score(df, "B", ["A", "C"], card).first()[0] - family("B", ["A", "C"])) < 1e-6
+    points = [(x / 7,) for x in range(1, 80)] + [(float(10**k),) for k in range(2, 9)]
+    for x, y in spark.createDataFrame(points, "x double").select("x", network.lgamma(F.col("x"))).collect():
+        assert abs(y - math.lgamma(x)) < 1e-9 * max(1, abs(y))
     edges = network.hill_climb(df, COLUMNS)
     assert ("A", "B") in edges or ("B", "A") in edges
     for a in COLUMNS:
@@ -205,6 +208,18 @@ def test_files(spark, tmp_path):
     assert [tuple(r) for r in dirty.orderBy("row_id").collect()] == [(0, MARKER, "x"), (1, MARKER, "y")] and clean.columns == ["row_id", "v", "k"]
     assert tables.read_pair(spark, str(root), "shop", "more")[0].orderBy("row_id").first()["v"] == "a, b"
     assert tables.verify_dataset(spark, str(root), "shop")["valid"] and not tables.verify_dataset(spark, str(root), "empty")["valid"]
+    lines = [f"{i},w{i}" for i in range(5000)]
+    (tmp_path / "many").mkdir()
+    for k in range(3):  # files of very unlike sizes, in blocks
+        part = lines[(0, 100, 4000)[k] : (100, 4000, 5000)[k]]
+        (tmp_path / f"many/part-{k}.csv").write_text("\n".join(["i,w", *part]) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    many = tables.read_csv(spark, f"{tmp_path}/many", ["w", "i"])
+    assert all(r["w"] == f"w{r['row_id']}" and r["i"] == str(r["row_id"]) for r in many.collect()) and many.count() == 5000
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    (tmp_path / "lines.csv").write_text('w\n"a\nb"\nc\n')
+    assert [r["w"] for r in tables.read_csv(spark, f"{tmp_path}/lines.csv", ["w"], multiline=True).orderBy("row_id").collect()] == ["a\nb", "c"]
     with pytest.raises(FileNotFoundError):
         tables.load_columns(spark, str(root), "none")
     s = structure.Structure(["a", "b", "c"], [["a", "b"]], [("a", "c")])

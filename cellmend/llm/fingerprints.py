@@ -125,7 +125,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def _fingerprint(k: int):
-    names = ["doc", "n_chars", "edited", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    names = ["doc", "n_chars", "edited", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_distinct", "within_next"]
 
     def emit(rows: list[tuple[int, int, str]], following: list[str]) -> pa.RecordBatch:
         texts = [t for *_, t in rows]
@@ -144,6 +144,8 @@ def _fingerprint(k: int):
             pa.array([to_text(s) for s in other], pa.string()),
             pa.array([resemblance(a, b, k) for a, b in zip(own, other)], pa.float64()),
             pa.array([resemblance(a, b, k) for a, b in zip(own, after)], pa.float64()),
+            pa.array([distinct_count(a, k) for a in own[: len(rows)]], pa.float64()),
+            pa.array([containment(a, b, k) for a, b in zip(own, after)], pa.float64()),
         ]
         return pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -170,13 +172,14 @@ def _fingerprint(k: int):
 
 
 def fingerprint_documents(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, n_chars, edited, fingerprint, edited_fingerprint, near_edited, near_next)`` for every row.
+    """``(id, n_chars, edited, fingerprint, edited_fingerprint, near_edited, near_next, n_distinct, within_next)`` for every row.
 
+    The last two are the estimated number of distinct shingles, and the share of them that the next text holds, too.
     ``edited`` is the text with its last half replaced by the start of the next text in ascending order of ids (after the last, the first;
     rows of equal ids by text, null ids first; a single row is its own next). Texts of fewer than five words have one shingle, null and
     empty texts none: their fingerprint is empty, and like another empty one. Repeated rows follow each other. An empty table gives an
     empty result; columns other than the two named take no part. Ids are integers.
     """
     kind = docs.schema[id_col].dataType
-    out = with_next(docs, id_col, text_col).mapInArrow(_fingerprint(k), "doc long, n_chars long, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    out = with_next(docs, id_col, text_col).mapInArrow(_fingerprint(k), "doc long, n_chars long, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_distinct double, within_next double")
     return out.withColumn("doc", F.when(F.col("doc") != _NULL_ID, F.col("doc")).cast(kind)).withColumnRenamed("doc", id_col)

@@ -228,6 +228,10 @@ def test_fingerprints_are_the_least_hashes(spark):
         common = {hash_of[s] for s in sets[d] & sets[n]}
         want = sum(h in common for h in both) / len(both) if both else 1.0
         assert abs(r["near_next"] - want) < 1e-9
+        if len(sets[d]) < 128:
+            assert r["n_distinct"] == len(sets[d])
+        if len(sets[d] | sets[n]) < 128:
+            assert abs(r["within_next"] - (len(sets[d] & sets[n]) / len(sets[d]) if sets[d] else 1.0)) < 1e-9
 
 
 def test_place_among_cuts(spark):

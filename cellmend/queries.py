@@ -15,6 +15,7 @@ from cellmend.plans import cleaning
 from cellmend.sources import tables
 from cellmend.sources.results import Results
 from cellmend.sources.scratch import shared_folder, stored
+from cellmend.streaming.repair import repair_stream
 
 GEO = ["c_nationkey", "n_name", "n_regionkey", "r_name", "c_mktsegment"]
 SMALL = ["n_name", "r_name", "c_mktsegment"]
@@ -183,6 +184,49 @@ def _trials(spark: SparkSession, d: str) -> DataFrame:
     return _kept(spark, d).all().where("dataset = 'customers'").select(F.regexp_extract("experiment", "[0-9]+", 0).cast("int").alias("place"), F.col("f1"))
 
 
+#: A structure that does not depend on the data: a group to vote on, and a chain of columns for the networks.
+KNOWN = structure.Structure(GEO, [["n_regionkey", "r_name"]], [("n_regionkey", "n_name"), ("n_name", "c_nationkey")])
+KNOWN_TARGETS = ["c_nationkey", "n_name", "n_regionkey"]
+#: Two groups of equivalent columns and nothing else.
+PLACES = GEO[:4]
+_NO_SEARCH = cleaning.Settings(use_search=False, use_weak_filter=False)
+
+
+def _cleaned(spark: SparkSession, d: str) -> DataFrame:
+    """The metrics of the whole repair with the known structure and the offline provider."""
+    found = cleaning.clean(dirty(spark, d), GEO, truth=geo(spark, d), settings=_NO_SEARCH, provider=cleaning.keep_all, found=KNOWN)
+    return _rounded(found.metrics.select("errors", "attempts", "correct", "precision", "recall", "f1", "detection_rate"), "precision", "recall", "f1", "detection_rate")
+
+
+def _resumed(spark: SparkSession, d: str) -> DataFrame:
+    """The repaired table of an inference that was saved and loaded again."""
+    cache = tables.TableCache(spark, f"{shared_folder(spark)}/cache")
+    cleaning.save_state(cache, "customers", cleaning.infer(dirty(spark, d), GEO, settings=_NO_SEARCH, found=KNOWN))
+    return cleaning.load_state(cache, "customers").repaired.select("row_id", *GEO)
+
+
+def _ablated(spark: SparkSession, d: str) -> DataFrame:
+    places = dirty(spark, d).select("row_id", *PLACES)
+    parts = cleaning.ablation(places, PLACES, supplied(spark), geo(spark, d), cleaning.Settings(use_search=False))
+    return _rounded(parts.select("part", "errors", "attempts", "correct", "f1", "f1_loss"), "f1", "f1_loss")
+
+
+def _searched(spark: SparkSession, d: str) -> DataFrame:
+    places = dirty(spark, d).select("row_id", *PLACES)
+    found = cleaning.search_parameters(places, PLACES, supplied(spark), geo(spark, d), [0.1, 0.2], [0.1, 0.5], cleaning.Settings(use_search=False))
+    return _rounded(found.drop("error"), "f1")
+
+
+def _streamed(spark: SparkSession, d: str) -> DataFrame:
+    """The dirty table arriving as a stream, repaired by counts of the stored one."""
+    top = shared_folder(spark)
+    train = stored(dirty(spark, d).select("row_id", *SMALL))
+    train.write.parquet(f"{top}/arriving")
+    arriving = spark.readStream.schema(train.schema).parquet(f"{top}/arriving")
+    repair_stream(arriving, train, NETS, SMALL, f"{top}/repaired", f"{top}/state", targets=["n_name", "r_name"]).awaitTermination()
+    return spark.read.parquet(f"{top}/repaired").select("row_id", *SMALL)
+
+
 QUERIES = {
     "mu_plus_matrix": lambda s, d: _rounded(stats.mu_plus_matrix(dirty(s, d), GEO), "score"),
     "mu_plus_matrix_orders": lambda s, d: _rounded(stats.mu_plus_matrix(orders(s, d), ["o_orderstatus", "o_orderpriority", *GEO]), "score"),
@@ -243,6 +287,11 @@ QUERIES = {
     "results_latest": lambda s, d: s.createDataFrame([(_kept(s, d).latest(),)], "experiment string"),
     "results_export": _exported,
     "pipeline_clean": lambda s, d: cleaning.clean(dirty(s, d), GEO, supplied(s), geo(s, d), provider=cleaning.keep_all).metrics,
+    "pipeline_known_structure": _cleaned,
+    "inference_state": _resumed,
+    "ablation_impact": _ablated,
+    "parameter_search": _searched,
+    "stream_repair": _streamed,
 }
 
 # SQL --------------------------------------------------------------------------------------------------------------------
@@ -347,9 +396,9 @@ def _shifted_sql(every: int) -> str:
     return f"SELECT geo.row_id, n_name, CASE WHEN geo.row_id % {every} = 3 THEN x.r_name ELSE geo.r_name END AS r_name, c_mktsegment FROM geo JOIN region AS x ON x.r_regionkey = (CAST(n_regionkey AS INT) + 1) % 5"
 
 
-def _metrics_sql(rows: str, fixed: str) -> str:
-    """errors, attempts, correct, f1 over the columns of SMALL."""
-    cells = " UNION ALL ".join(f"SELECT d.{c} AS d, r.{c} AS r, t.{c} AS t FROM ({rows}) AS d JOIN ({fixed}) AS r USING (row_id) JOIN geo AS t USING (row_id)" for c in SMALL)
+def _metrics_sql(rows: str, fixed: str, columns: list[str] = SMALL) -> str:
+    """errors, attempts, correct, f1, precision, recall, detection_rate over the columns."""
+    cells = " UNION ALL ".join(f"SELECT d.{c} AS d, r.{c} AS r, t.{c} AS t FROM ({rows}) AS d JOIN ({fixed}) AS r USING (row_id) JOIN geo AS t USING (row_id)" for c in columns)
     inner = f"SELECT count(*) FILTER (WHERE d <> t) AS errors, count(*) FILTER (WHERE d <> r) AS attempts, count(*) FILTER (WHERE d <> t AND d <> r AND r = t) AS correct FROM ({cells})"
     return f"SELECT *, CASE WHEN correct = 0 THEN 0 ELSE 2.0 * correct / (attempts + errors) END AS f1, coalesce(correct / nullif(attempts, 0), 0) AS precision, coalesce(correct / nullif(errors, 0), 0) AS recall, coalesce(attempts / nullif(errors, 0), 0) AS detection_rate FROM ({inner})"
 
@@ -366,15 +415,26 @@ _CHECKED = f"SELECT dirty.row_id, 'r_name' AS attr, b.val AS original, b.val AS
 _FACTS = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY round(penalty * probability, 12) DESC, pos) AS p FROM ({_REGION}) WHERE val <> '{MARKER}') WHERE p = 1)"
 
 
+def _chain_sql(first: str, columns: list[str], edges: list[tuple[str, str]], targets: list[str]) -> tuple[list[str], str]:
+    """CTEs that repair the targets of table ``first`` in turn, and the last one's name."""
+    ctes, last = [], first
+    for i, t in enumerate(targets):
+        parents, children = ([a for a, b in edges if b == t], [b for a, b in edges if a == t])
+        best = _best_sql(_repair_sql(last, first, t, parents, children, columns))
+        ctes.append(f"{first}_{i} AS MATERIALIZED (SELECT d.* REPLACE (coalesce(b.val, d.{t}) AS {t}) FROM {last} AS d LEFT JOIN ({best}) AS b USING (row_id))")
+        last = f"{first}_{i}"
+    return ctes, last
+
+
 def _wide_sql() -> str:
     made = "left(n_name, 1) AS n_first, CAST(length(n_name) AS VARCHAR) AS n_length, left(r_name, 1) AS r_first, CAST(length(r_name) AS VARCHAR) AS r_length, left(d.c_mktsegment, 1) AS s_first, CAST(length(d.c_mktsegment) AS VARCHAR) AS s_length, CAST(CAST(floor(c_acctbal / 1000) AS BIGINT) AS VARCHAR) AS balance, CASE WHEN (c_acctbal < 0) <> (row_id % 30 = 4) THEN '-' ELSE '+' END AS sign, CAST(row_id % 3 AS VARCHAR) AS third, CAST(row_id % 5 AS VARCHAR) AS fifth"
-    ctes, last = [f"w0 AS MATERIALIZED (SELECT d.*, {made} FROM dirty AS d JOIN customer ON c_custkey = row_id)"], "w0"
-    for i, t in enumerate(WIDE_TARGETS):
-        parents, children = ([a for a, b in WIDE_EDGES if b == t], [b for a, b in WIDE_EDGES if a == t])
-        best = _best_sql(_repair_sql(last, "w0", t, parents, children, WIDE))
-        ctes.append(f"w{i + 1} AS MATERIALIZED (SELECT d.* REPLACE (coalesce(b.val, d.{t}) AS {t}) FROM {last} AS d LEFT JOIN ({best}) AS b USING (row_id))")
-        last = f"w{i + 1}"
-    return f", {', '.join(ctes)} SELECT row_id, {', '.join(WIDE_TARGETS)} FROM {last}"
+    ctes, last = _chain_sql("w0", WIDE, WIDE_EDGES, WIDE_TARGETS)
+    return f", {', '.join([f"w0 AS MATERIALIZED (SELECT d.*, {made} FROM dirty AS d JOIN customer ON c_custkey = row_id)"] + ctes)} SELECT row_id, {', '.join(WIDE_TARGETS)} FROM {last}"
+
+
+_VOTED, _LAST = _chain_sql("voted", GEO, KNOWN.edges, KNOWN_TARGETS)
+_INFERRED = ", " + ", ".join([f"voted AS MATERIALIZED ({_FIXED})", *_VOTED])
+_PLACES = f", one AS MATERIALIZED ({_group_repair(PLACES[:2], PLACES, 'dirty')}), two AS MATERIALIZED ({_group_repair(PLACES[2:], PLACES, 'one')}), every AS ({_metrics_sql('SELECT * FROM dirty', 'SELECT * FROM two', PLACES)}), nothing AS ({_metrics_sql('SELECT * FROM dirty', 'SELECT * FROM dirty', PLACES)})"
 
 
 def _r(*columns: str) -> str:
@@ -439,6 +499,11 @@ SQL = {
         "results_recent": _KEPT + " SELECT experiment, count(*) AS datasets, round(avg(f1), 6) AS mean_f1 FROM kept GROUP BY experiment ORDER BY experiment DESC LIMIT 2",
         "results_latest": "SELECT 'ratio-40' AS experiment",
         "results_export": _KEPT + " SELECT dataset, errors, attempts, correct, round(f1, 6) AS f1 FROM kept WHERE experiment = 'ratio-20'",
+        "pipeline_known_structure": f"{_INFERRED} SELECT errors, attempts, correct, {_r('precision', 'recall', 'f1', 'detection_rate')} FROM ({_metrics_sql('SELECT * FROM dirty', f'SELECT * FROM {_LAST}', GEO)})",
+        "inference_state": f"{_INFERRED} SELECT row_id, {', '.join(GEO)} FROM {_LAST}",
+        "ablation_impact": _PLACES + " " + " UNION ALL ".join(f"SELECT '{p}' AS part, m.errors, m.attempts, m.correct, round(m.f1, 6) AS f1, round(e.f1 - m.f1, 6) AS f1_loss FROM {m} AS m, every AS e" for p, m in (("all", "every"), ("supplied", "nothing"), ("groups", "nothing"), ("compensation", "every"), ("weak filter", "every"))),
+        "parameter_search": _PLACES + " SELECT CAST(place AS INTEGER) AS place, alpha, beta, round(f1, 6) AS f1 FROM every, (VALUES (0, 0.1::DOUBLE, 0.1::DOUBLE), (1, 0.1, 0.5), (2, 0.2, 0.1), (3, 0.2, 0.5)) AS v(place, alpha, beta)",
+        "stream_repair": _STEP + f" SELECT step.row_id, n_name, coalesce(b.val, r_name) AS r_name, c_mktsegment FROM step LEFT JOIN ({_best_sql(_repair_sql('step', 'dirty', 'r_name', ['n_name'], [], SMALL))}) AS b USING (row_id)",
         "error_ratio_sweep": " UNION ALL ".join(_sweep_sql(k) for k in (10, 20, 40)),
     }.items()
 }

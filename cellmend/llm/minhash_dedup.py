@@ -6,9 +6,10 @@ the filled one that a fixed permutation of its own names first, so short texts h
 registers are the candidate keys: documents that agree in a band meet. Copies with equal sets are one class and meet once.
 
 Within a band's members each is compared with the smallest id (the hub). Links so confirmed give components, and only members
-whose component is not their hub's are then compared with the band's other members of other components: links inside a component
-change nothing. How much of either set lies inside the hub's, and a bit map of each set, bound what both can share, which rules out
-most of those pairs exactly. So a band of n copies costs n comparisons, and no pair of different components is left out.
+whose component is not their hub's are then compared with the hub's other members of other components: links inside a component
+change nothing. These meet by prefixes: a set is put in order, what the hub lacks first, and linked sets share one of the first
+shingles (a quarter of the larger set, a seventh of the smaller). So a band of n copies costs n comparisons, texts that have no more
+in common than what the hub has too do not meet at all, and no pair of different components is left out.
 
 A comparison estimates the similarity from the registers, corrected for registers that agree by chance, rules out what is far below
 the threshold, and confirms the rest on the full sets. Texts are read twice: for the registers, and (members and hubs only) for the sets.
@@ -16,7 +17,6 @@ the threshold, and confirms the rest on the full sets. Texts are read twice: for
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,8 +37,6 @@ MANTISSA = 20
 #: Registers in a band, and bands: documents of similarity 0.75 share at least one band but for four pairs in a million.
 ROWS = 6
 BANDS = 64
-#: Longs of the bit map of a document's shingles.
-LONGS = 16
 #: Standard errors that an estimate may lie below the threshold before the pair is dropped.
 MARGIN = 6.0
 SLICE = 1_500_000
@@ -101,14 +99,6 @@ def band_keys(regs: np.ndarray) -> np.ndarray:
     return mix64((cut.astype(np.uint64) * _TIMES).sum(axis=2) ^ _BAND)
 
 
-def bit_maps(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """By row, which of 64 * LONGS values the hashes' low bits take."""
-    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    flags = np.zeros((len(first) - 1, 64 * LONGS), bool)
-    flags[row, (hashes & np.uint64(64 * LONGS - 1)).astype(np.int64)] = True
-    return np.packbits(flags, axis=1).view(np.int64)
-
-
 def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
     """Similarity, by row, from two tables of registers, less the agreements expected by chance; 1 for two empty rows."""
     used = (a > 0) | (b > 0)
@@ -140,8 +130,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         need &= known & (n > 0)
         keys = band_keys(registers(hashes, first)[need]).ravel()
         bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(need * BANDS)]).astype(np.int32)), signed(keys))
-        bits = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(need * LONGS)]).astype(np.int32)), pa.array(bit_maps(hashes, first)[need].ravel()))
-        yield pa.RecordBatch.from_arrays([ids, copy, pa.array(n), *map(signed, marks), bands, bits], names=["doc", "copy", "n", "c1", "c2", "bands", "bits"])
+        yield pa.RecordBatch.from_arrays([ids, copy, pa.array(n), *map(signed, marks), bands], names=["doc", "copy", "n", "c1", "c2", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +148,8 @@ def _flat(sets: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``shared``: common shingles; ``linked``: neither the estimate nor the full sets rule a link out."""
+    """Sizes of the second set and of what both share; ``linked``: neither the estimate nor the full sets rule a link out; ``keys``: of
+    the second set what the first lacks, then what it has, each by hash, as many as a linked set of like size must meet."""
     error = MARGIN * (PERCENT / 100 * (1 - PERCENT / 100) / BUCKETS) ** 0.5
     for whole in batches:
         for half in slices(iter([whole]), column="items_a", limit=8_000_000):
@@ -167,17 +157,20 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 (a, at_a), (b, at_b) = _flat(batch.column(2)), _flat(batch.column(3))
                 n_a, n_b = np.diff(at_a), np.diff(at_b)
                 likely = estimate(registers(a, at_a), registers(b, at_b), n_a, n_b) >= PERCENT / 100 - error * np.sqrt(np.maximum(1, BUCKETS / np.maximum(np.minimum(n_a, n_b), 1)))
-                shared = np.zeros(batch.num_rows, np.int64)
+                shared, keys = np.zeros(batch.num_rows, np.int64), []
                 for i in range(batch.num_rows):
-                    both = np.concatenate([a[at_a[i] : at_a[i + 1]], b[at_b[i] : at_b[i + 1]]])
-                    both.sort(kind="stable")
-                    shared[i] = int((both[1:] == both[:-1]).sum())
+                    left, right = a[at_a[i] : at_a[i + 1]], b[at_b[i] : at_b[i + 1]]
+                    common = left[np.minimum(np.searchsorted(left, right), len(left) - 1)] == right
+                    shared[i] = common.sum()
+                    keys.append(np.concatenate([right[~common], right[common]])[: len(right) * (100 - PERCENT) // 100 + 1])
                 linked = likely & (100 * shared >= PERCENT * (n_a + n_b - shared))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared), pa.array(linked)], names=["a", "b", "shared", "linked"])
+                ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
+                listed = pa.ListArray.from_arrays(pa.array(ends), signed(np.concatenate(keys)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_b), pa.array(shared), pa.array(linked), listed], names=["a", "b", "n", "shared", "linked", "keys"])
 
 
 def _compared(pairs: DataFrame, kind: str) -> DataFrame:
-    return pairs.select("a", "b", "items_a", "items_b").mapInArrow(_compare, f"a {kind}, b {kind}, shared long, linked boolean")
+    return pairs.select("a", "b", "items_a", "items_b").mapInArrow(_compare, f"a {kind}, b {kind}, n long, shared long, linked boolean, keys array<long>")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_keys: bool = False) -> DataFrame:
@@ -193,7 +186,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType
     scratch = Scratch(spark)
     base = docs.select(F.col(id_col).cast("long").alias("doc"), text_of(text_col).alias("text")).select("doc", F.xxhash64("text").alias("copy"), "text")
-    digest = scratch.put("digest", base.mapInArrow(_digest, "doc long, copy long, n long, c1 long, c2 long, bands array<long>, bits array<long>"))
+    digest = scratch.put("digest", base.mapInArrow(_digest, "doc long, copy long, n long, c1 long, c2 long, bands array<long>"))
     filled = digest.where("n > 0")
     by_id = filled.where("doc is not null").groupBy("doc").agg(F.count("*").alias("rows"), (F.min("c1") < F.max("c1")).alias("clash"))
     odd = by_id.agg(F.max(F.col("rows") > 1).alias("repeats"), F.max("clash").alias("clash")).first()
@@ -202,7 +195,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     node_kind = "struct<doc:bigint,copy:bigint>" if odd["clash"] else "bigint"
     classes = scratch.put("classes", filled.where("doc is not null").groupBy("c1", "c2").agg(F.min(node).alias("rep")))
     leads = digest.where(F.size("bands") > 0).withColumn("node", node).join(classes, ["c1", "c2"]).where(F.col("node") == F.col("rep"))
-    leads = scratch.put("leads", leads.select("node", "n", "bands", "bits"))
+    leads = scratch.put("leads", leads.select("node", "bands"))
     keys = leads.select(F.explode("bands").alias("band"), "node")
     hubs = scratch.put("hubs", keys.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").drop("top"))
     members = scratch.put("members", keys.join(hubs, "band").where(F.col("node") != F.col("hub")))
@@ -217,19 +210,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tried = scratch.put("tried", _compared(sets.select(F.explode("hubs").alias("a"), F.col("node").alias("b"), F.col("items").alias("items_b")).join(right, "a"), node_kind))
     links = tried.where("linked").select("a", "b")
     parts = connected_components(links, scratch)
-    facts = leads.select("node", "n", "bits")
-    while True:
-        pairs = scratch.put("pairs", _open_pairs(members, parts, tried, facts, scratch))
-        if not pairs.take(1):
-            break
+    # links found among these pairs only join components, so they open no other pairs
+    pairs = scratch.put("pairs", _open_pairs(tried, parts, scratch))
+    if pairs.take(1):
         both = pairs.join(sets.select(F.col("node").alias("b"), F.col("items").alias("items_b")), "b").join(sets.select(F.col("node").alias("a"), F.col("items").alias("items_a")), "a")
-        new = scratch.put("tried", _compared(both, node_kind))
-        tried = tried.unionByName(new)
-        if not new.where("linked").take(1):
-            break
-        links = links.unionByName(new.where("linked").select("a", "b"))
-        parts = connected_components(links, scratch)
-    scratch.drop("leads", "hubs", "members", "sets", "tried", "pairs", "open")
+        found = scratch.put("found", _compared(both, node_kind).where("linked").select("a", "b"))
+        if found.take(1):
+            parts = connected_components(links.unionByName(found), scratch)
+    scratch.drop("leads", "hubs", "members", "sets", "tried", "pairs", "open", "prefixes", "found")
 
     named = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("c1", "c2", F.coalesce("component", "rep").alias("component"))
     named = named.withColumn("component", F.col("component.doc")) if odd["clash"] else named
@@ -239,22 +227,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("doc").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.col("component").cast(kind).alias("component_id"), kept.alias("kept"), *["copy", "c1"] * row_keys)
 
 
-def _open_pairs(members: DataFrame, parts: DataFrame, tried: DataFrame, facts: DataFrame, scratch: Scratch) -> DataFrame:
-    """Untried pairs of a band's members that lie in different components, one of them not in its hub's, and may share enough."""
-    of = members.join(parts.select("node", F.col("component").alias("part")), "node", "left")
+def _open_pairs(tried: DataFrame, parts: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs of a hub's members that lie in different components, one of them not in its hub's, and may share enough."""
+    of = tried.select(F.col("a").alias("hub"), F.col("b").alias("node"), "n", "shared", "keys")
+    of = of.join(parts.select("node", F.col("component").alias("part")), "node", "left")
     of = of.join(parts.select(F.col("node").alias("hub"), F.col("component").alias("hub_part")), "hub", "left")
-    of = of.select("band", "node", "hub", F.coalesce("part", "node").alias("part"), F.coalesce("hub_part", "hub").alias("hub_part"))
-    open_ = of.where("part <> hub_part").select("band").distinct()
-    of = of.join(open_, "band", "left_semi").join(tried.select(F.col("a").alias("hub"), F.col("b").alias("node"), "shared"), ["hub", "node"]).join(facts.dropDuplicates(["node"]), "node")
-    bits = [F.get("bits", F.lit(i)).alias(f"bits_{i}") for i in range(LONGS)]
-    # linked sets differ in size by a factor of 4/3 at most, so in their step on a scale of such factors by one at most
-    step = F.floor(F.log("n") / F.lit(math.log(100 / PERCENT) * (1 + 1e-9))).alias("step")
-    of = scratch.put("open", of.select("band", "node", "n", "shared", "part", "hub_part", step, *bits).withColumn("more", F.col("n") - sum(F.bit_count(f"bits_{i}") for i in range(LONGS))))
-    strays = of.where("part <> hub_part").withColumn("step", F.explode(F.array(*[F.col("step") + i for i in (-1, 0, 1)])))
-    others = of.drop("hub_part").withColumnsRenamed({c: f"other_{c}" for c in of.columns if c not in ("band", "step")})
+    of = of.withColumns({"part": F.coalesce("part", "node"), "stray": F.coalesce("part", "node") != F.coalesce("hub_part", "hub")}).drop("hub_part")
+    of = scratch.put("open", of.join(of.where("stray").select("hub").distinct(), "hub", "left_semi"))
+    of = of.select("hub", "node", "n", "shared", "part", "stray", F.posexplode("keys").alias("place", "key"))
+    of = of.withColumn("key", F.xxhash64("hub", "key")).drop("hub")
+    mixed = of.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
+    of = scratch.put("prefixes", of.join(mixed, "key", "left_semi"))
+    # a larger set meets a smaller one, whose share of what both have is larger, by fewer of its first shingles
+    small = of.where((100 + PERCENT) * F.col("place") <= (100 - PERCENT) * F.col("n"))
+    small = small.withColumnsRenamed({c: f"other_{c}" for c in of.columns if c != "key"})
+    met = of.where("stray").join(small, "key").unionByName(of.where("not stray").join(small.where("other_stray"), "key"))
+    sized = (F.col("n") >= F.col("other_n")) & (PERCENT * F.col("n") <= 100 * F.col("other_n"))
     near = F.least("shared", "other_shared") + F.least(F.col("n") - F.col("shared"), F.col("other_n") - F.col("other_shared"))
-    mapped = sum(F.bit_count(F.col(f"bits_{i}").bitwiseAND(F.col(f"other_bits_{i}"))) for i in range(LONGS)) + F.least("more", "other_more")
-    enough = (100 + PERCENT) * F.least(near, mapped) >= PERCENT * (F.col("n") + F.col("other_n"))
-    met = strays.join(others, ["band", "step"]).where((F.col("part") != F.col("other_part")) & enough)
+    after = F.least(F.col("n") - F.col("place"), F.col("other_n") - F.col("other_place"))  # all they share, at their first common shingle
+    enough = (100 + PERCENT) * F.least(near, after) >= PERCENT * (F.col("n") + F.col("other_n"))
+    met = met.where((F.col("part") != F.col("other_part")) & sized & enough)
     pairs = met.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).distinct()
     return pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")

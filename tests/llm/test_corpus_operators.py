@@ -118,6 +118,37 @@ def test_near_duplicates_find_pairs_at_the_threshold(spark, n):
     assert got.where("not kept").count() == want > 0
 
 
+def test_pairs_away_from_their_hub(spark):
+    """Of members that their hub does not link, all linked pairs of different components meet, at the threshold too, and texts of one template do not."""
+    rng = random.Random(31)
+    fresh = lambda n: [rng.getrandbits(64) for _ in range(n)]
+    template = fresh(160)
+    sets = [set(template[:140] + fresh(60))]  # the hub
+    for n in (1, 3, 7, 28, 70, 140, 203):
+        base = fresh(n)
+        sets += [set(base), set(base[: -(-3 * n // 4)]), set(base[n // 7 :] + fresh(n // 7)), set(base[n // 7 + 1 :] + fresh(n // 7 + 1))]
+        base = rng.sample(template, min(n, 100)) + base
+        sets += [set(base), set(base[: -(-3 * len(base) // 4)]), set(base[len(base) // 7 :] + fresh(len(base) // 7))]
+    for _ in range(30):  # likely not linked with the hub, some with each other
+        base = rng.choice(sets[1:])
+        sets.append({x for x in base if rng.random() < 0.93} | {*fresh(len(base) // 20)} or {1})
+    alone = len(sets)
+    sets += [set(template[:110] + fresh(50)) for _ in range(30)]
+    packed = [np.sort(np.array([*x], np.uint64)).tobytes() for x in sets]
+    pairs = spark.createDataFrame([(0, i, packed[0], packed[i]) for i in range(1, len(sets))], "a long, b long, items_a binary, items_b binary")
+    scratch = minhash_dedup.Scratch(spark)
+    tried = scratch.put("tried", minhash_dedup._compared(pairs.repartition(3), "long"))
+    linked = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+    hub = {0} | {r["b"] for r in tried.where("linked").collect()}
+    assert {j for i, j in linked if i == 0} | {0} == hub
+    parts = components.connected_components(tried.where("linked").select("a", "b"), scratch)
+    got = [(r["a"], r["b"]) for r in minhash_dedup._open_pairs(tried, parts, scratch).collect()]
+    assert len(got) == len({*got}) and not any(i in hub and j in hub for i, j in got)
+    want = {(i, j) for i, j in linked if i > 0 and not (i in hub and j in hub)}
+    assert len(want) > 30 and want <= {*got}
+    assert not any(i >= alone for i, j in got)
+
+
 def test_registers_estimate_similarity():
     rng = np.random.default_rng(3)
     for shared in (300, 900):

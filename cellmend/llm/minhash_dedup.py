@@ -8,7 +8,7 @@ registers are the candidate keys: documents that agree in a band meet. Copies wi
 Within a band's members each is compared with the smallest id (the hub). Links so confirmed give components, and only members
 whose component is not their hub's are then compared with the hub's other members of other components: links inside a component
 change nothing. These meet by prefixes: a set is put in order, what the hub lacks first, and linked sets share one of the first
-shingles (a quarter of the larger set, a seventh of the smaller). So a band of n copies costs n comparisons, texts that have no more
+shingles (a quarter of the larger set, a seventh of the smaller), and a bit map of each set bounds what they share. So a band of n copies costs n comparisons, texts that have no more
 in common than what the hub has too do not meet at all, and no pair of different components is left out.
 
 A comparison estimates the similarity from the registers, corrected for registers that agree by chance, rules out what is far below
@@ -39,6 +39,8 @@ ROWS = 6
 BANDS = 64
 #: Standard errors that an estimate may lie below the threshold before the pair is dropped.
 MARGIN = 6.0
+#: Longs of the bit map of a document's shingles.
+LONGS = 16
 SLICE = 1_500_000
 #: Key of the shingle hashes; shorter sequences have the keys that follow.
 _KEY = 800
@@ -99,6 +101,14 @@ def band_keys(regs: np.ndarray) -> np.ndarray:
     return mix64((cut.astype(np.uint64) * _TIMES).sum(axis=2) ^ _BAND)
 
 
+def bit_maps(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """By row, which of 64 * LONGS values the hashes' low bits take."""
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    flags = np.zeros((len(first) - 1, 64 * LONGS), bool)
+    flags[row, (hashes & np.uint64(64 * LONGS - 1)).astype(np.int64)] = True
+    return np.packbits(flags, axis=1).view(np.int64)
+
+
 def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
     """Similarity, by row, from two tables of registers, less the agreements expected by chance; 1 for two empty rows."""
     used = (a > 0) | (b > 0)
@@ -130,7 +140,8 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         need &= known & (n > 0)
         keys = band_keys(registers(hashes, first)[need]).ravel()
         bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(need * BANDS)]).astype(np.int32)), signed(keys))
-        yield pa.RecordBatch.from_arrays([ids, copy, pa.array(n), *map(signed, marks), bands], names=["doc", "copy", "n", "c1", "c2", "bands"])
+        bits = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(need * LONGS)]).astype(np.int32)), pa.array(bit_maps(hashes, first)[need].ravel()))
+        yield pa.RecordBatch.from_arrays([ids, copy, pa.array(n), *map(signed, marks), bands, bits], names=["doc", "copy", "n", "c1", "c2", "bands", "bits"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +197,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType
     scratch = Scratch(spark)
     base = docs.select(F.col(id_col).cast("long").alias("doc"), text_of(text_col).alias("text")).select("doc", F.xxhash64("text").alias("copy"), "text")
-    digest = scratch.put("digest", base.mapInArrow(_digest, "doc long, copy long, n long, c1 long, c2 long, bands array<long>"))
+    digest = scratch.put("digest", base.mapInArrow(_digest, "doc long, copy long, n long, c1 long, c2 long, bands array<long>, bits array<long>"))
     filled = digest.where("n > 0")
     by_id = filled.where("doc is not null").groupBy("doc").agg(F.count("*").alias("rows"), (F.min("c1") < F.max("c1")).alias("clash"))
     odd = by_id.agg(F.max(F.col("rows") > 1).alias("repeats"), F.max("clash").alias("clash")).first()
@@ -195,7 +206,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     node_kind = "struct<doc:bigint,copy:bigint>" if odd["clash"] else "bigint"
     classes = scratch.put("classes", filled.where("doc is not null").groupBy("c1", "c2").agg(F.min(node).alias("rep")))
     leads = digest.where(F.size("bands") > 0).withColumn("node", node).join(classes, ["c1", "c2"]).where(F.col("node") == F.col("rep"))
-    leads = scratch.put("leads", leads.select("node", "bands"))
+    leads = scratch.put("leads", leads.select("node", "bands", "bits"))
     keys = leads.select(F.explode("bands").alias("band"), "node")
     hubs = scratch.put("hubs", keys.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").drop("top"))
     members = scratch.put("members", keys.join(hubs, "band").where(F.col("node") != F.col("hub")))
@@ -211,7 +222,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = tried.where("linked").select("a", "b")
     parts = connected_components(links, scratch)
     # links found among these pairs only join components, so they open no other pairs
-    pairs = scratch.put("pairs", _open_pairs(tried, parts, scratch))
+    pairs = scratch.put("pairs", _open_pairs(tried, parts, leads.select("node", "bits"), scratch))
     if pairs.take(1):
         both = pairs.join(sets.select(F.col("node").alias("b"), F.col("items").alias("items_b")), "b").join(sets.select(F.col("node").alias("a"), F.col("items").alias("items_a")), "a")
         found = scratch.put("found", _compared(both, node_kind).where("linked").select("a", "b"))
@@ -227,14 +238,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("doc").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.col("component").cast(kind).alias("component_id"), kept.alias("kept"), *["copy", "c1"] * row_keys)
 
 
-def _open_pairs(tried: DataFrame, parts: DataFrame, scratch: Scratch) -> DataFrame:
+def _open_pairs(tried: DataFrame, parts: DataFrame, maps: DataFrame, scratch: Scratch) -> DataFrame:
     """Pairs of a hub's members that lie in different components, one of them not in its hub's, and may share enough."""
     of = tried.select(F.col("a").alias("hub"), F.col("b").alias("node"), "n", "shared", "keys")
     of = of.join(parts.select("node", F.col("component").alias("part")), "node", "left")
     of = of.join(parts.select(F.col("node").alias("hub"), F.col("component").alias("hub_part")), "hub", "left")
     of = of.withColumns({"part": F.coalesce("part", "node"), "stray": F.coalesce("part", "node") != F.coalesce("hub_part", "hub")}).drop("hub_part")
-    of = scratch.put("open", of.join(of.where("stray").select("hub").distinct(), "hub", "left_semi"))
-    of = of.select("hub", "node", "n", "shared", "part", "stray", F.posexplode("keys").alias("place", "key"))
+    of = scratch.put("open", of.join(of.where("stray").select("hub").distinct(), "hub", "left_semi").join(maps.dropDuplicates(["node"]), "node"))
+    bits = [F.get("bits", F.lit(i)).alias(f"bits_{i}") for i in range(LONGS)]
+    of = of.select("hub", "node", "n", "shared", "part", "stray", *bits, F.posexplode("keys").alias("place", "key"))
     of = of.withColumn("key", F.xxhash64("hub", "key")).drop("hub")
     mixed = of.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
     of = scratch.put("prefixes", of.join(mixed, "key", "left_semi"))
@@ -244,8 +256,10 @@ def _open_pairs(tried: DataFrame, parts: DataFrame, scratch: Scratch) -> DataFra
     met = of.where("stray").join(small, "key").unionByName(of.where("not stray").join(small.where("other_stray"), "key"))
     sized = (F.col("n") >= F.col("other_n")) & (PERCENT * F.col("n") <= 100 * F.col("other_n"))
     near = F.least("shared", "other_shared") + F.least(F.col("n") - F.col("shared"), F.col("other_n") - F.col("other_shared"))
+    mapped = sum(F.bit_count(F.col(f"bits_{i}").bitwiseAND(F.col(f"other_bits_{i}"))) for i in range(LONGS))
+    lost = F.least(*[F.col(f"{of_}n") - sum(F.bit_count(f"{of_}bits_{i}") for i in range(LONGS)) for of_ in ("", "other_")])
     after = F.least(F.col("n") - F.col("place"), F.col("other_n") - F.col("other_place"))  # all they share, at their first common shingle
-    enough = (100 + PERCENT) * F.least(near, after) >= PERCENT * (F.col("n") + F.col("other_n"))
+    enough = (100 + PERCENT) * F.least(near, after, mapped + lost) >= PERCENT * (F.col("n") + F.col("other_n"))
     met = met.where((F.col("part") != F.col("other_part")) & sized & enough)
     pairs = met.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).distinct()
     return pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")

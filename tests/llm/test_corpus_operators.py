@@ -142,7 +142,9 @@ def test_pairs_away_from_their_hub(spark):
     hub = {0} | {r["b"] for r in tried.where("linked").collect()}
     assert {j for i, j in linked if i == 0} | {0} == hub
     parts = components.connected_components(tried.where("linked").select("a", "b"), scratch)
-    got = [(r["a"], r["b"]) for r in minhash_dedup._open_pairs(tried, parts, scratch).collect()]
+    hashes, first = minhash_dedup._flat(pa.array(packed, pa.binary()))
+    maps = spark.createDataFrame([(i, m.tolist()) for i, m in enumerate(minhash_dedup.bit_maps(hashes, first))], "node long, bits array<long>")
+    got = [(r["a"], r["b"]) for r in minhash_dedup._open_pairs(tried, parts, maps, scratch).collect()]
     assert len(got) == len({*got}) and not any(i in hub and j in hub for i, j in got)
     want = {(i, j) for i, j in linked if i > 0 and not (i in hub and j in hub)}
     assert len(want) > 30 and want <= {*got}

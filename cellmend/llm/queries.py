@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellmend.llm import fingerprints, lm_scoring, minhash_dedup, mixing, pii, quality, sentencepiece_codec, substring_dedup, token_counts, topk_search
+from cellmend.llm import clustering, divergence, fingerprints, licenses, lm_scoring, minhash_dedup, mixing, pii, quality, sentencepiece_codec, substring_dedup, token_counts, topk_search
 from cellmend.llm.common import crc_fold
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -71,9 +71,24 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, base, pii.span_text(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_mixing, op3_token_counts, op4_quality, op5_substring_dedup, op6_topk_search, op7_fingerprints, op8_minhash_dedup, op9_lm_scoring, op10_pii)}
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(documents(spark, sf_dir))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.k_means(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_digest(licenses.scan_licenses(documents(spark, sf_dir)))
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_mixing, op3_token_counts, op4_quality, op5_substring_dedup, op6_topk_search, op7_fingerprints, op8_minhash_dedup, op9_lm_scoring, op10_pii, op11_source_divergence, op12_centroid_clustering, op13_license_scan)}
 SQL: dict[str, str] = {
     "op2_mixing": mixing.mixing_sql(),
+    "op11_source_divergence": divergence.divergence_sql(),
+    "op12_centroid_clustering": clustering.k_means_sql(),
+    "op13_license_scan": licenses.licenses_sql(),
     "op6_topk_search": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x FROM embeddings
                    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),

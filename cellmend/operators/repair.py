@@ -3,22 +3,34 @@
 A cell's scores depend only on the row's evidence (parents, children and the columns that compensate), so they are computed once for
 each distinct evidence and joined back. Counts come from a frozen training table; later columns see what earlier ones repaired.
 
-A repair needs the best candidate only. Values that never occur with any of the evidence differ in nothing but how often they occur, so
-the best of them is one of a few that are known beforehand, whatever the evidence: the candidates of an evidence are the values that
-occur with it, found by a join on counts, and those few. The result of a column is stored before the next one reads it, so that plans
-stay as long as one column's.
+A repair needs the best candidate only, and finds it by a threshold search. Each value of an evidence column has a list of the target's
+values by falling count. A search looks at the heads of an evidence's lists and at a few values that are known beforehand (among values
+that never occur with the evidence, which differ in nothing but their counts, the best are of lowest or highest count or of first
+appearance), scores these exactly, and bounds what any other value could reach by the counts at which the lists were left. Where the bound
+stays below what is found, the evidence is settled; the others are searched deeper. So candidates grow with the evidence, not with evidence
+times values, and none that could win is left out.
+
+The result of a column is stored before the next one reads it, so that plans stay as long as one column's; what it replaces is dropped.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellmend.operators.network import CPD_SIZE, Local
 from cellmend.operators.stats import MARKER, Counts
-from cellmend.sources.scratch import stored
+from cellmend.sources.scratch import Scratch
+
+#: Values of each list that a search looks at first, and how many times deeper it looks each time that this does not do.
+DEPTH, DEEPER = 16, 8
+#: The list of several parents, which are counted together.
+_JOINT = "parents"
+#: Tables of one column's search.
+_STEPS = ("known", "lists", "heads", "scored", "judged", "open")
 
 
 def _evidence(local: Local, columns: list[str], compensate: bool) -> list[str]:
@@ -26,10 +38,10 @@ def _evidence(local: Local, columns: list[str], compensate: bool) -> list[str]:
     return near + ([c for c in columns if c != local.node and c not in near] if compensate else [])
 
 
-def _known(rows: DataFrame, evidence: list[str]) -> DataFrame:
+def _known(rows: DataFrame, evidence: list[str], scratch: Scratch) -> DataFrame:
     """``(eid, evidence...)``: each distinct evidence of the rows once, with a number."""
     known = rows.select(*evidence).distinct() if evidence else rows.sparkSession.range(1).select(F.lit("").alias("_"))
-    return stored(known.withColumn("eid", F.monotonically_increasing_id()))
+    return scratch.put("known", known.withColumn("eid", F.monotonically_increasing_id()))
 
 
 def rare_values(values: DataFrame) -> DataFrame:
@@ -39,20 +51,23 @@ def rare_values(values: DataFrame) -> DataFrame:
     return ends[0].unionByName(ends[1]).unionByName(ends[2]).select("val").distinct()
 
 
-def _scored(known: DataFrame, counts: Counts, local: Local, columns: list[str], compensate: bool, size: float, marker: str, every: bool) -> DataFrame:
-    """``(eid, val, pos, probability, weight)`` of the candidates of each evidence: all values of the column, or those that matter. A
+def _all_counts(known: DataFrame, counts: Counts, local: Local, evidence: list[str]) -> DataFrame | None:
+    """``(eid, val, other, together)``: rows that hold a value and a value of the evidence, of every value that occurs with it."""
+    if not evidence:
+        return None
+    long = known.select("eid", F.inline(F.array(*[F.struct(F.lit(c).alias("other"), F.col(c).alias("other_val")) for c in evidence])))
+    met = counts.pairs.where(F.col("attr") == local.node).withColumnRenamed("n", "together")
+    return long.join(met, ["other", "other_val"]).select("eid", "val", "other", "together")
+
+
+def _scored(known: DataFrame, met: DataFrame | None, few: DataFrame, counts: Counts, local: Local, columns: list[str], compensate: bool, size: float, marker: str) -> DataFrame:
+    """``(eid, val, pos, probability, weight)`` of each evidence's candidates: those of ``met`` (see ``_all_counts``) and all of ``few``. A
     weight is not divided by the weights' sum; it is 0 for the marker and at least 1 for others."""
     t, evidence = local.node, _evidence(local, columns, compensate)
     others = [c for c in evidence if c not in local.parents and c not in local.children]
     card, values = counts.cardinality, counts.of(t)
     r, q = card[t], math.prod(card[p] for p in local.parents)
     n = {c: F.max(F.when(F.col("other") == c, F.col("together"))).alias(f"_n_{i}") for i, c in enumerate(evidence)}
-    if evidence:
-        long = known.select("eid", F.inline(F.array(*[F.struct(F.lit(c).alias("other"), F.col(c).alias("other_val")) for c in evidence])))
-        met = long.join(counts.pairs.where(F.col("attr") == t).withColumnRenamed("n", "together"), ["other", "other_val"]).select("eid", "val", "other", "together")
-    else:
-        met = None
-    few = values.select("val") if every else F.broadcast(rare_values(values))  # nine values, unless all are asked for
     base = known.select("eid").join(few).select("eid", "val", F.lit(None).cast("string").alias("other"), F.lit(None).cast("long").alias("together"))
     out = (base if met is None else met.unionByName(base)).groupBy("eid", "val").agg(*(n.values() or [F.count("*").alias("_")]))
     out = out.join(values.withColumnRenamed("n", "_n"), "val").join(known, "eid")
@@ -86,56 +101,150 @@ def score_candidates(rows: DataFrame, train: DataFrame, local: Local, columns: l
     be called like the result's own or start with "_". The result has as many rows as evidence times values; ``repair`` does not need it.
     """
     evidence = _evidence(local, columns, compensate)
-    known = _known(rows, evidence)
-    scored = _scored(known, counts or Counts(train, columns), local, columns, compensate, size, marker, True)
+    known = _known(rows, evidence, Scratch(rows.sparkSession))
+    counts = counts or Counts(train, columns)
+    scored = _scored(known, _all_counts(known, counts, local, evidence), counts.of(local.node).select("val"), counts, local, columns, compensate, size, marker)
     penalty = F.coalesce(F.try_divide("weight", F.sum("weight").over(Window.partitionBy("eid"))), F.lit(0.0)) if compensate else F.lit(1.0)
     out = scored.withColumn("penalty", penalty).withColumn("score", F.col("penalty") * F.col("probability"))
     return out.join(known, "eid").select(*(evidence or ["_"]), "val", "pos", "probability", "penalty", "score")
 
 
-def repair_column(rows: DataFrame, train: DataFrame, local: Local, columns: list[str], compensate: bool = True, size: float = CPD_SIZE, marker: str = MARKER, counts: Counts | None = None) -> DataFrame:
-    """``rows`` with ``val``, ``probability`` and ``margin``: what the column is to hold (the best score but the marker's, the first in the
-    column of equals; null where there is no candidate), that value's probability, and the log of the highest probability of all
-    candidates over the second."""
-    evidence = _evidence(local, columns, compensate)
-    known = _known(rows, evidence)
-    scored = _scored(known, counts or Counts(train, columns), local, columns, compensate, size, marker, False)
+def best_candidates(scored: DataFrame, marker: str = MARKER) -> DataFrame:
+    """``(eid, val, probability, score, first, second)``: the best score but the marker's, the first in the column of equals, with its
+    probability and rounded log score, and the two highest probabilities of all candidates (a single one twice)."""
     # weights of one evidence have one sum, so their order is the scores'; what differs by rounding only is equal
-    score = F.struct(F.round(F.log(F.col("weight") * F.col("probability")), 10), -F.col("pos"))
+    score = F.struct(F.round(F.log(F.col("weight") * F.col("probability")), 10).alias("score"), (-F.col("pos")).alias("pos"))
     able = F.col("val") != marker
-    best = scored.groupBy("eid").agg(F.max_by(F.when(able, F.struct("val", "probability")), F.when(able, score)).alias("best"), F.collect_list("probability").alias("p"))
-    top = F.slice(F.sort_array("p", asc=False), 1, 2)
-    first, second = F.get(top, F.lit(0)), F.coalesce(F.get(top, F.lit(1)), F.get(top, F.lit(0)))
-    ratio = F.try_divide(first, F.when(second == 0, F.lit(1e-10)).otherwise(second))
-    found = known.join(best.select("eid", F.col("best.val").alias("val"), F.col("best.probability").alias("probability"), F.when(ratio > 0, F.log(ratio)).otherwise(F.lit(0.0)).alias("margin")), "eid").drop("eid")
+    placed = scored.withColumn("_place", F.row_number().over(Window.partitionBy("eid").orderBy(F.desc("probability"))))
+    best = F.max_by(F.when(able, F.struct("val", "probability", score.alias("score"))), F.when(able, score)).alias("best")
+    two = [F.max(F.when(F.col("_place") == i, F.col("probability"))).alias(n) for i, n in ((1, "first"), (2, "second"))]
+    found = placed.groupBy("eid").agg(best, *two)
+    return found.select("eid", F.col("best.val").alias("val"), F.col("best.probability").alias("probability"), F.col("best.score.score").alias("score"), "first", F.coalesce("second", "first").alias("second"))
+
+
+def _ceilings(cuts: DataFrame, counts: Counts, local: Local, others: list[str], parent_total: str | None, columns: list[str], compensate: bool, size: float, marker: str) -> DataFrame:
+    """``(eid, top_score, top_probability)``: what a value that no list showed can reach at most, null where every list was read to its
+    end; ``_cut_c`` is the highest count of such a value with the evidence's value of c, ``parent_total`` the rows with the parents' values."""
+    t, card = local.node, counts.cardinality
+    r, q = card[t], math.prod(card[p] for p in local.parents)
+    rarest, most = counts.ends[t]
+    cut = lambda c: F.coalesce(F.col(f"_cut_{c}"), F.lit(0))
+    known = lambda c: F.col(c) != marker
+    # a count x gives a child at most (x + a) / (max(x, rarest) + b), which grows with x
+    child = {c: F.when(known(c), (cut(c) + size / (r * card[c])) / (F.greatest(cut(c), F.lit(rarest)) + size / r)).otherwise(F.lit(1.0)) for c in local.children}
+    every = math.prod(child.values(), start=F.lit(1.0))
+    if local.parents:
+        head = cut(_JOINT if len(local.parents) > 1 else local.parents[0])
+        own = (head + size / (q * r)) / (F.coalesce(F.col(parent_total), F.lit(0)) + size / q)
+        probability = every * (F.when(known(local.parents[0]), own).otherwise(F.lit(1.0)) if len(local.parents) == 1 else own)
+    else:
+        # without parents a child's denominator cancels with the column's own count
+        ways = [(most + size / r) / (counts.rows + size) * every]
+        for c in local.children:
+            rest = math.prod((f for o, f in child.items() if o != c), start=F.lit(1.0))
+            ways.append(F.when(known(c), (cut(c) + size / (r * card[c])) / (counts.rows + size) * rest).otherwise(ways[0]))
+        probability = F.least(*ways) if len(ways) > 1 else ways[0]
+    weight = F.lit(1.0)
+    if compensate:
+        weight = F.sqrt(sum((F.pow(cut(c) * F.lit(float(len(columns) ** 2)), F.lit(2.0)) for c in others), F.lit(0.0))) + 1
+    left = reduce(lambda a, b: a | b, [F.coalesce(F.col(c), F.lit(0)) > 0 for c in cuts.columns if c.startswith("_cut_")])
+    return cuts.select("eid", F.when(left, F.log(weight * probability)).alias("top_score"), F.when(left, probability).alias("top_probability"))
+
+
+def search(known: DataFrame, counts: Counts, local: Local, columns: list[str], compensate: bool, size: float, marker: str, scratch: Scratch, depth: int = DEPTH) -> tuple[DataFrame, list[DataFrame]]:
+    """``best_candidates`` of each evidence (``_known``'s rows), and the tables of scored candidates of all depths that were searched."""
+    t, evidence = local.node, _evidence(local, columns, compensate)
+    few = F.broadcast(rare_values(counts.of(t)))  # nine values
+    long_ = [c for c in evidence if counts.longest.get((t, c), 0) > depth]
+    if not long_:
+        scored = _scored(known, _all_counts(known, counts, local, evidence), few, counts, local, columns, compensate, size, marker)
+        return best_candidates(scored, marker), [scored]
+    near = [*local.parents, *local.children]
+    others = [c for c in evidence if c not in near]
+    joint = len(local.parents) > 1
+    # the lists: of each evidence column, but of several parents one for all of them
+    of = {c: [c] for c in evidence if not (joint and c in local.parents)} | ({_JOINT: list(local.parents)} if joint else {})
+    lists = counts.pairs.where((F.col("attr") == t) & F.col("other").isin([c for c in of if c != _JOINT])).select("other", F.array("other_val").alias("key"), "val", F.col("n").alias("together"))
+    total = None
+    if local.parents:
+        both = counts.table.groupBy(F.array(*local.parents).alias("key"), F.col(t).alias("val")).agg(F.count("*").alias("together"))
+        if joint:
+            lists = scratch.put("lists", lists.unionByName(both.select(F.lit(_JOINT).alias("other"), "key", "val", "together")))
+        total = both.groupBy("key").agg(F.sum("together").alias("_parent_total"))
+    place = Window.partitionBy("other", "key").orderBy(F.desc("together"), "val")
+    found, scores, open_ = [], [], known
+    while True:
+        most = max(counts.longest.get((t, c), 0) for c in evidence)
+        asked = open_.select("eid", F.inline(F.array(*[F.struct(F.lit(name).alias("other"), F.array(*cs).alias("key")) for name, cs in of.items()])))
+        tops = lists.withColumn("_rank", F.row_number().over(place)).where(F.col("_rank") <= depth + 1)
+        heads = scratch.put("heads", asked.join(tops, ["other", "key"]))
+        shown = heads.where(F.col("_rank") <= depth)
+        ends = heads.where(F.col("_rank") == depth + 1).select("eid", "other", "key", F.col("together").alias("cut"))
+        # counts of candidates in lists that go on are looked up; in lists read to their end, what is not shown is 0
+        candidates = shown.select("eid", "val").distinct().unionByName(open_.select("eid").join(few).select("eid", "val")).distinct()
+        looked = candidates.join(ends.drop("cut"), "eid").join(lists, ["other", "key", "val"]).select("eid", "val", "other", "together")
+        met = shown.select("eid", "val", "other", "together").unionByName(looked)
+        if joint:
+            met = met.where(F.col("other") != _JOINT)  # scored by the parents' own counts
+        scored = scratch.put("scored", _scored(open_, met.unionByName(candidates.select("eid", "val", F.lit(None).cast("string").alias("other"), F.lit(None).cast("long").alias("together"))), few, counts, local, columns, compensate, size, marker))
+        scores.append(scored)
+        cuts = ends.groupBy("eid").agg(*[F.max(F.when(F.col("other") == name, F.col("cut"))).alias(f"_cut_{name}") for name in of])
+        cuts = open_.join(cuts, "eid")
+        if total is not None:
+            cuts = cuts.withColumn("_key", F.array(*local.parents)).join(total.withColumnRenamed("key", "_key"), "_key", "left")
+        tops_of = _ceilings(cuts, counts, local, others, "_parent_total", columns, compensate, size, marker)
+        judged = scratch.put("judged", best_candidates(scored, marker).join(tops_of, "eid", "left"))
+        settled = F.col("top_score").isNull() | ((F.col("top_score") < F.col("score") - 1e-9) & (F.col("top_probability") <= F.col("second") * (1 + 1e-12)))
+        settled = F.coalesce(settled, F.lit(False))
+        found.append(judged.where(settled).drop("top_score", "top_probability"))
+        if depth >= most or not judged.where(~settled).take(1):
+            return reduce(DataFrame.unionByName, found), scores
+        open_ = scratch.put("open", open_.join(judged.where(~settled).select("eid"), "eid", "left_semi"))
+        depth *= DEEPER
+
+
+def repair_column(rows: DataFrame, train: DataFrame, local: Local, columns: list[str], compensate: bool = True, size: float = CPD_SIZE, marker: str = MARKER, counts: Counts | None = None, scratch: Scratch | None = None, depth: int = DEPTH) -> DataFrame:
+    """``rows`` with ``val``, ``probability`` and ``margin``: what the column is to hold (the best score but the marker's, the first in the
+    column of equals; null where there is no candidate), that value's probability, and the log of the highest probability of all
+    candidates over the second. ``scratch`` holds what the result reads; the search starts at ``depth``."""
+    evidence, scratch = _evidence(local, columns, compensate), scratch or Scratch(rows.sparkSession)
+    known = _known(rows, evidence, scratch)
+    best, _ = search(known, counts or Counts(train, columns), local, columns, compensate, size, marker, scratch, depth)
+    ratio = F.try_divide("first", F.when(F.col("second") == 0, F.lit(1e-10)).otherwise(F.col("second")))
+    found = known.join(best.select("eid", "val", "probability", F.when(ratio > 0, F.log(ratio)).otherwise(F.lit(0.0)).alias("margin")), "eid").drop("eid")
     if not evidence:
         return rows.withColumn("_", F.lit("")).join(found, "_", "left").drop("_")
     return rows.join(found, evidence, "left").select(*rows.columns, "val", "probability", "margin")
 
 
-def repair(rows: DataFrame, networks: dict[str, Local], columns: list[str], targets: list[str] | None = None, train: DataFrame | None = None, compensate: bool = True, size: float = CPD_SIZE, marker: str = MARKER, counts: Counts | None = None) -> tuple[DataFrame, DataFrame]:
+def repair(rows: DataFrame, networks: dict[str, Local], columns: list[str], targets: list[str] | None = None, train: DataFrame | None = None, compensate: bool = True, size: float = CPD_SIZE, marker: str = MARKER, counts: Counts | None = None, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
     """The repaired table, and ``(row_id, attr, old, new)`` of the cells that changed.
 
     Columns without a network or without neighbours are skipped; an empty string is never written.
     """
-    return repair_with_facts(rows, networks, columns, targets, train, compensate, size, marker, counts)[:2]
+    return repair_with_facts(rows, networks, columns, targets, train, compensate, size, marker, counts, scratch, False)[:2]
+
 
+def repair_with_facts(rows: DataFrame, networks: dict[str, Local], columns: list[str], targets: list[str] | None = None, train: DataFrame | None = None, compensate: bool = True, size: float = CPD_SIZE, marker: str = MARKER, counts: Counts | None = None, scratch: Scratch | None = None, facts: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As ``repair``, and ``(row_id, attr, val, probability, margin, context)`` of every cell that was evaluated (none without ``facts``).
 
-def repair_with_facts(rows: DataFrame, networks: dict[str, Local], columns: list[str], targets: list[str] | None = None, train: DataFrame | None = None, compensate: bool = True, size: float = CPD_SIZE, marker: str = MARKER, counts: Counts | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """As ``repair``, and ``(row_id, attr, val, probability, margin, context)`` of every cell that was evaluated."""
+    Of the tables between columns only the last and the columns' facts stay; ``scratch`` holds them.
+    """
     counts = counts or Counts(rows if train is None else train, columns)
-    out, facts = rows, []
+    scratch = scratch or Scratch(rows.sparkSession)
+    out, kept, before = rows, [], None
     for c in targets or columns:
         local = networks.get(c)
         if local and (local.parents or local.children):
-            fixed = repair_column(out, counts.table, local, columns, compensate, size, marker, counts)
-            fixed = stored(fixed.withColumn("_context", query_context(local, marker)))  # read for the next column, the facts and the log
-            facts.append(fixed.where("val is not null").select("row_id", F.lit(c).alias("attr"), "val", "probability", "margin", F.col("_context").alias("context")))
+            fixed = repair_column(out, counts.table, local, columns, compensate, size, marker, counts, scratch)
+            fixed = scratch.put(f"rows-{c}", fixed.withColumn("_context", query_context(local, marker)) if facts else fixed)
+            scratch.drop(*_STEPS, *([f"rows-{before}"] if before else []))
+            before = c
+            if facts:
+                kept.append(scratch.put("facts", fixed.where("val is not null").select("row_id", F.lit(c).alias("attr"), "val", "probability", "margin", F.col("_context").alias("context"))))
             out = fixed.withColumn(c, F.when(F.col("val").isNotNull() & (F.col("val") != ""), F.col("val")).otherwise(F.col(c))).select(*rows.columns)
     every = rows.sparkSession.createDataFrame([], "row_id long, attr string, val string, probability double, margin double, context string")
-    for f in facts:
-        every = every.unionByName(f)
-    return out, changed_cells(rows, out, columns), every
+    return out, changed_cells(rows, out, columns), reduce(DataFrame.unionByName, kept, every)
 
 
 def changed_cells(before: DataFrame, after: DataFrame, columns: list[str]) -> DataFrame:

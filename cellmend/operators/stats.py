@@ -122,8 +122,13 @@ class Counts:
         self.values = stored(long.groupBy("attr", "val").agg(F.min("row_id").alias("pos"), F.count("*").alias("n")))
         #: (attr, val, other, other_val, n): see ``ordered_pairs``.
         self.pairs = stored(ordered_pairs(pair_counts(table, columns)))
-        sizes = self.values.groupBy("attr").agg(F.count("*").alias("values"), F.sum("n").alias("rows")).collect()  # a row for each column
+        #: For each (column, other column) the most values that one value of the other occurs with.
+        lists = self.pairs.groupBy("attr", "other", "other_val").agg(F.count("*").alias("n")).groupBy("attr", "other").agg(F.max("n").alias("n"))
+        self.longest = {(r["attr"], r["other"]): r["n"] for r in lists.collect()}  # a row for each pair of columns
+        sizes = self.values.groupBy("attr").agg(F.count("*").alias("values"), F.sum("n").alias("rows"), F.min("n").alias("rarest"), F.max("n").alias("most")).collect()  # a row for each column
         self.cardinality = {c: 0 for c in columns} | {r["attr"]: r["values"] for r in sizes}
+        #: The least and the largest count of a column's values.
+        self.ends = {r["attr"]: (r["rarest"], r["most"]) for r in sizes}
         self.rows = max((r["rows"] for r in sizes), default=0)
 
     def of(self, column: str) -> DataFrame:

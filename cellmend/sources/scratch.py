@@ -55,6 +55,10 @@ class Scratch:
                 hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
                 hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
+    def clear(self) -> None:
+        """Remove all of the job's tables; nothing may read them any more."""
+        self.drop(*list(self.paths))
+
 
 def stored(df: DataFrame) -> DataFrame:
     """One table on its own, kept until the shared folder is cleared."""

@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 from cellmend.operators.network import Local
 from cellmend.operators.repair import repair
 from cellmend.operators.stats import Counts
+from cellmend.sources.scratch import Scratch
 
 
 def repair_stream(arriving: DataFrame, train: DataFrame, networks: dict[str, Local], columns: list[str], path: str, checkpoint: str, **options) -> StreamingQuery:
@@ -16,7 +17,9 @@ def repair_stream(arriving: DataFrame, train: DataFrame, networks: dict[str, Loc
     counts = Counts(train, columns)  # once for all batches
 
     def batch(rows: DataFrame, number: int) -> None:
-        repaired, _ = repair(rows, networks, columns, train=train, counts=counts, **options)
+        scratch = Scratch(rows.sparkSession)
+        repaired, _ = repair(rows, networks, columns, train=train, counts=counts, scratch=scratch, **options)
         repaired.write.mode("overwrite").parquet(f"{path}/batch={number}")  # a batch that runs again replaces its own output
+        scratch.clear()
 
     return arriving.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

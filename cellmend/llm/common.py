@@ -87,20 +87,29 @@ _MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _LONG = 64
 
 
-def span_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[begin:end] (bytes): blocks of eight bytes, each mixed with the hash so far; of long spans BLAKE2b."""
+def span_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of data[begin:end] (bytes), which together tell spans apart by 128 bits.
+
+    Blocks of eight bytes go into two lanes, kept apart to the end: one mixes the block with what it holds, the other mixes the block on
+    its own first. So no block undoes in both what an earlier one did. Long spans have BLAKE2b.
+    """
     size = ends - begins
-    out = mix64(size.astype(np.uint64))
+    a, b = mix64(size.astype(np.uint64)), mix64(size.astype(np.uint64) ^ _MIX_B)
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     blocks = np.ndarray((len(data) + 1,), np.uint64, buffer=padded, strides=(1,))  # the block that starts at each byte
     todo, at = np.flatnonzero(size <= _LONG), 0
     while len(todo):
         left = size[todo] - at
-        out[todo] = mix64(out[todo] ^ (blocks[begins[todo] + at] & _MASK[np.minimum(left, 8)]))
+        block = blocks[begins[todo] + at] & _MASK[np.minimum(left, 8)]
+        a[todo] = mix64(a[todo] ^ block)
+        b[todo] = mix64(b[todo] ^ mix64(block ^ _MIX_A))
         todo, at = todo[left > 8], at + 8
+    first = mix64(a ^ (b << np.uint64(32) | b >> np.uint64(32)))
+    second = mix64(b + first)
     for i in np.flatnonzero(size > _LONG):
-        out[i] = int.from_bytes(hashlib.blake2b(data[begins[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
-    return out
+        digest = hashlib.blake2b(data[begins[i] : ends[i]].tobytes(), digest_size=16).digest()
+        first[i], second[i] = (int.from_bytes(digest[j : j + 8], "little") for j in (0, 8))
+    return first, second
 
 
 def runs(values: np.ndarray, width: int, key: int) -> np.ndarray:
@@ -116,11 +125,16 @@ def runs(values: np.ndarray, width: int, key: int) -> np.ndarray:
         power, size = mix64(power[: max(0, len(power) - size)] * odd + power[size:]), 2 * size
 
 
+def joint_runs(hashes: np.ndarray, checks: np.ndarray, width: int, key: int) -> np.ndarray:
+    """``runs`` of words by both of their hashes."""
+    return mix64(runs(hashes, width, key) ^ mix64(runs(checks, width, key + (1 << 20))))
+
+
 class Words:
     """The words (runs of characters other than ASCII white space) of a column of texts, as hashes.
 
-    ``hashes``, ``begins``, ``ends`` (bytes in ``data``) and ``doc`` (row) by word; row i has words ``first[i]`` to ``first[i + 1]``.
-    ``lower``: A-Z count as a-z.
+    ``hashes``, ``checks`` (a second hash), ``begins``, ``ends`` (bytes in ``data``) and ``doc`` (row) by word; row i has words ``first[i]``
+    to ``first[i + 1]``. ``lower``: A-Z count as a-z.
     """
 
     def __init__(self, column: pa.Array, lower: bool = False):
@@ -142,7 +156,7 @@ class Words:
         self.ends = stops[np.searchsorted(edge, self.begins) + 1]
         self.first = np.searchsorted(self.begins, at)
         self.doc = np.repeat(np.arange(len(column)), np.diff(self.first))
-        self.hashes = span_hashes(_LOWER[self.data] if lower else self.data, self.begins, self.ends)
+        self.hashes, self.checks = span_hashes(_LOWER[self.data] if lower else self.data, self.begins, self.ends)
 
     def __len__(self) -> int:
         return len(self.hashes)

@@ -1,6 +1,6 @@
 """Near-duplicate documents by HyperMinHash (operator 8).
 
-A document is the set of its distinct word shingles, each a 64-bit hash. The hash's first bits choose one of 512 buckets; a
+A document is the set of its distinct word shingles, each a 64-bit hash of its words' two hashes. The hash's first bits choose one of 512 buckets; a
 bucket keeps its least hash as a register of a leading-zero count and some mantissa bits. An empty bucket borrows the register of
 the filled one that a fixed permutation of its own names first, so short texts have as many registers as long ones. Bands of
 registers are the candidate keys: documents that agree in a band meet. Copies with equal sets are one class and meet once.
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellmend.llm.common import Words, mix64, runs, signed, slices, text_of
+from cellmend.llm.common import Words, joint_runs, mix64, signed, slices, text_of
 from cellmend.llm.components import connected_components
 from cellmend.sources.scratch import Scratch
 
@@ -61,11 +61,12 @@ def shingle_sets(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     start = np.repeat(words.first[:-1], n) + np.arange(first[-1]) - np.repeat(first[:-1], n)
     hashes = np.empty(len(start), np.uint64)
     full = np.repeat(counts >= width, n)
-    hashes[full] = runs(words.hashes, width, _KEY)[start[full]]
+    hashes[full] = joint_runs(words.hashes, words.checks, width, _KEY)[start[full]]
     for k in range(1, width):
         rows = np.flatnonzero(counts == k)
         if len(rows):
-            hashes[first[rows]] = runs(words.hashes[words.first[rows][:, None] + np.arange(k)].ravel(), k, _KEY + k)[::k]
+            own = (words.first[rows][:, None] + np.arange(k)).ravel()
+            hashes[first[rows]] = joint_runs(words.hashes[own], words.checks[own], k, _KEY + k)[::k]
     for i in np.flatnonzero(n > 1):
         hashes[first[i] : first[i + 1]].sort()
     new = np.ones(len(hashes), bool)

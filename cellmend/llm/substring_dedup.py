@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellmend.llm.common import Words, exploded, mix64, runs, signed, slices, text_of
+from cellmend.llm.common import Words, exploded, joint_runs, mix64, runs, signed, slices, text_of
 from cellmend.sources.scratch import stored
 
 WINDOW = 20
@@ -113,7 +113,7 @@ def occurrences(words: Words, window: int) -> dict[str, np.ndarray]:
     head = np.flatnonzero(new)
     a, b, mark = at[head], at[np.append(head[1:], len(at)) - 1], anchor[head]
     name = mix64(runs(words.hashes, span, 203)[mark - before] ^ key[mark])
-    whole = runs(words.hashes, window, 204)  # an occurrence has at most ``room`` windows: its first and last one hold all its words
+    whole = joint_runs(words.hashes, words.checks, window, 204)  # an occurrence has at most ``room`` windows: its first and last one hold all its words
     group = mix64(mix64(whole[a] + (b - a).astype(np.uint64)) * _ODD[2] + whole[b] + (mark - a).astype(np.uint64) * _ODD[3])
     row = words.doc[a]
     return {"name": name, "group": group, "row": row, "a": a - words.first[row], "b": b - words.first[row]}
@@ -193,7 +193,7 @@ def _find_windows(window: int):
             row = np.repeat(row, count)
             a = np.repeat(packed >> 8, count) + (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
             at = words.first[row] + a
-            w1, w2 = (runs(words.hashes, window, key)[at] for key in (205, 206))
+            w1, w2 = (runs(own, window, key)[at] for own, key in ((words.hashes, 205), (words.checks, 206)))
             doc, sub = (batch.column(i).to_numpy()[row] for i in (0, 1))
             order = np.lexsort((a, sub, doc, w2, w1))
             w1, w2 = w1[order], w2[order]

@@ -166,7 +166,8 @@ def source_divergence(docs: DataFrame, params: DivergenceParams = DivergencePara
     counts = keep.put("counts", term_counts(docs))
     terms = counts.where("term is not null")
     kept = keep.put("kept", terms.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs")).where(F.col("docs") >= params.documents).drop("docs"))
-    langs = kept.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("lang_n").alias("lang_n"))
+    # stored, so that its size is known when it is joined: where it is small the vocabulary isn't dealt by lang
+    langs = keep.put("langs", kept.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("lang_n").alias("lang_n")))
     chunked = kept.join(langs.select("lang", "terms"), lang).withColumn("chunk", F.pmod(F.xxhash64("term"), F.ceil(F.col("terms") / params.chunk)))
     numbered = chunked.withColumn("place", F.row_number().over(Window.partitionBy("lang", "chunk").orderBy("term")) - 1)
     # terms of the kept vocabulary in each group: at most as many rows as the counts
@@ -177,7 +178,7 @@ def source_divergence(docs: DataFrame, params: DivergenceParams = DivergencePara
     groups = groups.join(blocks, lang).join(sums, ["lang", "source"], "left").join(langs, lang, "left").na.fill(0, ["total", "terms", "lang_n"])
     groups = groups.withColumn("total", F.col("total") + params.smooth * F.col("terms")).withColumn("lang_total", F.col("lang_n") + params.smooth * F.col("terms")).drop("lang_n")
     groups = keep.put("groups", groups.withColumn("block", F.pmod(F.xxhash64("source"), "blocks")))
-    keep.drop("counts", "kept")
+    keep.drop("counts", "kept", "langs")
 
     packed = own.groupBy("lang", "source", "chunk").agg(F.collect_list(F.struct("place", "n")).alias("cells"))  # about ``chunk`` terms
     packed = packed.select("lang", "source", "chunk", F.col("cells.place").alias("places"), F.col("cells.n").alias("counts"), F.floor(F.col("chunk") / params.stripe).alias("stripe"))

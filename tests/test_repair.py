@@ -219,7 +219,7 @@ def test_files(spark, tmp_path):
     assert all(r["w"] == f"w{r['row_id']}" and r["i"] == str(r["row_id"]) for r in many.collect()) and many.count() == 5000
     spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     (tmp_path / "lines.csv").write_text('w\n"a\nb"\nc\n')
-    assert [r["w"] for r in tables.read_csv(spark, f"{tmp_path}/lines.csv", ["w"], multiline=True).orderBy("row_id").collect()] == ["a\nb", "c"]
+    assert [r["w"] for r in tables.read_csv(spark, f"{tmp_path}/lines.csv", ["w"]).orderBy("row_id").collect()] == ["a\nb", "c"]
     with pytest.raises(FileNotFoundError):
         tables.load_columns(spark, str(root), "none")
     s = structure.Structure(["a", "b", "c"], [["a", "b"]], [("a", "c")])

@@ -125,15 +125,16 @@ def _secrets(text: str) -> Iterator[tuple[int, int]]:
 
 def find_spans(text: str) -> list[tuple[str, int, int, float]]:
     """All spans with their scores by start, then kind in the order of ``KINDS``. An added span may overlap base spans of other kinds, but no other added span."""
-    base = base_spans(text)
-    found = list(base)
-    added = [("iban", a, b) for a, b in _accounts(text)]
-    added += [("ssn", *m.span()) for m in _SSN.finditer(text)]
-    added += [("local_phone", *m.span()) for m in _LOCAL_PHONE.finditer(text)]
-    added += [("secret", a, b) for a, b in _secrets(text)]
-    for kind, a, b in added:
-        if context_score(text, kind, a, b) >= THRESHOLD and all(b <= x or y <= a for k, x, y in found if k == kind or k not in BASE_KINDS):
-            found.append((kind, a, b))
+    found, added = base_spans(text), []
+    for kind, spans in (("iban", _accounts(text)), ("ssn", (m.span() for m in _SSN.finditer(text))), ("local_phone", (m.span() for m in _LOCAL_PHONE.finditer(text))), ("secret", _secrets(text))):
+        at, new = 0, []  # both the spans of a kind and those added before are in order and apart from each other
+        for a, b in spans:
+            while at < len(added) and added[at][1] <= a:
+                at += 1
+            if (at == len(added) or b <= added[at][0]) and context_score(text, kind, a, b) >= THRESHOLD:
+                new.append((a, b))
+        found += [(kind, a, b) for a, b in new]
+        added = sorted(added + new)
     found.sort(key=lambda s: (s[1], KINDS.index(s[0])))
     return [(k, a, b, round(context_score(text, k, a, b), 4)) for k, a, b in found]
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -250,3 +251,15 @@ def test_pii_on_odd_rows(spark):
     assert got[0]["spans"] == [] and got[0]["redacted"] is None and got[1]["redacted"] == ""
     assert got[len(ODD)]["redacted"] == "mail é [EMAIL], [PHONE]"
     assert pii.find_spans("9" * 200_000 + " " + "a" * 200_000) == []
+
+
+def test_spans_take_time_in_proportion():
+    part = "account GB82WEST12345698765432 of ssn 123-45-6789 x@y.zz password key a1b2c3d4e5f6a7b8c9d0e1f2a3b4c5d6e7f8 "
+    spans = pii.find_spans(part)
+    text = part * (100_000 // len(spans) + 1)
+    began = time.process_time()
+    many = pii.find_spans(text)
+    assert len(many) >= 100_000 and time.process_time() - began < 8
+    assert [(k, a - len(part), b - len(part)) for k, a, b, _ in many[len(spans) : 2 * len(spans)]] == [(k, a, b) for k, a, b, _ in spans]
+    added = sorted((a, b) for k, a, b, _ in many if k not in pii.BASE_KINDS)
+    assert all(x[1] <= y[0] for x, y in zip(added, added[1:]))

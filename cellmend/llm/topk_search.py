@@ -24,23 +24,36 @@ BLOCK = 2048
 BINS = 256
 #: Vectors scored at once.
 ROWS = 2048
-#: Squared lengths up to which products of doubles are exact, and beyond which scores might not fit a long.
+#: Squared lengths up to which products of doubles are exact, and beyond which they take Python's integers.
 PLAIN, LARGEST = 2.0**52, 2.0**62
+#: The least score, and what stands for none.
+LEAST, NONE = -(2**63) + 1, -(2**63)
 #: Beyond PLAIN a component is cut into a multiple of HALF and a rest.
 HALF = 65536.0
 
 
 def scaled(column: str = "embedding", by: int = 256) -> Column:
-    """floor(by * x) of each component, as double; null if the vector or a component is null, or a component is not finite."""
+    """floor(by * x) of each component, as double; null if the vector or a component is null, or one is not finite (by times as large)."""
     x = F.transform(F.col(column), lambda v: v.cast("double"))
-    fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != F.lit(float("inf"))))
+    fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v * by) != F.lit(float("inf"))))
     return F.when(F.col(column).isNotNull() & fine, F.transform(x, lambda v: F.floor(v * by).cast("double")))
 
 
 def products(a: np.ndarray, b: np.ndarray, plain: bool) -> np.ndarray:
-    """Exact integer products of the rows of a and b (of whole numbers); ``plain``: no product reaches 2^53."""
+    """Exact integer products of the rows of a and b (of whole numbers), ``NONE`` where a long cannot hold one; ``plain``: no product
+    reaches 2^53."""
     if plain:
         return (a @ b.T).astype(np.int64)
+    with np.errstate(over="ignore"):
+        large_a, large_b = ((x * x).sum(axis=1) >= LARGEST for x in (a, b))
+    if large_a.any() or large_b.any():
+        out = np.empty((len(a), len(b)), np.int64)
+        out[np.ix_(~large_a, ~large_b)] = products(a[~large_a], b[~large_b], False)
+        for rows, cols in ((large_a, np.ones(len(b), bool)), (~large_a, large_b)):
+            whole_a, whole_b = ([[int(v) for v in r] for r in x.tolist()] for x in (a[rows], b[cols]))
+            sums = [[sum(x * y for x, y in zip(r, c)) for c in whole_b] for r in whole_a]
+            out[np.ix_(rows, cols)] = np.array([[v if LEAST <= v < 2**63 else NONE for v in r] for r in sums], np.int64).reshape(len(whole_a), len(whole_b))
+        return out
     high_a, high_b = np.floor(a / HALF), np.floor(b / HALF)
     low_a, low_b = a - high_a * HALF, b - high_b * HALF
     whole = [(x @ y.T).astype(np.int64) for x, y in ((high_a, high_b), (high_a, low_b), (low_a, high_b), (low_a, low_b))]
@@ -60,7 +73,7 @@ def _scores(block: dict[int, tuple[np.ndarray, np.ndarray]], plain: bool, batche
                     continue
                 vectors = lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), dim)
                 scores = products(queries, vectors, plain)
-                scores[query_ids[:, None] == ids[at][None, :]] = np.iinfo(np.int64).min
+                scores[query_ids[:, None] == ids[at][None, :]] = NONE
                 yield dim, ids[at], scores
 
 
@@ -71,9 +84,9 @@ def _histogram(shared, k: int):
         block, plain, low, span, width, need = shared.value
         counts = {dim: np.zeros((len(ids), BINS), np.int64) for dim, (ids, _) in block.items()}
         for dim, _, scores in _scores(block, plain, batches):
-            above = scores - low[dim][:, None]
-            row, col = np.nonzero((scores >= low[dim][:, None]) & (above < span))
-            counts[dim] += np.bincount(row * BINS + above[row, col] // width, minlength=counts[dim].size).reshape(counts[dim].shape)
+            above = scores.view(np.uint64) - low[dim].view(np.uint64)[:, None]  # differences of longs, which may need 64 bits
+            row, col = np.nonzero((scores >= low[dim][:, None]) & (above < np.uint64(span)))
+            counts[dim] += np.bincount(row * BINS + (above[row, col] // np.uint64(width)).astype(np.int64), minlength=counts[dim].size).reshape(counts[dim].shape)
         for dim, table in counts.items():
             above = np.cumsum(table[:, ::-1], axis=1)[:, ::-1] - table
             row, col = np.nonzero((table > 0) & (above < need[dim][:, None]))
@@ -107,16 +120,18 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     Ties go to the smaller id; a query with fewer candidates has all of them. Vectors that are null, or hold a null or non-finite
     component, and rows without id take no part; only vectors of the same length meet (empty ones score 0). Rows that share an id are
     never each other's candidates; a query repeated with the same vector is asked once, one repeated with another vector is asked with
-    the vector that sorts first. Scores are exact; vectors whose scaled components' squares sum to 2^62 or more, so that a score might not
-    fit a long, take no part. An empty table gives an empty result; columns other than the two named and the query's take no part.
+    the vector that sorts first. Scores are exact for components of any size; a pair whose score does not fit a long has none and is left
+    out, and a component that is not finite when scaled counts as not finite. An empty table gives an empty result; columns other than the two named and the query's take no part.
     """
     spark = vectors.sparkSession
-    base = stored(vectors.select(F.col(id_col).cast("long").alias("vec_id"), scaled(vector_col).alias("x"), F.coalesce(is_query, F.lit(False)).alias("asks")).where("vec_id is not null and x is not null").withColumn("norm", F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)).where(F.col("norm") < LARGEST))
+    base = stored(vectors.select(F.col(id_col).cast("long").alias("vec_id"), scaled(vector_col).alias("x"), F.coalesce(is_query, F.lit(False)).alias("asks")).where("vec_id is not null and x is not null").withColumn("norm", F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)))
     asked = stored(base.where("asks").groupBy("vec_id").agg(F.min("x").alias("x")))
     total = asked.count()
     blocks = -(-total // BLOCK)
     norm = base.agg(F.max("norm")).first()[0] or 0.0
     plain_products = norm < PLAIN
+    # the interval of all scores
+    least, whole_span = (-int(norm) - 1, 2 * int(norm) + 3) if norm < LARGEST else (LEAST, 2**64 - 1)
     found, top = None, shared_folder(spark)
     plain = base.select("vec_id", "x")
     for i in range(blocks):
@@ -125,9 +140,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
         for dim in {len(r["x"]) for r in part}:
             own = [r for r in part if len(r["x"]) == dim]
             block[dim] = (np.array([r["vec_id"] for r in own]), np.array([r["x"] for r in own], float).reshape(len(own), dim))
-            low[dim], need[dim] = np.full(len(own), -int(norm) - 1, np.int64), np.full(len(own), k, np.int64)
+            low[dim], need[dim] = np.full(len(own), least, np.int64), np.full(len(own), k, np.int64)
             known[dim] = {q: j for j, q in enumerate(block[dim][0].tolist())}
-        span = 2 * int(norm) + 3  # of scores, from low on
+        span = whole_span  # of scores, from low on
         while True:
             width = -(-span // BINS)
             shared = spark.sparkContext.broadcast((block, plain_products, low, span, width, need))
@@ -138,7 +153,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
             hits = counts.join(F.broadcast(want), ["query_id", "dim"]).where("above < need").groupBy("query_id", "dim").agg(F.min_by("bin", F.col("bin")).alias("bin"), F.max("above").alias("above"), F.max("upto").alias("upto")).collect()
             for r in hits:  # one row for each query of the block
                 j = known[r["dim"]][r["query_id"]]
-                low[r["dim"]][j] += r["bin"] * width
+                low[r["dim"]][j] = int(low[r["dim"]][j]) + r["bin"] * width
                 need[r["dim"]][j] -= r["above"]
             shared.destroy()
             if width == 1:

@@ -191,17 +191,29 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     assert topk_search.top_k(df.where("vec_id < 0"), F.lit(True)).count() == 0
 
 
-def test_top_k_of_large_components(spark):
-    rows = [(0, [1e5, -3.0]), (50, [3e5, 1.0]), (1, [1.0, 2.0]), (2, [1e6, 5.5]), (3, [1e6, 5.25]), (4, [1e12, 0.0]), (5, [1e200, 0.0]), (6, [-1e6, 1.0])]
+def check_top_k(spark, rows):
     got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect())
-    fine = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows if i not in (4, 5)}
+    whole = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows if all(np.isfinite(256 * x) for x in v)}
     want = []
-    for q in (0, 50):
-        best = sorted((-sum(a * b for a, b in zip(fine[q], v)), i) for i, v in fine.items() if i != q)[:5]
+    for q in (i for i in whole if i % 50 == 0):
+        scores = [(-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q]
+        best = sorted(s for s in scores if -(2**63) < -s[0] < 2**63)[:5]
         want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
     assert got == sorted(want)
 
 
+def test_top_k_of_large_components(spark):
+    check_top_k(spark, [(0, [1e5, -3.0]), (50, [3e5, 1.0]), (1, [1.0, 2.0]), (2, [1e6, 5.5]), (3, [1e6, 5.25]), (4, [1e12, 0.0]), (5, [1e200, 0.0]), (6, [-1e6, 1.0]), (7, [1e308, 1.0])])
+
+
+def test_top_k_where_a_length_passes_longs_and_scores_do_not(spark):
+    check_top_k(spark, [(0, [1.0, 0.0]), (1, [1e8, 0.0]), (2, [1e9, 1e300]), (3, [0.0, 1e300]), (4, [-1e14, 2.0]), (5, [1e8, 0.00390625]), (50, [0.0, 1e290]), (6, [7.0, 0.0])])
+    edge = [(2.0**62, 2.0**63, s) for s in (1, -1)]
+    rows = [(0, [1 / 256, 0.0]), (50, [1.0, 1.0]), (100, [-1 / 256, 1 / 256])]
+    rows += [(1 + 4 * i + j, [s * (x + d * 1024) / 256, 0.0]) for i, (low, high, s) in enumerate(edge) for j, (x, d) in enumerate(((low, -1), (low, 1), (high, -1), (high, 0)))]
+    check_top_k(spark, rows)
+
+
 def test_products_are_exact():
     rng = np.random.default_rng(9)
     a, b = (rng.integers(-(1 << 29), 1 << 29, (4, 3)) for _ in range(2))

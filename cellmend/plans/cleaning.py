@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 from itertools import product
 
@@ -12,9 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellmend.functions.text import parse_answer
-from cellmend.operators import confidence, consistency, evaluation, network, repair, stats, structure
+from cellmend.operators import confidence, consistency, context, evaluation, network, repair, stats, structure
 from cellmend.operators.structure import Matrix, Structure
-from cellmend.sources.scratch import stored
+from cellmend.sources.ledger import Ledger, answered, key_of
+from cellmend.sources.scratch import shared_folder, stored
 from cellmend.sources.tables import TableCache
 
 METHODS = ("hybrid", "hybrid_no_groups", "search_only", "supplied_only", "edges")
@@ -36,6 +38,7 @@ class Settings:
     check_ratio: float = 0.01
     check_most: int = 0
     first_rows: int = 0
+    context_rows: bool = True
     marker: str = stats.MARKER
     edges: tuple[tuple[str, str], ...] = ()
 
@@ -62,10 +65,21 @@ class Result:
     counters: DataFrame | None = None
 
 
-#: Answers a batch of cells: (row_id, attr, value, related, inference, question) to the provider's raw text.
+#: Answers cells, asked one at a time: (row_id, attr, value, related, inference, question) to the provider's raw text.
 Provider = Callable[[pd.DataFrame], pd.Series]
 
 
+@dataclass(frozen=True)
+class Asking:
+    """How a provider is asked: by ``tasks`` tasks of ``workers`` cells at a time; a cell that fails is asked again after each of the
+    ``waits`` (seconds). ``ledger``: a shared folder of answers to use and to add to; without one a new one for the job."""
+
+    tasks: int = 8
+    workers: int = 4
+    waits: tuple[float, ...] = (1.0, 2.0, 4.0)
+    ledger: str | None = None
+
+
 def keep_all(cells: pd.DataFrame) -> pd.Series:
     """The offline provider: every value is confirmed."""
     return cells["value"].map(lambda v: '```json\n{"corrected": ' + json.dumps(v) + ', "confidence": "low", "reasoning": "offline",}\n```')
@@ -82,12 +96,14 @@ def relations(edges: list[tuple[str, str]], networks: dict[str, network.Local])
     return out | {n: [] for n in networks if n not in out}
 
 
-def check_cells(repaired: DataFrame, chosen: DataFrame, related: dict[str, list[str]], columns: list[str], provider: Provider = keep_all, tries: int = 4, facts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def check_cells(repaired: DataFrame, chosen: DataFrame, related: dict[str, list[str]], columns: list[str], provider: Provider = keep_all, asking: Asking = Asking(), facts: DataFrame | None = None, context: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Ask the provider about the chosen (row_id, attr) cells; answers of high or medium confidence are written.
 
-    A question holds the cell's value, the row's values of related columns (of all columns where none are related) and, from ``facts``, how
-    likely the inference found it. All questions read the table as it came. Cells that the table lacks are left out; a batch that fails
-    ``tries`` times keeps its values with low confidence. The second table has a row for each question.
+    A question holds the cell's value, the row's values of related columns (of all columns where none are related), from ``facts`` how
+    likely the inference found it, and from ``context(row_id, attr, rows)`` other rows of the table. All questions read the table as it
+    came. Cells that the table lacks are left out. Each cell is asked on its own: one that fails to the end keeps its value with low
+    confidence, and its error. An answer is in the ledger as soon as it is there, so a task that runs again asks only what is missing. The
+    second table has a row for each question.
     """
     known = chosen.where(F.col("attr").isin(columns)).select("row_id", "attr").distinct()
     listed = lambda names: F.concat_ws("; ", *[F.concat(F.lit(f"{c}="), F.col(c)) for c in names])
@@ -96,22 +112,25 @@ def check_cells(repaired: DataFrame, chosen: DataFrame, related: dict[str, list[
     asked = repaired.join(known, "row_id").select("row_id", "attr", value[F.col("attr")].alias("value"), near[F.col("attr")].alias("related"))
     told = facts.select("row_id", "attr", "context") if facts is not None else known.limit(0).withColumn("context", F.lit(""))
     asked = asked.join(told, ["row_id", "attr"], "left").withColumn("inference", F.coalesce("context", F.lit(""))).drop("context")
-    question = F.concat(F.lit("Column "), "attr", F.lit(" holds '"), "value", F.lit("' where "), "related", F.when(F.col("inference") != "", F.concat(F.lit(". Inferred: "), "inference")).otherwise(F.lit("")), F.lit(". Is it right? Answer in JSON with corrected, confidence (high, medium or low) and reasoning."))
-    asked = asked.withColumn("question", question)
+    if context is not None:
+        asked = asked.join(context.select("row_id", "attr", "rows"), ["row_id", "attr"], "left")
+    rows = F.col("rows") if context is not None else F.lit(None).cast("string")
+    more = lambda head, text: F.when(F.coalesce(text, F.lit("")) != "", F.concat(F.lit(head), text)).otherwise(F.lit(""))
+    question = F.concat(F.lit("Column "), "attr", F.lit(" holds '"), "value", F.lit("' where "), "related", more(". Inferred: ", F.col("inference")), more(". Other rows, which may be wrong as well: ", rows), F.lit(". Is it right? Answer in JSON with corrected, confidence (high, medium or low) and reasoning."))
+    asked = asked.withColumn("question", question).drop("rows")
+    ledger = Ledger(asking.ledger or f"{shared_folder(repaired.sparkSession)}/answers")
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            error = ""
-            for _ in range(tries):
-                try:
-                    yield pd.DataFrame({"row_id": batch["row_id"], "attr": batch["attr"], "original": batch["value"], "raw": provider(batch), "error": None})
-                    break
-                except Exception as e:  # noqa: BLE001 - whatever a provider raises concerns its own cells only
-                    error = str(e)
-            else:
-                yield pd.DataFrame({"row_id": batch["row_id"], "attr": batch["attr"], "original": batch["value"], "raw": None, "error": error})
-
-    answers = asked.mapInPandas(ask, "row_id long, attr string, original string, raw string, error string").withColumn("a", parse_answer(F.col("raw")))
+        with ThreadPoolExecutor(asking.workers) as pool:
+            for batch in batches:
+                cells = [batch.iloc[i : i + 1].reset_index(drop=True) for i in range(len(batch))]
+                keys = [key_of(int(c["row_id"][0]), c["attr"][0], c["question"][0]) for c in cells]
+                found = list(pool.map(lambda k, c: answered(ledger, k, lambda: str(provider(c).iloc[0]), asking.waits), keys, cells))
+                yield pd.DataFrame({"row_id": batch["row_id"], "attr": batch["attr"], "original": batch["value"], "raw": [f[0] for f in found], "error": [f[1] for f in found]})
+
+    asked = asked.repartition(asking.tasks, "row_id", "attr")
+    # stored: the table and the log read one set of answers
+    answers = stored(asked.mapInPandas(ask, "row_id long, attr string, original string, raw string, error string")).withColumn("a", parse_answer(F.col("raw")))
     fine = F.col("error").isNull() & F.col("a").isNotNull()
     confident = F.lower(F.coalesce(F.col("a.confidence"), F.lit("low")))
     log = answers.select("row_id", "attr", "original", F.coalesce(F.col("a.corrected"), F.col("original")).alias("corrected"), confident.alias("confidence"), F.col("a.reasoning").alias("reasoning"), (fine & confident.isin("high", "medium") & F.col("a.corrected").isNotNull()).alias("applied"), fine.alias("success"), "error")
@@ -149,13 +168,14 @@ def infer(dirty: DataFrame, columns: list[str], supplied: DataFrame | None = Non
     return Inferred(found, edges, relations(found.edges, networks), repaired, stored(changed), facts)
 
 
-def check(state: Inferred, columns: list[str], settings: Settings, provider: Provider) -> tuple[DataFrame, DataFrame]:
-    """``check_cells`` on the least confident of the changed cells, as many as the budget allows."""
+def check(state: Inferred, columns: list[str], settings: Settings, provider: Provider, asking: Asking = Asking()) -> tuple[DataFrame, DataFrame]:
+    """``check_cells`` on the least confident of the changed cells, as many as the budget allows, with similar, near and random rows."""
     scores = confidence.confidence_scores(state.repaired, stats.cooccurrence(state.repaired, columns), state.structure.edges, columns, state.facts.select("row_id", "attr", "margin"))
     scores = scores.join(state.changed.select("row_id", "attr"), ["row_id", "attr"], "left_semi")
     k = confidence.budget(state.repaired.count() * len(columns), settings.check_ratio, settings.check_most, state.changed.count())
-    fixed, log = check_cells(state.repaired, confidence.least_confident(scores, columns, k), state.relations, columns, provider, facts=state.facts)
-    return fixed, stored(log)
+    chosen = stored(confidence.least_confident(scores, columns, k).select("row_id", "attr"))
+    rows = context.context_rows(state.repaired, chosen, columns, state.relations) if settings.context_rows else None
+    return check_cells(state.repaired, chosen, state.relations, columns, provider, asking, state.facts, rows)
 
 
 def repair_counters(changed: DataFrame, log: DataFrame | None = None) -> DataFrame:
@@ -167,13 +187,13 @@ def repair_counters(changed: DataFrame, log: DataFrame | None = None) -> DataFra
     return counts.join(F.broadcast(log.agg(F.count("*").alias("asked"), F.count_if("applied").alias("applied"), sure("high"), sure("medium"))))  # one row each
 
 
-def clean(dirty: DataFrame, columns: list[str], supplied: DataFrame | None = None, truth: DataFrame | None = None, settings: Settings = Settings(), provider: Provider | None = None, found: Structure | None = None) -> Result:
+def clean(dirty: DataFrame, columns: list[str], supplied: DataFrame | None = None, truth: DataFrame | None = None, settings: Settings = Settings(), provider: Provider | None = None, found: Structure | None = None, asking: Asking = Asking()) -> Result:
     """Repair ``dirty`` (row_id and string columns without nulls, see ``stats.fill``): ``infer``, with a ``provider`` ``check``, and with
     ``truth`` the metrics."""
     state = infer(dirty, columns, supplied, settings, found)
     out = Result(state.structure, state.edges, state.repaired)
     if provider is not None:
-        out.repaired, out.checked = check(state, columns, settings, provider)
+        out.repaired, out.checked = check(state, columns, settings, provider, asking)
     out.counters = repair_counters(state.changed, out.checked)
     if truth is not None:
         out.metrics = evaluation.evaluate(dirty, out.repaired, truth, columns)
@@ -210,17 +230,20 @@ def _structure_of(matrices: tuple[Matrix, Matrix], columns: list[str], s: Settin
     return replace(found, groups=[]) if s.method == "hybrid_no_groups" else found
 
 
-def ablation(dirty: DataFrame, columns: list[str], supplied: DataFrame, truth: DataFrame, base: Settings = Settings()) -> DataFrame:
-    """``(part, metric..., f1_loss)``: the metrics with everything, and without each part, against the former."""
+def ablation(dirty: DataFrame, columns: list[str], supplied: DataFrame, truth: DataFrame, base: Settings = Settings(), provider: Provider | None = None, asking: Asking = Asking()) -> DataFrame:
+    """``(part, metric..., f1_loss)``: the metrics with everything, and without each part, against the former. With a ``provider`` cells are
+    checked in every case but "checks"."""
     cases = {"all": base, "supplied": replace(base, method="search_only"), "groups": replace(base, method="hybrid_no_groups"), "compensation": replace(base, use_compensation=False), "weak filter": replace(base, use_weak_filter=False)}
+    cases |= {"checks": base} if provider else {}
     dirty = stored(dirty)
     matrices = _measured(dirty, columns, supplied)
-    rows = [{"part": k, **clean(dirty, columns, supplied, truth, s, found=_structure_of(matrices, columns, s)).metrics.first().asDict()} for k, s in cases.items()]
+    rows = [{"part": k, **clean(dirty, columns, supplied, truth, s, None if k == "checks" else provider, _structure_of(matrices, columns, s), asking).metrics.first().asDict()} for k, s in cases.items()]
     return dirty.sparkSession.createDataFrame([r | {"f1_loss": rows[0]["f1"] - r["f1"]} for r in rows])
 
 
-def search_parameters(dirty: DataFrame, columns: list[str], supplied: DataFrame, truth: DataFrame, alphas: list[float], betas: list[float], base: Settings = Settings()) -> DataFrame:
-    """``(place, alpha, beta, f1, error)`` of each pair; one that fails scores 0. Pairs that give one structure are run once."""
+def search_parameters(dirty: DataFrame, columns: list[str], supplied: DataFrame, truth: DataFrame, alphas: list[float], betas: list[float], base: Settings = Settings(), provider: Provider | None = None, asking: Asking = Asking()) -> DataFrame:
+    """``(place, alpha, beta, f1, error)`` of each pair; one that fails scores 0. Pairs that give one structure are run once. With a
+    ``provider`` each run checks cells."""
     dirty, rows, seen = stored(dirty), [], {}
     matrices = _measured(dirty, columns, supplied)
     for i, (a, b) in enumerate(product(alphas, betas)):
@@ -229,7 +252,7 @@ def search_parameters(dirty: DataFrame, columns: list[str], supplied: DataFrame,
             found = _structure_of(matrices, columns, s)
             key = repr(found)
             if key not in seen:
-                seen[key] = float(clean(dirty, columns, supplied, truth, s, found=found).metrics.first()["f1"])
+                seen[key] = float(clean(dirty, columns, supplied, truth, s, provider, found, asking).metrics.first()["f1"])
             rows.append((i, a, b, seen[key], None))
         except Exception as e:  # noqa: BLE001 - one setting's failure is its result
             rows.append((i, a, b, 0.0, str(e)[:200]))
@@ -241,6 +264,6 @@ def best_of(results: DataFrame) -> DataFrame:
     return results.orderBy(F.desc("f1"), "place").limit(1)
 
 
-def sweep_error_ratios(spark: SparkSession, variants: dict[str, DataFrame], columns: list[str], supplied: DataFrame | None, truth: DataFrame, base: Settings = Settings()) -> DataFrame:
-    """``(variant, metrics...)`` of several dirty versions of one table."""
-    return spark.createDataFrame([{"variant": k, **clean(d, columns, supplied, truth, base).metrics.first().asDict()} for k, d in variants.items()])
+def sweep_error_ratios(spark: SparkSession, variants: dict[str, DataFrame], columns: list[str], supplied: DataFrame | None, truth: DataFrame, base: Settings = Settings(), provider: Provider | None = None, asking: Asking = Asking()) -> DataFrame:
+    """``(variant, metrics...)`` of several dirty versions of one table; with a ``provider`` cells are checked."""
+    return spark.createDataFrame([{"variant": k, **clean(d, columns, supplied, truth, base, provider, asking=asking).metrics.first().asDict()} for k, d in variants.items()])

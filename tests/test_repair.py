@@ -246,8 +246,8 @@ def test_checked_cells(spark, worked):
     def failing(cells):
         raise RuntimeError("down")
 
-    fixed, log = cleaning.check_cells(worked, chosen, {}, COLUMNS, failing, tries=2)
-    assert {r["error"] for r in log.collect()} == {"down"} and fixed.exceptAll(worked).count() == 0
+    fixed, log = cleaning.check_cells(worked, chosen, {}, COLUMNS, failing, cleaning.Asking(waits=(0.0,)))
+    assert {r["error"] for r in log.collect()} == {"RuntimeError: down"} and fixed.exceptAll(worked).count() == 0
 
 
 def test_cleaning_hands_every_margin_to_the_confidence(spark, monkeypatch):

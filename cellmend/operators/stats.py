@@ -29,6 +29,16 @@ def value_histogram(df: DataFrame, columns: list[str]) -> DataFrame:
     return cells(df, columns).groupBy("attr", "val").agg(F.count("*").alias("n"))
 
 
+def domain_sizes(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: how many values each column has."""
+    return df.agg(*[F.count_distinct(c).alias(c) for c in columns])
+
+
+def head_rows(df: DataFrame, n: int) -> DataFrame:
+    """The rows of ids below n: a table's first rows, as ids are places."""
+    return df.where(F.col("row_id") < n)
+
+
 def domain(df: DataFrame, column: str) -> DataFrame:
     """``(val, pos, n)``: the column's values with the first row that has each."""
     return df.groupBy(F.col(column).alias("val")).agg(F.min("row_id").alias("pos"), F.count("*").alias("n"))
@@ -75,22 +85,32 @@ def pair_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(F.inline(F.array(*pairs))).groupBy("a", "b", "va", "vb").agg(F.count("*").alias("n"))
 
 
-def ordered_pairs(pairs: DataFrame) -> DataFrame:
-    """``(attr, val, other, other_val, n)``: each pair of ``pair_counts`` in both orders."""
-    return pairs.select(F.inline(F.array(*[F.struct(F.col(a).alias("attr"), F.col(va).alias("val"), F.col(b).alias("other"), F.col(vb).alias("other_val"), "n") for a, va, b, vb in (("a", "va", "b", "vb"), ("b", "vb", "a", "va"))])))
+def ordered_pairs(pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``(by..., attr, val, other, other_val, n)``: each pair of ``pair_counts`` in both orders."""
+    return pairs.select(*by, F.inline(F.array(*[F.struct(F.col(a).alias("attr"), F.col(va).alias("val"), F.col(b).alias("other"), F.col(vb).alias("other_val"), "n") for a, va, b, vb in (("a", "va", "b", "vb"), ("b", "vb", "a", "va"))])))
+
+
+def mu_plus_of(pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``(by..., lhs, rhs, score)`` for every ordered pair of columns, from counts of pairs (see ``pair_counts``) of each ``by``."""
+    x = ordered_pairs(pairs, by).groupBy(*by, "attr", "other", "val").agg(F.sum("n").alias("nx"), F.sum(F.col("n").cast("double") * F.col("n")).alias("sq"))
+    one = x.groupBy(*by, "attr", "other").agg((F.sum(F.col("sq") / F.col("nx")) / F.sum("nx")).alias("pdep"), F.count("*").alias("dx"), F.sum("nx").alias("n"), (F.sum(F.col("nx").cast("double") * F.col("nx")) / F.pow(F.sum("nx"), F.lit(2.0))).alias("self"))
+    own = one.select(*by, F.col("attr").alias("other"), F.col("other").alias("attr"), F.col("self").alias("own"))
+    return one.join(own, [*by, "attr", "other"]).select(*by, F.col("attr").alias("lhs"), F.col("other").alias("rhs"), F.greatest(F.lit(0.0), mu_of(F.col("pdep"), F.col("own"), F.col("n"), F.col("dx"))).alias("score"))
 
 
 def mu_plus_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """``(lhs, rhs, score)`` for every ordered pair of columns."""
-    x = ordered_pairs(pair_counts(df, columns)).groupBy("attr", "other", "val").agg(F.sum("n").alias("nx"), F.sum(F.col("n").cast("double") * F.col("n")).alias("sq"))
-    one = x.groupBy("attr", "other").agg((F.sum(F.col("sq") / F.col("nx")) / F.sum("nx")).alias("pdep"), F.count("*").alias("dx"), F.sum("nx").alias("n"), (F.sum(F.col("nx").cast("double") * F.col("nx")) / F.pow(F.sum("nx"), F.lit(2.0))).alias("self"))
-    own = one.select(F.col("attr").alias("other"), F.col("other").alias("attr"), F.col("self").alias("own"))
-    return one.join(own, ["attr", "other"]).select(F.col("attr").alias("lhs"), F.col("other").alias("rhs"), F.greatest(F.lit(0.0), mu_of(F.col("pdep"), F.col("own"), F.col("n"), F.col("dx"))).alias("score"))
+    return mu_plus_of(pair_counts(df, columns))
+
+
+def cooccurrence_of(pairs: DataFrame, columns: list[str]) -> DataFrame:
+    """As ``cooccurrence``, from counts of pairs."""
+    return ordered_pairs(pairs).withColumn("w", F.col("n") * len(columns) ** 2).drop("n")
 
 
 def cooccurrence(df: DataFrame, columns: list[str]) -> DataFrame:
     """``(attr, val, other, other_val, w)``: rows that hold both values, weighted by the square of the number of columns."""
-    return ordered_pairs(pair_counts(df, columns)).withColumn("w", F.col("n") * len(columns) ** 2).drop("n")
+    return cooccurrence_of(pair_counts(df, columns), columns)
 
 
 def cooccurrence_lookup(cooc: DataFrame, attr: str, val: str, other: str, other_val: str) -> DataFrame:

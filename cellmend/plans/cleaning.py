@@ -163,7 +163,7 @@ def infer(dirty: DataFrame, columns: list[str], supplied: DataFrame | None = Non
         networks = network.filter_weak(networks, structure.as_matrix(stats.mu_plus_matrix(voted, columns)), s.gamma)
     skip = set(consistency.repaired_by_groups(found.groups))
     targets = [c for c in columns if c in networks and c not in skip]
-    rows = voted.where(F.col("row_id") < s.first_rows) if s.first_rows > 0 else voted
+    rows = stats.head_rows(voted, s.first_rows) if s.first_rows > 0 else voted
     repaired, changed, facts = repair.repair_with_facts(rows, networks, columns, targets, voted, s.use_compensation, s.cpd_size, s.marker)
     return Inferred(found, edges, relations(found.edges, networks), repaired, stored(changed), facts)
 

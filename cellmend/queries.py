@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import json
+from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellmend.functions.text import fix_json, short_name
-from cellmend.operators import confidence, consistency, evaluation, network, repair, stats, structure
+from cellmend.operators import confidence, consistency, context, discovery, evaluation, network, repair, stats, structure
 from cellmend.operators.network import Local
 from cellmend.operators.stats import MARKER
 from cellmend.plans import cleaning
 from cellmend.sources import tables
 from cellmend.sources.results import Results
 from cellmend.sources.scratch import shared_folder, stored
+from cellmend.streaming import counts, drift
 from cellmend.streaming.repair import repair_stream
 
 GEO = ["c_nationkey", "n_name", "n_regionkey", "r_name", "c_mktsegment"]
@@ -227,6 +229,110 @@ def _streamed(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{top}/repaired").select("row_id", *SMALL)
 
 
+NEAR = ["tens", "hundreds", "sign", "c_mktsegment"]
+
+
+def near(spark: SparkSession, d: str) -> DataFrame:
+    """Customers with their balance in tens, nearly a key and missing here and there, and what goes with it."""
+    c = _t(spark, d, "customer").withColumn("row_id", F.col("c_custkey"))
+    tens = F.floor(F.col("c_acctbal") / 10)
+    made = {"tens": F.when(F.col("row_id") % 11 != 5, tens), "hundreds": F.floor(tens / 10), "sign": F.when(F.col("c_acctbal") < 0, "-").otherwise("+")}
+    return stats.fill(c.withColumns(made), NEAR)
+
+
+def _repaired_near(spark: SparkSession, d: str) -> DataFrame:
+    rows = near(spark, d)
+    return repair.repair(rows, network.local_networks(NEAR, [("hundreds", "tens")]), NEAR, ["tens"])[0].select("row_id", "tens")
+
+
+def _several_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Values of several lines with quotes and commas, written as CSV and read again in small blocks."""
+    path, blocks = f"{shared_folder(spark)}/lines", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    text = F.concat("n_name", F.lit(',\n"'), "r_name", F.lit('"\n\n'), F.col("row_id").cast("string"))
+    dirty(spark, d).select(text.alias("text"), F.col("row_id").cast("string").alias("id")).orderBy("row_id").write.option("header", True).option("escape", '"').csv(path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+    try:
+        return stored(tables.read_csv(spark, path, ["id", "text"]).select("id", "text"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", blocks)
+
+
+def _similar(spark: SparkSession, d: str) -> DataFrame:
+    """The three rows that are most like each row whose nation is missing."""
+    rows = dirty(spark, d)
+    return context.similar_rows(rows, rows.where(F.col("n_name") == MARKER).select("row_id", F.lit("n_name").alias("attr")), GEO, 3)
+
+
+#: What the regions and nations of the dirty table break.
+CHECKED = [(["n_regionkey"], "r_name"), (["c_nationkey"], "n_name")]
+
+
+def _suspects(spark: SparkSession, d: str) -> DataFrame:
+    return discovery.suspect_rows(dirty(spark, d), CHECKED)
+
+
+def _detected(spark: SparkSession, d: str) -> DataFrame:
+    """Precision and recall of the suspected rows against those that differ from the clean table."""
+    wrong = dirty(spark, d).join(geo(spark, d).select("row_id", *[F.col(c).alias(f"true_{c}") for c in GEO]), "row_id").where(" or ".join(f"{c} <> true_{c}" for c in GEO)).select("row_id", F.lit(1).alias("wrong"))
+    both = wrong.join(_suspects(spark, d).select("row_id", F.lit(1).alias("taken")), "row_id", "full").agg(F.count("wrong").alias("errors"), F.count("taken").alias("suspected"), F.count_if(F.col("wrong") == F.col("taken")).alias("hits"))
+    return both.withColumns({"precision": F.round(F.col("hits") / F.col("suspected"), 6), "recall": F.round(F.col("hits") / F.col("errors"), 6)})
+
+
+def _families(spark: SparkSession, d: str) -> DataFrame:
+    """The score of every family of three columns, from one contingency tree."""
+    rows = dirty(spark, d).select(*SMALL)
+    families = [(c, list(ps)) for c in SMALL for n in range(3) for ps in combinations([o for o in SMALL if o != c], n)]
+    scores = network.ContingencyTree(rows, SMALL).scores(families, network.cardinalities(rows, SMALL))
+    return _rounded(spark.createDataFrame([(c, ",".join(ps), s) for (c, ps), s in zip(families, scores)], "child string, parents string, score double"), "score", places=4)
+
+
+def _failing(cells):
+    """A provider that fails for every seventh row and confirms the others."""
+    if int(cells["row_id"].iloc[0]) % 7 == 0:
+        raise ValueError("no answer")
+    return cleaning.keep_all(cells)
+
+
+def _checked_with_failures(spark: SparkSession, d: str) -> DataFrame:
+    fixed, changed, facts = repair.repair_with_facts(dirty(spark, d).select("row_id", *SMALL), NETS, SMALL, ["r_name"])
+    return cleaning.check_cells(fixed, changed, cleaning.relations(EDGES, NETS), SMALL, _failing, cleaning.Asking(waits=(0.0,)), facts)[1].select("row_id", "attr", "original", "corrected", "success", "error")
+
+
+def _ablated_with_checks(spark: SparkSession, d: str) -> DataFrame:
+    places = dirty(spark, d).select("row_id", *PLACES)
+    parts = cleaning.ablation(places, PLACES, supplied(spark), geo(spark, d), cleaning.Settings(use_search=False, check_ratio=1.0), cleaning.keep_all)
+    return _rounded(parts.select("part", "errors", "attempts", "correct", "f1", "f1_loss"), "f1", "f1_loss")
+
+
+def _corrected_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The dirty table as a stream, then the regions' corrections: the merged counts."""
+    top, fields = shared_folder(spark), f"row_id long, version long, gone boolean, {', '.join(f'{c} string' for c in SMALL)}"
+    rows, right = dirty(spark, d).select("row_id", *SMALL), geo(spark, d).select("row_id", F.col("r_name").alias("right"))
+    late = rows.join(right, "row_id").where("r_name <> right").withColumn("r_name", F.col("right")).drop("right")
+    for version, part in enumerate((rows, late)):
+        part.select("row_id", F.lit(version).cast("long").alias("version"), F.lit(False).alias("gone"), *SMALL).write.mode("append").parquet(f"{top}/changes")
+        counts.count_stream(spark.readStream.schema(fields).parquet(f"{top}/changes"), SMALL, f"{top}/counts", f"{top}/state").awaitTermination()
+    return counts.merged_counts(spark, f"{top}/counts")
+
+
+def _events(df: DataFrame) -> DataFrame:
+    return df.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type"), (F.col("user_id") % 3).cast("string").alias("user"))
+
+
+def _closed_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Events as a stream: the counts of the weeks that the watermark, a day behind the last event, has closed."""
+    top, path = shared_folder(spark), f"{d}/events.parquet"
+    _t(spark, d, "events").write.parquet(f"{top}/events")
+    stream = _events(spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{top}/events"))
+    drift.pair_stream(stream, ["event_type", "user"], "ts", "7 days", "1 day", f"{top}/windows", f"{top}/state").awaitTermination()
+    return spark.read.schema("start timestamp, a string, b string, va string, vb string, n long").parquet(f"{top}/windows").select(F.unix_timestamp("start").alias("start"), "va", "vb", "n")
+
+
+def _drift(spark: SparkSession, d: str) -> DataFrame:
+    found = drift.drift(drift.windowed_pairs(_events(_t(spark, d, "events")), ["event_type", "user"], "ts", "7 days"))
+    return _rounded(found.select(F.unix_timestamp("start").alias("start"), "lhs", "rhs", "score", "change"), "score", "change")
+
+
 QUERIES = {
     "mu_plus_matrix": lambda s, d: _rounded(stats.mu_plus_matrix(dirty(s, d), GEO), "score"),
     "mu_plus_matrix_orders": lambda s, d: _rounded(stats.mu_plus_matrix(orders(s, d), ["o_orderstatus", "o_orderpriority", *GEO]), "score"),
@@ -235,7 +341,7 @@ QUERIES = {
     "cells_unpivot": lambda s, d: stats.cells(dirty(s, d), SMALL),
     "value_histogram": lambda s, d: stats.value_histogram(dirty(s, d), GEO),
     "domain_first_appearance": lambda s, d: stats.domain(dirty(s, d), "n_name"),
-    "domain_size": lambda s, d: dirty(s, d).agg(*[F.count_distinct(c).alias(c) for c in GEO]),
+    "domain_size": lambda s, d: stats.domain_sizes(dirty(s, d), GEO),
     "pdep_self": lambda s, d: _rounded(stats.pdep_self(dirty(s, d), "r_name"), "pdep"),
     "pdep_single": lambda s, d: _rounded(stats.pdep(dirty(s, d), "n_name", "r_name"), "pdep"),
     "pdep_multi_lhs": lambda s, d: _rounded(stats.pdep(dirty(s, d), ["n_name", "c_mktsegment"], "r_name"), "pdep"),
@@ -253,7 +359,7 @@ QUERIES = {
     "fd_hybrid_score": lambda s, d: _rounded(structure.hybrid_scores(_both(s, d)), "score"),
     "fd_best_parent": lambda s, d: _rounded(structure.best_parents(structure.positive_scores(_both(s, d)), GEO), "score"),
     "row_distance": lambda s, d: _rounded(structure.row_distances(stats.mu_plus_matrix(dirty(s, d), GEO)), "distance"),
-    "llm_only_edges": lambda s, d: structure.supplied_edges(supplied(s)),
+    "llm_only_edges": lambda s, d: structure.supplied_edges(stats.mu_plus_matrix(dirty(s, d), GEO)),
     "structure_construct": lambda s, d: _structure(s, d),
     "hill_climb_edges": lambda s, d: s.createDataFrame(network.hill_climb(stored(dirty(s, d).select("row_id", *SMALL)), SMALL, EDGES), "parent string, child string"),
     "weak_partition_filter": _weak,
@@ -275,7 +381,7 @@ QUERIES = {
     "best_of_experiments": lambda s, d: _rounded(cleaning.best_of(_trials(s, d)), "f1"),
     "json_fix": lambda s, d: _answers(s, d).select("o_orderkey", fix_json(F.col("raw")).alias("fixed")),
     "model_short_name": lambda s, d: _t(s, d, "supplier").select("s_suppkey", short_name(F.concat(F.lit("host/group/"), F.col("s_name"))).alias("short")),
-    "head_n": lambda s, d: geo(s, d).where("row_id < 100"),
+    "head_n": lambda s, d: stats.head_rows(geo(s, d), 100),
     "error_ratio_sweep": _sweep,
     "llm_stub_clean": _checked,
     "repair_wide": _repaired_wide,
@@ -292,6 +398,20 @@ QUERIES = {
     "ablation_impact": _ablated,
     "parameter_search": _searched,
     "stream_repair": _streamed,
+    "repair_near_key": _repaired_near,
+    "csv_line_ends": _several_lines,
+    "similar_rows": _similar,
+    "find_dependencies": lambda s, d: _rounded(discovery.find_dependencies(dirty(s, d), GEO, 2, 0.06).select(F.array_join("lhs", ",").alias("lhs"), "rhs", "error"), "error"),
+    "dependency_violations": lambda s, d: discovery.violations(dirty(s, d), CHECKED),
+    "suspect_rows": lambda s, d: _suspects(s, d).select("row_id"),
+    "error_detection": _detected,
+    "contingency_scores": _families,
+    "checked_cells_with_failures": _checked_with_failures,
+    "ablation_with_checks": _ablated_with_checks,
+    "stream_counts": lambda s, d: counts.counted_pairs(_corrected_counts(s, d)),
+    "stream_mu_plus": lambda s, d: _rounded(counts.mu_plus(_corrected_counts(s, d)), "score"),
+    "stream_windows": _closed_windows,
+    "window_drift": _drift,
 }
 
 # SQL --------------------------------------------------------------------------------------------------------------------
@@ -437,6 +557,44 @@ _INFERRED = ", " + ", ".join([f"voted AS MATERIALIZED ({_FIXED})", *_VOTED])
 _PLACES = f", one AS MATERIALIZED ({_group_repair(PLACES[:2], PLACES, 'dirty')}), two AS MATERIALIZED ({_group_repair(PLACES[2:], PLACES, 'one')}), every AS ({_metrics_sql('SELECT * FROM dirty', 'SELECT * FROM two', PLACES)}), nothing AS ({_metrics_sql('SELECT * FROM dirty', 'SELECT * FROM dirty', PLACES)})"
 
 
+_NEAR = f", near AS (SELECT c_custkey AS row_id, CASE WHEN c_custkey % 11 = 5 THEN '{MARKER}' ELSE CAST(CAST(floor(c_acctbal / 10) AS BIGINT) AS VARCHAR) END AS tens, CAST(CAST(floor(floor(c_acctbal / 10) / 10) AS BIGINT) AS VARCHAR) AS hundreds, CASE WHEN c_acctbal < 0 THEN '-' ELSE '+' END AS sign, c_mktsegment FROM customer)"
+_SHARED = " + ".join(f"CAST(x.{c} = y.{c} AND x.{c} <> '{MARKER}' AS INTEGER)" for c in GEO if c != "n_name")
+
+
+def _conflict_sql(place: int, lhs: str, rhs: str) -> str:
+    """place, row_id, conflicts, major of the rows of broken classes."""
+    sums = f"SELECT row_id, {lhs}, {rhs}, count(*) OVER (PARTITION BY {lhs}) - count(*) OVER (PARTITION BY {lhs}, {rhs}) AS conflicts, count(*) OVER (PARTITION BY {lhs}, {rhs}) AS own FROM dirty"
+    return f"SELECT {place} AS place, row_id, conflicts, row_number() OVER (PARTITION BY {lhs} ORDER BY own DESC, {rhs}) AS rank, {rhs} = first_value({rhs}) OVER (PARTITION BY {lhs} ORDER BY own DESC, {rhs}) AS major FROM ({sums}) WHERE conflicts > 0"
+
+
+_CONFLICTS = " UNION ALL ".join(_conflict_sql(i, lhs[0], rhs) for i, (lhs, rhs) in enumerate(CHECKED))
+_SUSPECTS = f"SELECT DISTINCT row_id FROM ({_CONFLICTS}) WHERE NOT major"
+
+
+def _errors_sql(most: int, error: float) -> str:
+    """lhs, rhs, error of the minimal dependencies among the dirty table's columns."""
+    cases = [(lhs, rhs) for n in range(most + 1) for lhs in combinations(GEO, n) for rhs in GEO if rhs not in lhs]
+    one = lambda lhs, rhs: f"SELECT {list(lhs)!r}::VARCHAR[] AS l, '{rhs}' AS rhs, sum(lost) / (SELECT count(*) FROM dirty) AS error FROM (SELECT sum(n) - max(n) AS lost FROM (SELECT {', '.join([*lhs, '1 AS one'])}, count(*) AS n FROM dirty GROUP BY {', '.join([*lhs, rhs])}) GROUP BY {', '.join([*lhs, 'one'])})"
+    return f", e AS ({' UNION ALL '.join(one(*c) for c in cases)}), v AS (SELECT * FROM e WHERE error <= {error}) SELECT array_to_string(l, ',') AS lhs, rhs, round(error, 6) AS error FROM v WHERE NOT EXISTS (SELECT 1 FROM v AS x WHERE x.rhs = v.rhs AND len(x.l) < len(v.l) AND list_has_all(v.l, x.l))"
+
+
+def _score_sql(child: str, parents: list[str]) -> str:
+    q = " * ".join([f"(SELECT count(DISTINCT {p}) FROM dirty)" for p in parents] or ["1"])
+    r = f"(SELECT count(DISTINCT {child}) FROM dirty)"
+    part = lambda by, alpha: f"(SELECT sum(lgamma(n + {alpha}) - lgamma({alpha})) FROM (SELECT {', '.join([*by, '1 AS one'])}, count(*) AS n FROM dirty GROUP BY {', '.join([*by, 'one'])}))"
+    return f"SELECT '{child}' AS child, '{','.join(parents)}' AS parents, round({part([*parents, child], f'(50.0 / ({q} * {r}))')} - {part(parents, f'(50.0 / ({q}))')}, 4) AS score"
+
+
+_RIGHT = ", right_rows AS (SELECT dirty.* REPLACE (geo.r_name AS r_name) FROM dirty JOIN geo USING (row_id))"
+_WEEKS = ", ev AS (SELECT CAST(epoch(time_bucket(INTERVAL 7 DAYS, ts, TIMESTAMP '1970-01-01')) AS BIGINT) AS start, event_type, CAST(user_id % 3 AS VARCHAR) AS \"user\" FROM events)"
+
+
+def _weekly_sql(lhs: str, rhs: str) -> str:
+    pdep = f"SELECT start, sum(sq / nx) / sum(nx) AS pdep, count(*) AS dx, sum(nx) AS n FROM (SELECT start, {lhs}, sum(n) AS nx, sum(CAST(n AS DOUBLE) * n) AS sq FROM (SELECT start, {lhs}, {rhs}, count(*) AS n FROM ev GROUP BY ALL) GROUP BY ALL) GROUP BY start"
+    own = f"SELECT start, sum(CAST(n AS DOUBLE) * n) / pow(sum(n), 2) AS own FROM (SELECT start, {rhs}, count(*) AS n FROM ev GROUP BY ALL) GROUP BY start"
+    return f"SELECT start, {lhs!r} AS lhs, {rhs!r} AS rhs, greatest(0.0, CASE WHEN n = dx OR own = 1 THEN 0.0 ELSE 1 - (1 - pdep) / (1 - own) * CAST(n - 1 AS DOUBLE) / (n - dx) END) AS score FROM ({pdep}) JOIN ({own}) USING (start)"
+
+
 def _r(*columns: str) -> str:
     return ", ".join(f"round({c}, 6) AS {c}" for c in columns)
 
@@ -469,7 +627,7 @@ SQL = {
         "fd_hybrid_score": f"SELECT lhs, rhs, round(CASE WHEN fd < 0 AND afd > 0.1 THEN afd * (1 + fd) ELSE afd END, 6) AS score FROM {_BOTH}",
         "fd_best_parent": f"SELECT rhs, lhs AS parent, {_r('score')} FROM (SELECT *, row_number() OVER (PARTITION BY rhs ORDER BY score DESC, list_position({GEO}, lhs)) AS p FROM {_POSITIVE}) WHERE p = 1",
         "row_distance": f"SELECT x.lhs AS a, y.lhs AS b, round(sqrt(sum(pow(x.score - y.score, 2))), 6) AS distance FROM {_MATRIX} AS x JOIN {_MATRIX} AS y ON x.rhs = y.rhs AND x.lhs <> y.lhs GROUP BY ALL",
-        "llm_only_edges": f"SELECT lhs AS parent, rhs AS child FROM ({_SURE}) WHERE score > 0.5",
+        "llm_only_edges": f"SELECT lhs AS parent, rhs AS child FROM {_MATRIX} WHERE score > 0.5",
         "weak_partition_filter": f"SELECT 'n_name' AS node, greatest(0.0, mu) >= 0.25 AS kept FROM ({_mu(['r_name'], 'n_name', 'dirty')}) UNION ALL SELECT 'r_name', greatest(0.0, mu) >= 0.25 FROM ({_mu(['n_name'], 'r_name', 'dirty')}) UNION ALL SELECT 'c_mktsegment', true",
         "bdeu_family_score": ", q AS (SELECT 50.0 / count(DISTINCT n_name) AS aj, 50.0 / (count(DISTINCT n_name) * count(DISTINCT r_name)) AS ak FROM dirty) SELECT round((SELECT sum(lgamma(n + ak) - lgamma(ak)) FROM (SELECT count(*) AS n FROM dirty GROUP BY n_name, r_name), q) - (SELECT sum(lgamma(n + aj) - lgamma(aj)) FROM (SELECT count(*) AS n FROM dirty GROUP BY n_name), q), 4) AS score",
         "cpd_bdeu": "SELECT n_name, r_name, round((n + 5.0 / ((SELECT count(DISTINCT n_name) FROM dirty) * (SELECT count(DISTINCT r_name) FROM dirty))) / (sum(n) OVER (PARTITION BY n_name) + 5.0 / (SELECT count(DISTINCT n_name) FROM dirty)), 6) AS p FROM (SELECT n_name, r_name, count(*) AS n FROM dirty GROUP BY ALL)",
@@ -504,6 +662,20 @@ SQL = {
         "ablation_impact": _PLACES + " " + " UNION ALL ".join(f"SELECT '{p}' AS part, m.errors, m.attempts, m.correct, round(m.f1, 6) AS f1, round(e.f1 - m.f1, 6) AS f1_loss FROM {m} AS m, every AS e" for p, m in (("all", "every"), ("supplied", "nothing"), ("groups", "nothing"), ("compensation", "every"), ("weak filter", "every"))),
         "parameter_search": _PLACES + " SELECT CAST(place AS INTEGER) AS place, alpha, beta, round(f1, 6) AS f1 FROM every, (VALUES (0, 0.1::DOUBLE, 0.1::DOUBLE), (1, 0.1, 0.5), (2, 0.2, 0.1), (3, 0.2, 0.5)) AS v(place, alpha, beta)",
         "stream_repair": _STEP + f" SELECT step.row_id, n_name, coalesce(b.val, r_name) AS r_name, c_mktsegment FROM step LEFT JOIN ({_best_sql(_repair_sql('step', 'dirty', 'r_name', ['n_name'], [], SMALL))}) AS b USING (row_id)",
+        "repair_near_key": _NEAR + f" SELECT row_id, val AS tens FROM ({_best_sql(_repair_sql('near', 'near', 'tens', ['hundreds'], [], NEAR))})",
+        "csv_line_ends": "SELECT CAST(row_id AS VARCHAR) AS id, n_name || ',' || chr(10) || '\"' || r_name || '\"' || chr(10) || chr(10) || row_id AS text FROM dirty",
+        "similar_rows": f"SELECT x.row_id, 'n_name' AS attr, CAST(row_number() OVER (PARTITION BY x.row_id ORDER BY {_SHARED} DESC, y.row_id) AS INTEGER) AS rank, y.row_id AS other_id, {_SHARED} AS shared FROM dirty AS x JOIN dirty AS y ON x.row_id <> y.row_id WHERE x.n_name = '{MARKER}' AND {_SHARED} > 0 QUALIFY rank <= 3",
+        "find_dependencies": _errors_sql(2, 0.06),
+        "dependency_violations": f"SELECT place, row_id, conflicts FROM ({_CONFLICTS})",
+        "suspect_rows": _SUSPECTS,
+        "error_detection": f", w AS (SELECT row_id FROM dirty EXCEPT SELECT row_id FROM (SELECT * FROM dirty INTERSECT SELECT * FROM geo)), t AS ({_SUSPECTS}), k AS (SELECT (SELECT count(*) FROM w) AS errors, (SELECT count(*) FROM t) AS suspected, (SELECT count(*) FROM w JOIN t USING (row_id)) AS hits) SELECT *, round(hits / suspected, 6) AS precision, round(hits / errors, 6) AS recall FROM k",
+        "contingency_scores": "SELECT * FROM (" + " UNION ALL ".join(_score_sql(c, list(ps)) for c in SMALL for n in range(3) for ps in combinations([o for o in SMALL if o != c], n)) + ")",
+        "checked_cells_with_failures": f"SELECT row_id, attr, original, corrected, row_id % 7 <> 0 AS success, CASE WHEN row_id % 7 = 0 THEN 'ValueError: no answer' END AS error FROM ({_CHECKED})",
+        "ablation_with_checks": _PLACES + " " + " UNION ALL ".join(f"SELECT '{p}' AS part, m.errors, m.attempts, m.correct, round(m.f1, 6) AS f1, round(e.f1 - m.f1, 6) AS f1_loss FROM {m} AS m, every AS e" for p, m in (("all", "every"), ("supplied", "nothing"), ("groups", "nothing"), ("compensation", "every"), ("weak filter", "every"), ("checks", "every"))),
+        "stream_counts": _RIGHT + " " + _pairs(SMALL, "right_rows"),
+        "stream_mu_plus": _RIGHT + f" SELECT lhs, rhs, round(score, 6) AS score FROM ({_matrix(SMALL, 'right_rows')})",
+        "stream_windows": _WEEKS + ' SELECT start, event_type AS va, "user" AS vb, count(*) AS n FROM ev WHERE start + 7 * 86400 <= (SELECT epoch(max(ts)) FROM events) - 86400 GROUP BY ALL',
+        "window_drift": _WEEKS + f" SELECT start, lhs, rhs, round(score, 6) AS score, round(score - lag(score) OVER (PARTITION BY lhs, rhs ORDER BY start), 6) AS change FROM ({_weekly_sql('event_type', 'user')} UNION ALL {_weekly_sql('user', 'event_type')})".replace(" user", ' "user"').replace('(PARTITION BY lhs', '(PARTITION BY lhs'),
         "error_ratio_sweep": " UNION ALL ".join(_sweep_sql(k) for k in (10, 20, 40)),
     }.items()
 }

@@ -13,6 +13,11 @@ def related_columns(edges: list[tuple[str, str]], column: str) -> list[str]:
     return [b if a == column else a for a, b in edges if column in (a, b)]
 
 
+def connected_columns(edges: list[tuple[str, str]], columns: list[str]) -> list[str]:
+    """The columns that are related to another one; the others' cells have no score of their own."""
+    return [c for c in columns if related_columns(edges, c)]
+
+
 def best_two(candidates: DataFrame, keys: list[str]) -> DataFrame:
     """``(keys..., first, second)``: the two highest probabilities; a single one twice, a second of 0 as 1e-10."""
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("probability")))
@@ -37,7 +42,7 @@ def min_max(df: DataFrame, column: str, by: list[str], flat: float | None = None
 def confidence_scores(repaired: DataFrame, cooc: DataFrame, edges: list[tuple[str, str]], columns: list[str], margins: DataFrame) -> DataFrame:
     """``(row_id, attr, score)`` for every cell: the mean over related columns of (1 + margin) * co-occurrence, both scaled; 0.5 for
     columns without relations. ``margins(row_id, attr, margin)`` may lack cells (0)."""
-    related = [F.struct(F.lit(c).alias("attr"), F.lit(o).alias("other"), F.lit(i).alias("place"), F.col(c).alias("val"), F.col(o).alias("other_val")) for c in columns for i, o in enumerate(related_columns(edges, c))]
+    related = [F.struct(F.lit(c).alias("attr"), F.lit(o).alias("other"), F.lit(i).alias("place"), F.col(c).alias("val"), F.col(o).alias("other_val")) for c in connected_columns(edges, columns) for i, o in enumerate(related_columns(edges, c))]
     every = repaired.select("row_id", F.explode(F.array(*[F.lit(c) for c in columns])).alias("attr"))
     margin = every.join(margins, ["row_id", "attr"], "left").na.fill(0.0, ["margin"])
     margin = min_max(margin, "margin", ["attr"], 0.0)

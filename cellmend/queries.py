@@ -13,7 +13,7 @@ from cellmend.operators import confidence, consistency, context, discovery, eval
 from cellmend.operators.network import Local
 from cellmend.operators.stats import MARKER
 from cellmend.plans import cleaning
-from cellmend.sources import tables
+from cellmend.sources import dataset_source, tables
 from cellmend.sources.results import Results
 from cellmend.sources.scratch import shared_folder, stored
 from cellmend.streaming import counts, drift
@@ -257,6 +257,14 @@ def _several_lines(spark: SparkSession, d: str) -> DataFrame:
         spark.conf.set("spark.sql.files.maxPartitionBytes", blocks)
 
 
+def _by_format(spark: SparkSession, d: str) -> DataFrame:
+    """The dirty table as a data set's files, read by the data source in small ranges, two columns of it."""
+    root = shared_folder(spark)
+    dirty(spark, d).orderBy("row_id").select(*GEO).write.option("header", True).csv(f"{root}/shop/dirty.csv")
+    tables.write_text(spark, f"{root}/shop/discrete_cols.json", json.dumps(GEO))
+    return dataset_source.read_dataset(spark, root, "shop", columns=["n_name", "r_name"], size=1 << 16)
+
+
 def _similar(spark: SparkSession, d: str) -> DataFrame:
     """The three rows that are most like each row whose nation is missing."""
     rows = dirty(spark, d)
@@ -400,6 +408,7 @@ QUERIES = {
     "stream_repair": _streamed,
     "repair_near_key": _repaired_near,
     "csv_line_ends": _several_lines,
+    "dataset_source": _by_format,
     "similar_rows": _similar,
     "find_dependencies": lambda s, d: _rounded(discovery.find_dependencies(dirty(s, d), GEO, 2, 0.06).select(F.array_join("lhs", ",").alias("lhs"), "rhs", "error"), "error"),
     "dependency_violations": lambda s, d: discovery.violations(dirty(s, d), CHECKED),
@@ -664,6 +673,7 @@ SQL = {
         "stream_repair": _STEP + f" SELECT step.row_id, n_name, coalesce(b.val, r_name) AS r_name, c_mktsegment FROM step LEFT JOIN ({_best_sql(_repair_sql('step', 'dirty', 'r_name', ['n_name'], [], SMALL))}) AS b USING (row_id)",
         "repair_near_key": _NEAR + f" SELECT row_id, val AS tens FROM ({_best_sql(_repair_sql('near', 'near', 'tens', ['hundreds'], [], NEAR))})",
         "csv_line_ends": "SELECT CAST(row_id AS VARCHAR) AS id, n_name || ',' || chr(10) || '\"' || r_name || '\"' || chr(10) || chr(10) || row_id AS text FROM dirty",
+        "dataset_source": "SELECT row_number() OVER (ORDER BY row_id) - 1 AS row_id, n_name, r_name FROM dirty",
         "similar_rows": f"SELECT x.row_id, 'n_name' AS attr, CAST(row_number() OVER (PARTITION BY x.row_id ORDER BY {_SHARED} DESC, y.row_id) AS INTEGER) AS rank, y.row_id AS other_id, {_SHARED} AS shared FROM dirty AS x JOIN dirty AS y ON x.row_id <> y.row_id WHERE x.n_name = '{MARKER}' AND {_SHARED} > 0 QUALIFY rank <= 3",
         "find_dependencies": _errors_sql(2, 0.06),
         "dependency_violations": f"SELECT place, row_id, conflicts FROM ({_CONFLICTS})",

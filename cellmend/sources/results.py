@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellmend.operators.evaluation import summarise
-from cellmend.sources.tables import exists, read_text, write_text
+from cellmend.sources.tables import exists, folders, read_text, remove, write_text
 
 METRICS = ["precision", "recall", "f1", "detection_rate", "repair_accuracy"]
 
@@ -28,7 +28,7 @@ class Results:
 
     def all(self) -> DataFrame | None:
         """``(metrics..., settings, saved, experiment, dataset)``, or None where nothing is kept."""
-        if not exists(self.spark, f"{self.root}/runs"):
+        if not folders(self.spark, f"{self.root}/runs"):
             return None
         out = self.spark.read.option("mergeSchema", True).parquet(f"{self.root}/runs")
         return out.withColumns({c: F.col(c).cast("string") for c in ("experiment", "dataset")})
@@ -59,6 +59,15 @@ class Results:
         found = self.all()
         return None if found is None else found.agg(F.max("experiment")).first()[0]
 
+    def delete(self, experiment: str, force: bool = False) -> bool:
+        """Remove an experiment's rows; False, and nothing removed, where there are none, or where it is the latest one and not ``force``."""
+        if not exists(self.spark, f"{self.root}/runs/experiment={experiment}") or (self.latest() == experiment and not force):
+            return False
+        if self.latest() == experiment:
+            remove(self.spark, f"{self.root}/latest")
+        remove(self.spark, f"{self.root}/runs/experiment={experiment}")
+        return True
+
     def summary(self, experiment: str) -> DataFrame | None:
         """``(metric, mean, std)`` over an experiment's data sets."""
         found = self.load(experiment)

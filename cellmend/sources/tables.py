@@ -54,6 +54,11 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     out.close()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    fs, p = _files(spark, path)
+    fs.delete(p, True)
+
+
 def load_columns(spark: SparkSession, root: str, name: str) -> list[str]:
     return json.loads(read_text(spark, f"{root}/{name}/discrete_cols.json"))
 

@@ -11,6 +11,7 @@ from cellmend.operators import context
 from cellmend.operators.stats import MARKER
 from cellmend.plans import cleaning
 from cellmend.sources.ledger import Ledger, answered
+from cellmend.sources.results import Results
 
 
 def logged(path, answer, fails=(), kills=()):
@@ -107,3 +108,13 @@ def test_questions_show_other_rows(spark, table):
     log = cleaning.check_cells(table, asked, {}, ["A", "B"], provider, context=rows)[1].first()
     assert "Other rows, which may be wrong as well: similar: A=a2; B=b2 | " in log["corrected"]
     assert context.context_rows(table, asked.limit(0), ["A", "B"]).count() == 0
+
+
+def test_experiments_can_be_deleted(spark, tmp_path):
+    store = Results(spark, str(tmp_path / "results"))
+    metrics = spark.createDataFrame([(0.5, 0.25, 0.3)], "precision double, recall double, f1 double")
+    for name in ("e1", "e2"):
+        store.save(name, "d", metrics)
+    assert not store.delete("none") and not store.delete("e2") and store.latest() == "e2"
+    assert store.delete("e1") and store.load("e1") is None and store.load("e2").count() == 1
+    assert store.delete("e2", force=True) and store.all() is None and store.latest() is None

@@ -2,12 +2,13 @@
 
 import csv
 import io
+import json
 import random
 
 import pytest
 
 from cellmend.operators.stats import MARKER
-from cellmend.sources import tables
+from cellmend.sources import dataset_source, tables
 
 PIECES = ["a", "bc", ",", "\n", '"', '""', "é", " ", "\n\n", "x,y", ""]
 
@@ -63,3 +64,27 @@ def test_files_follow_each_other(spark, tmp_path):
     (tmp_path / "part-9.csv").write_text("v,n\nx,4\n")
     with pytest.raises(ValueError, match="different headers"):
         tables.read_csv(spark, str(tmp_path), ["n"])
+
+
+@pytest.mark.parametrize("size", [7, 60, 1 << 20])
+def test_data_source_reads_ranges_that_respect_quotes(spark, tmp_path, size):
+    rng = random.Random(11)
+    for kind in ("dirty", "variants/v/clean"):
+        out = io.StringIO()
+        writer = csv.writer(out, lineterminator="\n")
+        writer.writerow(["p", "q", "r"])
+        for i in range(25):
+            writer.writerow([f"{i}", *["".join(rng.choices(PIECES, k=rng.randrange(5))) + "." for _ in range(2)]])
+        path = tmp_path / f"shop/{kind}.csv"
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(out.getvalue() + '\n25,5" x,\n', newline="")
+    (tmp_path / "shop/discrete_cols.json").write_text(json.dumps(["q", "p", "r"]))
+    df = dataset_source.read_dataset(spark, str(tmp_path), "shop", size=size)
+    assert df.columns == ["row_id", "q", "p", "r"]
+    want = [(i, r[1], r[0], r[2]) for i, r in enumerate(plain((tmp_path / "shop/dirty.csv").read_text()))]
+    assert [tuple(r) for r in df.orderBy("row_id").collect()] == want and len(want) == 26
+    part = dataset_source.read_dataset(spark, str(tmp_path), "shop", "clean", "v", ["r"], size=size)
+    assert [tuple(r) for r in part.orderBy("row_id").collect()] == [(i, r[2]) for i, r in enumerate(plain(path.read_text()))]
+    assert spark.read.format("cellmend").options(root=str(tmp_path), dataset="shop").load().count() == 26
+    with pytest.raises(Exception, match="no column z"):
+        dataset_source.read_dataset(spark, str(tmp_path), "shop", columns=["z"]).count()

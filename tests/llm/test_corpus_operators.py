@@ -331,11 +331,13 @@ def plain_log_probabilities(m, text):
         h = sum(m.tables[k][ids[t + place] if 0 <= t + place < len(ids) else m.other + 1].astype(float) for k, place in enumerate(m.places))
         scores = h @ m.out.astype(float) + m.bias
         value = scores[m.class_of[i]] - np.log(np.exp(scores).sum())
-        for at in range(m.path_first[i], m.path_first[i + 1]):
+        end = hashes[t] >> (64 - (len(m.end_share).bit_length() - 1)) if len(m.end_share) > 1 else 0
+        code = i if i != m.other else m.other + 1 + end
+        for at in range(m.path_first[code], m.path_first[code + 1]):
             node = m.path[at]
             value -= np.log(1 + np.exp(-m.side[at] * (h @ m.nodes[node] + m.turn[node])))
         if i == m.other:
-            value += m.log_share[-1] + (m.log_n[known[hashes[t]]] if hashes[t] in known else 0)
+            value += m.end_share[end] + (m.log_n[known[hashes[t]]] if hashes[t] in known else 0)
         out.append(value)
     return out
 
@@ -354,7 +356,8 @@ def test_lm_is_a_distribution_and_learns(spark):
     found = model.find(Words(pa.array(texts)).hashes)
     base = np.log(np.bincount(model.class_of[ids], minlength=len(model.bias)).clip(1) / len(ids))
     own = np.where(ids == model.other, np.append(model.log_n, 0.0)[found], 0.0)
-    unigram = (base[model.class_of[ids]] + model.log_share[ids] + own).mean()
+    rest = np.where(ids == model.other, -np.log((np.exp(-model.end_share) - 1).sum() + 1), 0.0)
+    unigram = (base[model.class_of[ids]] + model.log_share[ids] + rest + own).mean()
     assert a > unigram + 0.1  # even against the texts' own class shares
     for text in texts[:8]:
         assert np.allclose(model.log_probabilities(Words(pa.array([text]))), plain_log_probabilities(model, text), atol=1e-3)
@@ -386,7 +389,7 @@ def test_lm_on_odd_rows(spark):
 def test_lm_counts_tell_words_outside_the_vocabulary_apart(spark, counted):
     texts = ["often " * 8, "often " * 8, "rare", *["top"] * 40]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    model = lm_scoring.train_lm(df, lm_scoring.LmParams(vocabulary=1, counted=counted))
+    model = lm_scoring.train_lm(df, lm_scoring.LmParams(vocabulary=1, counted=counted, codes=0))
     asked = spark.createDataFrame([(1, "x often y"), (2, "x rare y"), (3, "x unseen y"), (3, "x unseen y")], "doc_id long, text string")
     got = {r["doc_id"]: r["log_prob"] for r in lm_scoring.score_lm(asked, model).collect()}
     assert abs(got[1] - got[2] - np.log(16)) < 1e-6 and got[2] == got[3] and lm_scoring.score_lm(asked, model).count() == 4
@@ -395,7 +398,7 @@ def test_lm_counts_tell_words_outside_the_vocabulary_apart(spark, counted):
 def test_lm_predicts_words_of_one_class_from_both_sides(spark):
     texts = ["a b c " * 30 if i % 2 else "a d e " * 30 for i in range(60)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
-    model = lm_scoring.train_lm(df, lm_scoring.LmParams(classes=2, epochs=10, share=1))
+    model = lm_scoring.train_lm(df, lm_scoring.LmParams(classes=2, epochs=10, share=1, codes=0))
     assert len(model.bias) == 2
     good, bad = (np.exp(model.log_probabilities(Words(pa.array([t])))[4]) for t in ("a b c a b c a b c", "a b c a d c a b c"))
     assert good > 0.9 and bad < 0.05
@@ -410,9 +413,62 @@ def test_lm_trains_on_every_document(spark):
     before = np.random.default_rng(p.seed).standard_normal((len(p.places), 8, p.dim)).astype(np.float32) * np.float32(0.1)
     moved = np.abs(lm_scoring.train_lm(df, p).tables - before).max(axis=2) > 1e-6
     assert moved[:, :6].all()
-    # a part's positions are drawn from all of its slices, one in ``share``
-    seen = lm_scoring.fit_part(lm_scoring.train_lm(df, p), [pa.RecordBatch.from_pydict({"text": [t]}) for t in texts], p, (0, 0))[1]
-    assert seen[: 8].sum() == sum(-(-15 // 2) for _ in texts)
+    # each position is drawn at the same rate, once for each row that has it
+    model = lm_scoring.train_lm(df, p)
+    shared = type("Shared", (), {"value": model})
+    rows = [pa.RecordBatch.from_pydict({"text": [t], "row": [i]}) for i, t in enumerate(texts)]
+    drawn = [np.frombuffer(x, np.int32).reshape(-1, 6) for b in lm_scoring._draw(shared, p, 3)(rows) for x in b.column(3).to_pylist()]
+    assert abs(sum(map(len, drawn)) / (15 * len(texts)) - 0.5) < 0.02 and len({int(i) for d in drawn for i in d[:, 1]}) == 6
+
+
+def test_lm_scores_do_not_depend_on_the_cut(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id < 300").cache()
+    p = lm_scoring.LmParams(vocabulary=500, counted=3000, classes=12, shard=3000, rounds=2, share=2)
+    got = []
+    for df in (docs.coalesce(1), docs.repartition(7, "text")):
+        got.append({r["doc_id"]: (r["mean_log_prob"], r["n_tokens"]) for r in lm_scoring.score_lm(df, lm_scoring.train_lm(df, p)).collect()})
+    assert got[0].keys() == got[1].keys() and max(abs(got[0][d][0] - got[1][d][0]) for d in got[0]) < 1e-3
+
+
+def test_lm_predicts_words_outside_the_vocabulary_from_both_sides(spark):
+    rng = random.Random(14)
+    sides = [[f"{c}{i}" for i in range(200)] for c in "xy"]
+    texts = [" ".join(f"{'ab'[k]} {rng.choice(sides[k])} {'cd'[k]}" for _ in range(30)) for k in (rng.randrange(2) for _ in range(400))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = lm_scoring.train_lm(df, lm_scoring.LmParams(vocabulary=4, classes=3, share=1, epochs=4, codes=10))
+    words = Words(pa.array(texts))
+    outside = model.ids(words.hashes) == model.other
+    assert outside.sum() == len(words) // 3
+    own = Counter(words.hashes[outside].tolist())
+    plain = np.mean([np.log(own[h] / outside.sum()) for h in words.hashes[outside].tolist()])
+    assert model.log_probabilities(words)[outside].mean() > plain + 0.3
+
+
+def test_lm_descends_along_the_gradient():
+    rng = np.random.default_rng(15)
+    ways, sides, odds = lm_scoring._hash_tree(np.arange(1, 9), 0)
+    path, first = np.array([n for w in ways for n in w]), np.concatenate([[0, 0, 0], np.cumsum([len(w) for w in ways])])
+    model = lm_scoring.LmModel(np.empty(0, np.uint64), np.empty(0, int), np.empty(0), np.array([0, 1]), np.zeros(2), rng.normal(size=(2, 3, 4)), rng.normal(size=(4, 2)), rng.normal(size=2), rng.normal(size=(7, 4)), np.array(odds), first, path, np.array([x for s in sides for x in s], float), np.zeros(8), (-1, 1))
+    codes, ids, seen = np.array([4]), np.array([1]), [np.array([0]), np.array([2])]
+
+    def loss(m):
+        h = m.hidden(seen)
+        scores = h @ m.out + m.bias
+        row, node, side = m.turns(codes)
+        return -(scores[0, m.class_of[ids[0]]] - np.log(np.exp(scores[0]).sum()) - np.log1p(np.exp(-side * ((h[row] * m.nodes[node]).sum(axis=1) + m.turn[node]))).sum())
+
+    for name, scale in (("out", 1.0), ("bias", 1.0), ("nodes", 0.125), ("turn", 0.125), ("tables", 0.125)):
+        moved = {k: np.array(getattr(model, k), float) for k in ("tables", "out", "bias", "nodes", "turn")}
+        after = lm_scoring.replace(model, **{k: v.copy() for k, v in moved.items()})
+        lm_scoring.descend(after, codes, ids, seen, np.float64(1e-6))
+        step = (getattr(after, name) - moved[name]) / -1e-6
+        for at in zip(*(rng.integers(0, n, 12) for n in moved[name].shape)):
+            ends = []
+            for sign in (1, -1):
+                shifted = moved[name].copy()
+                shifted[at] += sign * 1e-5
+                ends.append(loss(lm_scoring.replace(model, **{name: shifted})))
+            assert abs(step[at] - scale * (ends[0] - ends[1]) / 2e-5) < 1e-4
 
 
 def test_pipeline_stages(spark):

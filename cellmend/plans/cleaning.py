@@ -16,7 +16,7 @@ from cellmend.functions.text import parse_answer
 from cellmend.operators import confidence, consistency, context, evaluation, network, repair, stats, structure
 from cellmend.operators.structure import Matrix, Structure
 from cellmend.sources.ledger import Ledger, answered, key_of
-from cellmend.sources.scratch import shared_folder, stored
+from cellmend.sources.scratch import shared_folder, stored, temporary
 from cellmend.sources.tables import TableCache
 
 METHODS = ("hybrid", "hybrid_no_groups", "search_only", "supplied_only", "edges")
@@ -230,6 +230,12 @@ def _structure_of(matrices: tuple[Matrix, Matrix], columns: list[str], s: Settin
     return replace(found, groups=[]) if s.method == "hybrid_no_groups" else found
 
 
+def _metrics(*args, **more) -> dict:
+    """The metrics of one ``clean``, none of whose tables stay."""
+    with temporary():
+        return clean(*args, **more).metrics.first().asDict()
+
+
 def ablation(dirty: DataFrame, columns: list[str], supplied: DataFrame, truth: DataFrame, base: Settings = Settings(), provider: Provider | None = None, asking: Asking = Asking()) -> DataFrame:
     """``(part, metric..., f1_loss)``: the metrics with everything, and without each part, against the former. With a ``provider`` cells are
     checked in every case but "checks"."""
@@ -237,7 +243,7 @@ def ablation(dirty: DataFrame, columns: list[str], supplied: DataFrame, truth: D
     cases |= {"checks": base} if provider else {}
     dirty = stored(dirty)
     matrices = _measured(dirty, columns, supplied)
-    rows = [{"part": k, **clean(dirty, columns, supplied, truth, s, None if k == "checks" else provider, _structure_of(matrices, columns, s), asking).metrics.first().asDict()} for k, s in cases.items()]
+    rows = [{"part": k, **_metrics(dirty, columns, supplied, truth, s, None if k == "checks" else provider, _structure_of(matrices, columns, s), asking)} for k, s in cases.items()]
     return dirty.sparkSession.createDataFrame([r | {"f1_loss": rows[0]["f1"] - r["f1"]} for r in rows])
 
 
@@ -252,7 +258,7 @@ def search_parameters(dirty: DataFrame, columns: list[str], supplied: DataFrame,
             found = _structure_of(matrices, columns, s)
             key = repr(found)
             if key not in seen:
-                seen[key] = float(clean(dirty, columns, supplied, truth, s, provider, found, asking).metrics.first()["f1"])
+                seen[key] = float(_metrics(dirty, columns, supplied, truth, s, provider, found, asking)["f1"])
             rows.append((i, a, b, seen[key], None))
         except Exception as e:  # noqa: BLE001 - one setting's failure is its result
             rows.append((i, a, b, 0.0, str(e)[:200]))
@@ -266,4 +272,4 @@ def best_of(results: DataFrame) -> DataFrame:
 
 def sweep_error_ratios(spark: SparkSession, variants: dict[str, DataFrame], columns: list[str], supplied: DataFrame | None, truth: DataFrame, base: Settings = Settings(), provider: Provider | None = None, asking: Asking = Asking()) -> DataFrame:
     """``(variant, metrics...)`` of several dirty versions of one table; with a ``provider`` cells are checked."""
-    return spark.createDataFrame([{"variant": k, **clean(d, columns, supplied, truth, base, provider, asking=asking).metrics.first().asDict()} for k, d in variants.items()])
+    return spark.createDataFrame([{"variant": k, **_metrics(d, columns, supplied, truth, base, provider, asking=asking)} for k, d in variants.items()])

@@ -5,7 +5,10 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,11 +32,29 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/cellmend-{uuid.uuid4().hex}"
 
 
+_LOCAL = threading.local()
+
+
+@contextmanager
+def temporary() -> Iterator[None]:
+    """What this thread stores inside goes at the end: results that are still to be read then must have been."""
+    made, before = [], getattr(_LOCAL, "made", None)
+    _LOCAL.made = made
+    try:
+        yield
+    finally:
+        _LOCAL.made = before
+        for scratch in made:
+            scratch.clear()
+
+
 class Scratch:
     """A job's stored tables by name."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.top, self.paths = spark, shared_folder(spark), {}
+        if (made := getattr(_LOCAL, "made", None)) is not None:
+            made.append(self)
 
     def put(self, name: str, df: DataFrame) -> DataFrame:
         """Write a Parquet table and read it back: cuts lineage, survives lost executors, has a known size. The shuffle files of the

@@ -1,5 +1,6 @@
 """The threshold search finds what scoring every value finds, and looks at few."""
 
+import os
 import random
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from cellmend.operators import confidence, repair
 from cellmend.operators.network import Local
 from cellmend.operators.stats import MARKER, Counts
-from cellmend.sources.scratch import Scratch
+from cellmend.sources.scratch import Scratch, stored, temporary
 
 
 def table(spark, rng, n, sizes):
@@ -77,3 +78,13 @@ def test_a_repair_keeps_no_tables_of_former_columns(spark):
     assert out.count() == 120 and facts.count() == 360 and changed.count() == changed.distinct().count()
     scratch.clear()
     assert scratch.paths == {}
+
+
+def test_temporary_tables_go(spark):
+    with temporary():
+        path = stored(spark.range(3)).inputFiles()[0].removeprefix("file://")
+        with temporary():
+            inner = stored(spark.range(3)).inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(path) and not os.path.exists(inner)
+    assert not os.path.exists(path)
+    assert os.path.exists(stored(spark.range(3)).inputFiles()[0].removeprefix("file://"))

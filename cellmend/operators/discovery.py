@@ -15,6 +15,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellmend.operators.stats import domain_sizes, ordered_pairs, pair_counts
 from cellmend.sources.scratch import Scratch
 
 
@@ -84,6 +85,23 @@ def find_dependencies(table: DataFrame, columns: list[str], most: int = 3, error
     return spark.createDataFrame(found, "lhs array<string>, rhs string, error double")
 
 
+def pair_errors(table: DataFrame, columns: list[str]) -> DataFrame:
+    """``(lhs, rhs, error)`` of every ordered pair of columns: the share of rows to remove for the one to decide the other; from one count of
+    the pairs."""
+    best = ordered_pairs(pair_counts(table, columns)).groupBy("attr", "other", "val").agg(F.max("n").alias("most"), F.sum("n").alias("n"))
+    return best.groupBy("attr", "other").agg((1 - F.sum("most") / F.sum("n")).alias("error")).select(F.col("attr").alias("lhs"), F.col("other").alias("rhs"), "error")
+
+
+def generated_matrix(table: DataFrame, columns: list[str], limit: float = 0.1) -> DataFrame:
+    """``(lhs, rhs, score)``, a dependency matrix from the data where nobody supplies one: pairs of an error up to ``limit`` are dependencies,
+    sure from 1 down to 0.5 by the error; others are none, the surer the larger the error. Pairs whose left side is a key say nothing (0)."""
+    rows = table.count()
+    keys = domain_sizes(table, columns).first().asDict()  # one row
+    unique = [c for c in columns if keys[c] == rows]
+    score = F.when(F.col("lhs").isin(unique), 0.0).when(F.col("error") <= limit, 1 - F.col("error") / (2 * limit)).otherwise(-F.col("error"))
+    return pair_errors(table, columns).select("lhs", "rhs", score.alias("score"))
+
+
 def _conflicts(table: DataFrame, dependencies: list[tuple[list[str], str]]) -> DataFrame:
     """``(place, key, row_id, conflicts, major)``: rows of classes that break a dependency; ``major``: of its most frequent value (the
     smallest of equals)."""

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellmend.functions.text import parse_answer
-from cellmend.operators import confidence, consistency, context, evaluation, network, repair, stats, structure
+from cellmend.operators import confidence, consistency, context, discovery, evaluation, network, repair, stats, structure
 from cellmend.operators.structure import Matrix, Structure
 from cellmend.sources.ledger import Ledger, answered, key_of
 from cellmend.sources.scratch import shared_folder, stored, temporary
@@ -24,7 +24,8 @@ METHODS = ("hybrid", "hybrid_no_groups", "search_only", "supplied_only", "edges"
 
 @dataclass(frozen=True)
 class Settings:
-    """``method``: hybrid, hybrid_no_groups (no votes), search_only, supplied_only or edges (those given)."""
+    """``method``: hybrid, hybrid_no_groups (no votes), search_only, supplied_only or edges (those given). ``generate``: where no matrix is
+    supplied, make one from the data, taking pairs of columns of so small an error as dependencies (0: don't)."""
 
     method: str = "hybrid"
     alpha: float = 0.1
@@ -39,6 +40,7 @@ class Settings:
     check_most: int = 0
     first_rows: int = 0
     context_rows: bool = True
+    generate: float = 0.0
     marker: str = stats.MARKER
     edges: tuple[tuple[str, str], ...] = ()
 
@@ -143,6 +145,8 @@ def find_structure(dirty: DataFrame, supplied: DataFrame | None, columns: list[s
     """By the settings' method. The two matrices, a row for each pair of columns, come to the driver."""
     if s.method == "edges":
         return Structure(columns, [], list(s.edges))
+    if supplied is None and s.generate > 0:
+        supplied = discovery.generated_matrix(dirty, columns, s.generate)
     if s.method == "search_only" or supplied is None:
         return Structure(columns)
     if s.method == "supplied_only":

@@ -275,6 +275,13 @@ def _similar(spark: SparkSession, d: str) -> DataFrame:
 CHECKED = [(["n_regionkey"], "r_name"), (["c_nationkey"], "n_name")]
 
 
+def _cleaned_generated(spark: SparkSession, d: str) -> DataFrame:
+    """The metrics of the whole repair of four columns with no matrix but the data's own."""
+    places = dirty(spark, d).select("row_id", *PLACES)
+    found = cleaning.clean(places, PLACES, truth=geo(spark, d), settings=cleaning.Settings(use_search=False, generate=0.1))
+    return _rounded(found.metrics.select("errors", "attempts", "correct", "f1"), "f1")
+
+
 def _suspects(spark: SparkSession, d: str) -> DataFrame:
     return discovery.suspect_rows(dirty(spark, d), CHECKED)
 
@@ -411,6 +418,8 @@ QUERIES = {
     "dataset_source": _by_format,
     "similar_rows": _similar,
     "find_dependencies": lambda s, d: _rounded(discovery.find_dependencies(dirty(s, d), GEO, 2, 0.06).select(F.array_join("lhs", ",").alias("lhs"), "rhs", "error"), "error"),
+    "generated_dependencies": lambda s, d: _rounded(discovery.generated_matrix(dirty(s, d), GEO), "score"),
+    "clean_generated": _cleaned_generated,
     "dependency_violations": lambda s, d: discovery.violations(dirty(s, d), CHECKED),
     "suspect_rows": lambda s, d: _suspects(s, d).select("row_id"),
     "error_detection": _detected,
@@ -676,6 +685,8 @@ SQL = {
         "dataset_source": "SELECT row_number() OVER (ORDER BY row_id) - 1 AS row_id, n_name, r_name FROM dirty",
         "similar_rows": f"SELECT x.row_id, 'n_name' AS attr, CAST(row_number() OVER (PARTITION BY x.row_id ORDER BY {_SHARED} DESC, y.row_id) AS INTEGER) AS rank, y.row_id AS other_id, {_SHARED} AS shared FROM dirty AS x JOIN dirty AS y ON x.row_id <> y.row_id WHERE x.n_name = '{MARKER}' AND {_SHARED} > 0 QUALIFY rank <= 3",
         "find_dependencies": _errors_sql(2, 0.06),
+        "generated_dependencies": "SELECT lhs, rhs, round(CASE WHEN unique_lhs THEN 0 WHEN error <= 0.1 THEN 1 - error / 0.2 ELSE -error END, 6) AS score FROM (" + " UNION ALL ".join(f"SELECT '{a}' AS lhs, '{b}' AS rhs, (SELECT count(DISTINCT {a}) = count(*) FROM dirty) AS unique_lhs, (SELECT 1 - sum(m) / sum(n) FROM (SELECT max(n) AS m, sum(n) AS n FROM (SELECT {a}, {b}, count(*) AS n FROM dirty GROUP BY ALL) GROUP BY {a})) AS error" for a in GEO for b in GEO if a != b) + ")",
+        "clean_generated": _PLACES + " SELECT errors, attempts, correct, round(f1, 6) AS f1 FROM every",
         "dependency_violations": f"SELECT place, row_id, conflicts FROM ({_CONFLICTS})",
         "suspect_rows": _SUSPECTS,
         "error_detection": f", w AS (SELECT row_id FROM dirty EXCEPT SELECT row_id FROM (SELECT * FROM dirty INTERSECT SELECT * FROM geo)), t AS ({_SUSPECTS}), k AS (SELECT (SELECT count(*) FROM w) AS errors, (SELECT count(*) FROM t) AS suspected, (SELECT count(*) FROM w JOIN t USING (row_id)) AS hits) SELECT *, round(hits / suspected, 6) AS precision, round(hits / errors, 6) AS recall FROM k",

@@ -7,6 +7,7 @@ from itertools import combinations
 import pytest
 
 from cellmend.operators import discovery
+from cellmend.plans import cleaning
 from cellmend.sources.scratch import Scratch
 
 
@@ -82,3 +83,16 @@ def test_suspects_are_the_planted_rows(spark):
 def test_a_tie_leaves_one_value(spark):
     df = spark.createDataFrame([(0, "x", "p"), (1, "x", "q")], "row_id long, A string, B string")
     assert [tuple(r) for r in discovery.suspect_rows(df, [(["A"], "B")]).collect()] == [(1, 0)]
+
+
+def test_a_matrix_from_the_data_gives_a_structure(spark):
+    rows = [(i, f"k{i % 6}", f"v{i % 6}" if i % 31 else "v9", f"g{i % 2}", f"u{i}") for i in range(120)]
+    df = spark.createDataFrame(rows, ["row_id", "K", "V", "G", "U"])
+    columns = ["K", "V", "G", "U"]
+    score = {(r["lhs"], r["rhs"]): r["score"] for r in discovery.generated_matrix(df, columns, 0.1).collect()}
+    wrong = sum(i % 31 == 0 for i in range(120)) / 120
+    assert score["K", "V"] == pytest.approx(1 - wrong / 0.2) and score["K", "G"] == 1.0 and score["G", "K"] == pytest.approx(-2 / 3)
+    assert {score["U", c] for c in columns[:3]} == {0.0} and len(score) == 12
+    found = cleaning.find_structure(df, None, columns, cleaning.Settings(generate=0.1))
+    assert any({*g} == {"K", "V"} for g in found.groups) or ("K", "V") in found.edges or ("V", "K") in found.edges
+    assert cleaning.find_structure(df, None, columns, cleaning.Settings()).edges == []

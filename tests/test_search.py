@@ -38,7 +38,7 @@ def of_all(df, local, columns, compensate):
 NETWORKS = [Local("c0", ("c1",), ()), Local("c0", (), ("c1",)), Local("c0", ("c1", "c2"), ("c3",)), Local("c0", ("c2",), ("c1", "c3")), Local("c0", (), ("c2", "c3"))]
 
 
-@pytest.mark.parametrize("local, compensate", zip(NETWORKS, [True, True, True, False, False]), ids=str)
+@pytest.mark.parametrize("local, compensate", [*zip(NETWORKS, [True, True, True, False, False])], ids=str)
 def test_search_equals_scoring_every_value(spark, local, compensate):
     rng = random.Random(str(local))
     df, columns = table(spark, rng, 120, [50, 9, 3, 20, 2])

@@ -417,7 +417,7 @@ def test_lm_trains_on_every_document(spark):
     model = lm_scoring.train_lm(df, p)
     shared = type("Shared", (), {"value": model})
     rows = [pa.RecordBatch.from_pydict({"text": [t], "row": [i]}) for i, t in enumerate(texts)]
-    drawn = [np.frombuffer(x, np.int32).reshape(-1, 6) for b in lm_scoring._draw(shared, p, 3)(rows) for x in b.column(3).to_pylist()]
+    drawn = [np.frombuffer(x, model.kind).reshape(-1, 6) for b in lm_scoring._draw(shared, p, 3)(rows) for x in b.column(3).to_pylist()]
     assert abs(sum(map(len, drawn)) / (15 * len(texts)) - 0.5) < 0.02 and len({int(i) for d in drawn for i in d[:, 1]}) == 6
 
 

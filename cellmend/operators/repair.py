@@ -26,7 +26,7 @@ from cellmend.operators.stats import MARKER, Counts
 from cellmend.sources.scratch import Scratch
 
 #: Values of each list that a search looks at first, and how many times deeper it looks each time that this does not do.
-DEPTH, DEEPER = 16, 8
+DEPTH, DEEPER = 64, 8
 #: The list of several parents, which are counted together.
 _JOINT = "parents"
 #: Tables of one column's search.

@@ -7,6 +7,7 @@ estimate resemblance, containment and the number of distinct shingles.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,8 @@ BITS = 48
 _DIGITS = BITS // 4
 _NULL_ID = -(1 << 63)
 SLICE = 1_000_000
+#: A frequent id's rows are dealt by so many first characters of their texts, at cuts from so many texts for each bucket.
+PREFIX, SAMPLE = 200, 16
 
 
 def sketches(texts: list[str], k: int = K) -> list[np.ndarray]:
@@ -93,32 +96,54 @@ def merge_fingerprints(parts: DataFrame, by: list[str], fingerprint: str = "fing
     return every.join(merged, by, "left").withColumn(fingerprint, F.coalesce(fingerprint, F.lit("")))
 
 
-def place_among(cuts: list[int], value: Column) -> Column:
-    """How many of the ascending cuts are not above the value, found by halving."""
+def place_among(cuts: list[int], value: Column, ties: list[str] | None = None, tie: Column | None = None) -> Column:
+    """How many of the ascending cuts are not above the value, found by halving. ``ties``: a text for each cut, to compare with ``tie``
+    where the cut equals the value."""
     if not cuts:
         return F.lit(0)
     table, steps = F.lit(cuts), F.lit([1 << i for i in reversed(range(len(cuts).bit_length()))])
+    texts = F.lit(ties) if ties and any(ties) else None
 
     def ahead(at: Column, step: Column) -> Column:
         there = at + step
-        return F.when((there <= len(cuts)) & (F.get(table, there - 1) <= value), there).otherwise(at)
+        cut = F.get(table, there - 1)
+        below = cut <= value if texts is None else (cut < value) | ((cut == value) & (F.get(texts, there - 1) <= tie))
+        return F.when((there <= len(cuts)) & below, there).otherwise(at)
 
     return F.aggregate(steps, F.lit(0), ahead)
 
 
+def _cuts(base: DataFrame, parts: int) -> list[tuple[int, str]]:
+    """Where buckets begin, as (id, start of a text). An id that is several quantiles at once is cut into as many ranges of its texts, by
+    the first ``PREFIX`` characters of ``SAMPLE`` of them for each range."""
+    quantiles = Counter(int(x) for x in base.approxQuantile("doc", [i / parts for i in range(1, parts)], max(0.2 / parts, 1e-4)))
+    cuts = {(doc, "") for doc in quantiles}
+    hot = {doc: n for doc, n in quantiles.items() if n > 1}
+    if hot:
+        rows = base.where(F.col("doc").isin([*hot])).select("doc", F.left("text", F.lit(PREFIX)).alias("start"))
+        sample = rows.orderBy(F.rand(7)).limit(SAMPLE * sum(hot.values())).collect()  # as many for each bucket; only sets the cuts
+        for doc, n in hot.items():
+            starts = sorted(r["start"] for r in sample if r["doc"] == doc)
+            cuts |= {(doc, starts[len(starts) * i // n]) for i in range(1, n) if starts}
+            cuts |= {(doc + 1, "")} if doc < -1 - _NULL_ID else set()
+    return sorted(cuts - {(_NULL_ID, "")})
+
+
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(bucket, guard, doc, text)`` dealt by ranges of ids and sorted: after each bucket's rows comes, as a guard, the row that follows
-    them in the next bucket (the first row of all after the last). One shuffle of the texts; the driver sees one id for each bucket."""
+    them in the next bucket (the first row of all after the last). A frequent id (or null) is dealt by ranges of its texts, so only
+    rows whose texts begin alike stay together. One shuffle of the texts; the driver sees one id for each bucket."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("doc"), text_of(text_col).alias("text"))
-    cuts = sorted({int(x) for x in base.approxQuantile("doc", [i / parts for i in range(1, parts)], max(0.2 / parts, 1e-4))} - {_NULL_ID}) if parts > 1 else []
-    bucket = place_among(cuts, F.col("doc"))
-    base = base.withColumn("bucket", bucket)
-    heads = sorted((r["bucket"], r["head"]) for r in base.groupBy("bucket").agg(F.min("doc").alias("head")).collect())
-    guards = [(head, heads[i - 1][0]) for i, (_, head) in enumerate(heads)]  # each head also goes to the bucket before its own
-    lookup = spark.createDataFrame(guards, "head long, before int")
-    again = base.join(F.broadcast(lookup), base["doc"] == lookup["head"], "left")  # a row for each bucket
+    cuts = _cuts(base, parts) if parts > 1 else []
+    hot = sorted({doc for doc, start in cuts if start})
+    base = base.withColumn("start", F.when(F.col("doc").isin(hot), F.left("text", F.lit(PREFIX))).otherwise("") if hot else F.lit(""))
+    base = base.withColumn("bucket", place_among([doc for doc, _ in cuts], F.col("doc"), [start for _, start in cuts], F.col("start")))
+    heads = sorted((r["bucket"], *r["head"]) for r in base.groupBy("bucket").agg(F.min(F.struct("doc", "start")).alias("head")).collect())
+    guards = [(doc, start, heads[i - 1][0]) for i, (_, doc, start) in enumerate(heads)]  # each head also goes to the bucket before its own
+    lookup = spark.createDataFrame(guards, "head long, head_start string, before int")
+    again = base.join(F.broadcast(lookup), (base["doc"] == lookup["head"]) & (base["start"] == lookup["head_start"]), "left")  # a row for each bucket
     rows = again.select("doc", "text", F.explode(F.when(F.col("before").isNull(), F.array(F.struct("bucket", F.lit(0).alias("guard")))).otherwise(F.array(F.struct("bucket", F.lit(0).alias("guard")), F.struct(F.col("before").alias("bucket"), F.lit(1).alias("guard"))))).alias("to"))
     rows = rows.select("to.bucket", "to.guard", "doc", "text")
     return rows.repartitionById(max(1, len(cuts) + 1), F.col("bucket")).sortWithinPartitions("bucket", "guard", "doc", "text")

@@ -237,6 +237,21 @@ def test_fingerprints_edit_the_next_text(spark, monkeypatch):
         assert got == Counter(plain_edit(rows))
 
 
+def test_fingerprints_of_a_frequent_id(spark):
+    rng = np.random.default_rng(4)
+    rows = [(5 if i % 2 else None if i % 3 else i, f"{rng.integers(1000)} word {'é' * int(rng.integers(3))} " * 3 if i % 7 else "alike") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        dealt = Counter(r["bucket"] for r in fingerprints.with_next(docs).where("guard = 0").collect())
+        got = Counter((r["doc_id"], r["n_chars"], r["edited"]) for r in fingerprints.fingerprint_documents(docs).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert sum(dealt.values()) == 900 and max(dealt.values()) < 200 and len(dealt) >= 10  # the id has 450 rows, 64 of them alike
+    assert got == Counter(plain_edit(rows))
+
+
 def test_fingerprints_estimate(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet").where("length(text) < 3000")
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}

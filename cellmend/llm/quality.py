@@ -91,8 +91,9 @@ def train_quality(docs: DataFrame, labels: DataFrame, params: QualityParams = Qu
 
     kind = own.schema["id"].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(F.broadcast(chosen), "id").select("id", "label", "text")
-    rows = texts.mapInArrow(run, f"id {kind}, label int, buckets binary, shares binary").toArrow().to_pylist()
-    rows = sorted({r["id"]: r for r in sorted(rows, key=lambda r: r["buckets"])}.values(), key=lambda r: r["id"])
+    found = texts.mapInArrow(run, f"id {kind}, label int, buckets binary, shares binary")
+    one = found.groupBy("id").agg(F.max(F.struct("buckets", "shares", "label")).alias("row"))  # of an id's texts one leaves the executors
+    rows = sorted(one.select("id", "row.*").toArrow().to_pylist(), key=lambda r: r["id"])
     data = [(np.frombuffer(r["buckets"], np.int32), np.frombuffer(r["shares"], np.float32), r["label"]) for r in rows]
     return fit(data, shares, p)
 

@@ -198,6 +198,14 @@ def test_quality_on_odd_rows(spark):
     assert quality.score_quality(df.where("doc_id < 0"), quality.train_quality(df, some)).count() == 0
 
 
+def test_quality_of_an_id_with_many_texts(spark):
+    docs = spark.createDataFrame([(9, f"good text {i % 40}") for i in range(400)] + [(10, "bad text"), (11, "good text 39")], "doc_id long, text string")
+    labels = spark.createDataFrame([(9, 1), (10, 0), (11, 1), (12, 0)], "doc_id long, quality int")
+    models = [quality.train_quality(d, labels) for d in (docs, docs.repartition(7).orderBy(F.desc("text")))]
+    assert (models[0].margin == models[1].margin).all() and models[0].bias == models[1].bias
+    assert (models[0].margin != 0).any()
+
+
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",

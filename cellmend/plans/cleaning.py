@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from itertools import product
 
@@ -15,8 +14,8 @@ from pyspark.sql import functions as F
 from cellmend.functions.text import parse_answer
 from cellmend.operators import confidence, consistency, context, discovery, evaluation, network, repair, stats, structure
 from cellmend.operators.structure import Matrix, Structure
-from cellmend.sources.ledger import Ledger, answered, key_of
-from cellmend.sources.scratch import shared_folder, stored, temporary
+from cellmend.plans.questions import Asking, Provider, ask_dependencies, each
+from cellmend.sources.scratch import stored, temporary
 from cellmend.sources.tables import TableCache
 
 METHODS = ("hybrid", "hybrid_no_groups", "search_only", "supplied_only", "edges")
@@ -67,21 +66,6 @@ class Result:
     counters: DataFrame | None = None
 
 
-#: Answers cells, asked one at a time: (row_id, attr, value, related, inference, question) to the provider's raw text.
-Provider = Callable[[pd.DataFrame], pd.Series]
-
-
-@dataclass(frozen=True)
-class Asking:
-    """How a provider is asked: by ``tasks`` tasks of ``workers`` cells at a time; a cell that fails is asked again after each of the
-    ``waits`` (seconds). ``ledger``: a shared folder of answers to use and to add to; without one a new one for the job."""
-
-    tasks: int = 8
-    workers: int = 4
-    waits: tuple[float, ...] = (1.0, 2.0, 4.0)
-    ledger: str | None = None
-
-
 def keep_all(cells: pd.DataFrame) -> pd.Series:
     """The offline provider: every value is confirmed."""
     return cells["value"].map(lambda v: '```json\n{"corrected": ' + json.dumps(v) + ', "confidence": "low", "reasoning": "offline",}\n```')
@@ -101,11 +85,11 @@ def relations(edges: list[tuple[str, str]], networks: dict[str, network.Local])
 def check_cells(repaired: DataFrame, chosen: DataFrame, related: dict[str, list[str]], columns: list[str], provider: Provider = keep_all, asking: Asking = Asking(), facts: DataFrame | None = None, context: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Ask the provider about the chosen (row_id, attr) cells; answers of high or medium confidence are written.
 
-    A question holds the cell's value, the row's values of related columns (of all columns where none are related), from ``facts`` how
-    likely the inference found it, and from ``context(row_id, attr, rows)`` other rows of the table. All questions read the table as it
-    came. Cells that the table lacks are left out. Each cell is asked on its own: one that fails to the end keeps its value with low
-    confidence, and its error. An answer is in the ledger as soon as it is there, so a task that runs again asks only what is missing. The
-    second table has a row for each question.
+    The provider sees row_id, attr, value, related, inference and question. A question holds the cell's value, the row's values of related
+    columns (of all columns where none are related), from ``facts`` how likely the inference found it, and from
+    ``context(row_id, attr, rows)`` other rows of the table. All questions read the table as it came. Cells that the table lacks are left
+    out. Each cell is asked on its own: one that fails to the end keeps its value with low confidence, and its error. An answer is in the
+    ledger as soon as it is there, so a task that runs again asks only what is missing. The second table has a row for each question.
     """
     known = chosen.where(F.col("attr").isin(columns)).select("row_id", "attr").distinct()
     listed = lambda names: F.concat_ws("; ", *[F.concat(F.lit(f"{c}="), F.col(c)) for c in names])
@@ -120,15 +104,11 @@ def check_cells(repaired: DataFrame, chosen: DataFrame, related: dict[str, list[
     more = lambda head, text: F.when(F.coalesce(text, F.lit("")) != "", F.concat(F.lit(head), text)).otherwise(F.lit(""))
     question = F.concat(F.lit("Column "), "attr", F.lit(" holds '"), "value", F.lit("' where "), "related", more(". Inferred: ", F.col("inference")), more(". Other rows, which may be wrong as well: ", rows), F.lit(". Is it right? Answer in JSON with corrected, confidence (high, medium or low) and reasoning."))
     asked = asked.withColumn("question", question).drop("rows")
-    ledger = Ledger(asking.ledger or f"{shared_folder(repaired.sparkSession)}/answers")
+    ledger = asking.answers(repaired)
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with ThreadPoolExecutor(asking.workers) as pool:
-            for batch in batches:
-                cells = [batch.iloc[i : i + 1].reset_index(drop=True) for i in range(len(batch))]
-                keys = [key_of(int(c["row_id"][0]), c["attr"][0], c["question"][0]) for c in cells]
-                found = list(pool.map(lambda k, c: answered(ledger, k, lambda: str(provider(c).iloc[0]), asking.waits), keys, cells))
-                yield pd.DataFrame({"row_id": batch["row_id"], "attr": batch["attr"], "original": batch["value"], "raw": [f[0] for f in found], "error": [f[1] for f in found]})
+        for batch, found in each(batches, provider, asking, ledger, lambda c: (int(c["row_id"]), c["attr"], c["question"])):
+            yield pd.DataFrame({"row_id": batch["row_id"], "attr": batch["attr"], "original": batch["value"], "raw": [f[0] for f in found], "error": [f[1] for f in found]})
 
     asked = asked.repartition(asking.tasks, "row_id", "attr")
     # stored: the table and the log read one set of answers
@@ -191,9 +171,12 @@ def repair_counters(changed: DataFrame, log: DataFrame | None = None) -> DataFra
     return counts.join(F.broadcast(log.agg(F.count("*").alias("asked"), F.count_if("applied").alias("applied"), sure("high"), sure("medium"))))  # one row each
 
 
-def clean(dirty: DataFrame, columns: list[str], supplied: DataFrame | None = None, truth: DataFrame | None = None, settings: Settings = Settings(), provider: Provider | None = None, found: Structure | None = None, asking: Asking = Asking()) -> Result:
+def clean(dirty: DataFrame, columns: list[str], supplied: DataFrame | None = None, truth: DataFrame | None = None, settings: Settings = Settings(), provider: Provider | None = None, found: Structure | None = None, asking: Asking = Asking(), expert: Provider | None = None) -> Result:
     """Repair ``dirty`` (row_id and string columns without nulls, see ``stats.fill``): ``infer``, with a ``provider`` ``check``, and with
-    ``truth`` the metrics."""
+    ``truth`` the metrics. Where no matrix is supplied and none is to be generated, an ``expert`` is asked for one (see
+    ``ask_dependencies``)."""
+    if supplied is None and found is None and expert is not None and settings.generate == 0 and settings.method not in ("edges", "search_only"):
+        supplied = ask_dependencies(dirty, columns, expert, asking=asking).drop("error")
     state = infer(dirty, columns, supplied, settings, found)
     out = Result(state.structure, state.edges, state.repaired)
     if provider is not None:

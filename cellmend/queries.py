@@ -12,9 +12,9 @@ from cellmend.functions.text import fix_json, short_name
 from cellmend.operators import confidence, consistency, context, discovery, evaluation, network, repair, stats, structure
 from cellmend.operators.network import Local
 from cellmend.operators.stats import MARKER
-from cellmend.plans import cleaning
+from cellmend.plans import cleaning, questions
 from cellmend.sources import dataset_source, tables
-from cellmend.sources.results import Results
+from cellmend.sources.results import Results, save_evaluation, save_repaired
 from cellmend.sources.scratch import shared_folder, stored
 from cellmend.streaming import counts, drift
 from cellmend.streaming.repair import repair_stream
@@ -319,6 +319,83 @@ def _ablated_with_checks(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(parts.select("part", "errors", "attempts", "correct", "f1", "f1_loss"), "f1", "f1_loss")
 
 
+def _expert(asked):
+    """A provider that goes by the shown rows: yes where each value on the left has one on the right, surer the fewer values there are."""
+    rows, lhs, rhs = json.loads(asked["sample"].iloc[0]), asked["lhs"].iloc[0], asked["rhs"].iloc[0]
+    left, both = len({r[lhs] for r in rows}), len({(r[lhs], r[rhs]) for r in rows})
+    answer = {"dependency": "Yes", "confidence": 1 - left / 20} if left == both else {"dependency": "no", "confidence": 1 - left / both}
+    return asked["question"].map(lambda _: "```json\n" + json.dumps(answer).replace("}", ",}") + "\n```")
+
+
+def _echo(cells):
+    """A provider that gives its question back."""
+    return cells["question"].map(lambda q: json.dumps({"corrected": None, "confidence": "low", "reasoning": q}))
+
+
+def _questions(spark: SparkSession, d: str) -> DataFrame:
+    fixed, changed, facts = repair.repair_with_facts(dirty(spark, d).select("row_id", *SMALL), NETS, SMALL, ["r_name"])
+    return cleaning.check_cells(fixed, changed, cleaning.relations(EDGES, NETS), SMALL, _echo, facts=facts)[1].select("row_id", F.col("reasoning").alias("question"))
+
+
+def _budget(spark: SparkSession, d: str) -> DataFrame:
+    rows = stored(dirty(spark, d).select("row_id", *SMALL))
+    cells, changed = rows.count() * len(SMALL), repair.repair(rows, NETS, SMALL, ["r_name"])[1].count()
+    return spark.createDataFrame([(r, most, confidence.budget(cells, r, most, changed)) for r, most in ((0.01, 0), (0.5, 0), (0.01, 7))], "ratio double, most long, budget long")
+
+
+def _catalogue(spark: SparkSession, d: str) -> DataFrame:
+    """What the catalogue says of two data sets, one of them with a variant that lacks rows and the other without a dirty table."""
+    root = shared_folder(spark)
+    whole, clean = dirty(spark, d), geo(spark, d)
+    for path, table in (("shop/dirty", whole), ("shop/clean", clean), ("shop/variants/half/dirty", whole.where("row_id % 2 = 0")), ("shop/variants/half/clean", clean), ("bare/clean", clean)):
+        table.select(*GEO).write.option("header", True).csv(f"{root}/{path}.csv")
+    for name in ("shop", "bare"):
+        tables.write_text(spark, f"{root}/{name}/discrete_cols.json", json.dumps(GEO))
+    found = [tables.verify_dataset(spark, root, name, v) for name in tables.list_datasets(spark, root) for v in (None, *tables.list_variants(spark, root, name))]
+    rows = [(r["dataset"], r["variant"], r.get("dirty_rows"), r.get("clean_rows"), r["valid"], "; ".join(r["errors"])) for r in found]
+    return spark.createDataFrame(rows, "dataset string, variant string, dirty_rows long, clean_rows long, valid boolean, errors string")
+
+
+def _cached(spark: SparkSession, d: str) -> DataFrame:
+    """The tables that a cache holds after one of its categories was cleared, with their rows."""
+    cache = tables.TableCache(spark, f"{shared_folder(spark)}/cache")
+    cache.save("counts", "values", stats.value_histogram(dirty(spark, d), GEO))
+    cache.load("counts", "pairs", lambda: stats.pair_counts(dirty(spark, d), SMALL))
+    cache.save("old", "values", geo(spark, d))
+    cache.clear("old")
+    return spark.createDataFrame([(c, k, cache.load(c, k).count()) for c, keys in cache.list().items() for k in keys], "category string, key string, rows long")
+
+
+def _matrix_file(spark: SparkSession, d: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/matrix.csv"
+    tables.write_matrix(stats.mu_plus_matrix(dirty(spark, d), GEO), GEO, path)
+    return tables.read_matrix(spark, path, GEO)
+
+
+def _structure_file(spark: SparkSession, d: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/structure.json"
+    found = structure.supplied_edges(stats.mu_plus_matrix(dirty(spark, d), GEO))
+    edges = [(r["parent"], r["child"]) for r in found.collect()]  # a row for each pair of columns at most
+    tables.save_structure(spark, structure.Structure(GEO, [], edges), path)
+    return spark.createDataFrame(tables.load_structure(spark, path).edges, "parent string, child string")
+
+
+def _voted(spark: SparkSession, d: str) -> DataFrame:
+    return consistency.repair_consistency(dirty(spark, d), [["n_regionkey", "r_name"]])
+
+
+def _repaired_file(spark: SparkSession, d: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/repaired.csv"
+    save_repaired(_voted(spark, d), GEO, path)
+    return tables.read_csv(spark, path, GEO)
+
+
+def _evaluation_file(spark: SparkSession, d: str) -> DataFrame:
+    path, three = f"{shared_folder(spark)}/evaluation", (dirty(spark, d), _voted(spark, d), geo(spark, d))
+    save_evaluation(evaluation.evaluate(*three, GEO), evaluation.cell_diff(*three, GEO), path)
+    return spark.read.schema("row_id long, attr string, missed boolean, wrong boolean").json(f"{path}/cells")
+
+
 def _corrected_counts(spark: SparkSession, d: str) -> DataFrame:
     """The dirty table as a stream, then the regions' corrections: the merged counts."""
     top, fields = shared_folder(spark), f"row_id long, version long, gone boolean, {', '.join(f'{c} string' for c in SMALL)}"
@@ -430,6 +507,15 @@ QUERIES = {
     "stream_mu_plus": lambda s, d: _rounded(counts.mu_plus(_corrected_counts(s, d)), "score"),
     "stream_windows": _closed_windows,
     "window_drift": _drift,
+    "asked_dependencies": lambda s, d: _rounded(questions.ask_dependencies(dirty(s, d), GEO, _expert).drop("error"), "score"),
+    "cell_questions": _questions,
+    "check_budget": _budget,
+    "dataset_catalogue": _catalogue,
+    "table_cache": _cached,
+    "matrix_file": lambda s, d: _rounded(_matrix_file(s, d), "score"),
+    "structure_file": _structure_file,
+    "repaired_file": _repaired_file,
+    "evaluation_file": _evaluation_file,
 }
 
 # SQL --------------------------------------------------------------------------------------------------------------------
@@ -617,6 +703,9 @@ def _r(*columns: str) -> str:
     return ", ".join(f"round({c}, 6) AS {c}" for c in columns)
 
 
+_CONTEXT = f"SELECT dirty.row_id, 'r_name=' || val || CASE WHEN n_name = '{MARKER}' THEN ' on its own' ELSE ' given n_name=' || n_name END || ': ' || printf('%.1f%%', probability * 100) AS context FROM dirty JOIN {_FACTS} AS c USING (row_id)"
+
+
 SQL = {
     k: _VIEWS + v
     for k, v in {
@@ -654,7 +743,7 @@ SQL = {
         "repair_single_column": f"SELECT row_id, val AS r_name FROM ({_best_sql(_REGION)})",
         "repair_sequential": f"{_STEP} SELECT step.row_id, n_name, coalesce(b.val, r_name) AS r_name, c_mktsegment FROM step LEFT JOIN ({_best_sql(_repair_sql('step', 'dirty', 'r_name', ['n_name'], [], SMALL))}) AS b USING (row_id)",
         "repair_log": f"SELECT dirty.row_id, 'r_name' AS attr, r_name AS old, b.val AS new FROM dirty JOIN ({_best_sql(_REGION)}) AS b USING (row_id) WHERE r_name <> b.val",
-        "query_context": f"SELECT dirty.row_id, 'r_name=' || val || CASE WHEN n_name = '{MARKER}' THEN ' on its own' ELSE ' given n_name=' || n_name END || ': ' || printf('%.1f%%', probability * 100) AS context FROM dirty JOIN {_FACTS} AS c USING (row_id)",
+        "query_context": _CONTEXT,
         "max_second_max": f"SELECT row_id, {_r('first', 'second')} FROM {_FIRST_SECOND}",
         "pro_map": f"SELECT row_id, {_r('margin')} FROM {_SCALED}",
         "confidence_scores": f"SELECT row_id, attr, {_r('score')} FROM {_SCORES}",
@@ -697,6 +786,15 @@ SQL = {
         "stream_mu_plus": _RIGHT + f" SELECT lhs, rhs, round(score, 6) AS score FROM ({_matrix(SMALL, 'right_rows')})",
         "stream_windows": _WEEKS + ' SELECT start, event_type AS va, "user" AS vb, count(*) AS n FROM ev WHERE start + 7 * 86400 <= (SELECT epoch(max(ts)) FROM events) - 86400 GROUP BY ALL',
         "window_drift": _WEEKS + f" SELECT start, lhs, rhs, round(score, 6) AS score, round(score - lag(score) OVER (PARTITION BY lhs, rhs ORDER BY start), 6) AS change FROM ({_weekly_sql('event_type', 'user')} UNION ALL {_weekly_sql('user', 'event_type')})".replace(" user", ' "user"').replace('(PARTITION BY lhs', '(PARTITION BY lhs'),
+        "asked_dependencies": ", shown AS (SELECT * FROM dirty ORDER BY md5('1234:' || row_id), row_id LIMIT 10) SELECT lhs, rhs, round(CASE WHEN l = b THEN 1 - l / 20 ELSE l / b - 1 END, 6) AS score FROM (" + " UNION ALL ".join(f"SELECT '{a}' AS lhs, '{b}' AS rhs, count(DISTINCT {a}) AS l, count(DISTINCT ({a}, {b})) AS b FROM shown" for a in GEO for b in GEO if a != b) + ")",
+        "cell_questions": f"SELECT row_id, 'Column r_name holds ''' || b.val || ''' where n_name=' || n_name || '. Inferred: ' || context || '. Is it right? Answer in JSON with corrected, confidence (high, medium or low) and reasoning.' AS question FROM dirty JOIN ({_best_sql(_REGION)}) AS b USING (row_id) JOIN ({_CONTEXT}) USING (row_id) WHERE r_name <> b.val",
+        "check_budget": f", c AS ({_CHECKED}) SELECT v.ratio, v.most, least((SELECT count(*) FROM c), CASE WHEN v.most > 0 THEN v.most ELSE CAST(floor((SELECT count(*) * 3 FROM dirty) * v.ratio) AS BIGINT) END) AS budget FROM (VALUES (0.01::DOUBLE, 0::BIGINT), (0.5, 0), (0.01, 7)) AS v(ratio, most)",
+        "dataset_catalogue": "SELECT 'bare' AS dataset, NULL AS variant, NULL::BIGINT AS dirty_rows, count(*) AS clean_rows, false AS valid, 'no dirty file; row counts differ' AS errors FROM geo UNION ALL SELECT 'shop', NULL, count(*), count(*), true, '' FROM geo UNION ALL SELECT 'shop', 'half', count(*) FILTER (WHERE row_id % 2 = 0), count(*), false, 'row counts differ' FROM geo",
+        "table_cache": f"SELECT 'counts' AS category, 'values' AS key, CAST(sum(n) AS BIGINT) AS rows FROM ({' UNION ALL '.join(f'SELECT count(DISTINCT {c}) AS n FROM dirty' for c in GEO)}) UNION ALL SELECT 'counts', 'pairs', count(*) FROM ({_pairs(SMALL, 'dirty')})",
+        "matrix_file": f"SELECT lhs, rhs, {_r('score')} FROM {_MATRIX}",
+        "structure_file": f"SELECT lhs AS parent, rhs AS child FROM {_MATRIX} WHERE score > 0.5",
+        "repaired_file": f"SELECT * REPLACE (row_number() OVER (ORDER BY row_id) - 1 AS row_id) FROM ({_FIXED})",
+        "evaluation_file": f", fixed AS ({_FIXED}) SELECT row_id, attr, is_error AND NOT is_attempt AS missed, is_attempt AND NOT is_correct AS wrong FROM {_FLAGS}",
         "error_ratio_sweep": " UNION ALL ".join(_sweep_sql(k) for k in (10, 20, 40)),
     }.items()
 }

@@ -9,7 +9,7 @@ import pytest
 
 from cellmend.operators import context
 from cellmend.operators.stats import MARKER
-from cellmend.plans import cleaning
+from cellmend.plans import cleaning, questions
 from cellmend.sources.ledger import Ledger, answered
 from cellmend.sources.results import Results
 
@@ -118,3 +118,66 @@ def test_experiments_can_be_deleted(spark, tmp_path):
     assert not store.delete("none") and not store.delete("e2") and store.latest() == "e2"
     assert store.delete("e1") and store.load("e1") is None and store.load("e2").count() == 1
     assert store.delete("e2", force=True) and store.all() is None and store.latest() is None
+
+
+def says(path, answers):
+    """A provider of fixed answers by pair of columns, which notes each call; an exception is raised."""
+
+    def provider(asked):
+        pair = (asked["lhs"].iloc[0], asked["rhs"].iloc[0])
+        with open(f"{path}/pairs", "a") as f:
+            f.write(f"{pair[0]}{pair[1]}\n")
+        if isinstance(answers.get(pair), Exception):
+            raise answers[pair]
+        return asked["question"].map(lambda _: answers.get(pair, "I cannot tell"))
+
+    return provider
+
+
+def test_dependencies_by_answers(spark, table, tmp_path):
+    wide = table.selectExpr("row_id", "A", "B", "concat('c', row_id) as C")
+    answers = {
+        ("A", "B"): '```json\n{"dependency": " YES ", "confidence": 0.8,}\n```',
+        ("A", "C"): '{"dependency": "no", "confidence": 7}',
+        ("B", "A"): '{"dependency": "maybe", "confidence": 0.5}',
+        ("B", "C"): ValueError("no line"),
+        ("C", "A"): '{"dependency": "yes"}',
+    }
+    asking = questions.Asking(tasks=2, workers=2, waits=(0.0,), ledger=f"{tmp_path}/answers")
+    for _ in range(2):  # the second time only what has no answer is asked
+        got = {(r["lhs"], r["rhs"]): (r["score"], r["error"]) for r in questions.ask_dependencies(wide, ["A", "B", "C"], says(tmp_path, answers), asking=asking).collect()}
+        assert got == {("A", "B"): (0.8, None), ("A", "C"): (-1.0, None), ("B", "A"): (0.0, "unreadable answer"), ("B", "C"): (0.0, "ValueError: no line"), ("C", "A"): (0.0, "unreadable answer"), ("C", "B"): (0.0, "unreadable answer")}
+    assert Counter(open(f"{tmp_path}/pairs").read().split()) == {"AB": 1, "AC": 1, "BA": 1, "BC": 4, "CA": 1, "CB": 1}
+
+
+def test_strengths_by_answers(spark, table, tmp_path):
+    for texts, scores in ((('{"score": 0.25}', '{"score": -3}'), (0.25, -1.0)), (('{"score": null}', '{"confidence": 1}'), (0.0, 0.0))):
+        answers = dict(zip((("A", "B"), ("B", "A")), texts))
+        got = questions.ask_dependencies(table, ["A", "B"], says(tmp_path, answers), kind="strength", asking=questions.Asking(waits=())).collect()
+        assert {(r["lhs"], r["rhs"]): r["score"] for r in got} == dict(zip(answers, scores))
+        assert all((r["error"] is None) == (r["score"] != 0) for r in got)
+    with pytest.raises(ValueError, match="none of"):
+        questions.ask_dependencies(table, ["A", "B"], says(tmp_path, answers), kind="rank")
+
+
+def test_shown_rows_do_not_depend_on_the_layout(spark, table, tmp_path):
+    shown = [tuple(r) for r in questions.shown_rows(table, ["A", "B"]).collect()]
+    assert shown == [tuple(r) for r in questions.shown_rows(table.repartition(7).orderBy("B"), ["A", "B"]).collect()] and len(shown) == 10
+    assert shown != [tuple(r) for r in questions.shown_rows(table, ["A", "B"], seed=5).collect()]
+    for few, n in ((table.limit(3), 3), (table.limit(0), 0)):
+        seen = questions.ask_dependencies(few, ["A", "B"], lambda a: a["sample"].map(lambda s: json.dumps({"score": len(json.loads(s)) / 10})), "strength", questions.Asking(waits=()))
+        assert {r["score"] for r in seen.collect()} == {n / 10}
+
+
+def test_a_repair_by_an_experts_matrix(spark, tmp_path):
+    rows = [(i, f"a{i % 4}", f"b{i % 4}" if i != 21 else "b0", f"c{i % 3}") for i in range(60)]
+    dirty = spark.createDataFrame(rows, "row_id long, A string, B string, C string")
+    columns = ["A", "B", "C"]
+    sure = {(a, b): json.dumps({"dependency": "yes" if {a, b} == {"A", "B"} else "no", "confidence": 0.9}) for a in columns for b in columns if a != b}
+    settings = cleaning.Settings(use_search=False, beta=0.0)
+    by_expert = cleaning.clean(dirty, columns, settings=settings, expert=says(tmp_path, sure), asking=questions.Asking(waits=()))
+    supplied = spark.createDataFrame([(a, b, 0.9 if {a, b} == {"A", "B"} else -0.9) for a, b in sure], "lhs string, rhs string, score double")
+    by_hand = cleaning.clean(dirty, columns, supplied, settings=settings)
+    assert by_expert.structure == by_hand.structure and (by_expert.structure.groups or by_expert.structure.edges)
+    fixed = {r["row_id"]: r["B"] for r in by_expert.repaired.collect()}
+    assert fixed == {r["row_id"]: r["B"] for r in by_hand.repaired.collect()} and fixed[21] == "b1"

@@ -12,6 +12,7 @@ from cellmend.operators.stats import MARKER
 from cellmend.plans import cleaning, questions
 from cellmend.sources.ledger import Ledger, answered
 from cellmend.sources.results import Results
+from cellmend.sources.scratch import Scratch
 
 
 def logged(path, answer, fails=(), kills=()):
@@ -96,6 +97,25 @@ def test_similar_rows_equal_all_pairs(spark, k):
     assert got == plain_similar(rows, {*asked}, k)
 
 
+def test_similar_rows_ask_once_for_equal_rows(spark, monkeypatch):
+    columns, sizes = ["A", "B", "C"], {}
+    rows = {i: (f"a{i % 2}", f"b{i % 3}", MARKER if i % 5 == 4 else "c") for i in range(300)}
+    asked = {(i, 1) for i in range(0, 300, 2)}
+    put = Scratch.put
+
+    def counted(self, name, df):
+        out = put(self, name, df)
+        sizes.setdefault(name, out.count())
+        return out
+
+    monkeypatch.setattr(Scratch, "put", counted)
+    df = spark.createDataFrame([(i, *v) for i, v in rows.items()], ["row_id", *columns])
+    cells = spark.createDataFrame([(i, columns[c]) for i, c in asked], "row_id long, attr string")
+    got = sorted((r["row_id"], columns.index(r["attr"]), r["rank"], r["other_id"], r["shared"]) for r in context.similar_rows(df, cells, columns, 3).collect())
+    assert got == plain_similar(rows, asked, 3)
+    assert sizes["open"] <= 6 and sizes["best"] <= 6 * 4  # 150 cells of rows of 6 kinds
+
+
 def test_questions_show_other_rows(spark, table):
     asked = spark.createDataFrame([(5, "B")], "row_id long, attr string")
     shown = context.context_rows(table, asked, ["A", "B"], {"B": ["A"]}, similar=2, nearby=1, random=1).first()["rows"]

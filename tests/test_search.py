@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from cellmend.operators import confidence, repair
+from cellmend.operators import confidence, network, repair
 from cellmend.operators.network import Local
 from cellmend.operators.stats import MARKER, Counts
 from cellmend.sources.scratch import Scratch, stored, temporary
@@ -88,3 +88,12 @@ def test_temporary_tables_go(spark):
         assert os.path.exists(path) and not os.path.exists(inner)
     assert not os.path.exists(path)
     assert os.path.exists(stored(spark.range(3)).inputFiles()[0].removeprefix("file://"))
+
+
+def test_scores_that_agree_to_twelve_decimals_go_by_first_appearance(spark):
+    columns = ["T", "D", *[f"E{i}" for i in range(7)]]
+    rows = [(i, "x" if i < 100 else "y", "dx" if i < 100 else "dy", *"ooooooo") for i in range(200)] + [(200 + i, MARKER, "dy", *"qqqqqqq") for i in range(4)]
+    df = spark.createDataFrame(rows, ["row_id", *columns])
+    nets = network.local_networks(columns, [("T", c) for c in columns[1:]])
+    fixed = {r["row_id"]: r["T"] for r in repair.repair(df, nets, columns, ["T"])[0].collect()}
+    assert fixed == {i: "y" if 100 <= i < 200 else "x" for i in range(204)}  # the missing ones' scores are below 1e-13

@@ -7,6 +7,7 @@ again replaces its own. The counts are the sums over all batches, which ``compac
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,30 +20,37 @@ from cellmend.operators.stats import cooccurrence_of, mu_plus_of
 from cellmend.sources.tables import exists, folders
 
 
+#: Rows whose ids differ in so many low bits only have one entry in the state.
+GROUP_BITS = 8
+
+
 def signed_rows(changes: DataFrame, columns: list[str]) -> DataFrame:
     """``(row_id, sign, columns...)`` of a stream ``(row_id, version, gone, columns...)``: a row's old values with -1, its new ones with 1.
 
     Of a row's changes the one of the highest version counts (of equals the one whose values sort last), whenever it comes; older ones
-    change nothing any more. ``gone`` takes a row away. The state holds each row's values once.
+    change nothing any more. ``gone`` takes a row away. The state holds each row's values once, those of 256 ids that follow one another as
+    one entry, as a call for each row would cost more than its work.
     """
     fields = ", ".join(f"`{c}` string" for c in columns)
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        known = state.get if state.exists else (None, True, *[None] * len(columns))
-        newest = known
+        known = pickle.loads(state.get[0]) if state.exists else {}
+        newest: dict[int, tuple] = {}
         for part in parts:
-            for r in part[["version", "gone", *columns]].itertuples(index=False, name=None):
-                if newest[0] is None or (r[0], bool(r[1]), *map(str, r[2:])) > (newest[0], bool(newest[1]), *map(str, newest[2:])):
-                    newest = (int(r[0]), bool(r[1]), *r[2:])
-        if newest == known or (known[0] is not None and newest[0] == known[0]):
+            ids = part["row_id"].tolist() if key[0] is not None else [None] * len(part)
+            for row, *r in zip(ids, *(part[c].tolist() for c in ("version", "gone", *columns))):
+                last = newest.get(row) or known.get(row)
+                if last is None or r[0] > last[0] or (r[0] == last[0] and row in newest and (r[1], *map(str, r[2:])) > (last[1], *map(str, last[2:]))):
+                    newest[row] = tuple(r)
+        if not newest:
             return
-        state.update(newest)
-        rows = [(key[0], sign, *values[2:]) for sign, values in ((-1, known), (1, newest)) if not values[1]]
+        rows = [(row, sign, *values[2:]) for row, new in newest.items() for sign, values in ((-1, known.get(row)), (1, new)) if values and not values[1]]
+        state.update((pickle.dumps(known | newest),))
         if rows:
             yield pd.DataFrame(rows, columns=["row_id", "sign", *columns])
 
-    named = changes.select("row_id", "version", F.coalesce("gone", F.lit(False)).alias("gone"), *columns)
-    return named.groupBy("row_id").applyInPandasWithState(step, f"row_id long, sign int, {fields}", f"version long, gone boolean, {fields}", "append", GroupStateTimeout.NoTimeout)
+    named = changes.select(F.shiftright("row_id", GROUP_BITS).alias("group"), "row_id", "version", F.coalesce("gone", F.lit(False)).alias("gone"), *columns)
+    return named.groupBy("group").applyInPandasWithState(step, f"row_id long, sign int, {fields}", "rows binary", "append", GroupStateTimeout.NoTimeout)
 
 
 def partial_counts(signed: DataFrame, columns: list[str]) -> DataFrame:

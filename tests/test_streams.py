@@ -37,6 +37,15 @@ def test_counts_after_corrections_equal_a_recount(spark, tmp_path):
     assert counts.cooccurrence(merged, COLUMNS).exceptAll(stats.cooccurrence(rows, COLUMNS)).count() == 0
 
 
+def test_rows_of_like_ids_share_an_entry_of_the_state(spark, tmp_path):
+    rows = [(i, 0, False, f"a{i % 3}", f"b{i % 4}", None if i % 7 == 0 else "c") for i in range(600)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/in")
+    stream = counts.count_stream(spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in"), COLUMNS, f"{tmp_path}/out", f"{tmp_path}/state")
+    stream.awaitTermination()
+    assert sum(p["stateOperators"][0]["numRowsUpdated"] for p in stream.recentProgress if p["stateOperators"]) == 3
+    assert counts.counted_pairs(counts.merged_counts(spark, f"{tmp_path}/out")).agg({"n": "sum"}).first()[0] == 3 * 600
+
+
 def test_windows_close_behind_the_watermark_and_drop_late_rows(spark, tmp_path):
     at = lambda minutes: datetime(2024, 1, 1) + timedelta(minutes=minutes)
     schema = "ts timestamp, A string, B string"

@@ -186,6 +186,12 @@ def test_evaluation(worked):
     assert (r["wrong"], r["missed"], r["detection_rate"]) == (6, 2, 3.0)
 
 
+def test_rows_are_not_broadcast(worked):
+    fixed = worked.withColumn("A", F.lit("a1"))
+    for df in (evaluation.cell_diff(worked, fixed, worked, COLUMNS), repair.changed_cells(worked, fixed, COLUMNS)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_text(spark, monkeypatch):
     raw = ['```json\n{"corrected": "x", "confidence": "high", "reasoning": "r",}\n```', '{"corrected": "y"}', "nothing", None]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(raw)], "i int, raw string")

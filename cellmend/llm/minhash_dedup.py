@@ -41,6 +41,8 @@ BANDS = 64
 MARGIN = 6.0
 #: Longs of the bit map of a document's shingles.
 LONGS = 16
+#: First shingles of a set by which two sets meet once, not at each shingle that they have in common.
+FIRSTS = 16
 SLICE = 1_500_000
 #: Key of the shingle hashes; shorter sequences have the keys that follow.
 _KEY = 800
@@ -241,14 +243,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _open_pairs(tried: DataFrame, parts: DataFrame, maps: DataFrame, scratch: Scratch) -> DataFrame:
     """Pairs of a hub's members that lie in different components, one of them not in its hub's, and may share enough."""
+    return _meetings(tried, parts, maps, scratch).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
+
+
+def _meetings(tried: DataFrame, parts: DataFrame, maps: DataFrame, scratch: Scratch) -> DataFrame:
+    """``_open_pairs``, tried ones too, a row for each shingle at which a pair meets: one of a hub where its first shingles have any in common."""
     of = tried.select(F.col("a").alias("hub"), F.col("b").alias("node"), "n", "shared", "keys")
     of = of.join(parts.select("node", F.col("component").alias("part")), "node", "left")
     of = of.join(parts.select(F.col("node").alias("hub"), F.col("component").alias("hub_part")), "hub", "left")
     of = of.withColumns({"part": F.coalesce("part", "node"), "stray": F.coalesce("part", "node") != F.coalesce("hub_part", "hub")}).drop("hub_part")
     of = scratch.put("open", of.join(of.where("stray").select("hub").distinct(), "hub", "left_semi").join(maps.dropDuplicates(["node"]), "node"))
     bits = [F.get("bits", F.lit(i)).alias(f"bits_{i}") for i in range(LONGS)]
-    of = of.select("hub", "node", "n", "shared", "part", "stray", *bits, F.posexplode("keys").alias("place", "key"))
-    of = of.withColumn("key", F.xxhash64("hub", "key")).drop("hub")
+    of = of.withColumn("keys", F.transform("keys", lambda k: F.xxhash64("hub", k))).withColumn("firsts", F.slice("keys", 1, FIRSTS))
+    of = of.select("node", "n", "shared", "part", "stray", "firsts", *bits, F.posexplode("keys").alias("place", "key"))
     mixed = of.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
     of = scratch.put("prefixes", of.join(mixed, "key", "left_semi"))
     # a larger set meets a smaller one, whose share of what both have is larger, by fewer of its first shingles
@@ -261,6 +268,8 @@ def _open_pairs(tried: DataFrame, parts: DataFrame, maps: DataFrame, scratch: Sc
     lost = F.least(*[F.col(f"{of_}n") - sum(F.bit_count(f"{of_}bits_{i}") for i in range(LONGS)) for of_ in ("", "other_")])
     after = F.least(F.col("n") - F.col("place"), F.col("other_n") - F.col("other_place"))  # all they share, at their first common shingle
     enough = (100 + PERCENT) * F.least(near, after, mapped + lost) >= PERCENT * (F.col("n") + F.col("other_n"))
-    met = met.where((F.col("part") != F.col("other_part")) & sized & enough)
-    pairs = met.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).distinct()
-    return pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    # all members of a hub have its shingles in one order and all bounds are widest at the first that two have in common, so a later one adds
+    # no pair
+    first = F.get(F.array_intersect("firsts", "other_firsts"), F.lit(0))
+    met = met.where((F.col("part") != F.col("other_part")) & sized & enough & F.coalesce(first == F.col("key"), F.lit(True)))
+    return met.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b"))

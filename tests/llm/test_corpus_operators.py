@@ -518,3 +518,16 @@ def test_pipeline_on_odd_rows(spark, row):
 
 def test_words_hash_is_stable():
     assert hashlib.sha256(Words(pa.array(["a b", "é"])).hashes.tobytes()).hexdigest() == hashlib.sha256(Words(pa.array(["a b", "é"])).hashes.tobytes()).hexdigest()
+
+
+def test_members_of_a_hub_meet_once(spark):
+    from cellmend.llm.minhash_dedup import LONGS, _meetings
+    from cellmend.sources.scratch import Scratch
+
+    rows = [(1, b, 100, 74, [*range(20), 100 + b]) for b in range(2, 8)]  # all lack the hub's and have 20 first shingles in common
+    tried = spark.createDataFrame(rows, "a long, b long, n long, shared long, keys array<long>")
+    parts = spark.createDataFrame([], "node long, component long")
+    maps = spark.createDataFrame([(b, [-1] * LONGS) for b in range(2, 8)], "node long, bits array<long>")
+    met = sorted(map(tuple, _meetings(tried, parts, maps, Scratch(spark)).select("a", "b").distinct().collect()))
+    assert met == [(a, b) for a in range(2, 8) for b in range(a + 1, 8)]
+    assert _meetings(tried, parts, maps, Scratch(spark)).count() <= 2 * len(met)  # either may be the larger one

@@ -9,16 +9,18 @@ mass; all other words are one more class, whose tree is that of the words' hashe
 one end share it by their counts (one more count is left there for words that the training corpus lacks). So every word is predicted from
 both sides. The counts of the next most frequent words travel with the model, those of the rest are joined by the word.
 
-The network is trained on one position in ``share`` of every document, drawn by a hash of id, text and place anew for each epoch, and dealt by
-hash to shards, whose number follows from the words of the corpus. A shard is trained by stochastic gradient descent in the order of the
-hashes, all shards at once; several times in an epoch each vector of the next model is the mean over the shards that used it, weighted by
-their uses. So the scores depend on the documents, not on how their files are cut or rows repartitioned.
+The network is trained on every position of every document, once an epoch. Documents are cut into pieces (with the words around them), which
+are dealt by a hash of id, text and place to shards, whose number follows from the words of the corpus, and to an epoch's rounds. A shard's
+positions of a round are trained by stochastic gradient descent in the order of their hashes, all shards at once; after a round each vector of
+the next model is the mean over the shards that used it, weighted by their uses. So the scores depend on the documents, not on how their files
+are cut or rows repartitioned.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,8 @@ from cellmend.llm.common import Words, mix64, signed, slices, text_of
 from cellmend.sources.scratch import Scratch, stored
 
 SLICE = 1_000_000
+#: Positions in one piece of a document.
+PIECE = 1024
 #: Parameter rows that are averaged together.
 CHUNK = 128
 #: Leading bits of a word's hash by which its place among sorted hashes is looked up.
@@ -38,8 +42,8 @@ PREFIX = 18
 
 @dataclass(frozen=True)
 class LmParams:
-    """``vocabulary``: words with vectors of their own; ``counted``: words, at most, whose counts travel with the model; ``share``: an epoch trains
-    on one position in so many of every document, ``shard``: on so many in one shard, about, which are averaged ``rounds`` times an epoch;
+    """``vocabulary``: words with vectors of their own; ``counted``: words, at most, whose counts travel with the model; ``shard``: positions of
+    one shard, about, which are averaged ``rounds`` times an epoch; ``share``: an epoch trains on one position in so many (1: on all);
     ``codes``: bits of the codes of words outside the vocabulary."""
 
     vocabulary: int = 8192
@@ -47,10 +51,10 @@ class LmParams:
     classes: int = 64
     dim: int = 16
     places: tuple[int, ...] = (-2, -1, 1, 2)
-    epochs: int = 2
-    share: int = 8
-    shard: int = 1 << 18
-    rounds: int = 2
+    epochs: int = 1
+    share: int = 1
+    shard: int = 1 << 21
+    rounds: int = 4
     codes: int = 4
     batch: int = 512
     rate: float = 0.3
@@ -132,32 +136,41 @@ class LmModel:
 
     def hidden(self, seen: list[np.ndarray]) -> np.ndarray:
         """The hidden layer of what is seen."""
-        return sum((table[found] for table, found in zip(self.tables[1:], seen[1:])), self.tables[0][seen[0]])
+        h = self.tables[0].take(seen[0], axis=0)
+        for table, found in zip(self.tables[1:], seen[1:]):
+            h += table.take(found, axis=0)
+        return h
+
+    def class_scores(self, h: np.ndarray) -> np.ndarray:
+        """A row for each class."""
+        scores = self.out.T @ h.T
+        scores += self.bias[:, None]
+        return scores
 
     def turns(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Position, node and side of each turn on the way to the words."""
-        start = self.path_first[codes]
-        length = self.path_first[codes + 1] - start
+        start = self.path_first.take(codes)
+        length = self.path_first.take(codes + 1) - start
         row = np.repeat(np.arange(len(codes)), length)
-        at = np.arange(len(row)) + np.repeat(start - np.cumsum(length) + length, length)
-        return row, self.path[at], self.side[at]
+        at = np.arange(len(row)) + (start - np.cumsum(length) + length).take(row)
+        return row, self.path.take(at), self.side.take(at)
 
     def log_probabilities(self, words: Words) -> np.ndarray:
         """Conditional log-probability of each word; one that is not counted as if its count were 1."""
         found = self.find(words.hashes)
         ids = np.append(self.id_of, self.other)[found]
         codes, logs = self.code_of(words.hashes, ids), np.empty(len(ids), np.float64)
-        for start in range(0, len(ids), 8192):
-            at = np.arange(start, min(start + 8192, len(ids)))
+        for start in range(0, len(ids), 2048):
+            at = np.arange(start, min(start + 2048, len(ids)))
             h = self.hidden(self.seen(ids, at, words.first, words.doc[at]))
-            scores = h @ self.out + self.bias
-            own = scores[np.arange(len(at)), self.class_of[ids[at]]]
-            top = scores.max(axis=1)
-            np.exp(np.subtract(scores, top[:, None], out=scores), out=scores)
+            scores = self.class_scores(h)
+            own = scores[self.class_of.take(ids[at]), np.arange(len(at))]
+            top = scores.max(axis=0)
+            np.exp(np.subtract(scores, top, out=scores), out=scores)
             row, node, side = self.turns(codes[at])
-            z = side * (np.einsum("ij,ij->i", h[row], self.nodes[node]) + self.turn[node])
+            z = side * (np.einsum("ij,ij->i", h.take(row, axis=0), self.nodes.take(node, axis=0)) + self.turn.take(node))
             within = np.bincount(row, np.minimum(z, 0) - np.log1p(np.exp(-np.abs(z))), minlength=len(at))
-            logs[at] = own - top - np.log(scores.sum(axis=1)) + within
+            logs[at] = own - top - np.log(scores.sum(axis=0)) + within
         outside = ids == self.other
         logs[outside] += self.end_share[codes[outside] - self.other - 1] + np.append(self.log_n, 0.0)[found[outside]]
         return logs
@@ -277,31 +290,61 @@ def train_lm(docs: DataFrame, params: LmParams = LmParams(), id_col: str = "doc_
     return replace(fit(model, base, p, total), counts=counts.where("n > 1"))
 
 
-def _draw(shared, p: LmParams, shards: int):
-    """(epoch, shard, keys, rows) of each slice: the positions that train, as key (their order), code, id and the ids seen around."""
+def _deal(shared, p: LmParams, shards: int):
+    """(round, shard, spot, lead, own, codes) of each piece of a document: the codes of its ``own`` positions, with ``lead`` before them and some
+    after them that are seen from there; ``spot`` is a hash of id, text and place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model, reach = shared.value, max(map(abs, p.places), default=0)
         for batch in slices(batches, limit=SLICE):
             w, row = Words(batch.column(0)), batch.column(1).to_numpy().view(np.uint64)
             if not len(w):
                 continue
-            ids = model.ids(w.hashes)
-            codes = model.code_of(w.hashes, ids)
-            place = (np.arange(len(w)) - w.first[w.doc]).astype(np.uint64)
-            spot = mix64(row[w.doc] + mix64(place + np.uint64(p.seed)))
+            codes = model.code_of(w.hashes, model.ids(w.hashes)).astype(model.kind)
+            pieces = -(-np.diff(w.first) // PIECE)
+            doc = np.repeat(np.arange(len(pieces)), pieces)
+            number = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            begin = w.first[doc] + number * PIECE
+            end = np.minimum(begin + PIECE, w.first[doc + 1])
+            low, high = np.maximum(begin - reach, w.first[doc]), np.minimum(end + reach, w.first[doc + 1])
+            ends = np.concatenate([[0], np.cumsum(high - low)])
+            dealt = codes[np.arange(ends[-1]) + np.repeat(low - ends[:-1], high - low)]
+            spot = mix64(row[doc] + mix64(number.astype(np.uint64) + np.uint64(p.seed)))
+            shard = mix64(spot)
+            turn = mix64(shard) % np.uint64(p.rounds)
+            made = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer((ends * codes.itemsize).astype(np.int32)), pa.py_buffer(dealt)])
+            longs = [turn.astype(np.int64), (shard % np.uint64(shards)).astype(np.int64), spot.view(np.int64), begin - low, end - begin]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, longs), made], names=["round", "shard", "spot", "lead", "own", "codes"])
+
+    return run
+
+
+def positions(model: LmModel, p: LmParams, epoch: int, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Of the positions of pieces that train in the epoch: keys (their order), and rows of code, id and the ids seen around."""
+    spot, lead, own = (batch.column(c).to_numpy() for c in ("spot", "lead", "own"))
+    parts = [np.frombuffer(x.as_buffer(), model.kind) for x in batch.column("codes")]
+    first = np.concatenate([[0], np.cumsum([*map(len, parts)])]).astype(np.int64)
+    codes = np.concatenate(parts).astype(np.int64)
+    piece = np.repeat(np.arange(len(own)), own)
+    place = np.arange(len(piece)) - np.repeat(np.cumsum(own) - own, own)
+    key = mix64(spot.view(np.uint64)[piece] + mix64(place.astype(np.uint64))) ^ mix64(np.full(1, epoch, np.uint64))
+    at = first[piece] + lead[piece] + place
+    if p.share > 1:
+        drawn = np.flatnonzero(mix64(key) % np.uint64(p.share) == 0)
+        key, at, piece = key[drawn], at[drawn], piece[drawn]
+    ids = np.minimum(codes, model.other)
+    return mix64(key), np.stack([codes[at], ids[at], *model.seen(ids, at, first, piece)], axis=1).astype(model.kind)
+
+
+def _draw(shared, p: LmParams, shards: int):
+    """(epoch, shard, keys, rows) of the positions that train, piece by piece: what ``fit`` makes of the pieces, without the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _deal(shared, p, shards)(batches):
             for epoch in range(p.epochs):
-                drawn = mix64(spot ^ mix64(np.uint64(epoch) + np.zeros(1, np.uint64)))
-                at = np.flatnonzero(drawn % np.uint64(p.share) == 0)
-                key = mix64(drawn[at])
-                shard = (mix64(key) % np.uint64(shards)).astype(np.int64)
-                order = np.argsort(shard, kind="stable")
-                at, key, shard = at[order], key[order], shard[order]
-                rows = np.stack([codes[at], ids[at], *model.seen(ids, at, w.first, w.doc[at])], axis=1).astype(model.kind)
-                heads = np.flatnonzero(np.diff(shard, prepend=-1))
-                tails = np.append(heads[1:], len(at))
-                made = [[key[i:j].tobytes() for i, j in zip(heads, tails)], [rows[i:j].tobytes() for i, j in zip(heads, tails)]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(heads), epoch)), pa.array(shard[heads]), *[pa.array(x, pa.binary()) for x in made]], names=["epoch", "shard", "keys", "rows"])
+                for i in range(batch.num_rows):
+                    made = [pa.array([x.tobytes()], pa.binary()) for x in positions(shared.value, p, epoch, batch.slice(i, 1))]
+                    yield pa.RecordBatch.from_arrays([pa.array([epoch]), batch.column("shard").slice(i, 1), *made], names=["epoch", "shard", "keys", "rows"])
 
     return run
 
@@ -309,20 +352,20 @@ def _draw(shared, p: LmParams, shards: int):
 def fit(model: LmModel, base: DataFrame, p: LmParams, total: int) -> LmModel:
     """Stochastic gradient descent over positions of all texts, by shards; a mean over the shards ends each round."""
     sc, scratch = base.sparkSession.sparkContext, Scratch(base.sparkSession)
-    shards, width = max(1, -(-total // (p.share * p.shard))), 2 + len(p.places)
+    shards = max(1, -(-total // (p.share * p.shard)))
     now = sc.broadcast(model)  # bounded by the parameters
-    drawn = base.mapInArrow(_draw(now, p, shards), "epoch long, shard long, keys binary, rows binary")
-    # a shard's rows lie in one file, one after the other
-    drawn = scratch.put("drawn", drawn.repartition(shards, "shard").sortWithinPartitions("epoch", "shard"))
+    dealt = base.mapInArrow(_deal(now, p, shards), "round long, shard long, spot long, lead long, own long, codes binary")
+    # a shard's pieces lie in one file, those of a round one after the other
+    dealt = scratch.put("dealt", dealt.repartition(shards, "shard").sortWithinPartitions("round", "shard"))
     steps = [(e, r) for e in range(p.epochs) for r in range(p.rounds)]
     for step, (epoch, turn) in enumerate(steps):
         rate = np.float32(p.rate * (len(steps) - step) / len(steps))
 
         def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            def trained(keys: list[bytes], rows: list[bytes]) -> Iterator[pa.RecordBatch]:
-                key, row = np.frombuffer(b"".join(keys), np.uint64), np.frombuffer(b"".join(rows), now.value.kind).reshape(-1, width)
-                chosen = row[np.argsort(key, kind="stable")][len(key) * turn // p.rounds : len(key) * (turn + 1) // p.rounds]
-                m, uses = fit_shard(now.value, chosen, p, rate)
+            def trained(pieces: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                made = [positions(now.value, p, epoch, x) for x in pieces]
+                order = np.argsort(np.concatenate([key for key, _ in made]), kind="stable")
+                m, uses = fit_shard(now.value, np.concatenate([rows for _, rows in made])[order], p, rate)
                 values = m.packed()
                 for chunk in range(0, len(values), CHUNK):
                     at = np.flatnonzero(uses[chunk : chunk + CHUNK]) + chunk
@@ -330,17 +373,18 @@ def fit(model: LmModel, base: DataFrame, p: LmParams, total: int) -> LmModel:
                         made = [at.astype(np.int32), uses[at], values[at]]
                         yield pa.RecordBatch.from_arrays([pa.array([chunk]), *[pa.array([x.tobytes()], pa.binary()) for x in made]], names=["chunk", "at", "uses", "rows"])
 
-            last, keys, rows = None, [], []
+            last, pieces = None, []
             for batch in batches:
-                for shard, key, row in zip(*(batch.column(c).to_pylist() for c in ("shard", "keys", "rows"))):
-                    if shard != last and keys:
-                        yield from trained(keys, rows)
-                        keys, rows = [], []
-                    last = shard
-                    keys.append(key)
-                    rows.append(row)
-            if keys:
-                yield from trained(keys, rows)
+                shard = batch.column("shard").to_numpy()
+                heads = np.flatnonzero(np.diff(shard, prepend=-1))
+                for i, j in zip(heads, np.append(heads[1:], len(shard))):
+                    if shard[i] != last and pieces:
+                        yield from trained(pieces)
+                        pieces = []
+                    last = shard[i]
+                    pieces.append(batch.slice(i, j - i))
+            if pieces:
+                yield from trained(pieces)
 
         def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums: dict[int, np.ndarray] = {}  # at most the model
@@ -355,7 +399,7 @@ def fit(model: LmModel, base: DataFrame, p: LmParams, total: int) -> LmModel:
                 values = (s[at, 1:] / s[at, :1]).astype(np.float32)
                 yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in ((at + chunk).astype(np.int32), values)], names=["at", "rows"])
 
-        made = drawn.where(F.col("epoch") == epoch).mapInArrow(part, "chunk long, at binary, uses binary, rows binary")
+        made = dealt.where(F.col("round") == turn).mapInArrow(part, "chunk long, at binary, uses binary, rows binary")
         values = model.packed()
         for r in made.repartition("chunk").mapInArrow(mean, "at binary, rows binary").collect():  # the model
             at = np.frombuffer(r["at"], np.int32)
@@ -370,44 +414,58 @@ def fit(model: LmModel, base: DataFrame, p: LmParams, total: int) -> LmModel:
 
 def calm(rows: np.ndarray, n: int) -> np.ndarray:
     """What a batch's steps count for: an eighth, or less so that those on one row come to one whole step at most."""
-    return (1 / np.maximum(np.bincount(rows, minlength=n), 8)).astype(np.float32)[rows]
+    return (1 / np.maximum(np.bincount(rows, minlength=n).take(rows), 8)).astype(np.float32)
+
+
+@cache
+def cells(n: int, width: int) -> np.ndarray:
+    """Where the cells of each row of a table lie."""
+    return np.arange(n * width).reshape(n, width)
+
+
+def add_rows(table: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """Add each row to the table's row of that number, which may come again."""
+    np.add.at(table.reshape(-1), cells(*table.shape).take(at, axis=0).reshape(-1), rows.reshape(-1))
 
 
 def fit_shard(start: LmModel, rows: np.ndarray, p: LmParams, rate: np.float32) -> tuple[LmModel, np.ndarray]:
     """The model after the rows (code, id, ids seen), in batches in their order, and how often each packed row was used."""
-    model = start.unpacked(start.packed())
-    rows = rows.astype(np.int64)
-    codes, ids, seen = rows[:, 0], rows[:, 1], list(rows[:, 2:].T)
+    model, n = start.unpacked(start.packed()), start.tables.shape[1]
     for k in range(0, len(rows), p.batch):
-        descend(model, codes[k : k + p.batch], ids[k : k + p.batch], [x[k : k + p.batch] for x in seen], rate)
-    uses = [np.bincount(x, minlength=model.tables.shape[1]) for x in seen]
-    node = model.turns(codes)[1]
-    return model, np.concatenate([*uses, np.full(len(model.bias), len(rows)), np.bincount(node, minlength=len(model.nodes))]).astype(float)
+        codes, ids, *seen = np.ascontiguousarray(rows[k : k + p.batch].T).astype(np.int64)
+        descend(model, codes, ids, seen, rate)
+    uses = [np.bincount(found, minlength=n) for found in rows.T[2:]]
+    on_path = np.repeat(np.bincount(rows[:, 0], minlength=len(model.path_first) - 1), np.diff(model.path_first))
+    return model, np.concatenate([*uses, np.full(len(model.bias), len(rows)), np.bincount(model.path, on_path, minlength=len(model.nodes))]).astype(float)
 
 
 def descend(model: LmModel, codes: np.ndarray, ids: np.ndarray, seen: list[np.ndarray], rate: np.float32) -> None:
     """One step on positions of these codes and ids, around which these ids are seen."""
-    tables, nodes, column = model.tables, model.nodes, np.arange(model.tables.shape[2])
+    tables, nodes, n = model.tables, model.nodes, len(ids)
     h = model.hidden(seen)
-    scores = h @ model.out + model.bias
-    e = np.exp(scores - scores.max(axis=1, keepdims=True))
-    wrong = e / e.sum(axis=1, keepdims=True)
-    wrong[np.arange(len(ids)), model.class_of[ids]] -= 1
-    back = wrong @ model.out.T
-    model.out[:] -= rate * (h.T @ wrong) / len(ids)
-    model.bias[:] -= rate * wrong.mean(axis=0)
+    wrong = model.class_scores(h)
+    wrong -= wrong.max(axis=0)
+    np.exp(wrong, out=wrong)
+    wrong /= wrong.sum(axis=0)
+    wrong[model.class_of.take(ids), np.arange(n)] -= 1
+    back = wrong.T @ model.out.T
+    model.out[:] -= h.T @ wrong.T * (rate / n)
+    model.bias[:] -= wrong.sum(axis=1) * (rate / n)
     row, node, side = model.turns(codes)
     if len(row):
-        near, own = h[row], nodes[node]
-        off = -side / (1 + np.exp(np.clip(side * (np.einsum("ij,ij->i", near, own) + model.turn[node]), -30, 30)))
-        head = np.flatnonzero(np.diff(row, prepend=-1))
-        back[row[head]] += np.add.reduceat(off[:, None] * own, head, axis=0)
-        step = rate * off * calm(node, len(nodes))
-        np.subtract.at(nodes.reshape(-1), (node[:, None] * len(column) + column).ravel(), (step[:, None] * near).ravel())
-        np.subtract.at(model.turn, node, step)
-    change = rate * back
+        near, own = h.take(row, axis=0), nodes.take(node, axis=0)
+        z = np.einsum("ij,ij->i", near, own)
+        z += model.turn.take(node)
+        off = -side / (1 + np.exp(np.clip(side * z, -30, 30)))
+        own *= off[:, None]
+        add_rows(back, row, own)
+        off *= -rate * calm(node, len(nodes))
+        near *= off[:, None]
+        add_rows(nodes, node, near)
+        model.turn[:] += np.bincount(node, off, minlength=len(nodes))
+    back *= -rate
     for table, found in zip(tables, seen):
-        np.subtract.at(table.reshape(-1), (found[:, None] * len(column) + column).ravel(), (change * calm(found, len(table))[:, None]).ravel())
+        add_rows(table, found, back * calm(found, len(table))[:, None])
 
 
 def score_lm(docs: DataFrame, model: LmModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

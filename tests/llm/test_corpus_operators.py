@@ -436,6 +436,40 @@ def test_lm_trains_on_every_document(spark):
     assert abs(sum(map(len, drawn)) / (15 * len(texts)) - 0.5) < 0.02 and len({int(i) for d in drawn for i in d[:, 1]}) == 6
 
 
+def test_lm_trains_on_every_position(spark):
+    n, p = 400, lm_scoring.LmParams()
+    df = spark.createDataFrame([(i, f"w{i} w{i} w{i}") for i in range(n)], "doc_id long, text string").repartition(3)
+    before = np.random.default_rng(p.seed).standard_normal((len(p.places), n + 2, p.dim)).astype(np.float32) * np.float32(0.1)
+    # the vectors of a word at two places left and right are seen from one position only
+    assert (np.abs(lm_scoring.train_lm(df, p).tables - before).max(axis=2) > 1e-6)[:, :n].all()
+
+
+def test_lm_deals_every_position_with_what_is_seen_from_it(spark):
+    rng = random.Random(23)
+    edge = lm_scoring.PIECE
+    texts = [" ".join(f"w{min(int(rng.expovariate(0.05)), 90)}" for _ in range(n)) for n in (0, 1, 2, 3, 7, edge - 1, edge, edge + 1, edge + 2, 3 * edge + 5)]
+    p = lm_scoring.LmParams(vocabulary=30, classes=5)
+    model = lm_scoring.train_lm(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), p)
+    want = Counter()
+    for text in texts:
+        hashes = Words(pa.array([text])).hashes
+        ids = model.ids(hashes)
+        codes = model.code_of(hashes, ids)
+        around = [[int(ids[t + k]) if 0 <= t + k < len(ids) else model.other + 1 for k in p.places] for t in range(len(ids))]
+        want.update((int(c), int(i), *seen) for c, i, seen in zip(codes, ids, around))
+    shared = type("Shared", (), {"value": model})
+    made = [b for b in lm_scoring._draw(shared, p, 3)([pa.RecordBatch.from_pydict({"text": texts, "row": list(range(len(texts)))})])]
+    rows = np.concatenate([np.frombuffer(x, model.kind).reshape(-1, 6) for b in made for x in b.column("rows").to_pylist()])
+    keys = np.concatenate([np.frombuffer(x, np.uint64) for b in made for x in b.column("keys").to_pylist()])
+    assert Counter(map(tuple, rows.tolist())) == want and len(np.unique(keys)) == want.total()
+    assert {b.column("shard")[0].as_py() for b in made} == {0, 1, 2}
+    # each vector counts with its uses
+    uses = lm_scoring.fit_shard(model, rows, p, np.float32(0.1))[1]
+    seen = [np.bincount(x, minlength=model.tables.shape[1]) for x in rows[:, 2:].T]
+    nodes = np.bincount(model.turns(rows[:, 0].astype(int))[1], minlength=len(model.nodes))
+    assert (uses == np.concatenate([*seen, np.full(len(model.bias), len(rows)), nodes])).all()
+
+
 def test_lm_scores_do_not_depend_on_the_cut(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id < 300").cache()
     p = lm_scoring.LmParams(vocabulary=500, counted=3000, classes=12, shard=3000, rounds=2, share=2)

@@ -10,8 +10,8 @@ one end share it by their counts (one more count is left there for words that th
 both sides. The counts of the next most frequent words travel with the model, those of the rest are joined by the word.
 
 The network is trained on every position of every document, once an epoch. Documents are cut into pieces (with the words around them), which
-are dealt by a hash of id, text and place to shards, whose number follows from the words of the corpus, and to an epoch's rounds. A shard's
-positions of a round are trained by stochastic gradient descent in the order of their hashes, all shards at once; after a round each vector of
+are dealt by a hash of id, text and place to shards, whose number follows from the words of the corpus, and to an epoch's rounds; the copies
+of a piece (of rows equal in id and text) travel as their number, so many at most together. A shard's positions of a round are trained by stochastic gradient descent in the order of their hashes, all shards at once; after a round each vector of
 the next model is the mean over the shards that used it, weighted by their uses. So the scores depend on the documents, not on how their files
 are cut or rows repartitioned.
 """
@@ -24,6 +24,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +35,8 @@ from cellmend.sources.scratch import Scratch, stored
 SLICE = 1_000_000
 #: Positions in one piece of a document.
 PIECE = 1024
+#: Copies of a piece that are dealt to one shard and round.
+COPIES = 64
 #: Parameter rows that are averaged together.
 CHUNK = 128
 #: Leading bits of a word's hash by which its place among sorted hashes is looked up.
@@ -290,8 +293,8 @@ def train_lm(docs: DataFrame, params: LmParams = LmParams(), id_col: str = "doc_
     return replace(fit(model, base, p, total), counts=counts.where("n > 1"))
 
 
-def _deal(shared, p: LmParams, shards: int):
-    """(round, shard, spot, lead, own, codes) of each piece of a document: the codes of its ``own`` positions, with ``lead`` before them and some
+def _cut(shared, p: LmParams):
+    """(spot, lead, own, codes) of each piece of a document: the codes of its ``own`` positions, with ``lead`` before them and some
     after them that are seen from there; ``spot`` is a hash of id, text and place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,24 +313,34 @@ def _deal(shared, p: LmParams, shards: int):
             ends = np.concatenate([[0], np.cumsum(high - low)])
             dealt = codes[np.arange(ends[-1]) + np.repeat(low - ends[:-1], high - low)]
             spot = mix64(row[doc] + mix64(number.astype(np.uint64) + np.uint64(p.seed)))
-            shard = mix64(spot)
-            turn = mix64(shard) % np.uint64(p.rounds)
             made = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer((ends * codes.itemsize).astype(np.int32)), pa.py_buffer(dealt)])
-            longs = [turn.astype(np.int64), (shard % np.uint64(shards)).astype(np.int64), spot.view(np.int64), begin - low, end - begin]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, longs), made], names=["round", "shard", "spot", "lead", "own", "codes"])
+            yield pa.RecordBatch.from_arrays([signed(spot), pa.array(begin - low), pa.array(end - begin), made], names=["spot", "lead", "own", "codes"])
 
     return run
 
 
+def deal(pieces: DataFrame, rounds: int, shards: int) -> DataFrame:
+    """Equal pieces as one with ``copies``, in parts of so many at most, with each part's round and shard."""
+    counted = pieces.groupBy("spot", "lead", "own", "codes").agg(F.count("*").alias("all"))
+    parts = counted.select("*", F.explode(F.sequence(F.lit(0), F.expr(f"int((all - 1) div {COPIES})"))).alias("part"))
+    place = F.xxhash64("spot", "part")
+    copies = F.least(F.lit(COPIES), F.col("all") - F.col("part") * COPIES)
+    return parts.select(F.pmod(F.xxhash64(place), F.lit(rounds)).alias("round"), F.pmod(place, F.lit(shards)).alias("shard"), "spot", F.col("part").cast("long").alias("part"), copies.alias("copies"), "lead", "own", "codes")
+
+
 def positions(model: LmModel, p: LmParams, epoch: int, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Of the positions of pieces that train in the epoch: keys (their order), and rows of code, id and the ids seen around."""
-    spot, lead, own = (batch.column(c).to_numpy() for c in ("spot", "lead", "own"))
+    """Of the positions of dealt pieces that train in the epoch: keys (their order), and rows of code, id and the ids seen around."""
+    spot, part, copies, lead, own = (batch.column(c).to_numpy() for c in ("spot", "part", "copies", "lead", "own"))
     parts = [np.frombuffer(x.as_buffer(), model.kind) for x in batch.column("codes")]
     first = np.concatenate([[0], np.cumsum([*map(len, parts)])]).astype(np.int64)
     codes = np.concatenate(parts).astype(np.int64)
-    piece = np.repeat(np.arange(len(own)), own)
-    place = np.arange(len(piece)) - np.repeat(np.cumsum(own) - own, own)
-    key = mix64(spot.view(np.uint64)[piece] + mix64(place.astype(np.uint64))) ^ mix64(np.full(1, epoch, np.uint64))
+    source = np.repeat(np.arange(len(own)), copies)  # of each copy
+    copy = np.arange(len(source)) - np.repeat(np.cumsum(copies) - copies, copies) + COPIES * part[source]
+    salt, size = mix64(spot.view(np.uint64)[source] ^ mix64(copy.astype(np.uint64))), own[source]
+    which = np.repeat(np.arange(len(source)), size)
+    place = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size)
+    key = mix64(salt[which] + mix64(place.astype(np.uint64))) ^ mix64(np.full(1, epoch, np.uint64))
+    piece = source[which]
     at = first[piece] + lead[piece] + place
     if p.share > 1:
         drawn = np.flatnonzero(mix64(key) % np.uint64(p.share) == 0)
@@ -337,14 +350,16 @@ def positions(model: LmModel, p: LmParams, epoch: int, batch: pa.RecordBatch) ->
 
 
 def _draw(shared, p: LmParams, shards: int):
-    """(epoch, shard, keys, rows) of the positions that train, piece by piece: what ``fit`` makes of the pieces, without the shuffle."""
+    """(epoch, spot, keys, rows) of the positions that train, piece by piece: what ``fit`` makes of pieces that are all different, undealt."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _deal(shared, p, shards)(batches):
+        for batch in _cut(shared, p)(batches):
+            one = pa.array(np.ones(batch.num_rows, np.int64))
+            batch = batch.append_column("copies", one).append_column("part", pa.compute.subtract(one, 1))
             for epoch in range(p.epochs):
                 for i in range(batch.num_rows):
                     made = [pa.array([x.tobytes()], pa.binary()) for x in positions(shared.value, p, epoch, batch.slice(i, 1))]
-                    yield pa.RecordBatch.from_arrays([pa.array([epoch]), batch.column("shard").slice(i, 1), *made], names=["epoch", "shard", "keys", "rows"])
+                    yield pa.RecordBatch.from_arrays([pa.array([epoch]), batch.column("spot").slice(i, 1), *made], names=["epoch", "spot", "keys", "rows"])
 
     return run
 
@@ -354,7 +369,7 @@ def fit(model: LmModel, base: DataFrame, p: LmParams, total: int) -> LmModel:
     sc, scratch = base.sparkSession.sparkContext, Scratch(base.sparkSession)
     shards = max(1, -(-total // (p.share * p.shard)))
     now = sc.broadcast(model)  # bounded by the parameters
-    dealt = base.mapInArrow(_deal(now, p, shards), "round long, shard long, spot long, lead long, own long, codes binary")
+    dealt = deal(base.mapInArrow(_cut(now, p), "spot long, lead long, own long, codes binary"), p.rounds, shards)
     # a shard's pieces lie in one file, those of a round one after the other
     dealt = scratch.put("dealt", dealt.repartition(shards, "shard").sortWithinPartitions("round", "shard"))
     steps = [(e, r) for e in range(p.epochs) for r in range(p.rounds)]

@@ -462,7 +462,6 @@ def test_lm_deals_every_position_with_what_is_seen_from_it(spark):
     rows = np.concatenate([np.frombuffer(x, model.kind).reshape(-1, 6) for b in made for x in b.column("rows").to_pylist()])
     keys = np.concatenate([np.frombuffer(x, np.uint64) for b in made for x in b.column("keys").to_pylist()])
     assert Counter(map(tuple, rows.tolist())) == want and len(np.unique(keys)) == want.total()
-    assert {b.column("shard")[0].as_py() for b in made} == {0, 1, 2}
     # each vector counts with its uses
     uses = lm_scoring.fit_shard(model, rows, p, np.float32(0.1))[1]
     seen = [np.bincount(x, minlength=model.tables.shape[1]) for x in rows[:, 2:].T]
@@ -470,6 +469,25 @@ def test_lm_deals_every_position_with_what_is_seen_from_it(spark):
     assert (uses == np.concatenate([*seen, np.full(len(model.bias), len(rows)), nodes])).all()
 
 
+def test_lm_deals_copies_of_a_row_over_all_shards(spark):
+    df = spark.createDataFrame([(None, "a b c d e")] * 5000 + [(i, f"a w{i}") for i in range(2000)], "doc_id long, text string")
+    p = lm_scoring.LmParams(vocabulary=5)
+    base = df.select("text", F.xxhash64("doc_id", "text").alias("row"))
+    model = lm_scoring.train_lm(df, p)
+    shared = type("Shared", (), {"value": lm_scoring.replace(model, counts=None)})()
+    cuts = []
+    for cut in (base.coalesce(1), base.repartition(5)):
+        pieces = lm_scoring.deal(cut.mapInArrow(lm_scoring._cut(shared, p), "spot long, lead long, own long, codes binary"), 2, 8).toArrow()
+        cuts.append(sorted(map(str, pieces.to_pylist())))
+    assert cuts[0] == cuts[1]
+    size = Counter()
+    for r in pieces.to_pylist():
+        size[r["shard"], r["round"]] += r["copies"] * r["own"]
+    assert size.total() == 5000 * 5 + 2000 * 2 and len(size) == 16 and max(size.values()) < 3 * size.total() / 16
+    keys, rows = lm_scoring.positions(model, p, 0, pieces.combine_chunks().to_batches()[0])
+    assert len(np.unique(keys)) == len(rows) == size.total()
+
+
 def test_lm_scores_do_not_depend_on_the_cut(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id < 300").cache()
     p = lm_scoring.LmParams(vocabulary=500, counted=3000, classes=12, shard=3000, rounds=2, share=2)
